@@ -22,7 +22,8 @@ LETTER = re.compile(r"[^\W\d_]")
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a whole text's byte 1- to 3-grams, lower-cased, and how often each stands there."""
     buffer = np.frombuffer((text or "").lower().encode(), np.uint8)
-    total = sum(np.bincount(gram_hashes(buffer, n) % BUCKETS, minlength=BUCKETS) for n in GRAMS)
+    every = np.concatenate([gram_hashes(buffer, n) for n in GRAMS]) & np.uint32(BUCKETS - 1)
+    total = np.bincount(every.astype(np.int32), minlength=BUCKETS)
     where = np.flatnonzero(total)
     return where, total[where]
 

@@ -19,33 +19,41 @@ from feedloom.llm.common import cut
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-į]*")
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-į"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+WORDS = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTER}{_NUMBER}]+")
+# The file's names for bytes: printable ones are their own character, the others follow from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_NAMES = dict.fromkeys(_PRINTABLE) | dict(zip(sorted(set(range(256)) - set(_PRINTABLE)), range(256, 512), strict=False))
+_NAMES = {byte: chr(byte if name is None else name) for byte, name in _NAMES.items()}
 
 
-class WordTokenizer:
-    """Ids of a word-based BPE file, exactly those of its encode(); words that come again are looked up, not encoded.
+class WordTokenizer(dict):
+    """Ids of a word-based BPE file, exactly those of its encode(): from what stands between blanks to the bytes of its 32-bit ids.
 
-    Texts with other characters, or with a special token's text, go through the tokenizer itself.
+    No word of the file spans a blank. What is new goes through the file's model word by word, what comes again is looked up;
+    more than `keep` entries are forgotten. Texts with other characters than PLAIN, or with a special token's text, go
+    through the tokenizer itself.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.own, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        super().__init__()
+        self.own, self.most = Tokenizer.from_file(path), keep
+        self.model = self.own.model
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
 
+    def __missing__(self, part: str) -> bytes:
+        words = WORDS.findall(part)
+        named = words if part.isascii() else ["".join(map(_NAMES.__getitem__, w.encode())) for w in words]
+        ids = self[part] = np.array([t.id for w in named for t in self.model.tokenize(w)], "<u4").tobytes()
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
-        known, out = self.known, []
-        if len(known) > self.keep:
-            known.clear()
-        for word in WORDS.findall(text.lower()):
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self.own.encode(word, add_special_tokens=False).ids
-            out += ids
-        return np.array(out, np.uint32)
+        if len(self) > self.most:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -80,14 +88,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
 def best_configuration(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
     """The fill of one sequence of the largest total value: an unbounded knapsack over every total length."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    for total in range(int(lengths[0]), capacity + 1):
-        fits = np.searchsorted(lengths, total, "right")
-        gain = value[:fits] + best[total - lengths[:fits]]
+    worth = np.full(capacity + 1, -1.0)
+    worth[lengths] = value
+    least = int(lengths[0])
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for total in range(least, capacity + 1):
+        gain = worth[least : total + 1] + best[total - least :: -1]
         k = int(gain.argmax())
         if gain[k] > best[total - 1]:
-            best[total], took[total] = gain[k], lengths[k]
+            best[total], took[total] = gain[k], k + least
         else:
             best[total] = best[total - 1]
     out: dict[int, int] = defaultdict(int)
@@ -106,7 +115,7 @@ def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, round
 
     Each length has a weight, at first its size over its demand's share. A round prices the best configuration by the
     knapsack, takes as much of it as covers one of its lengths once more, and lowers the weights of what it covers by
-    the share covered. The numbers are scaled in the end by the least coverage among lengths that any configuration holds.
+    the share covered. The numbers are scaled in the end by the median coverage, as rounding leaves the rest to best fit.
     """
     taken: dict[tuple, float] = defaultdict(float)
     cover = np.zeros(len(lengths))

@@ -22,11 +22,12 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """The hashed words and byte 3- and 4-grams of a whole text: buckets and their shares, which add up to 1."""
     buffer = np.frombuffer(text or b"", np.uint8)
-    parts = [gram_hashes(buffer, n) % BUCKETS for n in GRAMS]
-    parts.append((span_hashes(buffer, *spans(buffer, ~_BLANK)) % BUCKETS).astype(np.uint32))
-    counts = sum(np.bincount(p, minlength=BUCKETS) for p in parts)
+    parts = [gram_hashes(buffer, n) for n in GRAMS]
+    parts.append(span_hashes(buffer, *spans(buffer, ~_BLANK)).astype(np.uint32))
+    every = (np.concatenate(parts) & np.uint32(BUCKETS - 1)).astype(np.int32)
+    counts = np.bincount(every, minlength=BUCKETS)
     where = np.flatnonzero(counts)
-    return where, (counts[where] / max(1, counts.sum())).astype(np.float32)
+    return where, (counts[where] / max(1, len(every))).astype(np.float32)
 
 
 @dataclass

@@ -15,6 +15,7 @@ from feedloom.llm.common import cut, merge_labels
 from feedloom.llm.components import connected_components
 
 BITS = 64
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -31,7 +32,8 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     starts = starts[:n].tolist()
     for at in range(0, n, 1 << 15):
         hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + (1 << 15)], last[at : at + (1 << 15)], strict=True)], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        by_byte = np.stack([np.bincount(lane, minlength=256) for lane in hashes.view(np.uint8).reshape(-1, 8).T])
+        counts += (by_byte @ _BITS_OF_BYTE).ravel()
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
