@@ -64,11 +64,12 @@ def cluster(rows: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 500, clusters: int = 4, mod: int = 4, held: int = 2) -> Centroids:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 500, clusters: int = 8, mod: int = 4, held: int = 2) -> Centroids:
     """Centroids learned from rows with a language whose crc32(id as text) mod `mod` is not `held`.
 
     Document frequencies come from all these rows: every task adds up its own, at most 8192 numbers, before the shuffle.
-    Centres are clustered on a bounded sample, about `sample_per_lang` rows of each language by hash of id and text.
+    Centres are clustered on a bounded sample, about `sample_per_lang` rows of each language by hash of id and text; those
+    that draw over three tenths of their rows from other languages (passages quoted in another language) are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col, mod, held).alias("held"))
     rows = rows.where(~F.col("held") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = rows.where(draw < share[F.col("lang")]).mapInArrow(count, "doc_id long, lang string, buckets array<int>, counts array<int>").toArrow()
     got = got.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     of_row = np.array(got["lang"].to_pylist(), object)
-    centres, langs = [], []
+    centres, langs, rows_of = [], [], {}
     for number, lang in enumerate(sorted(sizes)):
         dense = np.zeros((int((of_row == lang).sum()), BUCKETS), np.float32)
         for k, row in enumerate(np.flatnonzero(of_row == lang)):
@@ -111,7 +112,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             own = cluster(dense, clusters, number)
             centres.append(own)
             langs += [lang] * len(own)
-    return Centroids(idf, np.concatenate(centres) if centres else np.zeros((0, BUCKETS)), langs)
+        rows_of[lang] = dense
+    if not centres:
+        return Centroids(idf, np.zeros((0, BUCKETS)), [])
+    every, own = np.concatenate(centres), np.array(langs, object)
+    nearest = {lang: (dense @ every.T).argmax(axis=1) for lang, dense in rows_of.items()}
+    total = sum(np.bincount(k, minlength=len(every)) / len(k) for k in nearest.values() if len(k))
+    mine = np.array([np.mean(nearest[lang] == k) for k, lang in enumerate(own)])
+    pure = mine >= 0.7 * total
+    for lang in rows_of:  # a language keeps one centre at least
+        if not pure[own == lang].any() and (own == lang).any():
+            pure[np.flatnonzero(own == lang)[mine[own == lang].argmax()]] = True
+    return Centroids(idf, every[pure], own[pure].tolist())
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, mod: int = 4, held: int = 2, **settings) -> DataFrame:

@@ -110,30 +110,31 @@ def best_configuration(value: np.ndarray, lengths: np.ndarray, capacity: int) ->
     return dict(out)
 
 
-def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional numbers that cover the demand: the covering program by multiplicative weights.
+def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, power: float = 1.1) -> list[tuple[dict[int, int], float]]:
+    """Configurations with fractional numbers, of which each length's demand gets covered: the covering program by multiplicative weights.
 
-    Each length has a weight, at first its size over its demand's share. A round prices the best configuration by the
-    knapsack, takes as much of it as covers one of its lengths once more, and lowers the weights of what it covers by
-    the share covered. The numbers are scaled in the end by the median coverage, as rounding leaves the rest to best fit.
+    Each length has a weight, at first a little more than its size, so that long pieces come first. Each round prices the
+    best configuration by the knapsack, takes as much of it as covers the scarcest of its lengths once, and lowers
+    the weights of all that it covers by e to the share covered.
     """
     taken: dict[tuple, float] = defaultdict(float)
     cover = np.zeros(len(lengths))
     where = {int(x): k for k, x in enumerate(lengths)}
+    worth = (lengths / capacity) ** power
     for _ in range(rounds):
-        fill = best_configuration(lengths * np.exp(-cover), lengths, capacity)
-        step = min(demand[where[x]] / n for x, n in fill.items()) / 2
+        fill = best_configuration(worth * np.exp(-cover), lengths, capacity)
+        step = min(demand[where[x]] / n for x, n in fill.items())
         taken[tuple(sorted(fill.items()))] += step
         for x, n in fill.items():
             cover[where[x]] += n * step / demand[where[x]]
-    scale = max(1.0, float(np.median(cover[cover > 0])))
-    return [(dict(fill), x / scale) for fill, x in sorted(taken.items(), key=lambda t: -t[1])]
+    return [(dict(fill), x) for fill, x in sorted(taken.items(), key=lambda t: -t[1])]
 
 
-def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, share: float = 0.8) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(fill, number)]: sequences by what they hold, ((length, how many), ...), longest first; every piece stands in one.
 
-    The program's numbers are rounded down and never beyond the pieces that are left; what remains goes, longest first,
+    Of the program's numbers a `share` is taken, rounded down and never beyond the pieces that are left, as what remains
+    must keep enough small pieces to fill up. It goes, longest first,
     into the fullest sequence that has room for it, whole groups of like sequences at a time.
     """
     left = {int(x): int(n) for x, n in zip(lengths, counts, strict=True) if n > 0}
@@ -144,7 +145,7 @@ def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int, round
     if left:
         sizes = np.array(sorted(left))
         for fill, x in configurations(sizes, np.array([left[int(s)] for s in sizes], float), capacity, rounds):
-            number = min([int(x), *(left[s] // n for s, n in fill.items())])
+            number = min([int(x * share), *(left[s] // n for s, n in fill.items())])
             if number > 0:
                 room[capacity - sum(s * n for s, n in fill.items())][tuple(sorted(fill.items(), reverse=True))] += number
                 for s, n in fill.items():
@@ -192,7 +193,7 @@ def placements(fills: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int
     return {length: np.array(r, np.int64) for length, r in runs.items()}
 
 
-def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 400, bucket_rows: int = 100_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 300, bucket_rows: int = 100_000) -> DataFrame:
     """parts with sequence_id and offset: as few sequences of at most `capacity` as the rounded program finds.
 
     parts: doc_id, piece, length (1 to capacity) and any other columns. Only the histogram, of `capacity` numbers at
@@ -235,6 +236,6 @@ def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 400, bucket_rows:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int = 400, with_ids: bool = False, **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int = 300, with_ids: bool = False, **columns) -> DataFrame:
     """pieces() of docs, packed by pack(); the pieces are written once, as the histogram and the placing both read them."""
     return pack(cut(pieces(docs, tokenizer_path, capacity, with_ids=with_ids, **columns), "pieces"), capacity, rounds)
