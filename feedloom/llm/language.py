@@ -16,12 +16,17 @@ from feedloom.llm.common import gram_hashes, held_out
 
 BUCKETS = 1 << 13
 GRAMS = (1, 2, 3)
+_TO_BLANK = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a whole text's byte 1- to 3-grams, lower-cased, and how often each stands there."""
-    buffer = np.frombuffer((text or "").lower().encode(), np.uint8)
+    """The buckets of a whole text's byte 1- to 3-grams, and how often each stands there.
+
+    The text is lower-cased, and what is between words (all ASCII but a-z) counts as one blank.
+    """
+    words = (text or "").lower().encode().translate(_TO_BLANK).split()
+    buffer = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8)
     every = np.concatenate([gram_hashes(buffer, n) for n in GRAMS]) & np.uint32(BUCKETS - 1)
     total = np.bincount(every.astype(np.int32), minlength=BUCKETS)
     where = np.flatnonzero(total)
