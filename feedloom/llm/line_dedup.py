@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import cut
+
 
 def chunk_lines(text: Column, divisor: int = 4) -> Column:
     """The text's chunks in order; joined by line ends they are the text again.
@@ -21,7 +23,7 @@ def chunk_lines(text: Column, divisor: int = 4) -> Column:
     return F.transform(F.split(whole, "\n\n", -1), lambda c: F.regexp_replace(c, "(^|\n)x", "$1"))
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, th, removed): places of a document's chunks that stand, byte for byte, somewhere before.
 
     docs: doc_id, th (the text's hash), text. Chunks of one line stay. Which chunks repeat is found from hashes alone,
@@ -30,7 +32,9 @@ def repeated_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
     chunks = docs.where("text is not null").select("doc_id", "th", F.posexplode(chunk_lines(F.col("text"), divisor)).alias("place", "chunk"))
     chunks = chunks.where(F.col("chunk").contains("\n")).withColumns({"h": F.xxhash64("chunk"), "at": F.struct("doc_id", "place", "th")})
     first = chunks.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").select("h", "first")
-    shared = chunks.join(first, "h")
+    first = cut(first, "first")
+    # a row has some 60 bytes; beyond the bound both sides are shuffled
+    shared = cut(chunks.join(F.broadcast(first) if first.count() <= broadcast_rows else first, "h"), "shared")
     heads = shared.where("at = first").select("h", F.col("chunk").alias("bytes")).distinct()
     again = shared.where("at != first").join(heads, "h").where("chunk = bytes")
     return again.groupBy("doc_id", "th").agg(F.collect_set("place").alias("removed"))
