@@ -1,4 +1,496 @@
-"""The catalogue of queries over the reference's operators."""
+"""The catalogue: queries over the reference's operators, each over its whole table, with DuckDB SQL beside it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from feedloom.functions import text
+from feedloom.operators import gates, identity, ops, profile, rules, schedule, transforms, validation
+from feedloom.operators.rules import Rule
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# rules
+
+RULES = [
+    Rule("status_known", "ENUM", "o_orderstatus", "WARNING", {"values": ["O", "F"]}),
+    Rule("price_in_range", "RANGE", "o_totalprice", "QUARANTINE", {"min": 5000, "max": 400000}),
+    Rule("priority_pattern", "REGEX", "o_orderpriority", "QUARANTINE", {"pattern": "^[1-4]-"}),
+    Rule("key_present", "NOT_NULL", "o_orderkey", "REJECT_FILE"),
+    Rule("key_length", "LENGTH", "o_orderkey", "INFO", {"max_length": 4}),
+]
+_FLAGS = "o_orderstatus NOT IN ('O','F') AS v0, (o_totalprice < 5000 OR o_totalprice > 400000) AS v1, NOT regexp_matches(o_orderpriority, '^[1-4]-') AS v2, o_orderkey IS NULL AS v3, length(CAST(o_orderkey AS VARCHAR)) > 4 AS v4"
+
+
+def _violations(rule: Rule, name: str, key: list[str]):
+    return lambda spark, sf_dir: table(spark, sf_dir, name).where(rules.violated(rule)).select(*key)
+
+
+for _name, _rule, _table, _key, _where in (
+    ("dq_not_null", Rule("r", "NOT_NULL", "o_status"), "orders", ["o_orderkey"], "nullif(o_orderstatus, 'P') IS NULL"),
+    ("dq_range", Rule("r", "RANGE", "l_discount", config={"min": 0.01, "max": 0.08, "inclusive_max": False}), "lineitem", ["l_orderkey", "l_linenumber"], "l_discount < 0.01 OR l_discount >= 0.08"),
+    ("dq_regex", Rule("r", "REGEX", "c_name", config={"pattern": r"#\d+5$"}), "customer", ["c_custkey"], "NOT regexp_matches(c_name, '#\\d+5$')"),
+    ("dq_enum", Rule("r", "ENUM", "o_orderpriority", config={"values": ["1-urgent", "2-HIGH"], "case_sensitive": False}), "orders", ["o_orderkey"], "lower(o_orderpriority) NOT IN ('1-urgent', '2-high')"),
+    ("dq_length", Rule("r", "LENGTH", "p_name", config={"min_length": 3, "max_length": 14}), "part", ["p_partkey"], "length(p_name) NOT BETWEEN 3 AND 14"),
+    ("dq_date_range", Rule("r", "DATE_RANGE", "o_day", config={"format": "YYYY-MM-DD", "min_date": "1995-01-01", "max_date": "1996-12-31"}), "orders", ["o_orderkey"], "CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'"),
+    ("dq_cross_field", Rule("r", "CROSS_FIELD", "l_extendedprice", config={"compare_field": "l_limit", "operator": "GT"}), "lineitem", ["l_orderkey", "l_linenumber"], "NOT l_extendedprice > 1000 * l_quantity"),
+):
+
+    def _run(spark, sf_dir, rule=_rule, name=_table, key=_key):
+        extra = {"o_status": "nullif(o_orderstatus, 'P')", "o_day": "date_format(o_orderdate, 'yyyy-MM-dd')", "l_limit": "1000 * l_quantity"}
+        frame = table(spark, sf_dir, name)
+        if rule.column in extra:
+            frame = frame.withColumn(rule.column, F.expr(extra[rule.column]))
+        if name == "lineitem":
+            frame = frame.withColumn("l_limit", F.expr(extra["l_limit"]))
+        return frame.where(rules.violated(rule)).select(*key)
+
+    QUERIES[_name], ORACLE_SQL[_name] = _run, f"SELECT {', '.join(_key)} FROM {_table} WHERE {_where}"
+
+
+@query(f"""
+WITH f AS (SELECT {_FLAGS} FROM orders),
+c AS (SELECT count(*) AS n, count(*) FILTER (v0) AS f0, count(*) FILTER (v1) AS f1, count(*) FILTER (v2) AS f2, count(*) FILTER (v3) AS f3, count(*) FILTER (v4) AS f4 FROM f),
+r AS (SELECT 'status_known' AS rule, 'WARNING' AS severity, n AS evaluated, f0 AS failed FROM c UNION ALL SELECT 'price_in_range', 'QUARANTINE', n, f1 FROM c
+  UNION ALL SELECT 'priority_pattern', 'QUARANTINE', n, f2 FROM c UNION ALL SELECT 'key_present', 'REJECT_FILE', n, f3 FROM c UNION ALL SELECT 'key_length', 'INFO', n, f4 FROM c)
+SELECT rule, severity, evaluated, evaluated - failed AS passed, failed, round(100.0::DOUBLE * (evaluated - failed) / evaluated, 2) AS pass_rate,
+  CASE WHEN failed = 0 THEN 'PASSED' WHEN severity = 'REJECT_FILE' THEN 'BATCH_ABORTED' WHEN severity = 'QUARANTINE' THEN 'QUARANTINED_ROWS' WHEN severity = 'WARNING' THEN 'LOGGED_WARNING' ELSE 'LOGGED_INFO' END AS action FROM r
+""")
+def dq_telemetry(spark, sf_dir):
+    return rules.telemetry(table(spark, sf_dir, "orders"), RULES)
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, o_totalprice, o_orderpriority, {_FLAGS} FROM orders)
+SELECT o_orderkey, CASE WHEN v1 THEN 'o_totalprice' ELSE 'o_orderpriority' END AS field, CASE WHEN v1 THEN 'VALUE_OUT_OF_RANGE' ELSE 'REGEX_MISMATCH' END AS reason FROM f WHERE v1 OR v2
+""")
+def quarantine_split(spark, sf_dir):
+    return rules.split(table(spark, sf_dir, "orders"), RULES)[1].select("o_orderkey", "_failure.field", "_failure.reason")
+
+
+@query(f"WITH f AS (SELECT {_FLAGS} FROM orders) SELECT CASE WHEN v1 THEN 'VALUE_OUT_OF_RANGE' ELSE 'REGEX_MISMATCH' END AS reason, count(*) AS n FROM f WHERE v1 OR v2 GROUP BY 1")
+def quarantine_reasons(spark, sf_dir):
+    return rules.ledger(rules.split(table(spark, sf_dir, "orders"), RULES)[1])
+
+
+@query(f"WITH f AS (SELECT {_FLAGS} FROM orders) SELECT count(*) AS rows_in, count(*) FILTER (NOT (v1 OR v2)) AS silver, count(*) FILTER (v1 OR v2) AS quarantined, CAST(0 AS BIGINT) AS discrepancy, 'PASS' AS status FROM f")
+def reconciliation(spark, sf_dir):
+    marked = rules.flagged(table(spark, sf_dir, "orders"), RULES).select(rules.first_failure(RULES).alias("x"))
+    sums = marked.agg(F.count("*").alias("rows_in"), F.count_if(F.col("x").isNull()).alias("silver"), F.count_if(F.col("x").isNotNull()).alias("quarantined"))
+    return sums.select("*", *rules.reconcile(F.col("rows_in"), F.col("silver"), F.col("quarantined"), F.lit(0).cast("long")))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS a, l_linenumber AS b, l_quantity > 45 AS v0, l_extendedprice > 90000 AS v1 FROM lineitem),
+s AS (SELECT a, b FROM f WHERE v1 ORDER BY a, b LIMIT 1),
+seen AS (SELECT f.* FROM f, s WHERE (f.a, f.b) <= (s.a, s.b)),
+r AS (SELECT 'few' AS rule, 'WARNING' AS severity, count(*) AS evaluated, count(*) FILTER (v0) AS failed FROM seen UNION ALL SELECT 'cheap', 'REJECT_FILE', count(*), count(*) FILTER (v1) FROM seen)
+SELECT rule, severity, evaluated, evaluated - failed AS passed, failed, round(100.0::DOUBLE * (evaluated - failed) / evaluated, 2) AS pass_rate, CASE WHEN failed = 0 THEN 'PASSED' WHEN severity = 'REJECT_FILE' THEN 'BATCH_ABORTED' ELSE 'LOGGED_WARNING' END AS action FROM r
+""")
+def reject_file_prefix(spark, sf_dir):
+    own = [Rule("few", "RANGE", "l_quantity", "WARNING", {"max": 45}), Rule("cheap", "RANGE", "l_extendedprice", "REJECT_FILE", {"max": 90000})]
+    return rules.telemetry_until_reject(table(spark, sf_dir, "lineitem"), own, ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT c_custkey FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NULL OR NOT regexp_full_match(c_mktsegment, 'MACH.*|AUTO')")
+def rule_test_dialect(spark, sf_dir):
+    frame = table(spark, sf_dir, "customer").withColumn("segment", F.nullif("c_mktsegment", F.lit("BUILDING")))
+    return frame.where(rules.violated(Rule("r", "REGEX", "segment", config={"pattern": "MACH.*|AUTO"}), "test")).select("c_custkey")
+
+
+@query("""
+WITH b AS (SELECT o_custkey AS batch_id, count(*) AS evaluated, count(*) FILTER (o_totalprice > 300000) AS f0, count(*) FILTER (o_orderstatus = 'P') AS f1 FROM orders GROUP BY 1)
+SELECT batch_id, evaluated, CAST(f0 + f1 AS BIGINT) AS violations, CASE WHEN f0 > 0 THEN 'QUARANTINED_ROWS' WHEN f1 > 0 THEN 'LOGGED_WARNING' ELSE 'PASSED' END AS outcome FROM b
+""")
+def dq_batch_summary(spark, sf_dir):
+    sums = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("batch_id")).agg(F.count("*").alias("evaluated"), F.count_if(F.col("o_totalprice") > 300000).alias("f0"), F.count_if(F.col("o_orderstatus") == "P").alias("f1"))
+    one = lambda n, severity: F.struct(F.col(n).alias("failed"), F.lit(severity).alias("severity"))
+    counts = sums.select("batch_id", "evaluated", F.inline(F.array(one("f0", "QUARANTINE"), one("f1", "WARNING"))))
+    return ops.dq_summary(rules.with_rate(counts.withColumn("passed", F.col("evaluated") - F.col("failed"))))
+
+
+# validation and drift
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 'status' ELSE 'priority' END AS field, CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 'MISSING_REQUIRED_FIELD' ELSE 'INVALID_ENUM_VALUE' END AS reason
+FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+""")
+def record_validation(spark, sf_dir):
+    frame = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    fields = [validation.Field("status", required=True), validation.Field("day", "DATE", True), validation.Field("priority", "ENUM", allowed=("1-URGENT", "2-HIGH"))]
+    return frame.withColumn("f", validation.failure(fields, "2024-01-01")).where("f is not null").select("o_orderkey", "f.field", "f.reason")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'o_clerk', 'o_comment', 'o_custkey,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice', 'BREAKING'), ('part', 'o_clerk,o_orderdate', 'o_comment', 'p_brand,p_name,p_partkey,p_retailprice,p_size,p_type', 'BREAKING')) t(name, missing_required, missing_optional, unexpected, severity)")
+def schema_drift(spark, sf_dir):
+    heads = [(n, table(spark, sf_dir, n).columns, ",") for n in ("orders", "part")]
+    contract = [validation.Field("O_ORDERDATE", required=True), validation.Field("o_clerk", required=True), validation.Field("o_comment")]
+    out = validation.drift(spark.createDataFrame(heads, "name string, header array<string>, delimiter string"), contract)
+    return out.select("name", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("missing_required", "missing_optional", "unexpected")], "severity")
+
+
+# mappings and nested data
+
+
+@query("""
+SELECT o_orderkey AS id, 'orders' AS origin, CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'DONE' ELSE 'OTHER' END AS state, strftime(o_orderdate, '%m/%d/%Y') AS day,
+  coalesce(nullif(o_orderstatus, 'P'), '') || '-' || o_orderpriority AS label, coalesce(nullif(o_orderstatus, 'P'), o_orderpriority) AS first_known, lower(o_orderpriority) AS clean FROM orders
+""")
+def map_orders(spark, sf_dir):
+    frame = table(spark, sf_dir, "orders").withColumns({"status": F.nullif("o_orderstatus", F.lit("P")), "day": F.date_format("o_orderdate", "yyyy-MM-dd"), "padded": F.concat(F.lit("  "), "o_orderpriority", F.lit("\t"))})
+    lines = [
+        ("id", "DIRECT", ["o_orderkey"], {}), ("origin", "CONSTANT", [], {"value": "orders"}), ("state", "VALUE_MAP", ["o_orderstatus"], {"dictionary": {"O": "OPEN", "F": "DONE"}, "on_unmapped": "DEFAULT", "default": "OTHER"}),
+        ("day", "DATE_FORMAT", ["day"], {"source_format": "%Y-%m-%d", "target_format": "%m/%d/%Y"}), ("label", "CONCAT", ["status", "o_orderpriority"], {"delimiter": "-"}),
+        ("first_known", "COALESCE", ["status", "o_orderpriority"], {}), ("clean", "STRING_CLEAN", ["padded"], {"casing": "LOWER"}),
+    ]
+    return transforms.apply_mapping(frame, lines)
+
+
+def _talks(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("turns"))
+    return rows.select("conv_id", F.struct(F.struct("turns", F.size("turns").alias("size")).alias("body"), F.lit("chat").alias("kind")).alias("doc"))
+
+
+@query("""
+SELECT conv_id, list(role ORDER BY turn) AS roles, first(role ORDER BY turn) AS first_role, list(length(text) ORDER BY turn) FILTER (role = 'assistant') AS answers,
+  string_agg(CAST(length(text) AS VARCHAR), ' | ' ORDER BY turn) FILTER (role = 'user') AS asked, 'none' AS missing FROM conversations GROUP BY conv_id
+""")
+def path_extract(spark, sf_dir):
+    c = lambda kind, **p: transforms.compile_transform(kind, ["doc"], p)
+    out = _talks(spark, sf_dir).select(
+        "conv_id", c("PATH_EXTRACT", path="body.turns[*].role").alias("roles"), c("PATH_EXTRACT", path="$.body.turns[0].role").alias("first_role"), c("PATH_EXTRACT", path="body.turns[?(@.role=='assistant')].n").alias("answers"),
+        c("ARRAY_MAP", array_path="body.turns", element_path="n", filter_key="role", filter_val="user", delimiter=" | ").alias("asked"), c("PATH_EXTRACT", path="body.turns[999].role", default="none").alias("missing"),
+    )
+    return out.withColumn("asked", F.nullif("asked", F.lit("")))
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS _explode_index, role FROM conversations")
+def explode_outer(spark, sf_dir):
+    rows = _talks(spark, sf_dir).select("conv_id", F.col("doc.body.turns").alias("turns"))
+    return transforms.explode_rows(rows, "turns", "turn").select("conv_id", "_explode_index", "turn.role")
+
+
+@query("SELECT conv_id, CAST(count(*) AS INTEGER) AS doc_body_size, 'chat' AS doc_kind FROM conversations GROUP BY conv_id")
+def flatten_struct(spark, sf_dir):
+    rows = _talks(spark, sf_dir)
+    return rows.select(*transforms.flatten(rows.schema)).drop("doc_body_turns")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+# profiles
+
+_CELLS = """
+cells AS (SELECT 'status' AS "column", nullif(o_orderstatus, 'P') AS value FROM orders UNION ALL SELECT 'price', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders
+  UNION ALL SELECT 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT 'cust', CAST(o_custkey AS VARCHAR) FROM orders)
+"""
+
+
+def _orders_text(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_custkey").cast("string").alias("cust"))
+
+
+@query(f"""
+WITH {_CELLS}, g AS (SELECT "column", count(*) AS total, count(*) - count(value) AS nulls, count(DISTINCT value) AS d, min(value) AS lt, max(value) AS ht,
+  min(try_cast(value AS DECIMAL(38,4))) AS ln, max(try_cast(value AS DECIMAL(38,4))) AS hn FROM cells GROUP BY 1)
+SELECT "column", total, nulls, round(100.0::DOUBLE * nulls / total, 2) AS null_pct, least(d, 10000) AS "distinct", round(100.0::DOUBLE * least(d, 10000) / (total - nulls), 2) AS distinct_pct,
+  CASE "column" WHEN 'price' THEN 'DECIMAL' WHEN 'day' THEN 'DATE' ELSE 'STRING' END AS inferred,
+  CASE "column" WHEN 'price' THEN CAST(CAST(ln AS DECIMAL(18,2)) AS VARCHAR) ELSE lt END AS min_value, CASE "column" WHEN 'price' THEN CAST(CAST(hn AS DECIMAL(18,2)) AS VARCHAR) ELSE ht END AS max_value FROM g
+""")
+def profile_columns(spark, sf_dir):
+    return profile.profile(_orders_text(spark, sf_dir), ["o_orderkey"]).where("column <> 'o_orderkey'")
+
+
+@query("SELECT 'day' AS \"column\", CASE WHEN o_orderkey % 2 = 0 THEN 'YYYY-MM-DD' WHEN day(o_orderdate) > 12 THEN 'DD/MM/YYYY' ELSE 'MM/DD/YYYY' END AS form, count(*) AS n FROM orders GROUP BY 1, 2")
+def date_patterns(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("day"))
+    return profile.date_histogram(days, ["day"])
+
+
+@query("""
+WITH c AS (SELECT 'event_type' AS "column", event_type AS value, event_id AS ord FROM events UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), event_id FROM events),
+f AS (SELECT "column", value, min(ord) AS ord FROM c GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY ord, value) AS INTEGER) AS place FROM f)
+SELECT "column", place, value FROM r WHERE place <= 5
+""")
+def sample_values(spark, sf_dir):
+    cells = profile.samples(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), ["event_id"])
+    return cells.where("column <> 'event_id'")
+
+
+@query("SELECT CAST(min(len(embedding)) AS INTEGER) AS min_length, CAST(max(len(embedding)) AS INTEGER) AS max_length, round(avg(len(embedding)), 2) AS avg_length FROM embeddings")
+def array_profile(spark, sf_dir):
+    return profile.array_lengths(table(spark, sf_dir, "embeddings"), "embedding")
+
+
+# privacy and fingerprints
+
+
+@query(r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED_SSN]', 'g'), '\b\d{9}\b', '[REDACTED_SSN]', 'g'),
+  '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b', '[REDACTED_PHONE]', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED_EMAIL]', 'g'), '\bMRN[-:]?\d+\b', '[REDACTED_MRN]', 'g')) AS redacted FROM documents
+""")
+def redact_phi(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.col("text"))).alias("redacted"))
+
+
+@query("SELECT 'parse of row <NUM> failed at <HEX_ADDR> for ' || event_type AS signature, count(*) AS total, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
+def failure_fingerprint(spark, sf_dir):
+    said = table(spark, sf_dir, "events").withColumn("message", F.concat(F.lit("parse of  row "), "event_id", F.lit(" failed at 0x"), F.hex("user_id"), F.lit(" for "), "event_type"))
+    out = said.withColumn("signature", text.failure_signature(F.col("message")))
+    return ops.fingerprint_totals(out, "signature", "ts").withColumnRenamed("fingerprint", "signature")
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) <= 2 THEN '**' ELSE left(c_name, 1) || '***' || right(c_name, 1) END AS masked FROM customer")
+def mask_preview(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.mask_preview(F.col("c_name")).alias("masked"))
+
+
+_KEY = b"feedloom-demo-key"
+_IN, _OUT = (bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+_HMAC = f"sha256(unhex('{_OUT}') || unhex(sha256(unhex('{_IN}') || encode(upper(c_name)))))"
+
+
+@query(f"SELECT c_custkey, {_HMAC} AS token FROM customer")
+def identity_tokens(spark, sf_dir):
+    return identity.tokens(table(spark, sf_dir, "customer"), _KEY, {"ssn": "c_name"}, ["c_custkey"]).select("c_custkey", F.col("ssn_hash").alias("token"))
+
+
+@query("""
+WITH f AS (SELECT doc_id, sha256(text) AS fp, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents)
+SELECT doc_id, CASE WHEN k > 1 THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS status FROM f
+""")
+def file_dedup(spark, sf_dir):
+    first = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fp"))
+    least = first.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    return first.join(least, "fp").select("doc_id", F.when(F.col("doc_id") > F.col("first_id"), "DUPLICATE").otherwise("ACCEPTED").alias("status"))
+
+
+# identity
+
+
+def _people(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer")
+    side = lambda shift, name: c.select(F.col("c_custkey").alias(name), F.when(F.col("c_custkey") % 5 != shift, F.col("c_custkey")).cast("string").alias("ssn"), (F.col("c_custkey") % 97).cast("string").alias("dob"), F.when(F.col("c_custkey") % 3 == shift, F.lit("x")).otherwise(F.col("c_name")).alias("last"), F.col("c_mktsegment").alias("first"), F.col("c_nationkey").cast("string").alias("postal"))
+    of = {"ssn": "ssn", "dob": "dob", "last_name": "last", "first_name": "first", "postal_code": "postal"}
+    return identity.tokens(side(0, "record_id"), _KEY, of, ["record_id"]), identity.tokens(side(1, "master_id"), _KEY, of, ["master_id"])
+
+
+_PEOPLE = """
+WITH a AS (SELECT c_custkey AS record_id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS ssn, c_custkey % 97 AS dob, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END AS last, c_mktsegment AS first, c_nationkey AS postal FROM customer),
+b AS (SELECT c_custkey AS master_id, CASE WHEN c_custkey % 5 <> 1 THEN c_custkey END AS ssn, c_custkey % 97 AS dob, CASE WHEN c_custkey % 3 = 1 THEN 'x' ELSE c_name END AS last, c_mktsegment AS first, c_nationkey AS postal FROM customer),
+p AS (SELECT record_id, master_id, CAST(greatest(0, least(100, CASE WHEN a.ssn IS NULL OR b.ssn IS NULL THEN 0 WHEN a.ssn = b.ssn THEN 40 ELSE -25 END + CASE WHEN a.dob = b.dob THEN 25 ELSE -15 END
+  + CASE WHEN a.last = b.last THEN 15 ELSE -10 END + CASE WHEN a.first = b.first THEN 10 ELSE -5 END + CASE WHEN a.postal = b.postal THEN 5 ELSE 0 END)) AS DECIMAL(5,2)) AS score FROM a JOIN b ON a.ssn = b.ssn OR (a.last = b.last AND a.dob = b.dob))
+"""
+
+
+@query(_PEOPLE + "SELECT * FROM p")
+def identity_score(spark, sf_dir):
+    return identity.candidates(*_people(spark, sf_dir))
+
+
+@query(_PEOPLE + """, o AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS nx FROM p WINDOW w AS (PARTITION BY record_id ORDER BY score DESC, master_id))
+SELECT a.record_id, master_id, score, CASE WHEN score > 85 AND score - nx < 5 THEN 'SCORE_TIE' WHEN score > 85 THEN 'HIGH_CONFIDENCE' WHEN score >= 65 THEN 'AMBIGUOUS_MATCH' ELSE 'NO_VIABLE_CANDIDATE' END AS disposition
+FROM a LEFT JOIN (SELECT * FROM o WHERE k = 1) USING (record_id)
+""")
+def identity_disposition(spark, sf_dir):
+    a, b = _people(spark, sf_dir)
+    return identity.dispositions(a, identity.candidates(a, b))
+
+
+_WALK = "w AS (SELECT user_id AS id, event_id AS master_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events WHERE event_type <> 'click')"
+
+
+def _crosswalk(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type <> 'click'")
+    after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("master_id"), F.col("ts").alias("valid_from"), after.alias("valid_to"), F.lit("EXACT").alias("match_type"))
+
+
+@query(f"WITH {_WALK} SELECT event_id, w.master_id FROM events e LEFT JOIN w ON e.user_id = w.id AND w.valid_from <= e.ts AND (w.valid_to IS NULL OR w.valid_to > e.ts) WHERE e.event_type = 'click'")
+def crosswalk_asof(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", F.col("user_id").alias("id"), F.col("ts").alias("at"))
+    return identity.as_of(asked, _crosswalk(spark, sf_dir), ["id"]).select("event_id", "master_id")
+
+
+@query(f"""
+WITH {_WALK}, m AS (SELECT *, valid_to IS NULL AND master_id % 2 = 0 AS moved FROM w)
+SELECT id, master_id, valid_from, CASE WHEN moved THEN TIMESTAMP '2025-01-01' ELSE valid_to END AS valid_to, 'EXACT' AS match_type FROM m UNION ALL SELECT id, -master_id, TIMESTAMP '2025-01-01', NULL, 'MERGE_OVERRIDE' FROM m WHERE moved
+""")
+def crosswalk_merge(spark, sf_dir):
+    walk = _crosswalk(spark, sf_dir)
+    merges = walk.where("valid_to is null and master_id % 2 = 0").select(F.col("master_id").alias("source_id"), (-F.col("master_id")).alias("target_id"))
+    return identity.merge_persons(walk, merges, F.lit("2025-01-01").cast(walk.schema["valid_from"].dataType))
+
+
+@query(f"WITH {_WALK}, x AS (SELECT id, master_id, valid_from, valid_to + INTERVAL 1 MINUTE AS valid_to FROM w) SELECT id, master_id FROM (SELECT *, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from, valid_to) AS nx FROM x) WHERE (nx IS NOT NULL AND (valid_to IS NULL OR nx < valid_to)) OR valid_to <= valid_from")
+def crosswalk_overlap_audit(spark, sf_dir):
+    late = _crosswalk(spark, sf_dir).withColumn("valid_to", F.expr("valid_to + INTERVAL 1 MINUTE"))
+    return identity.overlaps(late, ["id"]).select("id", "master_id")
+
+
+# schedules
+
+
+def _slots(spark, sf_dir) -> DataFrame:
+    from datetime import datetime
+
+    times = schedule.slots("0 8 * * *", "UTC", datetime(2024, 1, 1), datetime(2024, 1, 31, 23, 59))
+    feeds = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed")).distinct()
+    kind = table(spark, sf_dir, "events").schema["ts"].dataType
+    return schedule.slot_windows(feeds.select("feed", F.explode(F.array(*[F.lit(str(t)).cast(kind) for t in times])).alias("slot")))
+
+
+_SLOTS = """
+s AS (SELECT feed, slot, slot - INTERVAL 120 MINUTE AS opens, slot + INTERVAL 60 MINUTE AS deadline, slot + INTERVAL 120 MINUTE AS closes
+  FROM (SELECT DISTINCT event_type AS feed FROM events), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 08:00:00', TIMESTAMP '2024-01-31 08:00:00', INTERVAL 1 DAY)) AS slot)),
+m AS (SELECT feed, slot, min(struct_pack(t := ts, i := event_id)) AS x FROM s JOIN events e ON e.event_type = s.feed AND e.ts BETWEEN s.opens AND s.closes GROUP BY 1, 2)
+"""
+
+
+@query(f"WITH {_SLOTS} SELECT feed, slot, x.i AS arrival_id FROM m")
+def sla_match(spark, sf_dir):
+    arrivals = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed"), F.col("event_id").alias("arrival_id"), F.col("ts").alias("detected_at"))
+    return schedule.match_disjoint(_slots(spark, sf_dir), arrivals).select("feed", "slot", "arrival_id")
+
+
+@query(f"""
+WITH {_SLOTS}, c AS (SELECT count(*) FILTER (x.t <= deadline) AS on_time, count(*) FILTER (x.t > deadline) AS late, count(*) FILTER (x.t IS NULL) AS missed FROM s LEFT JOIN m USING (feed, slot))
+SELECT on_time, late, missed, round(100.0::DOUBLE * on_time / (on_time + late + missed), 1) AS sla_pct FROM c
+""")
+def sla_attainment(spark, sf_dir):
+    arrivals = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed"), F.col("event_id").alias("arrival_id"), F.col("ts").alias("detected_at"))
+    windows = _slots(spark, sf_dir)
+    return schedule.attainment(schedule.slot_status(windows, schedule.match_arrivals(windows, arrivals), "2024-03-01"))
+
+
+# operations and gates
+
+
+@query("""
+SELECT count(*) FILTER (r) AS batches, count(*) FILTER (r AND o_orderstatus = 'F') AS succeeded, count(*) FILTER (r AND o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'O') AS running
+FROM (SELECT *, o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-01-31' AS r FROM orders)
+""")
+def home_kpis(spark, sf_dir):
+    state = F.element_at(F.create_map(*[F.lit(x) for x in ("F", "SUCCESS", "P", "FAILED", "O", "RUNNING")]), F.col("o_orderstatus"))
+    return ops.home_kpis(table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("created_at"), state.alias("status")), "1996-01-31", 30 * 24)
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS k, count(*) AS stages, CAST(sum(CAST(l_quantity AS BIGINT) * 60) AS BIGINT) AS seconds, string_agg(CAST(l_suppkey AS VARCHAR), '>' ORDER BY l_linenumber, l_suppkey) AS way FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS batch_id, o_orderstatus AS status, coalesce(stages, 0) AS stages, coalesce(seconds, 0) AS seconds, coalesce(way, '') AS way FROM orders LEFT JOIN s ON k = o_orderkey
+""")
+def batch_monitor(spark, sf_dir):
+    start = F.col("l_shipdate")
+    stages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("stage_order"), F.col("l_suppkey").alias("stage"), start.cast("timestamp").alias("started_at"), F.timestamp_seconds(F.unix_timestamp(start.cast("timestamp")) + F.col("l_quantity").cast("long") * 60).alias("completed_at"))
+    stages = stages.withColumn("stage", F.col("stage").cast("string")).withColumn("stage_order", F.struct("stage_order", F.col("stage").cast("long").alias("s")))
+    return ops.batch_monitor(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderstatus").alias("status")), stages)
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+def latest_version(spark, sf_dir):
+    return gates.latest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), 'brass') ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20")
+def glossary_search(spark, sf_dir):
+    return ops.page(ops.search(table(spark, sf_dir, "part"), "1", ["p_name"]).union(ops.search(table(spark, sf_dir, "part"), "BRASS", ["p_type"])).distinct(), ["p_name", "p_partkey"], 2, 20).select("p_partkey", "p_name")
+
+
+@query("SELECT 'p_brand' AS facet, p_brand AS value, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY 2")
+def facet_counts(spark, sf_dir):
+    return ops.facets(table(spark, sf_dir, "part"), ["p_brand", "p_size"])
+
+
+@query("""
+WITH m AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts)::BIGINT - epoch(lag(ts) OVER w)::BIGINT > 43200 THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+e AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS episode FROM m)
+SELECT user_id, episode, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, CASE WHEN episode = 1 THEN 'OPEN' ELSE 'REOPENED' END AS opened FROM e GROUP BY 1, 2
+""")
+def alert_flapping(spark, sf_dir):
+    clicks = table(spark, sf_dir, "events").where("event_type = 'click'").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ops.alert_episodes(clicks, ["user_id"], "ts", 12)
+
+
+@query("""
+WITH g AS (SELECT s_nationkey AS n, count(*) AS c, max(s_acctbal) AS top FROM supplier GROUP BY 1)
+SELECT r_name AS downstream, n_nationkey AS upstream, CASE WHEN n_nationkey % 3 = 0 THEN 'SOFT' ELSE 'HARD' END AS kind, CASE WHEN c IS NULL THEN 'NEVER_RAN' WHEN top < 0 THEN 'UPSTREAM_FAILED' WHEN c > 4 THEN 'QUARANTINE_OVER_LIMIT' ELSE 'READY' END AS reason,
+  CASE WHEN (c IS NULL OR top < 0 OR c > 4) AND n_nationkey % 3 <> 0 THEN TRUE ELSE FALSE END AS blocked FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN g ON n = n_nationkey
+""")
+def dependency_gate(spark, sf_dir):
+    nation, region, supplier = (table(spark, sf_dir, n) for n in ("nation", "region", "supplier"))
+    edges = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("r_name").alias("downstream"), F.col("n_nationkey").alias("upstream"), F.when(F.col("n_nationkey") % 3 == 0, "SOFT").otherwise("HARD").alias("kind"), F.lit(24).alias("max_lag_hours"), F.lit(4).alias("max_quarantine_pct"))
+    runs = supplier.groupBy(F.col("s_nationkey").alias("upstream")).agg(F.count("*").alias("quarantine_pct"), F.when(F.max("s_acctbal") < 0, "FAILED").otherwise("SUCCESS").alias("status"))
+    runs = runs.withColumns({"completed_at": F.lit("2024-01-01").cast("timestamp"), "recon_status": F.lit("PASS"), "aborted": F.lit(False)})
+    return gates.dependency_gate(edges, runs, "2024-01-01 12:00:00")
+
+
+@query("WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation), r AS (SELECT src AS start, dst AS node FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT start, node FROM r")
+def dag_reachability(spark, sf_dir):
+    return gates.reachable(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def certified_view(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("batch_id", F.col("l_orderkey"))
+    certs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.when(F.col("o_orderstatus") == "F", "CERTIFIED").otherwise("PENDING").alias("status"))
+    return gates.certified_view(rows, certs, ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS batch_id, o_orderstatus <> 'F' AS x, o_totalprice > 300000 AS y, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) AS z FROM orders)
+SELECT batch_id, list_filter([CASE WHEN x THEN 'STATUS' END, CASE WHEN y THEN 'AMOUNT' END, CASE WHEN z THEN 'QUARANTINE' END], lambda v: v IS NOT NULL) AS reasons, NOT (x OR y OR z) AS certified FROM b
+""")
+def batch_certification(spark, sf_dir):
+    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey").alias("batch_id")
+    return gates.certify(o.select(key), {"STATUS": o.where("o_orderstatus <> 'F'").select(key), "AMOUNT": o.where("o_totalprice > 300000").select(key), "QUARANTINE": lines.where("l_quantity > 49").select(F.col("l_orderkey").alias("batch_id"))})
+
+
+@query("""
+SELECT o_orderkey AS batch_id, w AS waiver_id FROM orders, (VALUES (1, 0), (2, 1), (3, 2)) t(w, feed)
+WHERE o_custkey % 3 = feed AND ((w = 1 AND o_orderkey = 3) OR (w = 2 AND o_orderkey BETWEEN 100 AND 900) OR (w = 3 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-06-30'))
+""")
+def waiver_applicability(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), (F.col("o_custkey") % 3).alias("feed_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    w = spark.createDataFrame([(1, 0, "SINGLE_BATCH", 3, None, None, None), (2, 1, "BATCH_RANGE", 100, 900, None, None), (3, 2, "TIME_BOUNDED", None, None, "1996-01-01", "1996-06-30")], "waiver_id int, feed_id long, scope string, from_batch long, to_batch long, f string, t string")
+    w = w.withColumns({"from_time": F.col("f").cast("timestamp"), "to_time": F.col("t").cast("timestamp")})
+    return gates.waivers_for(o, F.broadcast(w))  # three waivers
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS s, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN abs(coalesce(s, 0) - o_totalprice) = 0 THEN 'PASS' WHEN abs(coalesce(s, 0) - o_totalprice) <= 50000 THEN 'TOLERATED' ELSE 'TOLERANCE_EXCEEDED' END AS status, 4 - coalesce(n, 0) AS gap FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
+""")
+def financial_parity(spark, sf_dir):
+    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"), F.count("*").alias("n"))
+    joined = table(spark, sf_dir, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    zero = F.lit(0)
+    return joined.select("o_orderkey", ops.amount_parity(F.col("s"), F.col("o_totalprice"), 50000).alias("status"), ops.member_parity(F.lit(4).cast("long"), F.coalesce("n", zero), zero, zero).alias("gap"))
+
+
+@query("SELECT l_orderkey, n FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 1")
+def unique_key_audit(spark, sf_dir):
+    return gates.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "n")
