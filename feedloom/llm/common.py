@@ -1,32 +1,14 @@
-"""What the operators of this package share: the folder that cuts lineage, hashing of words and n-grams in numpy."""
+"""What the operators of this package share: cutting lineage, hashing of words and n-grams in numpy."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.lineage import cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share.
-
-    Only a session on one machine (master local) may leave the setting out; it then gets a folder under /tmp.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "/tmp/checkpoints"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages restart from the files, not from df's lineage."""
-    path = f"{shared_dir(df.sparkSession)}/feedloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "discard", "gram_hashes", "held_out", "merge_labels", "mix", "span_hashes", "spans"]
 
 
 def discard(df: DataFrame) -> None:
