@@ -67,7 +67,7 @@ def best_paths(messages: DataFrame, top_k: int = 1, salts: int = 64) -> DataFram
 
     messages: tree, node (unique in its tree), parent (null or absent: a root), score (null counts as 0). Self-joins
     double the stretch that each node's pointer spans, carrying sum and length, until all reach their root: as many
-    joins as the longest path has bits. Ties go to the smallest leaf. The chosen leaves then walk back over the same
+    joins as the longest path has bits, each of the nodes that are not at their root yet. Ties go to the smallest leaf. The chosen leaves then walk back over the same
     pointers, longest first, so only chosen paths are written out. Joins are on (tree, node), so a tree with a third of
     all rows is dealt out like any other; leaves are ranked within salted parts first. Nodes below a cycle of parents
     have no root and are on no path.
@@ -76,15 +76,15 @@ def best_paths(messages: DataFrame, top_k: int = 1, salts: int = 64) -> DataFram
     keys = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     known = nodes.join(keys, nodes.tree.eqNullSafe(keys.t) & (nodes.parent == keys.n), "left")
     step = cut(known.select("tree", "node", F.col("n").alias("up"), "total", F.lit(1).cast("long").alias("length")), "step")
-    steps, most = [step], 1
-    longest = step.count()
-    while most <= longest and not step.where("up is not null").isEmpty():
-        other = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
-        joined = step.join(other, step.tree.eqNullSafe(other.t) & (step.up == other.n), "left")
-        step = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")), "step")
-        steps.append(step)
+    on, rooted = step.where("up is not null"), step.where("up is null")
+    steps, most, longest = [on], 1, step.count()
+    while most <= longest and not on.isEmpty():
+        other = on.union(rooted).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
+        joined = on.join(other, on.tree.eqNullSafe(other.t) & (on.up == other.n))
+        step = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("length") + F.col("length2")).alias("length")), "step")
+        on, rooted = step.where("up is not null"), rooted.union(step.where("up is null"))
+        steps.append(on)
         most *= 2
-    rooted = step.where("up is null")
     replied = messages.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
     leaves = rooted.join(replied, rooted.tree.eqNullSafe(replied.t) & (rooted.node == replied.n), "left_anti")
     leaves = leaves.select("tree", "node", "length", (F.col("total") / F.col("length")).alias("path_score"))
@@ -93,7 +93,7 @@ def best_paths(messages: DataFrame, top_k: int = 1, salts: int = 64) -> DataFram
         leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).where(F.col("rank") <= top_k)
     walked = leaves.select("tree", F.col("node").alias("leaf"), "rank", "path_score", "node", F.col("length").alias("depth"))
     for k in range(len(steps) - 2, -1, -1):
-        up = steps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        up = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         higher = walked.join(up, walked.tree.eqNullSafe(up.t) & (walked.node == up.n))
         walked = walked.union(higher.select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
         walked = cut(walked, "walked")
