@@ -273,6 +273,20 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_of_common_parts_are_found(spark):
+    rng = np.random.default_rng(15)
+    one, two = passage(rng, 30), passage(rng, 30)
+    docs = {d: passage(rng, 120) for d in range(40)}
+    for d in (*range(0, 18, 2), 38):
+        docs[d][20:20] = one
+    for d in (*range(1, 18, 2), 39):
+        docs[d][40:40] = two
+    for d in (30, 35):
+        docs[d][d:d] = one + two
+    got = substring_dedup.repeated_passages(frame(spark, [(d, " ".join(w)) for d, w in docs.items()])).collect()
+    assert [(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.ref_start_word, r.ref_end_word) for r in got] == [(35, 30, 35, 95, 30, 90)]
+
+
 def test_chains_and_alignment_against_plain_programs():
     rng = np.random.default_rng(6)
     for _ in range(60):
