@@ -8,7 +8,23 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.lineage import cut
 
-__all__ = ["cut", "discard", "gram_hashes", "held_out", "merge_labels", "mix", "span_hashes", "spans"]
+__all__ = ["cut", "dealt_join", "discard", "gram_hashes", "held_out", "hot_keys", "merge_labels", "mix", "span_hashes", "spans"]
+
+
+def hot_keys(counted: DataFrame, key: str, n: str = "n", share: int = 1000) -> list:
+    """Keys that hold more than a share-th of all counted rows (key once each, n: its rows); by that there are fewer than `share`."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return [row[0] for row in counted.where(F.col(n) * share > total).select(key).collect()] if total else []
+
+
+def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, hot: list, deal_by: list[str], ways: int = 64) -> DataFrame:
+    """rows inner-joined with keyed (each key once) on the key; rows of hot keys are dealt over `ways` tasks, their keyed rows copied there."""
+    if not hot:
+        return rows.join(keyed, key)
+    is_hot = F.col(key).isin(hot)
+    left = rows.withColumn("_way", F.when(is_hot, F.pmod(F.xxhash64(*deal_by), F.lit(ways))).otherwise(F.lit(0)).cast("int"))
+    right = keyed.withColumn("_way", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_way"]).drop("_way")
 
 
 def discard(df: DataFrame) -> None:

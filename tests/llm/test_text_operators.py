@@ -287,6 +287,41 @@ def test_passages_of_common_parts_are_found(spark):
     assert [(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.ref_start_word, r.ref_end_word) for r in got] == [(35, 30, 35, 95, 30, 90)]
 
 
+def test_every_exact_repeat_is_in_some_row(spark):
+    rng = np.random.default_rng(16)
+    parts = [passage(rng, n) for n in rng.integers(12, 45, 9)]
+    docs = {}
+    for d in range(120):
+        words = []
+        for part in rng.integers(0, len(parts), rng.integers(1, 7)):
+            words += parts[part] if rng.random() < 0.8 else passage(rng, int(rng.integers(1, 30)))
+        docs[d] = words
+    docs[120] = docs[3] + ["end"] + docs[3]
+    got = substring_dedup.repeated_passages(frame(spark, [(d, " ".join(w)) for d, w in docs.items()])).collect()
+    seen, wanted = {}, []
+    for d, words in docs.items():
+        own = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        wanted += [(d, i) for i, x in enumerate(own) if x in seen]
+        seen |= dict.fromkeys(own, d)
+    assert len(wanted) > 500
+    for d, i in wanted:
+        assert any(r.doc_id == d and r.start_word <= i and r.end_word >= i + 50 for r in got), (d, i)
+    for r in got:
+        assert r.ref_doc_id < r.doc_id and r.identity >= 0.8 and r.end_word <= len(docs[r.doc_id]) and r.ref_end_word <= len(docs[r.ref_doc_id])
+        if r.identity == 1:
+            assert docs[r.doc_id][r.start_word : r.end_word] == docs[r.ref_doc_id][r.ref_start_word : r.ref_end_word]
+
+
+def test_dealt_join_is_a_join(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id % 500) AS k", "id AS doc", "id AS place")
+    keyed = spark.range(400).selectExpr("id AS k", "id * 2 AS v")
+    counted = rows.groupBy("k").count()
+    hot = common.hot_keys(counted, "k", "count", 10)
+    assert hot == [7] and common.hot_keys(counted.where("k < 0"), "k", "count") == []
+    got = common.dealt_join(rows, keyed, "k", hot, ["doc", "place"]).select("k", "doc", "place", "v")
+    assert sorted(got.collect()) == sorted(rows.join(keyed, "k").select("k", "doc", "place", "v").collect())
+
+
 def test_chains_and_alignment_against_plain_programs():
     rng = np.random.default_rng(6)
     for _ in range(60):
