@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import cut
+from feedloom.llm.common import cut, dealt_join, hot_keys
 
 
 def chunk_lines(text: Column, divisor: int = 4) -> Column:
@@ -31,12 +31,15 @@ def repeated_chunks(docs: DataFrame, divisor: int = 4, broadcast_rows: int = 500
     """
     chunks = docs.where("text is not null").select("doc_id", "th", F.posexplode(chunk_lines(F.col("text"), divisor)).alias("place", "chunk"))
     chunks = chunks.where(F.col("chunk").contains("\n")).withColumns({"h": F.xxhash64("chunk"), "at": F.struct("doc_id", "place", "th")})
-    first = chunks.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").select("h", "first")
+    first = chunks.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n")
     first = cut(first, "first")
-    # a row has some 60 bytes; beyond the bound both sides are shuffled
-    shared = cut(chunks.join(F.broadcast(first) if first.count() <= broadcast_rows else first, "h"), "shared")
+    hot, firsts = hot_keys(first, "h"), first.drop("n")
+    # a row has some 60 bytes; beyond the bound both sides are shuffled, with the places of frequent chunks dealt over tasks
+    small = first.count() <= broadcast_rows
+    shared = chunks.join(F.broadcast(firsts), "h") if small else dealt_join(chunks, firsts, "h", hot, ["doc_id", "place"])
+    shared = cut(shared, "shared")
     heads = shared.where("at = first").select("h", F.col("chunk").alias("bytes")).distinct()
-    again = shared.where("at != first").join(heads, "h").where("chunk = bytes")
+    again = dealt_join(shared.where("at != first"), heads, "h", hot, ["doc_id", "place"]).where("chunk = bytes")
     return again.groupBy("doc_id", "th").agg(F.collect_set("place").alias("removed"))
 
 

@@ -312,6 +312,13 @@ def test_every_exact_repeat_is_in_some_row(spark):
             assert docs[r.doc_id][r.start_word : r.end_word] == docs[r.ref_doc_id][r.ref_start_word : r.ref_end_word]
 
 
+def test_frequent_chunks_are_dealt_alike(spark):
+    rows = [(d, f"common {d % 2}\ntwo\nthree\nfour\nfive\nsix\nseven\nown {d}\nlast {d}") for d in range(40)]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) AS th")
+    one, two = (sorted((r.doc_id, sorted(r.removed)) for r in line_dedup.repeated_chunks(docs, broadcast_rows=n).collect()) for n in (500_000, 0))
+    assert one == two and one
+
+
 def test_dealt_join_is_a_join(spark):
     rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id % 500) AS k", "id AS doc", "id AS place")
     keyed = spark.range(400).selectExpr("id AS k", "id * 2 AS v")
