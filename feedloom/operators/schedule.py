@@ -115,3 +115,13 @@ def attainment(statuses: DataFrame) -> DataFrame:
     return sums.withColumn("sla_pct", F.when(due == 0, 100.0).otherwise(F.round(100.0 * F.col("on_time") / due, 1)))
 
 
+def board(statuses: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """(feed, expected_at, arrival_id, detected_at, status, delay_minutes): slot_status() rows and, as UNSCHEDULED, the arrivals that no slot took.
+
+    An unscheduled arrival is expected when it came; the delay is in whole minutes after the slot, 0 at least, null without an arrival.
+    """
+    taken = statuses.where("arrival_id is not null").select("feed", "arrival_id")
+    other = arrivals.join(taken, ["feed", "arrival_id"], "left_anti").select("feed", F.col("detected_at").alias("expected_at"), "arrival_id", "detected_at", F.lit("UNSCHEDULED").alias("status"))
+    both = statuses.select("feed", F.col("slot").alias("expected_at"), "arrival_id", "detected_at", "status").unionByName(other)
+    minutes = F.floor((F.unix_timestamp(F.col("detected_at").cast("timestamp")) - F.unix_timestamp(F.col("expected_at").cast("timestamp"))) / 60)
+    return both.withColumn("delay_minutes", F.when(F.col("detected_at").isNotNull(), F.greatest(F.lit(0), minutes)).cast("long"))

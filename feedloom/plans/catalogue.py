@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
-from feedloom.operators import gates, identity, ops, profile, rules, schedule, transforms, validation
+from feedloom.operators import audits, gates, identity, ops, profile, rules, schedule, transforms, validation
 from feedloom.operators.rules import Rule
+from feedloom.streaming import kpis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -494,3 +495,92 @@ def financial_parity(spark, sf_dir):
 @query("SELECT l_orderkey, n FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 1")
 def unique_key_audit(spark, sf_dir):
     return gates.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "n")
+
+
+@query("""
+WITH r AS (SELECT o_custkey % 4 AS consumer, o_orderkey AS batch_id, o_orderkey % 2 + 1 AS version, o_orderstatus = 'F' AS certified FROM orders),
+w AS (SELECT *, CASE WHEN consumer > 1 THEN 'INACTIVE_CONSUMER' WHEN version <> consumer + 1 THEN 'VERSION_MISMATCH' WHEN consumer = 1 AND NOT certified THEN 'NOT_CERTIFIED' ELSE 'OK' END AS why FROM r)
+SELECT consumer, batch_id, why = 'OK' AS allowed, why FROM w
+""")
+def consumer_gate(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").alias("batch_id")
+    consumers = spark.createDataFrame([(0, True, 1, False), (1, True, 2, True), (2, False, 1, False)], "consumer long, active boolean, consumer_version long, needs_certified boolean")
+    models = o.select(key, (F.col("o_orderkey") % 2 + 1).alias("model_version"), (F.col("o_orderstatus") == "F").alias("certified"))
+    return gates.consumer_gate(o.select((F.col("o_custkey") % 4).alias("consumer"), key), F.broadcast(consumers), models)  # three consumers
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN o_orderkey IS NULL THEN 'NO_PARENT' ELSE 'MISMATCH' END AS why FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR l_linestatus IS DISTINCT FROM o_orderstatus")
+def orphan_audit(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_linestatus").alias("version"))
+    parents = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("version"))
+    return audits.orphans(lines, parents, "l_orderkey", ["version"]).drop("version")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'row_' || event_id || '_' || upper(left(md5(event_type), 16)) ELSE 'row-' || event_id END AS row_id FROM events WHERE event_id % 3 = 2 OR (event_id % 3 = 0 AND regexp_matches(upper(left(md5(event_type), 16)), '[A-F]'))")
+def row_id_audit(spark, sf_dir):
+    tail, n = F.left(F.md5("event_type"), F.lit(16)), F.col("event_id")
+    row_id = F.when(n % 3 == 0, F.concat(F.lit("row_"), n, F.lit("_"), F.upper(tail))).when(n % 3 == 1, F.concat(F.lit("row_"), n, F.lit("_"), tail)).otherwise(F.concat(F.lit("row-"), n))
+    return table(spark, sf_dir, "events").select("event_id", row_id.alias("row_id")).where(audits.row_id_problem(F.col("row_id")))
+
+
+@query("SELECT p_partkey, CAST(unnest(generate_series(0, len(w) - 1)) AS INTEGER) AS _explode_index, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part WHERE p_size % 5 <> 0)")
+def explode_inner(spark, sf_dir):
+    words = F.when(F.col("p_size") % 5 != 0, F.split("p_type", " ")).otherwise(F.array().cast("array<string>"))
+    return transforms.explode_rows(table(spark, sf_dir, "part").select("p_partkey", words.alias("words")), "words", "word", outer=False)
+
+
+@query("SELECT p_partkey, p_brand || ' | ' || p_name AS names, 'type' AS kind, p_type AS v FROM part")
+def array_map(spark, sf_dir):
+    item = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("v"), F.lit(1).alias("rest"))
+    nested = table(spark, sf_dir, "part").select("p_partkey", F.struct(F.array(item("name", "p_brand"), item("type", "p_type"), item("name", "p_name")).alias("items")).alias("root"))
+    lines = [
+        ("p_partkey", "DIRECT", ["p_partkey"], {}),
+        ("names", "ARRAY_MAP", ["root"], {"array_path": "$.items", "element_path": "v", "delimiter": " | ", "filter_key": "kind", "filter_val": "name"}),
+        ("picked", "UNNEST", ["root"], {"path": "$.items[1]", "properties": ["kind", "v"]}),
+    ]
+    return transforms.apply_mapping(nested, lines).select("p_partkey", "names", "picked.kind", "picked.v")
+
+
+@query(f"""
+WITH {_SLOTS}, b AS (
+  SELECT feed, slot AS expected_at, x.i AS arrival_id, x.t AS detected_at, CASE WHEN x.t <= deadline THEN 'ON_TIME' WHEN x.t IS NOT NULL THEN 'LATE' ELSE 'MISSED_SLA' END AS status FROM s LEFT JOIN m USING (feed, slot)
+  UNION ALL SELECT event_type, ts, event_id, ts, 'UNSCHEDULED' FROM events WHERE event_id NOT IN (SELECT x.i FROM m)
+) SELECT status, count(*) AS n, CAST(sum(CASE WHEN detected_at IS NOT NULL THEN greatest(0, CAST(floor((floor(epoch(detected_at)) - floor(epoch(expected_at))) / 60) AS BIGINT)) END) AS BIGINT) AS delay_minutes FROM b GROUP BY 1
+""")
+def arrivals_board(spark, sf_dir):
+    arrivals = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed"), F.col("event_id").alias("arrival_id"), F.col("ts").alias("detected_at"))
+    windows = _slots(spark, sf_dir)
+    rows = schedule.board(schedule.slot_status(windows, schedule.match_disjoint(windows, arrivals), "2024-03-01"), arrivals)
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("delay_minutes").alias("delay_minutes"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1, 2")
+def stream_dedup_kpi(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    arrivals = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = kpis.drain(kpis.first_arrivals(arrivals.union(arrivals), "event_id", "ts"))
+    return first.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""
+WITH x AS (SELECT o_custkey AS k, o_orderkey AS master_id, o_orderdate AS valid_from, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY END AS valid_to, 'EXACT' AS match_type FROM orders)
+SELECT k, master_id, valid_from, CASE WHEN k % 10 = 3 AND valid_to IS NULL THEN TIMESTAMP '2000-01-01' ELSE valid_to END AS valid_to, match_type FROM x
+UNION ALL SELECT k, k + 1000000, TIMESTAMP '2000-01-01', NULL, 'SPLIT_OVERRIDE' FROM x WHERE k % 10 = 3 AND valid_to IS NULL
+""")
+def crosswalk_split(spark, sf_dir):
+    day = F.col("o_orderdate").cast("timestamp")
+    held = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("master_id"), day.alias("valid_from"), F.when(F.col("o_orderstatus") == "F", day + F.expr("INTERVAL 30 DAYS")).alias("valid_to"), F.lit("EXACT").alias("match_type"))
+    splits = held.where("k % 10 = 3").select("k", (F.col("k") + 1000000).alias("new_id")).distinct()
+    return identity.split_person(held, splits, ["k"], F.lit("2000-01-01").cast("timestamp"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice < 5000 OR o_totalprice > 450000 THEN 'VALUE_OUT_OF_RANGE' ELSE 'REPROCESSED' END AS outcome
+FROM orders WHERE o_totalprice < 5000 OR o_totalprice > 400000 OR NOT regexp_matches(o_orderpriority, '^[1-4]-')
+""")
+def quarantine_reprocess(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    mended = [Rule("price_in_range", "RANGE", "o_totalprice", "QUARANTINE", {"min": 5000, "max": 450000})]
+    valid, still = rules.split(rules.split(orders, RULES)[1].select(orders.columns), mended)
+    return valid.select("o_orderkey", F.lit("REPROCESSED").alias("outcome")).union(still.select("o_orderkey", "_failure.reason"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.lineage import shared_dir
+
 
 def first_arrivals(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
     """The stream without later rows of a key, remembered for the delay."""
@@ -15,3 +19,11 @@ def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 hour",
     """(window_start, by, n) by tumbling window of event time."""
     counted = stream.withWatermark(at, delay).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), by, "n")
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """What an append stream yields from all that is there now, written with its checkpoint to the shared folder and read back."""
+    path = f"{shared_dir(stream.sparkSession)}/feedloom-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
