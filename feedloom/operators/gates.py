@@ -9,7 +9,7 @@ from feedloom.functions.lineage import cut
 
 
 def latest(frame: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The last row of each key by the given descending order, by maximum of a struct: summed up before the shuffle."""
+    """The first row of each key in the given order; Spark keeps one row a key in each task before the shuffle (its limit by group)."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return frame.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
