@@ -60,3 +60,48 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if count_col:
         out.append(F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(count_col))
     return split.select(*out)
+
+
+def line_pairs(text: Column) -> Column:
+    """(place, to, chunk): each line with more than blanks and the next such line, by their numbers; what is between is blank."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    full = F.filter(lines, lambda s: s["x"].rlike(r"\S"))
+    pairs = F.zip_with(full, F.slice(full, 2, F.greatest(F.size(full), F.lit(1))), lambda a, b: F.struct(a["i"].alias("place"), b["i"].alias("to"), F.concat(a["x"], F.lit("\n"), b["x"]).alias("chunk")))
+    return F.filter(pairs, lambda s: s["to"].isNotNull())
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, removed): from and to lines of a document's pairs of lines that stand, byte for byte, somewhere before.
+
+    docs: doc_id, th (the text's hash), text. As in repeated_chunks(), hashes are compared first, then the repeated ones' bytes.
+    """
+    pairs = docs.where("text is not null").select("doc_id", "th", F.explode(line_pairs(F.col("text"))).alias("p")).select("doc_id", "th", "p.*")
+    pairs = pairs.withColumns({"h": F.xxhash64("chunk"), "at": F.struct("doc_id", "place", "th")})
+    first = pairs.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n")
+    first = cut(first, "first_pairs")
+    hot = hot_keys(first, "h")
+    shared = cut(dealt_join(pairs, first.drop("n"), "h", hot, ["doc_id", "place"]), "shared_pairs")
+    heads = shared.where("at = first").select("h", F.col("chunk").alias("bytes")).distinct()
+    again = dealt_join(shared.where("at != first"), heads, "h", hot, ["doc_id", "place"]).where("chunk = bytes")
+    return again.groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "to")).alias("removed"))
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the same columns; from the texts, every run of two lines or more that stands somewhere before is removed.
+
+    A line goes if it and the next or last line with more than blanks stand so somewhere before (by id, then by place),
+    with the blank lines between; so no repeated passage of two such lines or more stays, whatever stands around it, and
+    all that line_dedup() removes in such lines goes. Single lines stay, as do nulls, rows of equal id and text, and the
+    order of rows as there. count_col names a column for the number of lines removed.
+    """
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    gone = repeated_pairs(keyed).withColumnsRenamed({"doc_id": "_gone_id", "th": "_gone_th", "removed": "_gone"})
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_th"]), "left")
+    out_of = F.array_distinct(F.flatten(F.transform("_gone", lambda s: F.sequence(s["place"], s["to"]))))
+    split = joined.withColumns({"_lines": F.when(F.col("_gone").isNotNull(), F.split(F.col(text_col), "\n", -1)), "_out": out_of})
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_out")
+    text = F.array_join(F.transform(kept, lambda k: F.get(F.col("_lines"), k)), "\n")
+    out = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    if count_col:
+        out.append(F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias(count_col))
+    return split.select(*out)

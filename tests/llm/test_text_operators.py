@@ -240,6 +240,26 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_short_passages_of_lines_are_removed(spark):
+    rng = np.random.default_rng(21)
+    sentence = lambda: " ".join(f"w{k}" for k in rng.integers(0, 5000, 20))
+    planted = [[sentence() for _ in range(n)] for n in (3, 4, 5, 6) for _ in range(10)]
+    docs = []
+    for k, lines in enumerate(planted):
+        own = [[sentence() for _ in range(4)] for _ in range(4)]
+        docs += [(k, "\n".join(own[0] + lines + own[1])), (100 + k, "\n".join(own[2] + lines + own[3]))]
+    docs += [(300, "a b\n\n\nc d"), (301, "x\na b\n\n\nc d\ny"), (302, "p\n\n\nq"), (303, "")]
+    got = {r.doc_id: (r.text, r.n) for r in line_dedup.passage_dedup(frame(spark, docs), count_col="n").collect()}
+    for k, lines in enumerate(planted):
+        first, again = docs[2 * k][1], docs[2 * k + 1][1].split("\n")
+        assert got[k] == (first, 0) and got[100 + k] == ("\n".join(again[:4] + again[-4:]), len(lines))
+    assert (got[300][1], got[301], got[302][1], got[303]) == (0, ("x\ny", 4), 0, ("", 0))
+    odd = line_dedup.passage_dedup(awkward(spark)).collect()
+    assert Counter(map(repr, odd)) == Counter(map(repr, awkward(spark).collect()))
+    plan = line_dedup.passage_dedup(frame(spark, docs))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.line_dedup(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
