@@ -307,6 +307,21 @@ def test_passages_of_common_parts_are_found(spark):
     assert [(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.ref_start_word, r.ref_end_word) for r in got] == [(35, 30, 35, 95, 30, 90)]
 
 
+@pytest.mark.parametrize(("rate", "least"), [(0.08, 1.0), (0.12, 0.95), (0.15, 0.9), (0.19, 0.85)])
+def test_edited_passages_are_found(spark, rate, least):
+    rng = np.random.default_rng(17)
+    docs, planted = {}, set()
+    for d in range(40):
+        one = passage(rng, 60 if d % 2 else 100)
+        two = list(one)
+        for q in rng.choice(np.arange(1, len(one) - 1), int(rate * len(one)), replace=False):
+            two[q] = f"edit{d}x{q}"
+        docs[d], docs[100 + d] = passage(rng, 80) + one + passage(rng, 60), passage(rng, 30) + two + passage(rng, 90)
+        planted.add((100 + d, d))
+    got = {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(frame(spark, [(d, " ".join(w)) for d, w in docs.items()])).collect()}
+    assert len(got & planted) >= least * len(planted) and got <= planted
+
+
 def test_every_exact_repeat_is_in_some_row(spark):
     rng = np.random.default_rng(16)
     parts = [passage(rng, n) for n in rng.integers(12, 45, 9)]
