@@ -322,6 +322,21 @@ def test_edited_passages_are_found(spark, rate, least):
     assert len(got & planted) >= least * len(planted) and got <= planted
 
 
+def test_edited_passages_of_common_clauses_are_found(spark):
+    rng = np.random.default_rng(18)
+    docs, planted = {}, set()
+    for group in range(20):
+        clauses, base = [passage(rng, 15) for _ in range(5)], 100 * group
+        for n, clause in enumerate(clauses):
+            for d in (base + n, base + 50 + n):
+                docs[d] = passage(rng, 60) + clause + passage(rng, 60)
+        edited = [clause[:7] + [f"edit{n}"] + clause[8:] for n, clause in enumerate(clauses)]
+        docs[base + 20], docs[base + 30] = (passage(rng, 40) + [w for c in x for w in c] + passage(rng, 40) for x in (clauses, edited))
+        planted.add((base + 30, base + 20))
+    got = {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(frame(spark, [(d, " ".join(docs[d])) for d in sorted(docs)])).collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and got <= planted
+
+
 def test_every_exact_repeat_is_in_some_row(spark):
     rng = np.random.default_rng(16)
     parts = [passage(rng, n) for n in rng.integers(12, 45, 9)]
