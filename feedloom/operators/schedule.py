@@ -74,10 +74,28 @@ def slot_windows(frame: DataFrame, lead_minutes: int = 120, grace_minutes: int =
 def match_arrivals(windows: DataFrame, arrivals: DataFrame) -> DataFrame:
     """(feed, slot, arrival_id, detected_at): slots in order take the earliest arrival in their window that is left.
 
-    windows: feed, slot, opens, deadline, closes; arrivals: feed, arrival_id, detected_at (accepted ones). Arrivals are
-    narrowed to those in some window by a range join first. The rest is sequential within a feed, so feeds are dealt out.
+    windows: feed, slot, opens, deadline, closes; arrivals: feed, arrival_id, detected_at (accepted ones). Windows of a feed
+    that overlap, also by others between, are a group, and so are all from the first to the last that share an id: groups share no
+    arrival. A group of one window takes its earliest arrival by an aggregate. In a group of m windows the slots before one
+    take m - 1 arrivals at most, so of each slot's arrivals only the earliest m can count; they are matched by group.
     """
-    inside = windows.select("feed", "slot", "opens", "closes").join(arrivals, "feed").where("detected_at between opens and closes")
+    by_feed = Window.partitionBy("feed")  # rows of windows, never of arrivals
+    so_far, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    own, order = windows.select("feed", "slot", "opens", "closes").where("opens <= closes"), by_feed.orderBy("opens", "closes", "slot")
+    own = own.withColumn("begins", F.coalesce(F.col("opens") > F.max("closes").over(order.rowsBetween(*earlier)), F.lit(True)))
+    own = own.withColumn("part", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(*so_far))).drop("begins")
+    inside = own.join(arrivals, "feed").where("detected_at between opens and closes")
+    twice = inside.groupBy("feed", "arrival_id").agg(F.min("part").alias("part"), F.max("part").alias("to")).where("part < to")
+    order = by_feed.orderBy("part")
+    parts = own.select("feed", "part").distinct().join(twice.groupBy("feed", "part").agg(F.max("to").alias("to")), ["feed", "part"], "left")
+    parts = parts.withColumn("begins", F.coalesce(F.col("part") > F.max("to").over(order.rowsBetween(*earlier)), F.lit(True)))
+    parts = parts.select("feed", "part", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(*so_far)).alias("group"))
+    own = own.join(parts, ["feed", "part"]).withColumn("m", F.count("*").over(Window.partitionBy("feed", "group")))
+    alone = match_disjoint(own.where("m = 1"), arrivals)
+    inside = own.where("m > 1").join(arrivals, "feed").where("detected_at between opens and closes")
+    inside = inside.groupBy("feed", "group", "m", "slot", "arrival_id").agg(F.min("detected_at").alias("detected_at"))
+    rank = F.row_number().over(Window.partitionBy("feed", "group", "slot").orderBy("detected_at", "arrival_id"))
+    inside = inside.withColumn("rank", rank).where("rank <= m").select("feed", "group", "slot", "arrival_id", "detected_at")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -91,7 +109,8 @@ def match_arrivals(windows: DataFrame, arrivals: DataFrame) -> DataFrame:
 
     feed, arrival = windows.schema["feed"].dataType.simpleString(), arrivals.schema["arrival_id"].dataType.simpleString()
     when = windows.schema["slot"].dataType.simpleString()
-    return inside.groupBy("feed").applyInPandas(greedy, f"feed {feed}, slot {when}, arrival_id {arrival}, detected_at {when}")
+    together = inside.groupBy("feed", "group").applyInPandas(greedy, f"feed {feed}, slot {when}, arrival_id {arrival}, detected_at {when}")
+    return alone.unionByName(together)
 
 
 def match_disjoint(windows: DataFrame, arrivals: DataFrame) -> DataFrame:

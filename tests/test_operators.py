@@ -2,7 +2,7 @@
 
 import hashlib
 import hmac
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +115,30 @@ def test_schedules(spark):
         assert got == {("f", 8): (1, "ON_TIME"), ("f", 12): (None, "EXPECTED"), ("g", 8): (2, "ON_TIME"), ("h", 8): (4, "LATE")}
 
 
+def test_arrivals_are_matched_by_groups_of_windows(spark):
+    from collections import defaultdict
+    from random import Random
+
+    rng, at = Random(4), lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    slots = [(f, at(m)) for f in "fgh" for m in sorted(rng.sample(range(0, 6000, 30), 25))]
+    windows = schedule.slot_windows(spark.createDataFrame(slots, "feed string, slot timestamp"), 200, 60)
+    rows = [(rng.choice("fgh"), k, at(rng.randrange(0, 6000))) for k in range(400)] + [("f", 1000 + k, at(rng.randrange(0, 6000, 100))) for k in range(200)]
+    arrivals = spark.createDataFrame(rows, "feed string, arrival_id long, detected_at timestamp")
+    want, used = {}, defaultdict(set)
+    for w in sorted(windows.collect(), key=lambda w: (w.feed, w.slot)):
+        left = sorted((d, i) for f, i, d in rows if f == w.feed and w.opens <= d <= w.closes and i not in used[f])
+        if left:
+            used[w.feed].add(left[0][1])
+            want[w.feed, w.slot] = left[0][1]
+    matched = schedule.match_arrivals(windows, arrivals)
+    assert {(r.feed, r.slot): r.arrival_id for r in matched.collect()} == want
+    apart = spark.createDataFrame([("f", at(m), at(m - 5), at(m + 5), at(m + 5)) for m in (10, 50, 100)], "feed string, slot timestamp, opens timestamp, deadline timestamp, closes timestamp")
+    again = spark.createDataFrame([("f", 1, at(12)), ("f", 1, at(97)), ("f", 1, at(98)), ("f", 2, at(99)), ("f", 3, at(51))], arrivals.schema)
+    assert {(r.slot, r.arrival_id) for r in schedule.match_arrivals(apart, again).collect()} == {(at(10), 1), (at(50), 3), (at(100), 2)}
+    sizes = matched._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas [feed#" in sizes and ", group#" in sizes.split("FlatMapGroupsInPandas", 1)[1].splitlines()[0]
+
+
 def test_profile_quirks(spark):
     frame = spark.createDataFrame([(1, "0", "125.5", "15/01/2026", ""), (2, "1", "450", "22/01/2026", "x"), (3, "1", "48", "16/01/2026", None), (4, "0", "75.25", "17/01/2026", " ")], "ord int, flag string, amount string, day string, rare string")
     got = {r.column: r for r in profile.profile(frame, ["ord"]).collect()}
