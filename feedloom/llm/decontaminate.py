@@ -162,7 +162,7 @@ def _occurring(places: list[int], numbers: list[int], n_words: int, prefixes: di
     return found
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_chars: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_chars: int = 1_000_000, hash_col: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items) for every row of docs.
 
     n_hit counts the words inside any occurrence of a window; spans are their runs (start and end word, end not
@@ -172,6 +172,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     characters at most (an item longer than that is a part of its own), each compared with all documents, so that
     its size is bounded and whole. Null texts and texts without words have no words and no hits; items without words have no
     window; a null item id counts as an empty string. Rows that repeat are answered each. No items leave all documents clean.
+    hash_col names a column for xxhash64 of the text, which with the id tells a row from others of its id.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -188,4 +189,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         answers.append(_verify(hits, spark.sparkContext.broadcast((_prefixes(own.windows, frequency), own.words, dict(own.windows)))))
     found = answers[0] if parts == 1 else _merge(answers, texts.select("doc_id", "h"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    of_text = [F.col("h").alias(hash_col)] if hash_col else []
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", *of_text)

@@ -125,6 +125,16 @@ def test_contamination(spark):
     assert decontaminate.contamination(frame(spark, []), frame(spark, items, "item_id long, text string")).count() == 0
 
 
+def test_contaminated_rows_go_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "the quick brown fox jumps over the lazy dog and runs away home"
+    frame(spark, [(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, "so " + item), (None, "clean"), (4, item), (4, "clean too"), (5, "fine"), (6, None)]
+    kept = corpus_pipeline.benchmark_stage(spark, frame(spark, docs), str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([docs[k] for k in (1, 3, 4, 5)], key=repr)
+
+
 # packing
 
 
