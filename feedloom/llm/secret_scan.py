@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 _OF = "[A-Za-z0-9_+/-]"
 #: A candidate: 12 or more such characters on end, with a digit or a capital after a small letter among them.
 CANDIDATE = rf"(?<!{_OF})(?=[A-Za-z_+/-]*+[0-9]|{_OF}*?[a-z][A-Z]){_OF}{{12,}}+={{0,2}}+"
-#: What stands before it on its line (60 characters), the candidate, and what stands behind it (40).
-IN_CONTEXT = rf"([^\n]{{0,60}}?)({CANDIDATE})(?=([^\n]{{0,40}}))"
+#: What stands before it on its line (60 characters), the candidate, and what stands behind it (40); no match takes text from the next.
+#: A lookbehind takes the shortest that fits: all from the line's start, or else 60 characters.
+_BEFORE, _AFTER = r"(?<=((?<![^\n])[^\n]{0,59}|[^\n]{60}))", r"(?=([^\n]{0,40}))"
+IN_CONTEXT = rf"(?={CANDIDATE}){_BEFORE}({CANDIDATE}){_AFTER}"
+#: Of two units in Java, which a lookbehind of 60 would miscount; no candidate holds one.
+_WIDE = r"[\x{10000}-\x{10FFFF}]"
 
 # Words whose presence inside a candidate speaks against a secret.
 DICTIONARY = [
@@ -27,13 +31,17 @@ NAMES_SECRET = r"(?i)(pass(word|wd|phrase)?|secret|token|api.?key|access.?key|cr
 NAMES_OTHER = r"(?i)(sha\d*|md5|digest|checksum|commit|revision|uuid|guid|etag|version|build|image|example|sample|dummy|placeholder|test)"
 NAMED = r"^(AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|eyJ)"
 
-FEATURES = ["length", "digits", "upper", "letter_digit", "digit_letter", "case_change", "same", "variety", "hex_only", "separators", "dictionary", "named", "secret_near", "other_near", "assigned", "quoted", "secret_behind", "test_path", "deep_path"]
+FEATURES = ["length", "digits", "upper", "letter_digit", "digit_letter", "case_change", "same", "variety", "hex_only", "separators", "dictionary", "named", "secret_near", "secret_named", "other_near", "assigned", "quoted", "secret_behind", "test_path", "deep_path"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(doc_id, finding, candidate, before, after, path): every candidate of the whole texts, numbered in order from 0."""
+    """(doc_id, finding, candidate, before, after, path): every candidate of the whole texts, numbered in order from 0.
+
+    before and after are cut from the whole line by place, other candidates included; characters beyond U+FFFF stand there as U+FFFD.
+    """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(path, F.lit("")).alias("path")).where(F.col("text").rlike(CANDIDATE))
+    rows = rows.withColumn("text", F.when(F.col("text").rlike(_WIDE), F.regexp_replace("text", _WIDE, "\ufffd")).otherwise(F.col("text")))
     found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(IN_CONTEXT), F.lit(n)).alias(name) for n, name in ((1, "before"), (2, "candidate"), (3, "after"))))
     return rows.select("doc_id", "path", F.posexplode(found).alias("finding", "c")).select("doc_id", "finding", "c.candidate", "c.before", "c.after", "path")
 
@@ -52,7 +60,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "letter_digit": times("[A-Za-z](?=[0-9])") / size, "digit_letter": times("[0-9](?=[A-Za-z])") / size, "case_change": times("[a-z](?=[A-Z])|[A-Z](?=[a-z])") / size,
         "same": times(r"(.)(?=\1)") / size, "variety": F.size(F.array_distinct(F.split(c, ""))) / size, "hex_only": c.rlike("^[0-9a-f]+$"), "separators": times("[_/+-]") / size,
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), known, "")) / size, "named": c.rlike(NAMED),
-        "secret_near": before.rlike(NAMES_SECRET), "other_near": before.rlike(NAMES_OTHER), "assigned": before.rlike(r"[=:]\s*[\"']?$"), "quoted": before.rlike("[\"']$") & after.rlike("^[\"']"),
+        "secret_near": before.rlike(NAMES_SECRET), "secret_named": before.rlike(NAMES_SECRET + r"[\w.-]{0,24}[\"']?\s*(:=|=>|[=:])\s*[\"']?$"), "other_near": before.rlike(NAMES_OTHER), "assigned": before.rlike(r"[=:]\s*[\"']?$"), "quoted": before.rlike("[\"']$") & after.rlike("^[\"']"),
         "secret_behind": after.rlike(NAMES_SECRET), "test_path": path.rlike("(?i)(test|example|sample|fixture|mock|docs?/)"), "deep_path": F.length(F.regexp_replace(path, "[^/]", "")),
     }
     return findings.withColumns({n: v.cast("double") for n, v in values.items()})
@@ -71,7 +79,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
     letters = lambda at, n, of: F.concat(*(F.substring(F.lit(of), pick(at + 2 * k, len(of)) + 1, 1) for k in range(n)))
     capital, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     word = one_of(3, ["the", "with", "notes", "and", "stand", "reading", "der", "pour", "esta"])
-    name = one_of(9, ["password", "passwd", "secret", "api_key", "token", "access_token", "auth_token", "client_secret"])
+    name = one_of(9, ["password", "passwd", "secret", "api_key", "token", "access_token", "auth_token", "client_secret", "clientSecret", "awsSecretAccessKey", "apiTokenProd", "client_secret_v2"])
     other = one_of(9, ["sha256", "md5", "commit", "digest", "checksum", "build", "revision", "etag"])
     noun = one_of(15, ["chapter", "section", "version", "image", "record", "order", "module", "template", "fixture"])
     true_kinds = [
@@ -80,6 +88,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
         (hexes(21, 40), F.concat(word, F.lit(" "), name, F.lit(' = "'))),
         (F.concat(F.lit("ghp_"), letters(21, 36, mixed)), F.concat(name, F.lit(": "))),
         (letters(21, 24, mixed), F.concat(name, F.lit("='"))),
+        (hexes(21, 24), F.concat(F.lit('{"'), name, F.lit('": "'))),
         (letters(21, 40, mixed + "+/"), F.concat(word, F.lit(" "), name, F.lit(" = "))),
     ]
     false_kinds = [
@@ -92,6 +101,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
         (F.concat(F.lit("xxxxxxxxxxxx"), pick(21, 1000).cast("string")), F.concat(name, F.lit(' = "'))),
         (F.concat(hexes(21, 8), F.lit("-"), hexes(29, 4), F.lit("-"), hexes(33, 4), F.lit("-"), hexes(37, 12)), F.concat(word, F.lit(" "))),
         (F.concat(noun, F.initcap(word), F.initcap(noun), F.lit("Value")), F.concat(word, F.lit(" "))),
+        (one_of(21, ["clientSecret", "awsSecretAccessKey", "apiTokenProd", "client_secret_v2"]), one_of(31, ['{"', "const ", "", '"'])),
+        (hexes(21, 40), F.concat(name, F.lit("=x, "), other, F.lit(" "))),
     ]
     kind, label = pick(60, 60), F.col("id") % 2
     choose = lambda k: F.when(label == 1, F.element_at(F.array(*(x[k] for x in true_kinds)), kind % len(true_kinds) + 1)).otherwise(F.element_at(F.array(*(x[k] for x in false_kinds)), kind % len(false_kinds) + 1))

@@ -428,6 +428,22 @@ def test_candidates_are_those_of_the_pattern(spark):
     assert next(r for r in got if r.candidate.startswith("0123")).before.endswith("password=")
 
 
+def test_contexts_are_cut_by_place(spark):
+    hexes = "9f86d081884c7d659a2fab12"
+    texts = [f'{{"clientSecret": "{hexes}"}}', f"apiTokenProd={hexes}", f"awsSecretAccessKey: {hexes} client_secret_v2 = {hexes}z", "y" * 3 + " \U0001f600" * 50 + f" token={hexes}", "\n" + "a b " * 40 + f"secret={hexes}\nx"]
+    got = defaultdict(list)
+    for r in secret_scan.candidates(frame(spark, list(enumerate(texts)))).orderBy("doc_id", "finding").collect():
+        got[r.doc_id].append(r)
+    run = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}={0,2}")
+    for d, text in enumerate(texts):
+        plain = re.sub("[\U00010000-\U0010ffff]", "\ufffd", text)
+        true = [(m[0], plain[: m.start()].split("\n")[-1][-60:], plain[m.end() :].split("\n")[0][:40]) for m in run.finditer(plain) if re.search(r"[0-9]|[a-z][A-Z]", m[0])]
+        assert [(r.candidate, r.before, r.after) for r in got[d]] == true and true
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(frame(spark, list(enumerate(texts[:3]))), model).collect()
+    assert {(r.doc_id, r.is_secret) for r in found if r.candidate.startswith(hexes)} == {(0, True), (1, True), (2, True)}
+
+
 def test_forest_tells_secrets_from_their_likes(spark):
     findings = secret_scan.labelled_findings(spark, 1500)
     model = secret_scan.train(findings.where("id % 5 != 0") if "id" in findings.columns else findings)
