@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +21,13 @@ IN_CONTEXT = rf"(?={CANDIDATE}){_BEFORE}({CANDIDATE}){_AFTER}"
 #: Of two units in Java, which a lookbehind of 60 would miscount; no candidate holds one.
 _WIDE = r"[\x{10000}-\x{10FFFF}]"
 
+NAMES_SECRET = r"(?i)(pass(word|wd|phrase)?|secret|token|api.?key|access.?key|credential|bearer|auth|private.?key)"
+#: A value assigned to a secret-like name: quoted up to its quote, else up to white space without closing marks; 6 characters or more of any kind.
+_NAMED = rf"(?<=[=:>]\s{{0,3}}[\"']?)(?<={NAMES_SECRET.replace('(?i)(', '(?i:')}[\w.-]{{0,24}}[\"']?[ \t]{{0,3}}(?::=|=>|[=:])[ \t]{{0,3}}[\"']?)"
+_QUOTED = r"(?<=%s)(?=(?:[^%s\\\n]|\\.){6})[^%s\\\n]*+(?:\\.[^%s\\\n]*+)*+(?=%s)"
+ASSIGNED = rf"{_NAMED}(?:{_QUOTED % (('"',) * 5)}|{_QUOTED % (("'",) * 5)}|(?<![\"'])(?![\"'])(?=\S{{6}})\S*[^\s\"',.;)](?<=\S{{6}}))"
+ASSIGNED_IN_CONTEXT = rf"{_BEFORE}({ASSIGNED}){_AFTER}"
+
 # Words whose presence inside a candidate speaks against a secret.
 DICTIONARY = [
     "abc", "access", "account", "api", "authorization", "bucket", "build", "chapter", "client", "commit", "config", "data", "default",
@@ -27,22 +36,30 @@ DICTIONARY = [
     "product", "record", "release", "request", "sample", "secret", "section", "server", "session", "source", "string", "table", "template",
     "test", "text", "token", "type", "update", "user", "value", "version", "xxx", "your",
 ]
-NAMES_SECRET = r"(?i)(pass(word|wd|phrase)?|secret|token|api.?key|access.?key|credential|bearer|auth|private.?key)"
 NAMES_OTHER = r"(?i)(sha\d*|md5|digest|checksum|commit|revision|uuid|guid|etag|version|build|image|example|sample|dummy|placeholder|test)"
 NAMED = r"^(AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|eyJ)"
 
-FEATURES = ["length", "digits", "upper", "letter_digit", "digit_letter", "case_change", "same", "variety", "hex_only", "separators", "dictionary", "named", "secret_near", "secret_named", "other_near", "assigned", "quoted", "secret_behind", "test_path", "deep_path"]
+FEATURES = ["length", "digits", "upper", "letter_digit", "digit_letter", "case_change", "same", "variety", "hex_only", "separators", "dictionary", "named", "secret_near", "secret_named", "other_near", "assigned", "quoted", "punctuation", "blanks", "reference", "secret_behind", "test_path", "deep_path"]
+
+
+def _groups(pattern: str) -> int:
+    """The numbers that the groups of a pattern take; (?i) at its start becomes the first group's flag."""
+    return re.compile(pattern).groups
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(doc_id, finding, candidate, before, after, path): every candidate of the whole texts, numbered in order from 0.
 
+    First come the runs of CANDIDATE, then the values of ASSIGNED that are not just such a run.
+
     before and after are cut from the whole line by place, other candidates included; characters beyond U+FFFF stand there as U+FFFD.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(path, F.lit("")).alias("path")).where(F.col("text").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(path, F.lit("")).alias("path")).where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
     rows = rows.withColumn("text", F.when(F.col("text").rlike(_WIDE), F.regexp_replace("text", _WIDE, "\ufffd")).otherwise(F.col("text")))
-    found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(IN_CONTEXT), F.lit(n)).alias(name) for n, name in ((1, "before"), (2, "candidate"), (3, "after"))))
+    outer = 2 + _groups(NAMES_SECRET)  # ASSIGNED holds the groups of the names, before what stands behind
+    runs, values = (F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(n)).alias(name) for n, name in ((1, "before"), (2, "candidate"), (last, "after")))) for pattern, last in ((IN_CONTEXT, 3), (ASSIGNED_IN_CONTEXT, outer)))
+    found = F.concat(runs, F.filter(values, lambda v: ~v["candidate"].rlike(f"^{CANDIDATE}$")))
     return rows.select("doc_id", "path", F.posexplode(found).alias("finding", "c")).select("doc_id", "finding", "c.candidate", "c.before", "c.after", "path")
 
 
@@ -61,6 +78,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "same": times(r"(.)(?=\1)") / size, "variety": F.size(F.array_distinct(F.split(c, ""))) / size, "hex_only": c.rlike("^[0-9a-f]+$"), "separators": times("[_/+-]") / size,
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), known, "")) / size, "named": c.rlike(NAMED),
         "secret_near": before.rlike(NAMES_SECRET), "secret_named": before.rlike(NAMES_SECRET + r"[\w.-]{0,24}[\"']?\s*(:=|=>|[=:])\s*[\"']?$"), "other_near": before.rlike(NAMES_OTHER), "assigned": before.rlike(r"[=:]\s*[\"']?$"), "quoted": before.rlike("[\"']$") & after.rlike("^[\"']"),
+        "punctuation": times(r"[^A-Za-z0-9\s_+/=-]") / size, "blanks": times(r"\s") / size, "reference": c.rlike(r"^[$<{%\[]|[()]|(?i)^(null|none|true|false|undefined|required|optional|string|changeme)\b"),
         "secret_behind": after.rlike(NAMES_SECRET), "test_path": path.rlike("(?i)(test|example|sample|fixture|mock|docs?/)"), "deep_path": F.length(F.regexp_replace(path, "[^/]", "")),
     }
     return findings.withColumns({n: v.cast("double") for n, v in values.items()})
@@ -82,7 +100,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
     name = one_of(9, ["password", "passwd", "secret", "api_key", "token", "access_token", "auth_token", "client_secret", "clientSecret", "awsSecretAccessKey", "apiTokenProd", "client_secret_v2"])
     other = one_of(9, ["sha256", "md5", "commit", "digest", "checksum", "build", "revision", "etag"])
     noun = one_of(15, ["chapter", "section", "version", "image", "record", "order", "module", "template", "fixture"])
+    human = F.concat(F.initcap(one_of(21, ["tr0ub", "hunter", "dragon", "summer", "s3cure", "monkey", "letme1n", "qwerty", "blue", "winter"])), one_of(23, ["4dor&", "!", "", "!Pass#", "@", "$x", ".", "-", "%", "?"]), pick(25, 3000).cast("string"), one_of(33, ["", "!", "#", "3"]))
+    plain = F.concat(one_of(21, ["hunter", "dragon", "monkey", "correct", "sunset", "purple"]), one_of(23, ["horse", "battery", "staple", "river", "tiger", "cloud"]), one_of(27, ["", "2024", "moon"]))
     true_kinds = [
+        (human, F.concat(word, F.lit(" "), name, F.lit(' = "'))), (human, F.concat(one_of(41, ["db_", ""]), name, one_of(43, ["=", ": "]))), (plain, F.concat(one_of(41, ["db_", ""]), name, one_of(43, ["=", ": ", ' = "', ": '"]))),
         (F.concat(F.lit("AKIA"), letters(21, 16, capital)), F.concat(word, F.lit(" "))),
         (hexes(21, 18), F.concat(word, F.lit(" "), name, F.lit("="))),
         (hexes(21, 40), F.concat(word, F.lit(" "), name, F.lit(' = "'))),
@@ -92,6 +113,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
         (letters(21, 40, mixed + "+/"), F.concat(word, F.lit(" "), name, F.lit(" = "))),
     ]
     false_kinds = [
+        (F.concat(one_of(21, ["${", "<", "{{", "$(", "%("]), name, one_of(23, ["}", ">", "}}", ")", ")s"])), F.concat(name, one_of(43, ["=", ": ", ' = "']))),
+        (one_of(21, ["required", "optional", "changeme", "string", "undefined", "your password here", "getToken(user)", "os.environ['KEY']", "see the manual", "placeholder", "example"]), F.concat(name, one_of(43, ["=", ": ", ' = "']))),
+        (one_of(21, ["reading notes", "Anna Miller", "the sample text", "section", "chapter"]), F.concat(one_of(31, ["author", "Author", "authors"]), one_of(43, [": ", "=", ' = "']))),
         (hexes(21, 40), F.concat(other, F.lit(" "))), (hexes(21, 64), F.concat(other, F.lit(":"))),
         (F.concat(noun, pick(21, 900).cast("string"), F.lit("_"), word, pick(31, 90).cast("string")), F.concat(word, F.lit(" "))),
         (F.concat(F.lit("2024-01-"), F.lpad((pick(21, 28) + 1).cast("string"), 2, "0"), F.lit("T12")), F.concat(word, F.lit(" "))),

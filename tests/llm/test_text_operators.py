@@ -444,6 +444,20 @@ def test_contexts_are_cut_by_place(spark):
     assert {(r.doc_id, r.is_secret) for r in found if r.candidate.startswith(hexes)} == {(0, True), (1, True), (2, True)}
 
 
+def test_assigned_values_are_candidates(spark):
+    texts = {1: 'password = "Tr0ub4dor&3"', 2: "db_password: hunter2024", 3: "password=S3cure!Pass#99, next", 4: '{"clientSecret": "correcthorse"}', 5: "passwd='a b\\'c d e'", 6: "author: Anna", 7: "password=short", 8: "token=${DB_TOKEN}", 9: 'secret="see abcdefgh12345678 here"'}
+    texts[10] = texts[7][:-1] + " none"
+    got = defaultdict(list)
+    for r in secret_scan.candidates(frame(spark, list(texts.items()))).orderBy("doc_id", "finding").collect():
+        got[r.doc_id].append(r.candidate)
+        assert texts[r.doc_id].startswith(r.before[-60:] + r.candidate + r.after[:1])
+    want = {1: ["Tr0ub4dor&3"], 2: ["hunter2024"], 3: ["S3cure!Pass#99"], 4: ["clientSecret", "correcthorse"], 5: ["a b\\'c d e"], 8: ["${DB_TOKEN}"], 9: ["abcdefgh12345678", "see abcdefgh12345678 here"]}
+    assert dict(got) == want
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    flagged = {(r.doc_id, r.candidate): r.is_secret for r in secret_scan.scan(frame(spark, list(texts.items())), model).collect()}
+    assert all(flagged[d, want[d][-1]] for d in (1, 2, 3, 4)) and not flagged[8, "${DB_TOKEN}"] and not flagged[4, "clientSecret"]
+
+
 def test_forest_tells_secrets_from_their_likes(spark):
     findings = secret_scan.labelled_findings(spark, 1500)
     model = secret_scan.train(findings.where("id % 5 != 0") if "id" in findings.columns else findings)
