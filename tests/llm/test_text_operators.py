@@ -408,12 +408,40 @@ def test_chains_and_alignment_against_plain_programs():
         assert substring_dedup.common_words(x, y) == table[-1, -1]
 
 
-def test_minimizers_are_shared_by_shared_runs():
+def test_seeds_are_shared_by_shared_runs():
     rng = np.random.default_rng(7)
-    run = rng.integers(0, 1 << 62, 23, dtype=np.uint64)
-    for _ in range(20):
+    run = rng.integers(0, 1 << 62, 19, dtype=np.uint64)
+    for _ in range(200):
         a, b = (np.concatenate((rng.integers(0, 1 << 62, n, dtype=np.uint64), run, rng.integers(0, 1 << 62, n, dtype=np.uint64))) for n in (30, 7))
-        assert set(substring_dedup.minimizers(a, 8, 16)[0].tolist()) & set(substring_dedup.minimizers(b, 8, 16)[0].tolist())
+        (x, px), (y, _) = (substring_dedup.seeds_of(h, 4, 4, 16) for h in (a, b))
+        assert set(x.tolist()) & set(y.tolist()) and (np.diff(px) > 0).all()
+        mers = substring_dedup.rolled(a, 4)
+        assert (x == mers[px]).all() and set(np.flatnonzero(mers < np.uint64(1 << 62)).tolist()) <= set(px.tolist())
+    assert [len(substring_dedup.seeds_of(run[:n], 4)[0]) > 0 for n in (3, 4, 9)] == [False, True, True]
+
+
+@pytest.mark.parametrize(("share", "ways"), [(0.03, 80), (0.06, 80), (0.09, 80), (0.1, 40)])
+def test_many_near_copies_are_found(spark, share, ways):
+    """One passage of 70 words of which each document holds a copy with edits of its own; an earlier one of identity 0.8 or more must be found."""
+    rng = np.random.default_rng(int(share * 1000))
+    first, docs, copies = passage(rng, 70), {}, {}
+    for d in range(ways):
+        copies[d] = [f"e{d}x{i}" if rng.random() < share else w for i, w in enumerate(first)]
+        docs[d] = passage(rng, 40) + copies[d] + passage(rng, 40)
+    codes = {w: n for n, w in enumerate({w for c in copies.values() for w in c})}
+    of = {d: [codes[w] for w in c] for d, c in copies.items()}
+    wanted = {d for d in range(1, ways) if any(substring_dedup.common_words(of[e], of[d]) >= 0.8 * 70 for e in range(d))}
+    got = {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, [(d, " ".join(w)) for d, w in docs.items()])).collect()}
+    print("NEAR", share, len(wanted & got), len(wanted))
+    assert len(got & wanted) >= 0.9 * len(wanted)
+
+
+def test_an_id_with_two_texts_is_one_document(spark):
+    rng = np.random.default_rng(3)
+    x, y = (" ".join(passage(rng, 80)) for _ in range(2))
+    rows = [(1, x), (2, x), (2, x), (3, y), (3, x), (4, y), (None, x), (5, LONG), (6, None)]
+    got = [tuple(r) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()]
+    assert (2, 0, 80, 1, 0, 80, 1.0) in got and len({r for r in got if r[0] in (3, 4)}) == 1 and len(got) == 2
 
 
 # secrets
