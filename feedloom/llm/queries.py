@@ -67,7 +67,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)), path_col="source")
+    docs = table(spark, sf_dir, "documents")
+    words = secret_scan.corpus_words(docs)
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark), words), words, path_col="source")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

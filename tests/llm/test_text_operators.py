@@ -490,7 +490,7 @@ def test_forest_tells_secrets_from_their_likes(spark):
     findings = secret_scan.labelled_findings(spark, 1500)
     model = secret_scan.train(findings.where("id % 5 != 0") if "id" in findings.columns else findings)
     other = secret_scan.labelled_findings(spark, 600, seed=99)
-    scored = model.transform(secret_scan.with_features(other)).collect()
+    scored = model.transform(secret_scan.with_features(other, [])).collect()
     assert np.mean([r.rf_prediction == r.label for r in scored]) > 0.95
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = secret_scan.scan(docs, model, path_col="source")
