@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -86,70 +87,99 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def best_configuration(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The fill of one sequence of the largest total value: an unbounded knapsack over every total length."""
-    worth = np.full(capacity + 1, -1.0)
-    worth[lengths] = value
-    least = int(lengths[0])
+def priced(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most that pieces of these lengths (ascending) and worths can add up to in each room up to `capacity`, and a piece of that (0: leave one token free)."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for total in range(least, capacity + 1):
-        gain = worth[least : total + 1] + best[total - least :: -1]
+    least, most = int(lengths[0]), int(lengths[-1])
+    of = np.zeros(most + 1)
+    of[lengths] = worth
+    for room in range(least, capacity + 1):
+        longest = min(room, most)
+        gain = of[least : longest + 1] + best[room - longest : room - least + 1][::-1]
         k = int(gain.argmax())
-        if gain[k] > best[total - 1]:
-            best[total], took[total] = gain[k], k + least
-        else:
-            best[total] = best[total - 1]
+        best[room], took[room] = (gain[k], k + least) if gain[k] > best[room - 1] else (best[room - 1], 0)
+    return best, took
+
+
+def filled(took: np.ndarray, room: int) -> dict[int, int]:
+    """The pieces that priced() puts into a room: how many of each length."""
     out: dict[int, int] = defaultdict(int)
-    total = capacity
-    while total > 0:
-        if took[total] and best[total] > best[total - 1]:
-            out[int(took[total])] += 1
-            total -= int(took[total])
-        else:
-            total -= 1
-    return dict(out)
-
-
-def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, power: float = 1.1) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional numbers, of which each length's demand gets covered: the covering program by multiplicative weights.
-
-    Each length has a weight, at first a little more than its size, so that long pieces come first. Each round prices the
-    best configuration by the knapsack, takes as much of it as covers the scarcest of its lengths once, and lowers
-    the weights of all that it covers by e to the share covered.
+    while room > 0:
+        length = int(took[room])
+        out[length] += length > 0
+        room -= length or 1
+    out.pop(0, None)
+    return out
+
+
+class Program(NamedTuple):
+    """A solution of the covering program: configurations with numbers, the share of each length's demand that they cover, and a lower bound of any solution."""
+
+    taken: dict[tuple[tuple[int, int], ...], float]
+    cover: np.ndarray
+    bound: float
+
+
+def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.5, power: float = 1.02) -> Program:
+    """The configuration program, fewest sequences that hold each length's demand, by multiplicative weights.
+
+    A length's weight is a little more than its size, so that long pieces come first, times e to minus the share covered. Each
+    round prices all rooms by one knapsack; every length that is not covered yet gets the configuration of
+    itself and the best filling of the room beside it, of which as much is taken as covers `step` of its demand
+    and no length beyond the whole. So each round covers a length or a step of every one, and rounds go on until all are covered.
+    Weights whose best configuration is worth 1 bound the program from below; so do the sizes alone.
     """
     taken: dict[tuple, float] = defaultdict(float)
-    cover = np.zeros(len(lengths))
-    where = {int(x): k for k, x in enumerate(lengths)}
-    worth = (lengths / capacity) ** power
-    for _ in range(rounds):
-        fill = best_configuration(worth * np.exp(-cover), lengths, capacity)
-        step = min(demand[where[x]] / n for x, n in fill.items())
-        taken[tuple(sorted(fill.items()))] += step
-        for x, n in fill.items():
-            cover[where[x]] += n * step / demand[where[x]]
-    return [(dict(fill), x) for fill, x in sorted(taken.items(), key=lambda t: -t[1])]
-
-
-def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, share: float = 0.8) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    cover, want = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    want[lengths] = demand
+    bound, open_ = float(lengths @ demand) / capacity, lengths
+    while len(open_):
+        worth = (open_ / capacity) ** power * np.exp(-cover[open_])
+        best, took = priced(worth, open_, capacity)
+        bound = max(bound, float(worth @ want[open_]) / best[capacity])
+        for length in open_[::-1].tolist():
+            if cover[length] < 1:
+                fill = filled(took, capacity - length)
+                fill[length] = fill.get(length, 0) + 1
+                x = min([step * want[length] / fill[length], *((1 - cover[k]) * want[k] / n for k, n in fill.items())])
+                if x > 0:
+                    taken[tuple(sorted(fill.items(), reverse=True))] += x
+                    for k, n in fill.items():
+                        cover[k] = 1 if (1 - cover[k]) * want[k] <= n * x * (1 + 1e-9) else cover[k] + n * x / want[k]
+        open_ = open_[cover[open_] < 1]
+    return Program(dict(taken), cover[lengths], bound)
+
+
+def rounded(program: Program, left: dict[int, int]) -> dict[tuple[tuple[int, int], ...], int]:
+    """Whole numbers of the program's configurations, rounded down and then, by what was lost, up by one where enough pieces are left; `left` is lowered by what they hold."""
+    numbers = {fill: int(x + 1e-6) for fill, x in program.taken.items()}
+    done: dict[tuple, int] = defaultdict(int)
+    for lost in (False, True):
+        for fill, x in sorted(program.taken.items(), key=lambda t: (numbers[t[0]] - t[1], t[0])):
+            number = min([1 if lost else numbers[fill], *(left[k] // n for k, n in fill)])
+            if number > 0 and (not lost or x - numbers[fill] > 1e-6):
+                done[fill] += number
+                for k, n in fill:
+                    left[k] -= n * number
+    return dict(done)
+
+
+def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int, solve: bool = True) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(fill, number)]: sequences by what they hold, ((length, how many), ...), longest first; every piece stands in one.
 
-    Of the program's numbers a `share` is taken, rounded down and never beyond the pieces that are left, as what remains
-    must keep enough small pieces to fill up. It goes, longest first,
-    into the fullest sequence that has room for it, whole groups of like sequences at a time.
+    The program's solution is rounded; the pieces that rounding leaves, fewer than there are configurations times their
+    pieces, go longest first into the fullest sequence that has room, whole groups of like sequences at a time. That alone
+    (solve=False) is best fit, which the rounded program replaces.
     """
     left = {int(x): int(n) for x, n in zip(lengths, counts, strict=True) if n > 0}
     done: dict[tuple, int] = defaultdict(int)
     if left.get(capacity):
         done[((capacity, 1),)] = left.pop(capacity)
     room: dict[int, dict[tuple, int]] = defaultdict(lambda: defaultdict(int))
-    if left:
+    if left and solve:
         sizes = np.array(sorted(left))
-        for fill, x in configurations(sizes, np.array([left[int(s)] for s in sizes], float), capacity, rounds):
-            number = min([int(x * share), *(left[s] // n for s, n in fill.items())])
-            if number > 0:
-                room[capacity - sum(s * n for s, n in fill.items())][tuple(sorted(fill.items(), reverse=True))] += number
-                for s, n in fill.items():
-                    left[s] -= n * number
+        for fill, number in rounded(configurations(sizes, np.array([left[int(s)] for s in sizes], float), capacity), left).items():
+            room[capacity - sum(s * n for s, n in fill)][fill] += number
     for s in sorted((s for s, n in left.items() if n > 0), reverse=True):
         n = left[s]
         while n > 0:
@@ -193,7 +223,7 @@ def placements(fills: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int
     return {length: np.array(r, np.int64) for length, r in runs.items()}
 
 
-def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 300, bucket_rows: int = 100_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, bucket_rows: int = 100_000) -> DataFrame:
     """parts with sequence_id and offset: as few sequences of at most `capacity` as the rounded program finds.
 
     parts: doc_id, piece, length (1 to capacity) and any other columns. Only the histogram, of `capacity` numbers at
@@ -201,13 +231,16 @@ def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 300, bucket_rows:
     among those of its length comes from counts by (length, bucket of its id) and its place in the bucket, so that a
     length with a third of all pieces is dealt to many tasks. No rows give no rows; rows that repeat are pieces of their own.
     """
-    spark = parts.sparkSession
+    spark, given = parts.sparkSession, parts.columns
+    if {"sequence_id", "offset"} & {c.lower() for c in given}:
+        raise ValueError("parts must not have columns named sequence_id or offset")
+    parts = parts.withColumnsRenamed({c: f"{c}__" for c in given if c.lower() in ("_bucket", "_n", "_base", "_rank")})
     histogram = parts.groupBy("length").agg(F.count("*").alias("n")).collect()
     total = sum(r["n"] for r in histogram)
     if not total:
-        return parts.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return parts.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).toDF(*given, "sequence_id", "offset")
     histogram.sort(key=lambda r: r["length"])
-    fills = pack_histogram(np.array([r["length"] for r in histogram]), np.array([r["n"] for r in histogram]), capacity, rounds)
+    fills = pack_histogram(np.array([r["length"] for r in histogram]), np.array([r["n"] for r in histogram]), capacity)
     runs = spark.sparkContext.broadcast(placements(fills))
     buckets = -(-total // bucket_rows) * 8
     dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
@@ -233,9 +266,9 @@ def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 300, bucket_rows:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).toDF(*given, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int = 300, with_ids: bool = False, **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids: bool = False, **columns) -> DataFrame:
     """pieces() of docs, packed by pack(); the pieces are written once, as the histogram and the placing both read them."""
-    return pack(cut(pieces(docs, tokenizer_path, capacity, with_ids=with_ids, **columns), "pieces"), capacity, rounds)
+    return pack(cut(pieces(docs, tokenizer_path, capacity, with_ids=with_ids, **columns), "pieces"), capacity)

@@ -148,7 +148,7 @@ def test_tokens_are_the_tokenizers_own():
 def test_packing_places_every_piece_once(spark):
     path, capacity = public_tokenizers.path("word_bpe_49k.json"), 64
     docs = frame(spark, [(d, t) for d, t in [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x"), (5, LONG[:3000]), *((100 + k, "one two three " * (k % 17)) for k in range(200))]])
-    rows = packing.pack_documents(docs, path, capacity, rounds=50, with_ids=True).collect()
+    rows = packing.pack_documents(docs, path, capacity, with_ids=True).collect()
     ids = defaultdict(list)
     by_sequence = defaultdict(list)
     for r in rows:
@@ -172,7 +172,7 @@ def test_plans_hold_each_length_as_often_as_it_comes():
     rng = np.random.default_rng(1)
     for capacity, counts in ((10, {10: 5, 6: 7, 4: 3}), (100, Counter(rng.integers(1, 101, 5000).tolist())), (7, {4: 9}), (5, {1: 1})):
         lengths = np.array(sorted(counts))
-        fills = packing.pack_histogram(lengths, np.array([counts[int(x)] for x in lengths]), capacity, 60)
+        fills = packing.pack_histogram(lengths, np.array([counts[int(x)] for x in lengths]), capacity)
         held = Counter()
         for fill, number in fills:
             assert sum(x * n for x, n in fill) <= capacity
@@ -182,6 +182,49 @@ def test_plans_hold_each_length_as_often_as_it_comes():
         assert sum(n for _, n in fills) <= max(sum(x * n for x, n in counts.items()) / capacity * 1.02 + 1, sum(n for x, n in counts.items() if 2 * x > capacity))
 
 
+def fewest(pieces, capacity):
+    """The fewest sequences for these pieces, by trying every set of piles."""
+
+    def fits(rest, room):
+        if not rest:
+            return True
+        return any(fits(rest[1:], room[:k] + (room[k] - rest[0],) + room[k + 1 :]) for k in range(len(room)) if room[k] >= rest[0] and room[k] not in room[:k])
+
+    n = -(-sum(pieces) // capacity)
+    while not fits(tuple(sorted(pieces, reverse=True)), (capacity,) * n):
+        n += 1
+    return n
+
+
+def test_the_program_beats_best_fit_and_is_near_the_fewest():
+    lengths, counts = np.array([674, 700]), np.array([2000, 1000])  # 2048 = 700 + 674 + 674
+    for solve, n in ((True, 1000), (False, 1167)):
+        assert sum(k for _, k in packing.pack_histogram(lengths, counts, 2048, solve)) == n
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        pieces = rng.integers(2, 11, 9).tolist()
+        lengths, counts = np.unique(pieces, return_counts=True)
+        assert fewest(pieces, 10) <= sum(k for _, k in packing.pack_histogram(lengths, counts, 10)) <= fewest(pieces, 10) + 1
+
+
+def test_the_program_covers_every_length_near_its_bound():
+    lengths, counts = np.unique(np.minimum(np.random.default_rng(2).lognormal(6, 1, 11_000).astype(int) + 2, 2047), return_counts=True)
+    program = packing.configurations(lengths, counts * 1000.0, 2048)
+    assert (program.cover >= 1 - 1e-6).all() and program.bound <= sum(program.taken.values()) <= 1.01 * program.bound
+    left = {int(x): int(n) * 1000 for x, n in zip(lengths, counts, strict=True)}
+    done = packing.rounded(program, left)
+    assert sum(left.values()) <= 0.1 * counts.sum() * 1000 and min(left.values()) >= 0  # nine tenths stand in rounded configurations
+    assert all(sum(x * n for x, n in fill) <= 2048 for fill in done)
+
+
+def test_packing_keeps_clashing_columns(spark):
+    parts = frame(spark, [(1, 0, 3, 7, 8, 9, 10), (2, 0, 2, 1, 2, 3, 4)], "doc_id long, piece int, length long, _bucket int, _n int, _base int, _rank int")
+    got = packing.pack(parts, 5)
+    assert got.columns == [*parts.columns, "sequence_id", "offset"] and {tuple(r)[:7] for r in got.collect()} == {tuple(r) for r in parts.collect()}
+    with pytest.raises(ValueError):
+        packing.pack(parts.withColumnRenamed("_n", "offset"), 5)
+
+
 # classifiers
 
 
