@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import cut, merge_labels
+from feedloom.llm.common import cut, dealt_join, hot_keys, merge_labels
 from feedloom.llm.components import connected_components
 
 
@@ -35,9 +35,11 @@ def budgets(dim: int, blocks: int, threshold: float) -> list[float]:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors as rows in double precision, each scaled to components of 1 at most."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = np.asarray(flat.flatten(), np.float64)
-    return values.reshape(len(flat), -1)
+    values = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+    # by a power of two near its largest component, which rounds nothing: squares neither overflow nor vanish
+    return np.ldexp(values, -np.frexp(np.abs(values).max(axis=1, keepdims=True, initial=0))[1])
 
 
 def pigeonhole_links(vectors: DataFrame, threshold: float = 0.9, blocks: int = 4, tile: int = 16384) -> DataFrame:
@@ -76,7 +78,8 @@ def _links_of(spark, vectors: DataFrame, dim: int, threshold: float, blocks: int
             slabs = np.floor(unit @ heads / np.array(width)).astype(np.int32)
             yield pa.record_batch([batch.column("id"), batch.column("size"), batch.column("vec"), pa.ListArray.from_arrays(pa.array(np.arange(0, slabs.size + 1, count, dtype=np.int32)), pa.array(slabs.ravel()))], ["id", "size", "vec", "slabs"])
 
-    placed = vectors.select("id", "size", "vec").mapInArrow(slab_of, "id long, size long, vec array<float>, slabs array<int>")
+    kind = vectors.schema["vec"].dataType.simpleString()
+    placed = vectors.select("id", "size", "vec").mapInArrow(slab_of, f"id long, size long, vec {kind}, slabs array<int>")
     placed = placed.select("id", "size", "vec", F.posexplode("slabs").alias("block", "slab"))
     # a slab's first coordinate is between -1 and 1, so there are few slabs in any data
     filled = {(r["block"], r["slab"]): -(-r["count"] // tile) for r in placed.groupBy("block", "slab").count().collect()}
@@ -103,14 +106,16 @@ def _links_of(spark, vectors: DataFrame, dim: int, threshold: float, blocks: int
         raw_norm = np.linalg.norm(unit, axis=1)
         turned = (unit / raw_norm[:, None]) @ rotation(dim)
         low = np.ascontiguousarray(turned[:, edges[block] : edges[block + 1]], np.float32)
-        square = (low * low).sum(axis=1)
+        square, ones = (low * low).sum(axis=1, keepdims=True), np.ones((len(ids), 1), np.float32)
+        # one product gives the squared distances of blocks: |x|^2 + |y|^2 - 2 x y
+        of_left, of_right = np.hstack((low, square, ones)), np.hstack((-2 * low, ones, square))
         first = np.asarray(table["first"]).astype(bool)
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
         counts, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        low_right, square_right = low[right], square[right]
+        of_right = np.ascontiguousarray(of_right[right].T)
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
-            near = square[rows][:, None] + square_right[None, :] - 2 * (low[rows] @ low_right.T) <= share[block] + 1e-5
+            near = of_left[rows] @ of_right <= share[block] + 1e-5
             if same:
                 near &= right[None, :] > rows[:, None]
             some = near.any(axis=1)
@@ -139,21 +144,27 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
 
     n_links counts the other rows linked directly, component_id is the smallest id that links reach. Vectors that are
     null, empty, all zero or hold null or non-finite components link with nothing, nor do vectors of different length.
-    Equal vectors are one class before the join and count with its size. A row without an id counts in its class; its
-    component is the class's. No rows give no rows; other columns are not read.
+    Components are compared as they are stored, float or double; other numbers become doubles. Equal vectors are one class
+    before the join and count with its size; classes are numbered once, when they are written, and rows find their class by the
+    vector itself, those of hot vectors dealt over tasks. A row without an id counts in its class; its component is the
+    class's. No rows give no rows; other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")).cast("float")))
+    element = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind = element if element in ("float", "double") else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")).cast(kind)))
     valid = F.coalesce(F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("vec", F.when(valid, F.col("vec")))
-    classes = cut(rows.where("vec is not null").groupBy("vec").agg(F.count("*").alias("size"), F.min("vec_id").alias("least")).select(F.xxhash64("vec").alias("id"), "size", "least", "vec"), "classes")
+    same = F.transform("vec", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))  # -0.0 is 0.0
+    rows = rows.withColumn("vec", F.when(valid, same)).withColumn("h", F.xxhash64("vec"))
+    classes = rows.where("vec is not null").groupBy("h", "vec").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     found = cut(pigeonhole_links(classes.select("id", "size", "vec"), threshold, blocks, tile), "found")
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n_links").alias("n"))
-    named = classes.join(parts, classes.id == parts.node, "left").join(counts, "id", "left").select("id", "least", "size", F.coalesce("component", "id").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))
+    named = classes.join(parts, classes.id == parts.node, "left").join(counts, "id", "left").select("h", F.col("vec").alias("of"), "least", "size", F.coalesce("component", "id").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(heads, "component").select("id", (F.col("n") + F.col("size") - 1).alias("n_links"), "component_id")
-    # the class's number follows from the vector alone, so rows find their class without carrying the vector
-    rows = rows.select("vec_id", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("id"))
-    rows = rows.join(named, "id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    named = named.join(heads, "component").select("h", "of", (F.col("n") + F.col("size") - 1).alias("n_links"), "component_id")
+    hot = hot_keys(classes.groupBy("h").agg(F.sum("size").alias("n")), "h")
+    joined = dealt_join(rows.where("vec is not null"), named, "h", hot, ["vec_id"]).where("vec = of").select("vec_id", "n_links", "component_id")
+    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

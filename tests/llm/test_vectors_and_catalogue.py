@@ -50,6 +50,15 @@ def test_embeddings(spark, tile):
     assert embedding_dedup.embedding_components(frame.limit(0)).count() == 0
 
 
+def test_double_vectors_are_compared_as_doubles(spark):
+    angle = np.arccos(0.89999999981)
+    rows = [(1, [1.0, 0.0]), (2, [float(np.cos(angle)), float(np.sin(angle))]), (3, [1e100, 1.0, 0.0]), (4, [1e100, 2.0, 0.0]), (5, [3e-170, 4e-170, 0.0]), (6, [3.0, 4.0, 0.0]), (7, [-0.0, 5.0, 1.0]), (8, [0.0, 5.0, 1.0]), (8, [0.0, 0.0, 1.0]), (None, [3.0, 4.0, 0.0])]
+    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 2, 5), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (5, 2, 5), (6, 2, 5), (7, 1, 7), (8, 0, 8), (8, 1, 7)]
+    whole = spark.createDataFrame([(1, [1, 2]), (2, [10, 20])], "vec_id long, embedding array<int>")
+    assert {(r.vec_id, r.component_id) for r in embedding_dedup.embedding_components(whole).collect()} == {(1, 1), (2, 1)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
