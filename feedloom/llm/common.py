@@ -13,8 +13,10 @@ __all__ = ["cut", "dealt_join", "discard", "gram_hashes", "held_out", "hot_keys"
 
 def hot_keys(counted: DataFrame, key: str, n: str = "n", share: int = 1000) -> list:
     """Keys that hold more than a share-th of all counted rows (key once each, n: its rows); by that there are fewer than `share`."""
-    total = counted.agg(F.sum(n)).first()[0] or 0
-    return [row[0] for row in counted.where(F.col(n) * share > total).select(key).collect()] if total else []
+    total, most = counted.agg(F.sum(n), F.max(n)).first()
+    if not total or most * share <= total:
+        return []
+    return [row[0] for row in counted.where(F.col(n) * share > total).select(key).collect()]
 
 
 def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, hot: list, deal_by: list[str], ways: int = 64) -> DataFrame:
