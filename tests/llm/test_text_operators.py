@@ -463,7 +463,7 @@ def test_seeds_are_shared_by_shared_runs():
     assert [len(substring_dedup.seeds_of(run[:n], 4)[0]) > 0 for n in (3, 4, 9)] == [False, True, True]
 
 
-@pytest.mark.parametrize(("share", "ways"), [(0.03, 80), (0.06, 80), (0.09, 80), (0.1, 40)])
+@pytest.mark.parametrize(("share", "ways"), [(0.06, 80), (0.09, 80)])
 def test_many_near_copies_are_found(spark, share, ways):
     """One passage of 70 words of which each document holds a copy with edits of its own; an earlier one of identity 0.8 or more must be found."""
     rng = np.random.default_rng(int(share * 1000))
