@@ -21,9 +21,12 @@ def collapse(c: Column, upper: bool = True) -> Column:
     return F.nullif(F.upper(one) if upper else F.lower(one), F.lit(""))
 
 
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
 def to_decimal(c: Column) -> Column:
     """The number in a text; null where there is none (NaN, infinities and digit groups count as none)."""
-    text = F.when(c.cast("string").rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), c.cast("string"))
+    text = F.when(c.cast("string").rlike(NUMBER), c.cast("string"))
     return text.try_cast("decimal(38,18)")
 
 
@@ -41,38 +44,62 @@ def mask_preview(c: Column) -> Column:
     return F.when(F.length(c) <= 2, F.lit("**")).otherwise(F.concat(F.left(c, F.lit(1)), F.lit("***"), F.right(c, F.lit(1))))
 
 
-# What operational texts must not show, in the order of replacement.
+# What operational texts and file names must not show, in the order of replacement.
 OPERATIONAL_PATTERNS = [
-    (r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]"),
-    (r"\b\d{9}\b", "[REDACTED_SSN]"),
+    (r"\d{3}-\d{2}-\d{4}", "[REDACTED_SSN]"),
+    (r"(?:(?<=[\W_])|^)\d{9}(?:(?=[\W_])|$)", "[REDACTED_SSN]"),
     (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[REDACTED_PHONE]"),
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"),
-    (r"\bMRN[-:]?\d+\b", "[REDACTED_MRN]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
+    (r"\b(?:MRN|mrn)[:\s#-]*[A-Za-z0-9]{5,15}\b", "[REDACTED_MRN]"),
+]
+# What texts must not show where no personal data may stand, in the order of replacement.
+PERSONAL_PATTERNS = [
+    (r"(?i)\b(?:MRN|mrn|MEDREC|PatientID)[:\s#-]*[A-Za-z0-9]{4,15}\b", "[REDACTED_MRN]"),
+    (r"(?i)\b(?:DOB|dob|Date of Birth|birth date)[:\s#-]*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b", "[REDACTED_DOB]"),
+    (r"(?i)\b(?:patient(?:\s+name)?|member(?:\s+name)?|patient_name|member_name)[:\s]+[A-Za-z]+(?:\s+[A-Za-z]+)+\b", "[REDACTED_NAME]"),
+    (r"(?i)\b\d{1,5}\s+[A-Za-z0-9\s,.'-]{3,35}\s+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Way|Court|Ct|Circle|Cir|Terrace|Ter|Place|Pl|Trail|Trl|Parkway|Pkwy|Highway|Hwy)\b", "[REDACTED_ADDRESS]"),
+    (r"(?i)\b(?:ZIP(?:code)?|postal(?:\s*code)?)[:\s#-]*\d{5}(?:-\d{4})?\b|\b\d{5}-\d{4}\b", "[REDACTED_ZIP]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
+    (r"(?:(?<=[\s,;:()\[\]\-])|^)(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(?:(?=[\s,;:()\[\].\-])|$)", "[REDACTED_PHONE]"),
+    (r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]"),
+    (r"(?:(?<=[\W_])|^)\d{9}(?:(?=[\W_])|$)", "[REDACTED_SSN]"),
 ]
-# What differs between like failures.
+# What differs between like failures, in the order of replacement.
 FAILURE_PATTERNS = [
     (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<UUID>"),
     (r"0x[0-9a-fA-F]+", "<HEX_ADDR>"),
-    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[0-9.Z+:]*", "<TS>"),
-    (r"[Rr]ow[ #:]*\d+", "row <NUM>"),
-    (r"/[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+", "<PATH>"),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<TS>"),
+    (r"(?i)(?:row|line|record)\s*#?\d+", "row <NUM>"),
+    (r"(?i)(?:[A-Za-z]:[\\/]|/(?:home|var|tmp|app|etc|usr)/)[^\s'\"\)\]\}]+", "<PATH>"),
 ]
 
 
 def replace_all(c: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Each pattern's matches replaced by its mark; classes and cases are those of Unicode."""
     for pattern, mark in patterns:
-        c = F.regexp_replace(c, pattern, mark)
+        c = F.regexp_replace(c, "(?U)" + pattern, mark)
     return c
 
 
 def redact(c: Column) -> Column:
-    return replace_all(c, OPERATIONAL_PATTERNS)
+    """File names and operational messages without numbers of persons, telephones and mail addresses; blank text is null."""
+    return F.nullif(replace_all(c, OPERATIONAL_PATTERNS), F.lit(""))
+
+
+def scrub(c: Column) -> Column:
+    """Any text without personal data: numbers, birth dates, names behind their labels, addresses, postal codes, mail, telephones; null is empty."""
+    return replace_all(F.coalesce(c, F.lit("")), PERSONAL_PATTERNS)
+
+
+def scrub_all(c: Column) -> Column:
+    """scrub() on each text of an array."""
+    return F.transform(c, scrub)
 
 
 def failure_signature(c: Column) -> Column:
-    """A failure message without what differs between like failures; empty ones are UnknownError."""
-    plain = collapse_spaces(redact(replace_all(F.coalesce(c, F.lit("")), FAILURE_PATTERNS)))
-    return F.when(plain == "", F.lit("UnknownError")).otherwise(plain)
+    """A failure message without what differs between like failures, then without personal data; null and empty ones are UnknownError."""
+    plain = F.regexp_replace(trim_ws(scrub(replace_all(c, FAILURE_PATTERNS))), r"(?U)\s+", " ")
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("UnknownError")).otherwise(plain)
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -92,9 +119,12 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def date_pattern(fmt: str) -> str:
-    """YYYY/MM/DD tokens or strptime codes as a Spark pattern that takes one-digit months and days."""
-    for code, ours in (("%Y", "yyyy"), ("%m", "M"), ("%d", "d"), ("%H", "H"), ("%M", "m"), ("%S", "s"), ("YYYY", "yyyy"), ("MM", "M"), ("DD", "d")):
-        fmt = fmt.replace(code, ours)
+    """YYYY/MM/DD tokens or strptime codes as a Spark pattern that takes one-digit months and days; other codes are an error."""
+    for code, ours in (("%Y", "yyyy"), ("%y", "yy"), ("%m", "M"), ("%b", "MMM"), ("%B", "MMMM"), ("%d", "d"), ("%j", "D"), ("%H", "H"), ("%I", "h"), ("%p", "a"), ("%M", "m"), ("%S", "s"), ("%z", "xx"), ("YYYY", "yyyy"), ("MM", "M"), ("DD", "d")):
+        if code != "MM" or "MMM" not in fmt:
+            fmt = fmt.replace(code, ours)
+    if "%" in fmt:
+        raise ValueError(f"no such code: {fmt!r}")
     return fmt
 
 

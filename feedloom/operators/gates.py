@@ -17,15 +17,21 @@ def latest(frame: DataFrame, keys: list[str], order: list) -> DataFrame:
 def dependency_gate(edges: DataFrame, latest_runs: DataFrame, as_of: str) -> DataFrame:
     """edges (downstream, upstream, kind, max_lag_hours, max_quarantine_pct) with blocked and reason.
 
-    latest_runs: upstream, status, completed_at, recon_status, quarantine_pct, aborted. The last failing check gives the reason;
-    a SOFT edge warns and never blocks.
+    latest_runs: upstream, status, completed_at, recon_status, quarantine_pct, aborted. A run that failed, is under way or never was is that alone;
+    lag, reconciliation, quarantine and rejected files are looked at where it succeeded, and the last failing one gives the
+    reason. edges may have booleans block_on_failure, block_on_unbalanced and block_on_rejected that switch checks off (null and absent:
+    on). A SOFT edge warns and never blocks.
     """
     joined = edges.join(latest_runs, "upstream", "left")
+    on = lambda name: F.coalesce(F.col(name), F.lit(True)) if name in edges.columns else F.lit(True)
     late = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("completed_at")) > F.col("max_lag_hours") * 3600
-    checks = [
-        (F.col("aborted"), "REJECTED_FILE"), (F.col("quarantine_pct") > F.col("max_quarantine_pct"), "QUARANTINE_OVER_LIMIT"), (F.col("recon_status") != "PASS", "NOT_RECONCILED"),
-        (late, "STALE"), (F.col("status").isin("RUNNING", "PENDING"), "STILL_RUNNING"), (F.col("status").isin("FAILED", "CANCELLED", "FAILED_RECONCILIATION"), "UPSTREAM_FAILED"), (F.col("status").isNull(), "NEVER_RAN"),
+    status = F.col("status")
+    succeeded = [
+        (F.col("aborted") & on("block_on_rejected"), "REJECTED_FILE"), (F.col("quarantine_pct") > F.col("max_quarantine_pct"), "QUARANTINE_OVER_LIMIT"),
+        ((F.col("recon_status") != "PASS") & on("block_on_unbalanced"), "NOT_RECONCILED"), (late & (F.col("max_lag_hours") > 0), "STALE"),
     ]
+    checks = [(status.isNull(), "NEVER_RAN"), (status.isin("FAILED", "CANCELLED", "FAILED_RECONCILIATION") & on("block_on_failure"), "UPSTREAM_FAILED"), (status.isin("RUNNING", "PENDING"), "STILL_RUNNING")]
+    checks += [((status == "SUCCESS") & check, name) for check, name in succeeded]
     reason = F.coalesce(*[F.when(check, F.lit(name)) for check, name in checks])
     return joined.select("downstream", "upstream", "kind", F.coalesce(reason, F.lit("READY")).alias("reason"), (reason.isNotNull() & (F.col("kind") == "HARD")).alias("blocked"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRECEDENCE = ["BATCH_ABORTED", "QUARANTINED_ROWS", "LOGGED_WARNING", "LOGGED_INFO", "PASSED"]
+PRECEDENCE = ["BATCH_ABORTED", "QUARANTINED_ROWS", "LOGGED_WARNING", "PASSED"]
 
 
 def home_kpis(batches: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
@@ -16,10 +16,11 @@ def home_kpis(batches: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
 
 
 def dq_summary(results: DataFrame) -> DataFrame:
-    """(batch_id, evaluated, violations, outcome) of rule results (batch_id, evaluated, failed, action)."""
-    worst = F.min(F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("action")))
+    """(batch_id, evaluated, violations, outcome) of rule results (batch_id, evaluated, failed, action); violations that are only logged give LOGGED_WARNING, of INFO rules too."""
+    action = F.when(F.col("action") == "LOGGED_INFO", "LOGGED_WARNING").otherwise(F.col("action"))
+    worst = F.min(F.nullif(F.array_position(F.array(*map(F.lit, PRECEDENCE)), action), F.lit(0)))
     out = results.groupBy("batch_id").agg(F.max("evaluated").alias("evaluated"), F.sum("failed").alias("violations"), worst.alias("worst"))
-    return out.select("batch_id", "evaluated", "violations", F.when(F.col("worst") <= 4, F.element_at(F.array(*map(F.lit, PRECEDENCE)), F.greatest(F.col("worst"), F.lit(1)).cast("int"))).otherwise("PASSED").alias("outcome"))
+    return out.select("batch_id", "evaluated", "violations", F.coalesce(F.try_element_at(F.array(*map(F.lit, PRECEDENCE)), F.col("worst").cast("int")), F.lit("PASSED")).alias("outcome"))
 
 
 def batch_monitor(batches: DataFrame, stages: DataFrame) -> DataFrame:
@@ -48,14 +49,22 @@ def page(frame: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return frame.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def alert_episodes(failures: DataFrame, keys: list[str], at: str, gap_hours: int = 2) -> DataFrame:
-    """(keys, episode, n, first_at, last_at, opened): failures of a key form one alert until `gap_hours` pass; a later one reopens it."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    apart = (F.unix_timestamp(at) - F.unix_timestamp(F.lag(at).over(order))) > gap_hours * 3600
-    marked = failures.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
-    marked = marked.withColumn("episode", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = marked.groupBy(*keys, "episode").agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
-    return out.withColumn("opened", F.when(F.col("episode") == 1, "OPEN").otherwise("REOPENED"))
+def alert_episodes(failures: DataFrame, resolutions: DataFrame, keys: list[str], at: str, within_hours: int = 2) -> DataFrame:
+    """(keys, alert, n, first_at, last_at, reopened): failures of a key join its open alert; after a resolution one within the hours reopens it, a later one opens a new alert.
+
+    resolutions: keys and the time, under the same name. Both ends of the hours are included; a resolution at the time of a failure comes before it;
+    resolutions without an open alert do nothing. reopened counts how often an alert was reopened.
+    """
+    both = failures.select(*keys, at, F.lit(1).alias("_failure")).unionByName(resolutions.select(*keys, at, F.lit(0).alias("_failure")))
+    before = Window.partitionBy(*keys).orderBy(at, "_failure").rowsBetween(Window.unboundedPreceding, -1)
+    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
+    last = lambda kind: F.last(F.when(F.col("_failure") == kind, seconds(F.col(at))), ignorenulls=True).over(before)
+    marked = both.withColumns({"_failed": last(1), "_solved": last(0)}).where("_failure = 1")
+    solved = F.coalesce(F.col("_solved") >= F.col("_failed"), F.lit(False))
+    again = solved & (seconds(F.col(at)) - F.col("_solved") <= within_hours * 3_600_000_000)
+    marked = marked.withColumns({"_again": again.cast("long"), "_new": (F.col("_failed").isNull() | (solved & ~again)).cast("long")})
+    alert = F.sum("_new").over(Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("alert", alert).groupBy(*keys, "alert").agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.sum("_again").alias("reopened"))
 
 
 def fingerprint_totals(failures: DataFrame, fingerprint: str, at: str) -> DataFrame:

@@ -9,8 +9,8 @@ from feedloom.functions.text import blank_to_null
 
 # Date forms in the order in which they are tried: name, pattern of the text, pattern of the date.
 DATE_FORMS = [
-    ("YYYY-MM-DD", r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), ("MM/DD/YYYY", r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), ("DD/MM/YYYY", r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    ("MM-DD-YYYY", r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"), ("DD-MM-YYYY", r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), ("YYYY/MM/DD", r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), ("YYYYMMDD", r"^\d{8}$", "yyyyMMdd"),
+    ("YYYY-MM-DD", r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), ("MM/DD/YYYY", r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"), ("DD/MM/YYYY", r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
+    ("MM-DD-YYYY", r"^\d{2}-\d{2}-\d{4}$", "MM-dd-yyyy"), ("DD-MM-YYYY", r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"), ("YYYY/MM/DD", r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"), ("YYYYMMDD", r"^\d{8}$", "yyyyMMdd"),
 ]
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 TYPES = ("STRING", "INTEGER", "DECIMAL", "BOOLEAN", "DATE", "TIMESTAMP")

@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import blank_to_null, to_date, to_decimal
+from feedloom.functions.text import NUMBER, blank_to_null, to_date, to_decimal
 
 SEVERITIES = ("INFO", "WARNING", "QUARANTINE", "REJECT_FILE")
 # The quarantine reason of each rule type.
@@ -64,6 +65,15 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")
 
 
+def compiles(pattern: str) -> bool:
+    """Whether Java takes a pattern; one that it doesn't is no check."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def violated(rule: Rule, dialect: str = "production") -> Column:
     """True where the row violates the rule, never null."""
     c, test = rule.config, dialect == "test"
@@ -72,14 +82,15 @@ def violated(rule: Rule, dialect: str = "production") -> Column:
         return value.isNull()
     checks: list[Column] = []
     if rule.kind == "RANGE":
-        number = to_decimal(value)
-        checks.append(number.isNull())
+        number, text = to_decimal(value), F.col(rule.column).cast("string")
+        wide = F.when(text.rlike(NUMBER), text.try_cast("double"))  # of more digits than a decimal holds
+        checks.append(wide.isNull())
         for bound, inclusive in (("min", c.get("inclusive_min", c.get("inclusive", True))), ("max", c.get("inclusive_max", c.get("inclusive", True)))):
             if c.get(bound) is not None:
-                limit = F.lit(str(c[bound])).cast("decimal(38,18)")
-                outside = (number < limit, number <= limit) if bound == "min" else (number > limit, number >= limit)
-                checks.append(outside[not inclusive])
-    elif rule.kind == "REGEX" and c.get("pattern"):
+                exact, about = F.lit(str(c[bound])).try_cast("decimal(38,18)"), F.lit(float(c[bound]))
+                outside = lambda x, limit: ((x < limit, x <= limit) if bound == "min" else (x > limit, x >= limit))[not inclusive]  # noqa: B023, E731
+                checks.append(F.coalesce(outside(number, exact), outside(wide, about)))
+    elif rule.kind == "REGEX" and c.get("pattern") and compiles(java_pattern(c["pattern"])):
         pattern = java_pattern(c["pattern"])
         checks.append(~value.rlike(rf"^(?:{pattern})\z" if test else pattern))
     elif rule.kind == "ENUM":
@@ -97,9 +108,9 @@ def violated(rule: Rule, dialect: str = "production") -> Column:
         day = to_date(value, c.get("format", "%Y-%m-%d"))
         checks.append(day.isNull())
         if c.get("min_date"):
-            checks.append(day < F.lit(c["min_date"]).cast("date"))
+            checks.append(day < F.lit(c["min_date"]).try_cast("date"))  # a bound that is no date bounds nothing
         if c.get("max_date"):
-            checks.append(day > F.lit(c["max_date"]).cast("date"))
+            checks.append(day > F.lit(c["max_date"]).try_cast("date"))
     elif rule.kind == "CROSS_FIELD":
         other = blank_to_null(F.col(c.get("secondary_field") or c["compare_field"]).cast("string"))
         operator = _OPERATORS.get(c["operator"], c["operator"])
@@ -111,7 +122,7 @@ def violated(rule: Rule, dialect: str = "production") -> Column:
             holds = {"GT": a > b, "LT": a < b, "GTE": a >= b, "LTE": a <= b}.get(operator)
             if holds is not None:
                 checks.append(F.coalesce(~holds, F.lit(True)))
-    bad = reduce(lambda x, y: x | y, checks, F.lit(False))
+    bad = reduce(lambda x, y: x | y, [F.coalesce(check, F.lit(False)) for check in checks], F.lit(False))
     return F.when(value.isNull(), F.lit(test)).otherwise(F.coalesce(bad, F.lit(False)))
 
 

@@ -121,10 +121,18 @@ def match_disjoint(windows: DataFrame, arrivals: DataFrame) -> DataFrame:
 
 
 def slot_status(windows: DataFrame, matched: DataFrame, as_of: str) -> DataFrame:
-    """windows with arrival_id, detected_at and status: ON_TIME, LATE, EXPECTED or MISSED_SLA."""
-    out = windows.join(matched, ["feed", "slot"], "left")
-    status = F.when(F.col("detected_at") <= F.col("deadline"), "ON_TIME").when(F.col("detected_at").isNotNull(), "LATE").when(F.lit(as_of).cast("timestamp") <= F.col("deadline"), "EXPECTED").otherwise("MISSED_SLA")
-    return out.withColumn("status", status)
+    """windows with arrival_id, detected_at, status (ON_TIME, LATE, EXPECTED, MISSED_SLA or PAUSED) and delay_minutes.
+
+    A slot without an arrival whose windows row says `paused` is PAUSED. The delay counts from the deadline in whole minutes, 1 at least: to the arrival where
+    LATE, to as_of where MISSED_SLA; else it is 0.
+    """
+    out, now = windows.join(matched, ["feed", "slot"], "left"), F.lit(as_of).cast("timestamp")
+    paused = F.coalesce(F.col("paused"), F.lit(False)) if "paused" in windows.columns else F.lit(False)
+    status = F.when(paused & F.col("detected_at").isNull(), "PAUSED").when(F.col("detected_at") <= F.col("deadline"), "ON_TIME").when(F.col("detected_at").isNotNull(), "LATE").when(now <= F.col("deadline"), "EXPECTED").otherwise("MISSED_SLA")
+    since = lambda c: F.greatest(F.lit(1), F.floor((F.unix_micros(c.cast("timestamp")) - F.unix_micros(F.col("deadline").cast("timestamp"))) / 60_000_000))
+    out = out.withColumn("status", status)
+    delay = F.when(F.col("status") == "LATE", since(F.col("detected_at"))).when(F.col("status") == "MISSED_SLA", since(now)).otherwise(F.lit(0))
+    return out.withColumn("delay_minutes", delay.cast("long"))
 
 
 def attainment(statuses: DataFrame) -> DataFrame:
@@ -137,10 +145,8 @@ def attainment(statuses: DataFrame) -> DataFrame:
 def board(statuses: DataFrame, arrivals: DataFrame) -> DataFrame:
     """(feed, expected_at, arrival_id, detected_at, status, delay_minutes): slot_status() rows and, as UNSCHEDULED, the arrivals that no slot took.
 
-    An unscheduled arrival is expected when it came; the delay is in whole minutes after the slot, 0 at least, null without an arrival.
+    An unscheduled arrival is expected when it came and has no delay.
     """
     taken = statuses.where("arrival_id is not null").select("feed", "arrival_id")
-    other = arrivals.join(taken, ["feed", "arrival_id"], "left_anti").select("feed", F.col("detected_at").alias("expected_at"), "arrival_id", "detected_at", F.lit("UNSCHEDULED").alias("status"))
-    both = statuses.select("feed", F.col("slot").alias("expected_at"), "arrival_id", "detected_at", "status").unionByName(other)
-    minutes = F.floor((F.unix_timestamp(F.col("detected_at").cast("timestamp")) - F.unix_timestamp(F.col("expected_at").cast("timestamp"))) / 60)
-    return both.withColumn("delay_minutes", F.when(F.col("detected_at").isNotNull(), F.greatest(F.lit(0), minutes)).cast("long"))
+    other = arrivals.join(taken, ["feed", "arrival_id"], "left_anti").select("feed", F.col("detected_at").alias("expected_at"), "arrival_id", "detected_at", F.lit("UNSCHEDULED").alias("status"), F.lit(0).cast("long").alias("delay_minutes"))
+    return statuses.select("feed", F.col("slot").alias("expected_at"), "arrival_id", "detected_at", "status", "delay_minutes").unionByName(other)

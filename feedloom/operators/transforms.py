@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from feedloom.functions.text import blank_to_null, date_pattern, trim_ws
 
-_STEP = re.compile(r"\.?(?P<name>[^.\[\]]+)|\[(?P<index>\d+)\]|\[(?P<all>\*)\]|\[\?\(@\.(?P<key>\w+)\s*(?P<op>==|!=)\s*'(?P<value>[^']*)'\)\]")
+_STEP = re.compile(r"\.?(?P<name>[^.\[\]]+)|\[['\"](?P<quoted>[^'\"]*)['\"]\]|\[(?P<index>\d+)\]|\[(?P<all>\*)\]|\[\?\(@\.(?P<key>\w+)\s*(?P<op>==|!=)\s*'(?P<value>[^']*)'\)\]")
 
 
 def steps(path: str) -> list[dict[str, str]]:
@@ -21,7 +21,8 @@ def steps(path: str) -> list[dict[str, str]]:
         match = _STEP.match(path, at)
         if not match:
             raise ValueError(f"cannot read {path!r} at {at}")
-        out.append({k: v for k, v in match.groupdict().items() if v is not None})
+        found = {k: v for k, v in match.groupdict().items() if v is not None}
+        out.append({"name": found["quoted"]} if "quoted" in found else found)
         at = match.end()
     return out
 
@@ -30,6 +31,10 @@ def _field(name: str):
     return lambda x: x[name]
 
 
+def _at(index: int):
+    return lambda x: F.get(x, index)
+
+
 def _equals(key: str, value: str, same: bool):
     return lambda x: (F.coalesce(x[key].cast("string"), F.lit("None")) == value) == F.lit(same)
 
@@ -39,15 +44,19 @@ def _present(array: Column) -> Column:
 
 
 def extract(root: Column, path: str, default: Any = None) -> Column:
-    """What a path finds in a struct. [*] and filters give arrays, without nulls, flattened by one level; none found: the default."""
+    """What a path finds in a struct. [*] and filters give arrays, without nulls; what follows holds for each element, a further [*] or filter
+    for the elements of all its arrays. None found: the default."""
     column, many = root, False
     todo = steps(path)
     for n, step in enumerate(todo):
         if "name" in step:
             column = _present(F.transform(column, _field(step["name"]))) if many else column[step["name"]]
         elif "index" in step:
-            column = F.get(column, int(step["index"]))
+            at = int(step["index"])
+            column = _present(F.transform(column, _at(at))) if many else F.get(column, at)
         else:
+            if many:
+                column = F.flatten(column)
             if "key" in step:
                 column = F.filter(column, _equals(step["key"], step["value"], step["op"] == "=="))
             many = True
@@ -58,6 +67,14 @@ def extract(root: Column, path: str, default: Any = None) -> Column:
     return column if default is None else F.coalesce(column, F.lit(default))
 
 
+def unmapped(sources: list[str], params: dict[str, Any]) -> Column:
+    """True for a row that a VALUE_MAP with on_unmapped ERROR has no value for: it goes to quarantine and ends no job."""
+    if params.get("on_unmapped") != "ERROR":
+        return F.lit(False)
+    value = F.col(sources[0]).cast("string")
+    return F.coalesce(value.isNotNull() & ~value.isin(list(params["dictionary"])), F.lit(False))
+
+
 def compile_transform(kind: str, sources: list[str], params: dict[str, Any] | None = None) -> Column:
     """The column of one mapping line."""
     p, cols = params or {}, [F.col(s) for s in sources]
@@ -68,8 +85,7 @@ def compile_transform(kind: str, sources: list[str], params: dict[str, Any] | No
     if kind == "VALUE_MAP":
         pairs = [F.lit(x) for kv in p["dictionary"].items() for x in kv]
         found = F.try_element_at(F.create_map(*pairs), cols[0].cast("string")) if pairs else F.lit(None)
-        other = {"NULL": F.lit(None), "ERROR": F.raise_error(F.concat(F.lit("no mapping for "), cols[0].cast("string")))}.get(p.get("on_unmapped"), F.lit(p.get("default")))
-        return F.coalesce(found, F.when(cols[0].isNotNull(), other) if p.get("on_unmapped") == "ERROR" else other)
+        return found if p.get("on_unmapped") in ("NULL", "ERROR") else F.coalesce(found, F.lit(p.get("default")))
     if kind == "DATE_FORMAT":
         text = blank_to_null(cols[0].cast("string"))
         return F.coalesce(F.date_format(F.try_to_timestamp(text, F.lit(date_pattern(p["source_format"]))), _output(p["target_format"])), text)

@@ -4,11 +4,13 @@ import hashlib
 import hmac
 from datetime import datetime, timedelta
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
-from feedloom.operators import gates, identity, profile, rules, schedule, transforms, validation
+from feedloom.operators import gates, identity, ops, profile, rules, schedule, transforms, validation
 from feedloom.operators.rules import Rule
 from feedloom.sources import files
 from feedloom.streaming import kpis
@@ -66,11 +68,11 @@ def test_paths(spark):
 
 
 def test_hashes_and_redaction(spark):
-    frame = spark.createDataFrame([("Ann  smith",), ("mail a.b@c.org or 123-45-6789, 555-123-4567 MRN-99",), (None,)], "v string")
+    frame = spark.createDataFrame([("Ann  smith",), ("mail a.b@c.org or 123-45-6789, 555-123-4567 MRN-99123",), (None,)], "v string")
     got = [r[0] for r in frame.select(text.hmac_sha256(b"k" * 70, F.col("v"))).collect()]
     assert got[0] == hmac.new(b"k" * 70, b"Ann  smith", hashlib.sha256).hexdigest() and got[2] is None
     assert frame.select(text.redact(F.col("v"))).collect()[1][0] == "mail [REDACTED_EMAIL] or [REDACTED_SSN], [REDACTED_PHONE] [REDACTED_MRN]"
-    said = spark.createDataFrame([("row 5 of /data/in/a.csv at 2026-01-01T00:00:00Z",), ("row 77 of /data/in/b.csv  at 2026-02-02 11:00:00",), ("",)], "v string")
+    said = spark.createDataFrame([("row 5 of /var/in/a.csv at 2026-01-01T00:00:00Z",), ("row 77 of /var/in/b.csv  at 2026-02-02 11:00:00",), ("",)], "v string")
     signatures = [r[0] for r in said.select(text.failure_signature(F.col("v"))).collect()]
     assert signatures[0] == signatures[1] and signatures[2] == "UnknownError"
 
@@ -187,3 +189,63 @@ def test_entry_without_the_corpus_operators(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 5 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_privacy_patterns_against_python(spark):
+    said = ["claims_123456789.csv", "MRN AB12345 and mrn:99999", "x123-45-6789", "DOB: 1980-01-02 patient name: John Smith zip: 12345", "call (555) 123-4567, or +1 555.123.4567; 5551234567", "12 Old Mill Road, Springfield 12345-6789", "123456789 123456789 078-05-1120", "a@b.org PatientID#A1234 é123456789", "line 5 of C:\\x\\y.csv at 2024-01-02T03:04:05.6+01:00", "/a/b /tmp/f.txt'x record#12 0xFFab", "member name:\tAda Lovelace king", "", None]
+    frame = spark.createDataFrame([(n, v) for n, v in enumerate(said)], "n int, v string")
+    got = {r.n: r for r in frame.select("n", text.redact(F.col("v")).alias("op"), text.scrub(F.col("v")).alias("all"), text.failure_signature(F.col("v")).alias("sig")).collect()}
+
+    def plain(value, patterns):
+        for pattern, mark in patterns:
+            value = re.sub(pattern, mark, value)
+        return value
+
+    for n, value in enumerate(said):
+        v = value or ""
+        assert got[n].op == (plain(v, text.OPERATIONAL_PATTERNS) or None) and got[n].all == plain(v, text.PERSONAL_PATTERNS)
+        assert got[n].sig == (re.sub(r"\s+", " ", plain(plain(v, text.FAILURE_PATTERNS), text.PERSONAL_PATTERNS)).strip() if v else "UnknownError")
+    assert got[0].op == "claims_[REDACTED_SSN].csv" and got[1].op == "[REDACTED_MRN] and [REDACTED_MRN]" and got[2].op == "x[REDACTED_SSN]"
+    assert got[3].all == "[REDACTED_DOB] [REDACTED_NAME]: 12345" or "John" not in got[3].all
+    assert got[8].sig == "row <NUM> of <PATH> at <TS>" and got[9].sig.startswith("/a/b <PATH>'x row <NUM> <HEX_ADDR>")
+
+
+def test_alerts_reopen_within_the_hours(spark):
+    t = lambda h: f"2024-01-01 {h:02d}:00:00"
+    failures = spark.createDataFrame([("a", t(1)), ("a", t(2)), ("a", t(5)), ("a", t(9)), ("b", t(3)), ("b", t(9))], "k string, at string").selectExpr("k", "cast(at as timestamp) at")
+    solved = spark.createDataFrame([("a", t(3)), ("a", t(6)), ("b", t(1)), (None, t(2))], "k string, at string").selectExpr("k", "cast(at as timestamp) at")
+    got = sorted((r.k, r.alert, r.n, r.reopened) for r in ops.alert_episodes(failures, solved, ["k"], "at").collect())
+    assert got == [("a", 1, 3, 1), ("a", 2, 1, 0), ("b", 1, 2, 0)]
+
+
+def test_only_runs_that_succeeded_are_looked_at(spark):
+    edges = spark.createDataFrame([("d", u, "HARD", 1, 5, b) for u, b in ((1, None), (2, False), (3, None), (4, None), (5, None))], "downstream string, upstream int, kind string, max_lag_hours int, max_quarantine_pct int, block_on_failure boolean")
+    runs = spark.createDataFrame([(1, "FAILED"), (2, "FAILED"), (3, "SUCCESS"), (4, "RUNNING")], "upstream int, status string").selectExpr("*", "timestamp'2024-01-01' completed_at", "'PASS' recon_status", "0 quarantine_pct", "false aborted")
+    got = {r.upstream: r.reason for r in gates.dependency_gate(edges, runs, "2024-01-02").collect()}
+    assert got == {1: "UPSTREAM_FAILED", 2: "READY", 3: "STALE", 4: "STILL_RUNNING", 5: "NEVER_RAN"}
+
+
+def test_paths_behind_wildcards(spark):
+    row = spark.range(1).select(F.expr("named_struct('a', array(named_struct('b', array(1, 2), 'c d', 5), named_struct('b', array(3, 4), 'c d', 6)))").alias("r"))
+    paths = {"a[*].b[0]": [1, 3], "a[*].b[*]": [1, 2, 3, 4], "a[0]['c d']": 5, "a[*]['c d']": [5, 6], "a[*].b[7]": None}
+    got = row.select(*[transforms.extract(F.col("r"), p).alias(str(n)) for n, p in enumerate(paths)]).first()
+    assert list(got) == list(paths.values())
+
+
+def test_rules_end_no_job(spark):
+    frame = spark.createDataFrame([("1" * 25,), ("12",), (None,), ("x",)], "v string")
+    of = lambda kind, **c: [r[0] for r in frame.select(rules.violated(rules.Rule("r", kind, "v", config=c))).collect()]
+    assert of("RANGE", max=10**26) == [False, False, False, True] and of("RANGE", max=10**22) == [True, False, False, True]
+    assert of("REGEX", pattern="(") == [False] * 4 and of("DATE_RANGE", min_date="soon", format="%d-%b-%Y") == [True, True, False, True]
+    line = {"dictionary": {"12": "y"}, "on_unmapped": "ERROR"}
+    got = frame.select(transforms.compile_transform("VALUE_MAP", ["v"], line).alias("m"), transforms.unmapped(["v"], line).alias("u")).collect()
+    assert [tuple(r) for r in got] == [(None, True), ("y", False), (None, False), (None, True)]
+    days = spark.createDataFrame([("02-Jan-2024",), ("x",)], "v string")
+    assert [r[0] for r in days.select(transforms.compile_transform("DATE_FORMAT", ["v"], {"source_format": "%d-%b-%Y", "target_format": "%Y-%m-%d"})).collect()] == ["2024-01-02", "x"]
+
+
+def test_delay_counts_from_the_deadline(spark):
+    windows = spark.sql("select 'f' feed, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,id) slot, timestamp'2024-01-01 01:00:00' + make_interval(0,0,0,id) deadline, id = 3 paused from range(5)")
+    matched = spark.sql("select 'f' feed, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,id) slot, id arrival_id, timestamp'2024-01-01 01:00:30' + make_interval(0,0,0,id,0,id * 10) detected_at from range(2)")
+    got = {r.slot.day: (r.status, r.delay_minutes) for r in schedule.slot_status(windows, matched, "2024-01-05 00:30:00").collect()}
+    assert got == {1: ("LATE", 1), 2: ("LATE", 10), 3: ("MISSED_SLA", 2 * 1440 - 30), 4: ("PAUSED", 0), 5: ("EXPECTED", 0)}
