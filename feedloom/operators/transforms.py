@@ -67,7 +67,7 @@ def extract(root: Column, path: str, default: Any = None) -> Column:
     return column if default is None else F.coalesce(column, F.lit(default))
 
 
-def unmapped(sources: list[str], params: dict[str, Any]) -> Column:
+def without_value(sources: list[str], params: dict[str, Any]) -> Column:
     """True for a row that a VALUE_MAP with on_unmapped ERROR has no value for: it goes to quarantine and ends no job."""
     if params.get("on_unmapped") != "ERROR":
         return F.lit(False)

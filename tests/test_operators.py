@@ -238,7 +238,7 @@ def test_rules_end_no_job(spark):
     assert of("RANGE", max=10**26) == [False, False, False, True] and of("RANGE", max=10**22) == [True, False, False, True]
     assert of("REGEX", pattern="(") == [False] * 4 and of("DATE_RANGE", min_date="soon", format="%d-%b-%Y") == [True, True, False, True]
     line = {"dictionary": {"12": "y"}, "on_unmapped": "ERROR"}
-    got = frame.select(transforms.compile_transform("VALUE_MAP", ["v"], line).alias("m"), transforms.unmapped(["v"], line).alias("u")).collect()
+    got = frame.select(transforms.compile_transform("VALUE_MAP", ["v"], line).alias("m"), transforms.without_value(["v"], line).alias("u")).collect()
     assert [tuple(r) for r in got] == [(None, True), ("y", False), (None, False), (None, True)]
     days = spark.createDataFrame([("02-Jan-2024",), ("x",)], "v string")
     assert [r[0] for r in days.select(transforms.compile_transform("DATE_FORMAT", ["v"], {"source_format": "%d-%b-%Y", "target_format": "%Y-%m-%d"})).collect()] == ["2024-01-02", "x"]
