@@ -41,21 +41,23 @@ def weigh(where: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """idf: of each bucket; centres: one row each, of length 1; langs: their languages."""
+    """idf: of each bucket; centres: one row each, of length 1; langs: their languages; radii: the least cosine at which a text is near each."""
 
     idf: np.ndarray
     centres: np.ndarray
     langs: list[str]
+    radii: np.ndarray
 
-    def predict(self, text: str | None, least: float = 0.0) -> tuple[str, float]:
-        """The nearest centre's language and the cosine; `und` and 0 without a letter, `und` if the cosine is under `least`."""
+    def predict(self, text: str | None, reject: bool = False, least: float = 0.0) -> tuple[str, float, bool]:
+        """The nearest centre's language, the cosine, and whether it is beyond the centre's radius; `und` and 0 without a letter, `und` too beyond the radius if reject, and under the cosine `least`."""
         if not self.langs or not text or not LETTER.search(text):
-            return "und", 0.0
+            return "und", 0.0, True
         where, n = counts(text)
         cosine = self.centres[:, where] @ weigh(where, n, self.idf)
         k = int(cosine.argmax())
         score = float(np.clip(cosine[k], 0, 1))
-        return (self.langs[k] if score >= least else "und"), score
+        far = bool(score < self.radii[k])
+        return ("und" if score < least or (far and reject) else self.langs[k]), score, far
 
 
 def cluster(rows: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -69,18 +71,19 @@ def cluster(rows: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 500, clusters: int = 8, mod: int = 4, held: int = 2) -> Centroids:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 500, clusters: int = 8, quantile: float = 0.01, mod: int = 4, held: int = 2) -> Centroids:
     """Centroids learned from rows with a language whose crc32(id as text) mod `mod` is not `held`.
 
     Document frequencies come from all these rows: every task adds up its own, at most 8192 numbers, before the shuffle.
     Centres are clustered on a bounded sample, about `sample_per_lang` rows of each language by hash of id and text; those
     that draw over three tenths of their rows from other languages (passages quoted in another language) are left out.
+    A centre's radius is the cosine that all but a `quantile` of its language's sampled rows nearest to it reach.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col, mod, held).alias("held"))
     rows = rows.where(~F.col("held") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as there are languages
     if not sizes:
-        return Centroids(np.zeros(BUCKETS), np.zeros((0, BUCKETS)), [])
+        return Centroids(np.zeros(BUCKETS), np.zeros((0, BUCKETS)), [], np.zeros(0))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -119,7 +122,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             langs += [lang] * len(own)
         rows_of[lang] = dense
     if not centres:
-        return Centroids(idf, np.zeros((0, BUCKETS)), [])
+        return Centroids(idf, np.zeros((0, BUCKETS)), [], np.zeros(0))
     every, own = np.concatenate(centres), np.array(langs, object)
     nearest = {lang: (dense @ every.T).argmax(axis=1) for lang, dense in rows_of.items()}
     total = sum(np.bincount(k, minlength=len(every)) / len(k) for k in nearest.values() if len(k))
@@ -128,20 +131,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for lang in rows_of:  # a language keeps one centre at least
         if not pure[own == lang].any() and (own == lang).any():
             pure[np.flatnonzero(own == lang)[mine[own == lang].argmax()]] = True
-    return Centroids(idf, every[pure], own[pure].tolist())
+    radii = np.zeros(len(every))  # a language's rows of the sample that a kept centre draws; beyond nearly all of them is beyond the centre
+    for lang, dense in rows_of.items():
+        mine = np.flatnonzero(pure & (own == lang))
+        cosines = dense @ every[mine].T
+        for n, k in enumerate(mine):
+            drawn = cosines[cosines.argmax(axis=1) == n, n] if len(cosines) else cosines
+            radii[k] = np.quantile(drawn, quantile) if len(drawn) else 0
+    return Centroids(idf, every[pure], own[pure].tolist(), radii[pure])
 
 
-def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, mod: int = 4, held: int = 2, **settings) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of docs, from its whole text alone.
+def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: bool = False, least: float = 0.0, mod: int = 4, held: int = 2, **settings) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected) for every row of docs, from its whole text alone.
 
-    `und` with score 0 if the text is null or has no letter, or nothing was learned; `und` too where no centre's cosine
-    reaches `least` (0 rejects none). Ties go to the first language in order. Rows that repeat are answered each.
+    `und` with score 0 if the text is null or has no letter, or nothing was learned. rejected: so, or the nearest centre is further than
+    its learned radius, as for a language not learned; with `reject` such texts are `und` too, and so are all under the cosine `least` (0: none). Ties go to the first language in order. Rows that repeat are answered each.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, mod=mod, held=held, **settings))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.value.predict(t, least) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([model.value.predict(t, reject, least) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, mod, held).alias("held_out"), predict(F.col(text_col)).alias("p"))
-    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
