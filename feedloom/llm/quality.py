@@ -15,15 +15,23 @@ from feedloom.llm.common import gram_hashes, held_out, span_hashes, spans
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed words and byte 3- and 4-grams of a whole text: buckets and their shares, which add up to 1."""
-    buffer = np.frombuffer(text or b"", np.uint8)
-    parts = [gram_hashes(buffer, n) for n in GRAMS]
-    parts.append(span_hashes(buffer, *spans(buffer, ~_BLANK)).astype(np.uint32))
+_BLANKS = np.array([9, 10, 11, 12, 13, 32, 0xA0], np.uint32)
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed words and character 3- and 4-grams of words, blanks at their ends included, of a whole text: buckets and their shares, which add up to 1."""
+    codes = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.isin(codes, _BLANKS)
+    kept = ~(blank & np.append(False, blank[:-1]))  # runs of blanks are one
+    codes, blank = np.where(blank, np.uint32(32), codes)[kept], blank[kept]
+    parts = []
+    for n in GRAMS:
+        inner = np.lib.stride_tricks.sliding_window_view(blank, n - 2)[1:-1].any(axis=1) if len(blank) >= n else np.empty(0, bool)
+        parts.append(gram_hashes(codes, n)[~inner])
+    edges = np.flatnonzero(blank)
+    starts, ends = edges[:-1] + 1, edges[1:]
+    words = ends > starts
+    parts.append(span_hashes(codes, starts[words], ends[words]).astype(np.uint32))
     every = (np.concatenate(parts) & np.uint32(BUCKETS - 1)).astype(np.int32)
     counts = np.bincount(every, minlength=BUCKETS)
     where = np.flatnonzero(counts)
@@ -44,10 +52,16 @@ class Model:
         return float(1 / (1 + np.exp(np.clip(out[0] - out[1], -500, 500))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 16, epochs: int = 15, rate: float = 0.5, seed: int = 11) -> Model:
-    """Stochastic gradient descent over documents in random order, at a rate that falls to nothing; no rows: all scores 0.5."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 16, epochs: int = 15, rate: float = 0.5, pace: float = 100.0, seed: int = 11, start: Model | None = None) -> Model:
+    """Stochastic gradient descent over documents in random order, at a rate that falls to nothing; no rows: all scores 0.5. It goes on from `start` where given.
+
+    Every step is along the gradient of the softmax loss of one document; as a bucket's share of a document is about a hundredth, its
+    vector has a rate `pace` times that of the output weights.
+    """
     rng = np.random.default_rng(seed)
     model = Model((rng.random((BUCKETS, dim), np.float32) - 0.5) / dim, np.zeros((dim, 2), np.float32), np.zeros(2, np.float32))
+    if start:
+        model = Model(start.vectors.copy(), start.weights.copy(), start.bias.copy())
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
@@ -61,8 +75,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 16, epochs:
             back = model.weights @ error
             model.weights -= now * np.outer(mean, error)
             model.bias -= now * 0.1 * error
-            # a bucket's share is small, so its vector takes a step by the root of it
-            model.vectors[where] -= (now * 4) * np.sqrt(share)[:, None] * back[None, :]
+            model.vectors[where] -= now * pace * np.outer(share, back)
             done += 1
     return model
 
@@ -83,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            found = [features(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "buckets": pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), "shares": pa.array([f[1] for f in found], pa.list_(pa.float32()))})
 
     got = rows.mapInArrow(count, "doc_id long, label int, buckets array<int>, shares array<float>").toArrow()
@@ -99,7 +112,7 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text"):
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(*features(t)) for t in texts], dtype="float64")
 
-    return score(F.col(text_col).cast("binary"))
+    return score(F.col(text_col))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **settings) -> DataFrame:

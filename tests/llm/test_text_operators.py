@@ -240,6 +240,35 @@ def test_quality_held_out(spark):
     assert quality.keep_good(awkward(spark), labels).columns == awkward(spark).columns
 
 
+def test_features_are_words_and_character_grams_of_words():
+    text = "Één  straße\n日本語x\t"
+    grams = [w for n in (3, 4) for word in text.split() for w in (f" {word} "[i : i + n] for i in range(len(word) + 3 - n))]
+    where, share = quality.features(text)
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    buckets = [int(common.gram_hashes(codes(g), len(g))[0]) & (quality.BUCKETS - 1) for g in grams]
+    buckets += [int(common.span_hashes(codes(w), np.array([0]), np.array([len(w)])).astype(np.uint32)[0]) & (quality.BUCKETS - 1) for w in text.split()]
+    counted = Counter(buckets)
+    assert dict(zip(where.tolist(), share.tolist(), strict=True)) == pytest.approx({b: n / len(buckets) for b, n in counted.items()})
+    assert all(abs(quality.features(t)[1].sum() - bool((t or "").strip())) < 1e-6 for t in (None, "", " \n", "a", "ab cd", LONG))
+
+
+def test_steps_follow_the_gradient():
+    rng = np.random.default_rng(0)
+    where, share, label = np.array([3, 8]), np.array([0.25, 0.75], np.float32), 1
+    start = quality.train([(where, share, label)], dim=4, epochs=0, seed=1)
+    start.weights[:] = rng.standard_normal((4, 2))
+    loss = lambda m: -np.log(m.score(where, share))
+    moved = quality.train([(where, share, label)], dim=4, epochs=1, rate=1e-3, pace=1.0, seed=1, start=start)
+    for name, at in (("vectors", (3, 1)), ("vectors", (8, 2)), ("weights", (0, 0)), ("weights", (3, 1))):
+        probe = quality.Model(start.vectors.astype(np.float64), start.weights.astype(np.float64), start.bias.astype(np.float64))
+        own = getattr(probe, name)
+        own[at] += 1e-5
+        up = loss(probe)
+        own[at] -= 2e-5
+        slope = (up - loss(probe)) / 2e-5
+        assert getattr(moved, name)[at] - getattr(start, name)[at] == pytest.approx(-1e-3 * slope, rel=0.02, abs=1e-7)
+
+
 def test_learning_ignores_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
     turned = labels.withColumn("quality", F.when(common.held_out("doc_id", 3, 1), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -257,6 +286,16 @@ def test_language_held_out(spark):
     assert language.predict_languages(frame(spark, [], DOCS)).count() == 0
 
 
+def test_a_language_not_learned_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    left_out = docs.where("lang is not null").groupBy("lang").count().orderBy("count").first()["lang"]
+    known = docs.withColumn("lang", F.nullif("lang", F.lit(left_out)))
+    got = language.predict_languages(known, reject=True).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    shares = [np.mean([r.rejected for r in got if (r.lang == left_out) == foreign]) for foreign in (True, False)]
+    assert shares[0] > 0.8 and shares[1] < 0.15, shares
+    assert all((r.lang_pred == "und") == r.rejected and r.lang_pred != left_out for r in got)
+
+
 # lines
 
 
