@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import cut, mix, span_hashes, spans
+from feedloom.llm.common import cut, dealt_join, discard, hot_keys, mix, span_hashes, spans
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """The words of a UTF-8 text with A-Z lower-cased; none for null."""
-    return _WORD.findall((text or b"").lower())
+COUNTERS = 1 << 18
 
 
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -33,85 +26,148 @@ def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-class Items:
-    """Windows and shingles of the benchmark's items.
+def _words(text: bytes | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """A text with A-Z lower-cased, the starts, ends and hashes of its words; none for null."""
+    lowered = (text or b"").lower()
+    buffer = np.frombuffer(lowered, np.uint8)
+    starts, ends = spans(buffer, IN_WORD)
+    return lowered, starts, ends, span_hashes(buffer, starts, ends)
+
+
+def _join(text: bytes, starts: np.ndarray, ends: np.ndarray, low: int, high: int) -> bytes:
+    return b" ".join(text[s:e] for s, e in zip(starts[low:high].tolist(), ends[low:high].tolist(), strict=True))
+
+
+def _windows(bench: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(words, length, size, runs, items): each window once, with the hashes of its shingles in order and the items that have it.
 
-    A window is `window` consecutive words of an item, or all words of a shorter one. It is the set of its shingles with
-    their places; shingles have `shingle` words, or all of a window that is shorter.
+    A window is `window` consecutive words of an item, or all words of a shorter one; shingles have `shingle` words, or all
+    of a window that is shorter.
     """
 
-    def __init__(self, rows: list[tuple[str, list[bytes]]], window: int, shingle: int):
-        self.shingles: dict[tuple[bytes, ...], int] = {}
-        self.windows: dict[tuple[int, ...], set[str]] = defaultdict(set)  # shingle numbers in order: the items that have them
-        self.words: dict[tuple[int, ...], int] = {}
-        for item, words in rows:
-            if words:
-                length = min(window, len(words))
-                for at in range(len(words) - length + 1):
-                    part = words[at : at + length]
-                    size = min(shingle, length)
-                    key = tuple(self.shingles.setdefault(tuple(part[k : k + size]), len(self.shingles)) for k in range(length - size + 1))
-                    self.windows[key].add(item)
-                    self.words[key] = length
-        self.sizes = sorted({len(s) for s in self.shingles})
-        self.by_hash: dict[int, dict[int, list[tuple[tuple[bytes, ...], int]]]] = {}
-        for size in self.sizes:
-            table = defaultdict(list)
-            for words, number in self.shingles.items():
-                if len(words) == size:
-                    text = b" ".join(words)
-                    buffer = np.frombuffer(text, np.uint8)
-                    table[int(rolled(span_hashes(buffer, *spans(buffer, IN_WORD)), size)[0])].append((words, number))
-            self.by_hash[size] = dict(table)
-        self.sorted = {size: np.sort(np.fromiter(t, np.uint64, len(t))) for size, t in self.by_hash.items()}
-
-    def hits(self, text: bytes | None) -> tuple[int, list[int], list[int]]:
-        """How many words a document has, and the places and numbers of its words' runs that are shingles here."""
-        lowered = (text or b"").lower()
-        buffer = np.frombuffer(lowered, np.uint8)
-        starts, ends = spans(buffer, IN_WORD)
-        hashes = span_hashes(buffer, starts, ends)
-        places, numbers = [], []
-        for size in self.sizes:
-            runs, table = rolled(hashes, size), self.sorted[size]
-            at = np.searchsorted(table, runs)
-            at[at == len(table)] = 0
-            for p in np.flatnonzero(table[at] == runs).tolist():
-                own = tuple(lowered[starts[k] : ends[k]] for k in range(p, p + size))
-                for words, number in self.by_hash[size][int(runs[p])]:
-                    if words == own:
-                        places.append(p)
-                        numbers.append(number)
-        return len(starts), places, numbers
-
-
-def _find(texts: DataFrame, items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = items.value.hits
         for batch in batches:
-            found = [find(t.as_py()) for t in batch.column("text").cast(pa.binary())]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n_words": pa.array([f[0] for f in found], pa.int64()), "places": pa.array([f[1] for f in found], pa.list_(pa.int32())), "numbers": pa.array([f[2] for f in found], pa.list_(pa.int32()))})
-
-    return texts.mapInArrow(run, "doc_id long, h long, n_words long, places array<int>, numbers array<int>")
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                lowered, starts, ends, hashes = _words(text)
+                if not len(starts):
+                    continue
+                length = min(window, len(starts))
+                size = min(shingle, length)
+                runs, every = rolled(hashes, size).view(np.int64), len(starts) - length + 1
+                for low in range(0, every, 10_000):
+                    at = range(low, min(every, low + 10_000))
+                    words = [_join(lowered, starts, ends, k, k + length) for k in at]
+                    own = [runs[k : k + length - size + 1].tolist() for k in at]
+                    yield pa.record_batch({"item": pa.array([item] * len(at)), "words": pa.array(words, pa.binary()), "length": pa.array([length] * len(at), pa.int32()), "size": pa.array([size] * len(at), pa.int32()), "runs": pa.array(own, pa.list_(pa.int64()))})
+
+    found = bench.mapInArrow(run, "item string, words binary, length int, size int, runs array<long>")
+    return found.groupBy("words").agg(F.first("length").alias("length"), F.first("size").alias("size"), F.first("runs").alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _counters(texts: DataFrame, sizes: list[int]) -> np.ndarray:
+    """How many shingles of all documents fall into each of a fixed number of counters: a shingle occurs no more often than its counter says."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                hashes = _words(text.as_py())[3]
+                waiting += [rolled(hashes, size) & np.uint64(COUNTERS - 1) for size in sizes]
+                held += len(hashes)
+                if held > 1_000_000:
+                    total += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=COUNTERS)
+                    waiting, held = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=COUNTERS)
+        hit = np.flatnonzero(total)
+        yield pa.record_batch({"counter": pa.array(hit, pa.int64()), "n": pa.array(total[hit], pa.int64())})
+
+    summed = texts.mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # as many rows as counters
+    out = np.zeros(COUNTERS, np.int64)
+    out[summed["counter"].to_numpy()] = summed["n"].to_numpy()
+    return out
+
+
+def _prefixes(windows: DataFrame, counters) -> DataFrame:
+    """(key, at, words, length, items): each window by its prefix, its rarest shingle, and that one's place in it.
+
+    All shingles of a window must occur for it to be contained, so a prefix of one is enough; a window with a shingle
+    that occurs in no document is left out.
+    """
 
-def _verify(hits: DataFrame, known) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes, sizes, windows = known.value
+        counts = counters.value
         for batch in batches:
-            runs, names = [], []
-            for places, numbers, n in zip(batch.column("places").to_pylist(), batch.column("numbers").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
-                occurring = _occurring(places, numbers, n, prefixes, sizes)
-                runs.append([{"start": s, "end": e} for s, e in joined((start, start + sizes[key]) for start, key in occurring)])
-                names.append(sorted({i for _, key in occurring for i in windows[key]}))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n_words": batch.column("n_words"), "spans": pa.array(runs, _SPANS), "items": pa.array(names, pa.list_(pa.string()))})
+            runs = batch.column("runs").to_pylist()
+            often = [counts[np.array(r, np.int64) & (COUNTERS - 1)].tolist() for r in runs]
+            at = [min(range(len(r)), key=lambda k, r=r, n=n: (n[k], r[k], k)) for r, n in zip(runs, often, strict=True)]
+            own = {"key": pa.array([r[k] for r, k in zip(runs, at, strict=True)], pa.int64()), "at": pa.array(at, pa.int64())}
+            out = pa.record_batch({**own, "words": batch.column("words"), "length": batch.column("length"), "items": batch.column("items")})
+            yield out.filter(pa.array([n[k] > 0 for n, k in zip(often, at, strict=True)], pa.bool_()))
+
+    return windows.mapInArrow(run, "key long, at long, words binary, length int, items array<string>")
 
-    return hits.mapInArrow(run, "doc_id long, h long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
+def _filter(prefixes: DataFrame, most_bytes: int) -> np.ndarray:
+    """A table of bits, set where a prefix hashes to: sixteen bits a prefix, but most_bytes at most, which lets more through and drops none."""
+    n = prefixes.select("key").distinct().count()
+    bits = max(64, min(16 * n, 8 * most_bytes) // 64 * 64)
+    place = prefixes.select(F.pmod("key", F.lit(bits)).alias("p")).distinct()
+    filled = place.groupBy(F.expr("p div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[filled["at"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    return out
 
+
+def _probe(texts: DataFrame, known, sizes: list[int], window: int, shingle: int) -> DataFrame:
+    """(doc_id, h, n_words, hits): the places whose shingle passes the prefix filter, each with the words that a window there can reach."""
+
+    def near(size: int, place: int, n: int) -> tuple[int, int]:
+        reach = window - size if size == shingle else 0  # a shorter shingle is all of its window
+        return max(0, place - reach), min(n, place + size + reach)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.value
+        bits = 64 * len(table)
+        for batch in batches:
+            counts, hits, begin, held = [], [], 0, 0
+            texts_of = batch.column("text").cast(pa.binary())
+            for row, text in enumerate(texts_of):
+                lowered, starts, ends, hashes = _words(text.as_py())
+                own = []
+                for size in sizes:
+                    runs = rolled(hashes, size).view(np.int64)
+                    place = np.mod(runs, bits)
+                    passed = table[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
+                    for p in np.flatnonzero(passed).tolist():
+                        low, high = near(size, p, len(starts))
+                        own.append({"key": int(runs[p]), "place": p, "low": low, "near": _join(lowered, starts, ends, low, high)})
+                counts.append(len(starts))
+                hits.append(own)
+                held += len(own)
+                if held > 50_000 or row + 1 == len(texts_of):
+                    part = batch.slice(begin, len(hits))
+                    yield pa.record_batch({"doc_id": part.column("doc_id"), "h": part.column("h"), "n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, _HITS)})
+                    counts, hits, begin, held = [], [], row + 1, 0
+
+    return texts.mapInArrow(run, "doc_id long, h long, n_words long, hits array<struct<key:long,place:long,low:long,near:binary>>")
+
+
+_HITS = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("low", pa.int64()), ("near", pa.binary())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _occurring(hits: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(doc_id, h, start, end, items) of every window that occurs: joined by prefix, kept by length and place, compared word by word."""
+    places = hits.where(F.size("hits") > 0).select("doc_id", "h", "n_words", F.explode("hits").alias("x")).select("doc_id", "h", "n_words", "x.*")
+    hot = hot_keys(places.groupBy("key").agg(F.count("*").alias("n")), "key")
+    both = dealt_join(places, prefixes, "key", hot, ["doc_id", "h", "place"]).withColumn("start", F.col("place") - F.col("at"))
+    both = both.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
+    there = F.slice(F.split(F.col("near").cast("string"), " "), F.greatest(F.lit(1), F.col("start") - F.col("low") + 1).cast("int"), F.col("length"))
+    same = F.array_join(there, " ") == F.col("words").cast("string")
+    return both.where(same).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end"), "items")
+
+
 def joined(parts) -> list[list[int]]:
     """The runs that overlapping or adjacent (start, end) spans cover."""
     runs: list[list[int]] = []
@@ -123,71 +179,46 @@ def joined(parts) -> list[list[int]]:
     return runs
 
 
-def _merge(parts: list[DataFrame], texts: DataFrame) -> DataFrame:
-    """One row per row of texts from the answers to each part of the benchmark; equal rows have equal answers."""
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+def _by_document(occurring: DataFrame) -> DataFrame:
+    """(_doc, _h, spans, items): one row for each text with an occurring window."""
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    merged = occurring.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"), items.alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"start": s, "end": e} for s, e in joined((x["start"], x["end"]) for x in row)] for row in batch.column("spans").to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.array(spans, _SPANS))
-
-    merged = merged.mapInArrow(run, merged.schema).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
-    return texts.join(merged, texts.doc_id.eqNullSafe(merged["_doc"]) & (texts.h == merged["_h"])).select("doc_id", "h", "n_words", "spans", "items")
-
-
-def _prefixes(windows: dict, frequency: dict[int, int]) -> dict[int, list[tuple[tuple[int, ...], int]]]:
-    """By shingle, the windows of which it is the prefix: exact containment needs every shingle, so the rarest alone suffices."""
-    out = defaultdict(list)
-    for key in windows:
-        at = min(range(len(key)), key=lambda k: (frequency.get(key[k], 0), key[k], k))
-        out[key[at]].append((key, at))
-    return dict(out)
-
+            runs = [[{"start": s, "end": e} for s, e in joined((x["start"], x["end"]) for x in row)] for row in batch.column("spans").to_pylist()]
+            yield pa.record_batch({"_doc": batch.column("doc_id"), "_h": batch.column("h"), "spans": pa.array(runs, _SPANS), "items": batch.column("items")})
 
-def _occurring(places: list[int], numbers: list[int], n_words: int, prefixes: dict, sizes: dict) -> list[tuple[int, tuple[int, ...]]]:
-    """(start, window) of every window that occurs: joined by prefix, kept by place and length, verified shingle by shingle."""
-    there: dict[int, set[int]] = defaultdict(set)
-    for p, number in zip(places, numbers, strict=True):
-        there[p].add(number)
-    found = []
-    for p, number in zip(places, numbers, strict=True):
-        for key, at in prefixes.get(number, ()):
-            start = p - at
-            if start >= 0 and start + sizes[key] <= n_words and all(s in there.get(start + k, ()) for k, s in enumerate(key)):
-                found.append((start, key))
-    return found
+    return merged.mapInArrow(run, "_doc long, _h long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_chars: int = 1_000_000, hash_col: str | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_chars: int = 4_000_000, hash_col: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items) for every row of docs.
 
     n_hit counts the words inside any occurrence of a window; spans are their runs (start and end word, end not
-    included); items are the ids, as strings in order, of items with a window that occurs. Documents are read once for the
-    places of benchmark shingles, which are few; how often those occur in all documents orders them by rarity, and a
-    window is looked for where its rarest shingle stands. The benchmark is broadcast in parts of `broadcast_chars`
-    characters at most (an item longer than that is a part of its own), each compared with all documents, so that
-    its size is bounded and whole. Null texts and texts without words have no words and no hits; items without words have no
-    window; a null item id counts as an empty string. Rows that repeat are answered each. No items leave all documents clean.
-    hash_col names a column for xxhash64 of the text, which with the id tells a row from others of its id.
+    included); items are the ids, as strings in order, of items with a window that occurs. Shingles of all documents are
+    counted first, which orders those of each window by rarity; the rarest is the window's prefix. A second reading of
+    the documents keeps the places that pass a filter of all prefixes, with the words a window can reach from there. These few
+    are joined with the windows by prefix, over the cluster, bounded by length and place, and compared word by word.
+    Documents are read twice whatever the benchmark's size. What is broadcast is the counters, of a fixed number, and the
+    filter, of `broadcast_chars` bytes at most: a larger benchmark fills it more, and the join drops what it lets through.
+    Places of a hot shingle are dealt over tasks. Null texts and texts without words have no words and no hits; items without
+    words have no window; a null item id counts as an empty string. Rows that repeat are answered each. No items leave all
+    documents clean. hash_col names a column for xxhash64 of the text, which with the id tells a row from others of its id.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     bench = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = -(-size // broadcast_chars) or 1
-    answers = []
-    for part in range(parts):
-        rows = [(r["item"], words_of(r["text"].encode())) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()]
-        own = Items(rows, window, shingle)
-        hits = cut(_find(texts, spark.sparkContext.broadcast(own)), "hits")
-        counted = hits.select(F.explode("numbers").alias("number")).groupBy("number").count()
-        frequency = {r["number"]: r["count"] for r in counted.collect()}  # as many as the part has shingles
-        answers.append(_verify(hits, spark.sparkContext.broadcast((_prefixes(own.windows, frequency), own.words, dict(own.windows)))))
-    found = answers[0] if parts == 1 else _merge(answers, texts.select("doc_id", "h"))
+    windows = cut(_windows(bench, window, shingle), "windows")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # `shingle` of them at most
+    prefixes = cut(_prefixes(windows, spark.sparkContext.broadcast(_counters(texts.select("text"), sizes))), "prefixes")
+    hits = cut(_probe(texts, spark.sparkContext.broadcast(_filter(prefixes, broadcast_chars)), sizes, window, shingle), "hits")
+    discard(windows)
+    found = _by_document(_occurring(hits, prefixes))
+    nothing = [F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items")]
+    some = hits.where(F.size("hits") > 0).join(found, hits.doc_id.eqNullSafe(F.col("_doc")) & (hits.h == F.col("_h")), "left")
+    some = some.select("doc_id", "h", "n_words", F.coalesce("spans", nothing[0]).alias("spans"), F.coalesce("items", nothing[1]).alias("items"))
+    every = some.union(hits.where(F.size("hits") == 0).select("doc_id", "h", "n_words", *nothing))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     of_text = [F.col("h").alias(hash_col)] if hash_col else []
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", *of_text)
+    return every.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", *of_text)
