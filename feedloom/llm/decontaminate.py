@@ -109,10 +109,10 @@ def _prefixes(windows: DataFrame, counters) -> DataFrame:
 
 
 def _filter(prefixes: DataFrame, most_bytes: int) -> np.ndarray:
-    """A table of bits, set where a prefix hashes to: sixteen bits a prefix, but most_bytes at most, which lets more through and drops none."""
+    """A table of bits, set where a prefix hashes to: a thousand bits a prefix or more, but most_bytes at most, which lets more through and drops none."""
     n = prefixes.select("key").distinct().count()
-    bits = max(64, min(16 * n, 8 * most_bytes) // 64 * 64)
-    place = prefixes.select(F.pmod("key", F.lit(bits)).alias("p")).distinct()
+    bits = 1 << max(6, min((1024 * n).bit_length(), (8 * most_bytes).bit_length() - 1))
+    place = prefixes.select(F.col("key").bitwiseAND(F.lit(bits - 1).cast("long")).alias("p")).distinct()
     filled = place.groupBy(F.expr("p div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[filled["at"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
@@ -128,7 +128,7 @@ def _probe(texts: DataFrame, known, sizes: list[int], window: int, shingle: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
-        bits = 64 * len(table)
+        mask = 64 * len(table) - 1
         for batch in batches:
             counts, hits, begin, held = [], [], 0, 0
             texts_of = batch.column("text").cast(pa.binary())
@@ -137,7 +137,7 @@ def _probe(texts: DataFrame, known, sizes: list[int], window: int, shingle: int)
                 own = []
                 for size in sizes:
                     runs = rolled(hashes, size).view(np.int64)
-                    place = np.mod(runs, bits)
+                    place = runs & mask
                     passed = table[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
                     for p in np.flatnonzero(passed).tolist():
                         low, high = near(size, p, len(starts))
