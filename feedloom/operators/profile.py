@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.lineage import cut
 from feedloom.functions.text import blank_to_null
 
 # Date forms in the order in which they are tried: name, pattern of the text, pattern of the date.
@@ -30,6 +31,15 @@ def classified(cells: DataFrame) -> DataFrame:
     return cells.withColumn("form", form).withColumn("kind", kind)
 
 
+def _inferred(filled: Column) -> Column:
+    """The type of a column from the numbers of its values of each kind, of which there are `filled`."""
+    return (
+        F.when(filled == 0, "STRING").when(F.col("BOOLEAN") == filled, "BOOLEAN").when(F.col("INTEGER") == filled, "INTEGER")
+        .when(F.col("INTEGER") + F.col("DECIMAL") == filled, "DECIMAL").when((F.col("TIMESTAMP") > 0) & (F.col("TIMESTAMP") + F.col("DATE") == filled), "TIMESTAMP")
+        .when(F.col("DATE") == filled, "DATE").otherwise("STRING")
+    )
+
+
 def profile(frame: DataFrame, order: list[str], distinct_cap: int = 10_000) -> DataFrame:
     """(column, total, nulls, null_pct, distinct, distinct_pct, inferred, min_value, max_value) for each column.
 
@@ -47,11 +57,7 @@ def profile(frame: DataFrame, order: list[str], distinct_cap: int = 10_000) -> D
         F.min(F.when(F.col("day").isNotNull(), F.struct("day", "value"))).alias("ld"), F.max(F.when(F.col("day").isNotNull(), F.struct("day", "value"))).alias("hd"), F.min("value").alias("lt"), F.max("value").alias("ht"),
     )
     filled = F.col("total") - F.col("nulls")
-    inferred = (
-        F.when(filled == 0, "STRING").when(F.col("BOOLEAN") == filled, "BOOLEAN").when(F.col("INTEGER") == filled, "INTEGER")
-        .when(F.col("INTEGER") + F.col("DECIMAL") == filled, "DECIMAL").when((F.col("TIMESTAMP") > 0) & (F.col("TIMESTAMP") + F.col("DATE") == filled), "TIMESTAMP")
-        .when(F.col("DATE") == filled, "DATE").otherwise("STRING")
-    )
+    inferred = _inferred(filled)
     numeric, timed = F.col("inferred").isin("INTEGER", "DECIMAL"), F.col("inferred").isin("DATE", "TIMESTAMP")
     pick = lambda n, d, t: F.when(numeric, F.col(f"{n}.value")).when(timed, F.col(f"{d}.value")).otherwise(F.col(t))
     distinct = F.least(F.col("d"), F.lit(distinct_cap))
@@ -77,3 +83,27 @@ def array_lengths(frame: DataFrame, column: str) -> DataFrame:
     """(min_length, max_length, avg_length) of an array column."""
     size = F.when(F.col(column).isNotNull(), F.size(column))
     return frame.agg(F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.round(F.avg(size), 2).alias("avg_length"))
+
+
+def summary(profiled: DataFrame) -> DataFrame:
+    """(total_rows, total_columns, columns_with_nulls, and a count of columns for each type, zeros included) of a profile."""
+    of = [F.count_if(F.col("inferred") == t).alias(f"n_{t.lower()}") for t in TYPES]
+    return profiled.agg(F.coalesce(F.max("total"), F.lit(0)).alias("total_rows"), F.count("*").alias("total_columns"), F.count_if(F.col("nulls") > 0).alias("columns_with_nulls"), *of)
+
+
+def profile_paths(cells: DataFrame, padded: bool = True, distinct_cap: int = 10_000) -> DataFrame:
+    """(path, total, nulls, null_pct, distinct, inferred, is_array, depth, min_length, max_length) for each path of nested documents.
+
+    cells come from files.json_cells or xml_cells: path, value, counted, empty, length, records. Padded paths that
+    fewer values than records have count the rest as nulls. Cells without a path only carry the number of records.
+    """
+    held = cut(cells, "cells")  # read twice: for the number of records and for the paths
+    records = held.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0] if padded else 0
+    counted = classified(held.where("path is not null")).groupBy("path", "value", "form", "kind")
+    counted = counted.agg(F.count("*").alias("n"), F.sum("counted").alias("counted"), F.sum("empty").alias("empty"), F.min("length").alias("lo"), F.max("length").alias("hi"))
+    of = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in TYPES]
+    summed = counted.groupBy("path").agg(F.sum("counted").alias("vals"), F.sum("empty").alias("empty"), F.least(F.count("value"), F.lit(distinct_cap)).alias("distinct"), *of, F.min("lo").alias("min_length"), F.max("hi").alias("max_length"))
+    missing = F.greatest(F.lit(0), F.lit(records) - F.col("vals"))
+    summed = summed.withColumns({"total": F.col("vals") + missing, "nulls": F.col("empty") + missing, "filled": sum((F.col(k) for k in TYPES), F.lit(0))})
+    depth = F.regexp_count("path", F.lit(r"\.")).cast("long") + 1
+    return summed.select("path", "total", "nulls", F.when(F.col("total") == 0, 0.0).otherwise(F.round(100.0 * F.col("nulls") / F.col("total"), 2)).alias("null_pct"), "distinct", _inferred(F.col("filled")).alias("inferred"), F.col("path").contains("[*]").alias("is_array"), depth.alias("depth"), "min_length", "max_length")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
-from feedloom.operators import audits, gates, identity, ops, profile, rules, schedule, transforms, validation
+from feedloom.functions.lineage import shared_dir
+from feedloom.operators import audits, gates, identity, operations, ops, profile, rules, schedule, transforms, validation
 from feedloom.operators.rules import Rule
+from feedloom.sources import files
 from feedloom.streaming import kpis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -622,3 +625,242 @@ def quarantine_reprocess(spark, sf_dir):
     mended = [Rule("price_in_range", "RANGE", "o_totalprice", "QUARANTINE", {"min": 5000, "max": 450000})]
     valid, still = rules.split(rules.split(orders, RULES)[1].select(orders.columns), mended)
     return valid.select("o_orderkey", F.lit("REPROCESSED").alias("outcome")).union(still.select("o_orderkey", "_failure.reason"))
+
+
+# operational joins and lists: orders stand for batches, line items for their stages, results and reports
+
+
+def _batches(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_custkey").alias("feed_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END").alias("status"))
+
+
+def _lines(spark, sf_dir, **columns: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS batch_id", *[f"{v} AS {k}" for k, v in columns.items()])
+
+
+@query("SELECT coalesce(sum(l_quantity::BIGINT), 0)::BIGINT AS rows_quarantined FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' - INTERVAL 8760 HOUR AND TIMESTAMP '1996-01-01'")
+def quarantined_recent(spark, sf_dir):
+    return operations.quarantined_recent(_lines(spark, sf_dir, rows_quarantined="CAST(l_quantity AS BIGINT)"), _batches(spark, sf_dir), "1996-01-01", 8760)
+
+
+@query("SELECT count(*) FILTER (l_returnflag = 'R') AS breaking, count(*) FILTER (l_returnflag = 'A') AS non_breaking, count(*) FILTER (l_returnflag IN ('R', 'A')) AS total FROM lineitem WHERE l_linestatus = 'O'")
+def drift_counts(spark, sf_dir):
+    severity = "CASE l_returnflag WHEN 'R' THEN 'BREAKING' WHEN 'A' THEN 'NON_BREAKING' ELSE 'INFO' END"
+    return operations.drift_counts(_lines(spark, sf_dir, severity=severity, status="IF(l_linestatus = 'O', 'DETECTED', 'ACKNOWLEDGED')"))
+
+
+@query("""
+SELECT l_orderkey AS batch_id, l_linenumber AS stage_id, p_type AS rule_type, s_name AS rule_name
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = p_partkey % 12 WHERE l_returnflag = 'R' ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 50
+""")
+def dq_executions(spark, sf_dir):
+    versions = table(spark, sf_dir, "part").selectExpr("p_partkey AS rule_version_id", "p_partkey % 12 AS rule_id", "p_type AS rule_type")
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rule_id"), F.col("s_name").alias("rule_name"))
+    results = _lines(spark, sf_dir, stage_id="l_linenumber", rule_version_id="l_partkey", action="l_returnflag", created_at="l_shipdate")
+    found = operations.dq_executions(results, versions, names, "R")
+    return ops.page(found, [F.desc("created_at"), "batch_id", "stage_id"], 2, 50).select("batch_id", "stage_id", "rule_type", "rule_name")
+
+
+@query("SELECT o_orderkey AS batch_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def stage_batches(spark, sf_dir):
+    return operations.batches_with_stage(_batches(spark, sf_dir), _lines(spark, sf_dir, status="l_returnflag"), "A").select("batch_id")
+
+
+@query("SELECT c_custkey AS feed_id, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'")
+def active_schedules(spark, sf_dir):
+    schedules = table(spark, sf_dir, "customer").selectExpr("c_custkey AS schedule_id", "c_nationkey AS feed_id", "IF(c_mktsegment = 'BUILDING', 'PAUSED', 'ACTIVE') AS status")
+    feeds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("feed_id"), F.col("n_name").alias("name"))
+    return operations.schedules_of(schedules, feeds).select(F.col("schedule_id").alias("feed_id"), "name")
+
+
+@query("SELECT l_orderkey AS batch_id, l_linenumber AS row_number FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7")
+def quarantine_of_feed(spark, sf_dir):
+    return operations.quarantine_of_feed(_lines(spark, sf_dir, row_number="l_linenumber"), _batches(spark, sf_dir), 7).select("batch_id", "row_number")
+
+
+@query("""
+WITH x AS (SELECT CASE l_returnflag WHEN 'R' THEN 'HIGH' WHEN 'A' THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O')
+SELECT v.risk_level, count(x.risk_level) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) v(risk_level) LEFT JOIN x ON v.risk_level = x.risk_level GROUP BY 1
+""")
+def risk_view(spark, sf_dir):
+    unknowns = _lines(spark, sf_dir, risk_level="CASE l_returnflag WHEN 'R' THEN 'HIGH' WHEN 'A' THEN 'MEDIUM' ELSE 'LOW' END", status="IF(l_linestatus = 'O', 'OPEN', 'CLOSED')")
+    return operations.risk_view(unknowns.withColumnRenamed("batch_id", "contract_id"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contract_id")))
+
+
+@query("""
+WITH p AS (SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'AUTOMOBILE' END AS category, n_nationkey + 100 AS version FROM nation WHERE n_nationkey % 5 <> 3),
+b AS (SELECT o_custkey, version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 9, id) AS k FROM orders JOIN p ON id = o_orderkey % 25 WHERE o_orderstatus = 'O'),
+d AS (SELECT category, version, row_number() OVER (PARTITION BY category ORDER BY id) AS k FROM p)
+SELECT c_custkey AS fingerprint_id, coalesce(b.version, d.version) AS version_id FROM customer
+LEFT JOIN b ON b.o_custkey = c_custkey AND b.k = 1 AND b.version % 3 <> 0 LEFT JOIN d ON d.category = c_mktsegment AND d.k = 1 AND d.version % 3 <> 0
+""")
+def playbook_match(spark, sf_dir):
+    playbooks = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS playbook_id", "CASE n_regionkey WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'AUTOMOBILE' END AS category", "n_nationkey + 100 AS current_version_id", "n_nationkey AS created_at", "IF(n_nationkey % 5 <> 3, 'APPROVED', 'DRAFT') AS status")
+    versions = playbooks.selectExpr("current_version_id AS version_id", "IF(current_version_id % 3 <> 0, 'APPROVED', 'DRAFT') AS status")
+    bindings = table(spark, sf_dir, "orders").selectExpr("o_custkey AS fingerprint_id", "o_orderkey % 25 AS playbook_id", "o_orderkey % 9 AS priority", "o_orderstatus = 'O' AS is_active")
+    fingerprints = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fingerprint_id"), F.col("c_mktsegment").alias("category"))
+    return operations.playbook_for(fingerprints, bindings, playbooks, versions)
+
+
+@query("SELECT DISTINCT p_partkey AS term_id, n_nationkey AS model_id, n_name AS model FROM part LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) ON l_partkey = p_partkey AND l_returnflag = 'R'")
+def glossary_models(spark, sf_dir):
+    links = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("term_id"), F.col("l_suppkey").alias("field_id"))
+    fields = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("field_id"), F.col("s_nationkey").alias("model_id"))
+    models = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("model_id"), F.col("n_name").alias("model"))
+    return operations.glossary_models(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("term_id")), links, fields, models)
+
+
+@query("""
+SELECT o_orderkey AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'PASS' END AS recon_status,
+  coalesce((SELECT string_agg('r' || l_linenumber || ':' || l_quantity::BIGINT, ',' ORDER BY 'r' || l_linenumber || ':' || l_quantity::BIGINT) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS rules,
+  (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A') AS drifts
+FROM orders
+""")
+def batch_detail(spark, sf_dir):
+    batches = _batches(spark, sf_dir)
+    results = _lines(spark, sf_dir, rule="'r' || l_linenumber", failed="CAST(CAST(l_quantity AS BIGINT) AS STRING)", flag="l_returnflag")
+    recon = batches.where("batch_id % 2 = 0").select("batch_id", F.lit("PASS").alias("recon_status"))
+    return operations.batch_detail(batches.select("batch_id", "status"), recon, results, results.where("flag = 'A'"))
+
+
+@query("""
+WITH x AS (SELECT c_custkey, ['SCHEMA_DRIFT', 'DATA_QUALITY', 'STAGE_EXECUTION', 'RECONCILIATION', 'DEPENDENCY_GATE', 'OTHER'][c_custkey % 6 + 1] AS category, c_name AS feed, c_mktsegment AS pattern, CASE WHEN c_custkey % 4 = 0 THEN 'ingestion pipeline' ELSE 'stage S' || c_custkey % 4 END AS w FROM customer)
+SELECT c_custkey,
+  CASE category WHEN 'SCHEMA_DRIFT' THEN 'Breaking Schema Drift on feed ''' || feed || '''' WHEN 'DATA_QUALITY' THEN 'Data Quality Rule Violation on feed ''' || feed || '''' WHEN 'STAGE_EXECUTION' THEN 'Pipeline Execution Error in ' || w || ' for ''' || feed || ''''
+    WHEN 'RECONCILIATION' THEN 'Reconciliation Balance Failure for ''' || feed || '''' WHEN 'DEPENDENCY_GATE' THEN 'Upstream Dependency Gate Blocked for ''' || feed || '''' ELSE 'Operational Failure in ' || w || ' for ''' || feed || '''' END AS title,
+  CASE category WHEN 'SCHEMA_DRIFT' THEN 'Feed ''' || feed || ''' failed at ' || w || ' due to schema drift: ' || pattern || '. The incoming file structure does not conform to the active published schema.'
+    WHEN 'DATA_QUALITY' THEN 'Feed ''' || feed || ''' failed data quality validation in ' || w || ': ' || pattern || '. Records violating critical rules were quarantined or caused the batch to abort.'
+    WHEN 'STAGE_EXECUTION' THEN 'Execution error occurred while processing feed ''' || feed || ''' in ' || w || ': ' || pattern || '. Prior stages completed safely.'
+    WHEN 'RECONCILIATION' THEN 'Record count balance check failed for feed ''' || feed || ''': ' || pattern || '. Records may have dropped unexpectedly between transformation stages.'
+    WHEN 'DEPENDENCY_GATE' THEN 'Feed ''' || feed || ''' cannot run because a required upstream dependency failed or has not arrived: ' || pattern || '.'
+    ELSE 'Failure occurred on feed ''' || feed || ''' during ' || w || ': ' || pattern || '.' END AS description
+FROM x
+""")
+def alert_texts(spark, sf_dir):
+    category = F.element_at(F.array(*map(F.lit, [*operations.ALERT_TEXTS, "OTHER"])), (F.col("c_custkey") % 6 + 1).cast("int"))
+    stage = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("S"), F.col("c_custkey") % 4))
+    title, description = operations.alert_text(category, stage, F.col("c_mktsegment"), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", title.alias("title"), description.alias("description"))
+
+
+@query("SELECT event_type || user_id AS fingerprint, count(*) AS total FROM events GROUP BY 1 ORDER BY total DESC, fingerprint LIMIT 20")
+def fingerprints_by_total(spark, sf_dir):
+    totals = ops.fingerprint_totals(table(spark, sf_dir, "events").select(F.concat("event_type", "user_id").alias("f"), "ts"), "f", "ts")
+    return ops.page(totals, [F.desc("total"), "fingerprint"], 1, 20).select("fingerprint", "total")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_custkey > 50) THEN 'HIGH_RISK' ELSE 'STANDARD' END AS tier, sha256(o_orderkey || '|' || o_custkey || '|INSERT_ODS_MEMBER') AS op_hash, left(sha256(o_orderpriority), 8) AS preview FROM orders")
+def governed_actions(spark, sf_dir):
+    action = F.when(F.col("o_orderstatus") == "P", "DISCARD_QUARANTINE").when(F.col("o_orderstatus") == "F", "REPROCESS_QUARANTINE").otherwise("RESTART_BATCH")
+    hashed = operations.operation_hash(F.col("o_orderkey"), F.col("o_custkey"), F.lit("INSERT_ODS_MEMBER"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", operations.risk_tier(action, F.col("o_custkey")).alias("tier"), hashed.alias("op_hash"), operations.fingerprint_preview(F.sha2("o_orderpriority", 256)).alias("preview"))
+
+
+@query("SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0")
+def keyed_append(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return operations.keyed_append(orders.where("o_orderkey % 3 = 0"), orders.union(orders), ["o_orderkey"])
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS batch_id, l_linenumber AS id, unnest([l_returnflag, l_linestatus]) AS control FROM lineitem)
+SELECT batch_id, control, max(id) AS waiver_id FROM w GROUP BY 1, 2
+""")
+def waiver_map(spark, sf_dir):
+    return operations.waiver_map(_lines(spark, sf_dir, waiver_id="l_linenumber", at="l_linenumber", control_id="l_returnflag", control_type="l_linestatus"), "at")
+
+
+@query("""
+SELECT o_orderkey AS batch_id, coalesce(r.run, 'NOT_RUN') AS identity_status, array_to_string([x FOR x IN [
+  CASE WHEN o_orderstatus <> 'F' THEN 'BATCH_STATUS' END, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) THEN 'STAGE_STATUS' END,
+  CASE WHEN o_custkey % 5 > 2 THEN 'MODEL_NOT_PUBLISHED' END, CASE WHEN coalesce(r.run, '') <> 'SUCCESS' THEN 'IDENTITY_STATUS' END,
+  CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09) THEN 'RECONCILIATION' END, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_tax > 0.07) THEN 'DQ_ABORTED' END] IF x IS NOT NULL], ',') AS reasons,
+  o_orderstatus = 'F' AND o_custkey % 5 <= 2 AND coalesce(r.run, '') = 'SUCCESS' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 OR l_discount > 0.09 OR l_tax > 0.07) AS eligible
+FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(CASE WHEN l_returnflag = 'A' THEN 'FAILED' ELSE 'SUCCESS' END, l_linenumber) AS run FROM lineitem GROUP BY 1) r ON r.l_orderkey = o_orderkey
+""")
+def ods_eligibility(spark, sf_dir):
+    batches = _batches(spark, sf_dir).withColumn("model_version_id", F.col("feed_id") % 5)
+    models = table(spark, sf_dir, "nation").where("n_nationkey < 4").selectExpr("CAST(n_nationkey AS BIGINT) AS model_version_id", "IF(n_nationkey < 3, 'PUBLISHED', 'DRAFT') AS status")
+    stages = _lines(spark, sf_dir, status="IF(l_quantity > 45, 'FAILED', IF(l_linenumber = 2, 'SKIPPED', 'SUCCESS'))")
+    runs = _lines(spark, sf_dir, completed_at="l_linenumber", status="IF(l_returnflag = 'A', 'FAILED', 'SUCCESS')")
+    recon = _lines(spark, sf_dir, balanced="l_discount <= 0.09", status="'PASS'")
+    results = _lines(spark, sf_dir, action="IF(l_tax > 0.07, 'BATCH_ABORTED', 'PASSED')")
+    return operations.ods_eligibility(batches, stages, models, runs, recon, results).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""
+WITH e AS (SELECT o_custkey % 100 AS feed_id, count(*) AS upstreams, bool_or(o_orderstatus = 'P') AS b FROM orders GROUP BY 1)
+SELECT c_custkey AS feed_id, coalesce(upstreams, 0) AS upstreams, NOT coalesce(b, false) AS cleared FROM customer LEFT JOIN e ON c_custkey = e.feed_id
+""")
+def dag_nodes(spark, sf_dir):
+    edges = table(spark, sf_dir, "orders").selectExpr("o_custkey % 100 AS downstream", "o_orderkey AS upstream", "'HARD' AS kind", "0 AS max_lag_hours", "5.0 AS max_quarantine_pct")
+    runs = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS upstream", "IF(o_orderstatus = 'P', 'FAILED', 'SUCCESS') AS status", "CAST(o_orderdate AS TIMESTAMP) AS completed_at", "'PASS' AS recon_status", "0.0 AS quarantine_pct", "false AS aborted")
+    return operations.dag_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feed_id")), gates.dependency_gate(edges, runs, "2000-01-01"))
+
+
+@query("""
+WITH a AS (SELECT 'S' || o_custkey % 3 AS sys, sha256(o_custkey::VARCHAR) AS h, min(o_orderkey) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2)
+SELECT c_custkey, m AS master_id, CASE WHEN m IS NOT NULL THEN 'HIGH_CONFIDENCE' END AS disposition FROM customer LEFT JOIN a ON sys = 'S' || c_custkey % 3 AND h = sha256(c_custkey::VARCHAR)
+""")
+def crosswalk_active(spark, sf_dir):
+    key = lambda c: [f"'S' || {c} % 3 AS source_system", f"sha2(CAST({c} AS STRING), 256) AS source_hash"]
+    held = table(spark, sf_dir, "orders").selectExpr(*key("o_custkey"), "o_orderkey AS master_id", "o_orderstatus = 'O' AS is_active")
+    return operations.crosswalk_active(table(spark, sf_dir, "customer").selectExpr("c_custkey", *key("c_custkey")), held).select("c_custkey", "master_id", "disposition")
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 101 DESC, o_orderkey) AS k FROM orders)
+SELECT o_custkey AS record_id, string_agg(o_orderkey || ':' || o_orderkey % 101, ',' ORDER BY k) AS best FROM r WHERE k <= 10 GROUP BY 1
+""")
+def top_candidates(spark, sf_dir):
+    scored = table(spark, sf_dir, "orders").selectExpr("o_custkey AS record_id", "o_orderkey AS master_id", "o_orderkey % 101 AS score")
+    return operations.top_candidates(scored).select("record_id", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["person"], c["score"])), ",").alias("best"))
+
+
+# nested documents, files
+
+
+@query("""
+WITH x AS (SELECT c_name, c_mktsegment, c_nationkey FROM customer), n AS (SELECT count(*) AS n, count(*) FILTER (c_nationkey % 2 = 0) AS e, count(DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END) AS de FROM x)
+SELECT 'id' AS path, n AS total, 0 AS nulls, 0.0::DOUBLE AS null_pct, n AS "distinct", 'INTEGER' AS inferred, false AS is_array, 1 AS depth, NULL::BIGINT AS min_length FROM n
+UNION ALL SELECT 'tags[*]', 3 * n, 0, 0.0, (SELECT count(DISTINCT v) FROM (SELECT c_name AS v FROM x UNION ALL SELECT c_mktsegment FROM x)), 'STRING', true, 1, 2 FROM n
+UNION ALL SELECT 'nested.n', n, n - e, round(100.0::DOUBLE * (n - e) / n, 2), de, 'INTEGER', false, 2, NULL FROM n
+UNION ALL SELECT 'nested', n, n, 100.0, 0, 'STRING', false, 1, NULL FROM n
+""")
+def json_profile(spark, sf_dir):
+    nested = F.struct(F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") + 10).alias("n")).alias("nested")
+    text_of = F.to_json(F.struct((F.col("c_custkey") + 1000).alias("id"), F.array("c_mktsegment", "c_name").alias("tags"), nested))
+    found = profile.profile_paths(files.json_cells(table(spark, sf_dir, "customer").select(text_of.alias("t")), "t"), distinct_cap=1_000_000)
+    return found.select("path", "total", "nulls", "null_pct", "distinct", "inferred", "is_array", "depth", "min_length")
+
+
+@query("""
+SELECT 'part@key' AS path, count(*) AS total, 0 AS nulls, count(DISTINCT p_partkey) AS "distinct", 'INTEGER' AS inferred, false AS is_array, 1 AS depth FROM part
+UNION ALL SELECT 'part.name', count(*), 0, count(DISTINCT p_name), 'STRING', false, 2 FROM part
+UNION ALL SELECT 'part.size[*].size', 2 * count(*), 0, count(DISTINCT p_size), 'INTEGER', true, 3 FROM part
+""")
+def xml_profile(spark, sf_dir):
+    built = F.concat(F.lit('<part key="'), F.col("p_partkey") + 1000, F.lit('"><name>'), "p_name", F.lit("</name><size>"), F.col("p_size") + 10, F.lit("</size><size>"), F.col("p_size") + 10, F.lit("</size><gone/></part>"))
+    found = profile.profile_paths(files.xml_cells(table(spark, sf_dir, "part").select(built.alias("t")), "t"), padded=False, distinct_cap=1_000_000)
+    return found.select("path", "total", "nulls", "distinct", "inferred", "is_array", "depth")
+
+
+@query("SELECT count(*) AS total_rows, 5 AS total_columns, 1 AS columns_with_nulls, 2 AS n_string, 1 AS n_integer, 1 AS n_decimal, 0 AS n_boolean, 1 AS n_date, 0 AS n_timestamp FROM orders")
+def profile_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey + 1000 AS k", "nullif(o_orderstatus, 'P') AS s", "CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) AS p", "date_format(o_orderdate, 'yyyy-MM-dd') AS d", "o_orderpriority AS o")
+    return profile.summary(profile.profile(rows, ["k"]))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'File is empty or contains no header row' WHEN c_custkey % 4 = 1 THEN 'Missing required column in header: ''Member_ID''' WHEN c_custkey % 4 = 2 THEN 'Missing required column in header: ''dob''' END AS error FROM customer
+""")
+def structure_gate(spark, sf_dir):
+    header = F.expr("CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'name|dob' WHEN 2 THEN '\ufeff MEMBER_id |name' ELSE '\"DOB\"|name|member_id' END")
+    return table(spark, sf_dir, "customer").select("c_custkey", files.structure_error(header, ["Member_ID", "dob"], "|").alias("error"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def silver_rescan(spark, sf_dir):
+    path = f"{shared_dir(spark)}/feedloom-silver-{uuid.uuid4().hex}"
+    files.write_silver(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("_batch_id")), path)
+    return files.rescan_silver(spark, [path + "-none", path], "P").select("o_orderkey", "o_custkey")

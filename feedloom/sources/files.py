@@ -56,29 +56,132 @@ def fhir_resources(bundles: DataFrame, text: str) -> DataFrame:
     return bundles.select(F.explode(entries).alias("entry")).select(F.coalesce(F.get_json_object("entry", "$.resource"), F.col("entry")).alias("resource"))
 
 
+_CELLS = "path string, value string, counted long, empty long, length long, records long"
+_CELL_NAMES = ["path", "value", "counted", "empty", "length", "records"]
+
+
+def _json_records(parsed: object) -> list:
+    """The records of a document: a bundle's resources, a list's objects (or its values), the first list of objects in an object, else the object."""
+    if isinstance(parsed, list):
+        return [x for x in parsed if isinstance(x, dict)] or [{"value": x} for x in parsed]
+    if not isinstance(parsed, dict):
+        return []
+    if parsed.get("resourceType") == "Bundle":
+        entries = parsed.get("entry")
+        return [e.get("resource") or e for e in (entries if isinstance(entries, list) else []) if isinstance(e, dict)] or [parsed]
+    return next((v for v in parsed.values() if isinstance(v, list) and v and isinstance(v[0], dict)), [parsed])
+
+
+def json_cells(frame: DataFrame, text: str) -> DataFrame:
+    """(path, value, counted, empty, length, records): the values at each path of JSON texts, one text a row.
+
+    An array counts once at path[*] with its length, and so does each plain item; an empty object is an empty value. A row
+    without a path says how many records a text has; a text that is null or no JSON has none.
+    """
+
+    def plain(value: object) -> bool:
+        return not isinstance(value, (dict, list))
+
+    def walk(value: object, path: str, out: list[tuple]) -> None:
+        if isinstance(value, dict):
+            if not value and path:
+                out.append((path, None, 1, 1, None, 0))
+            for key, inner in value.items():
+                walk(inner, f"{path}.{key}" if path else key, out)
+        elif isinstance(value, list):
+            own = f"{path}[*]"
+            out.append((own, None, 1, int(not value), len(value), 0))
+            out += [(own, str(x), 0, 0, None, 0) for x in value if plain(x)]
+            for inner in value:
+                walk(inner, own, out)
+        elif path:
+            shown = "" if value is None else str(value).strip()
+            out.append((path, shown or None, 1, int(not shown), None, 0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["text"].dropna():
+                try:
+                    records = _json_records(json.loads(content))
+                except ValueError:
+                    continue
+                out: list[tuple] = [(None, None, 0, 0, None, max(1, len(records)))]
+                for record in records:
+                    walk(record, "", out)
+                yield pd.DataFrame(out, columns=_CELL_NAMES).astype({"length": "Int64"})
+
+    return frame.select(F.col(text).alias("text")).mapInPandas(run, _CELLS)
+
+
 def xml_paths(frame: DataFrame, text: str) -> DataFrame:
-    """(path, value): texts and attributes (path@name) of the leaves of XML texts, names without their namespace."""
+    """(path, value): texts of the leaves and attributes (path@name) of XML texts, names without their namespace.
+
+    A child whose name its siblings share stands under parent.name[*]; empty leaves are left out. A null or broken text gives nothing.
+    """
     import xml.etree.ElementTree as ET
 
-    def walk(node: ET.Element, path: str, out: list[tuple[str, str | None]]) -> None:
-        out += [(f"{path}@{re.sub('{.*}', '', k)}", v) for k, v in node.attrib.items()]
-        tags = [re.sub("{.*}", "", x.tag) for x in node]
-        if not tags:
-            out.append((path, (node.text or "").strip() or None))
+    def walk(node: ET.Element, above: str, out: list[tuple[str, str | None]]) -> None:
+        path = f"{above}.{name(node)}" if above else name(node)
+        out += [(f"{path}@{k}", v) for k, v in node.attrib.items()]
+        if not len(node) and node.text and node.text.strip():
+            out.append((path, node.text.strip()))
+        tags = [name(child) for child in node]
         for child, tag in zip(node, tags, strict=True):
-            walk(child, f"{path}.{tag}[*]" if tags.count(tag) > 1 else f"{path}.{tag}", out)
+            walk(child, f"{path}.{tag}[*]" if tags.count(tag) > 1 else path, out)
+
+    def name(node: ET.Element) -> str:
+        return re.sub("{.*}", "", node.tag)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple[str, str | None]] = []
             for content in pdf["text"].dropna():
-                root = ET.fromstring(content)
-                walk(root, re.sub("{.*}", "", root.tag), out)
+                try:
+                    walk(ET.fromstring(content), "", out)
+                except ET.ParseError:
+                    continue
             yield pd.DataFrame(out, columns=["path", "value"])
 
     return frame.select(F.col(text).alias("text")).mapInPandas(run, "path string, value string")
 
 
+def xml_cells(frame: DataFrame, text: str) -> DataFrame:
+    """The cells of XML texts as profile.profile_paths takes them; blank attributes are empty values."""
+    shown = F.nullif(F.trim("value"), F.lit(""))
+    return xml_paths(frame, text).select("path", shown.alias("value"), F.lit(1).cast("long").alias("counted"), shown.isNull().cast("long").alias("empty"), F.lit(None).cast("long").alias("length"), F.lit(0).cast("long").alias("records"))
+
+
+def structure_error(header: Column, required: list[str], delimiter: str = ",") -> Column:
+    """What is wrong with a file's first line: no header, or the first required column that it lacks, in any case; null if nothing is."""
+    names = F.transform(F.split(F.regexp_replace(header, "^\\uFEFF", ""), re.escape(delimiter)), lambda x: F.lower(F.trim(F.regexp_replace(x, '^"|"$', ""))))
+    lacks = [F.when(~F.array_contains(names, name.strip().lower()), F.lit(f"Missing required column in header: '{name}'")) for name in required]
+    return F.coalesce(F.when(F.coalesce(header, F.lit("")) == "", F.lit("File is empty or contains no header row")), *lacks) if lacks else F.when(F.coalesce(header, F.lit("")) == "", F.lit("File is empty or contains no header row"))
+
+
+def land_bronze(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """(file, bytes, sha256, verified) of the files at path after their bytes were written to a table at `to`: verified is false where what was written reads back otherwise."""
+    read = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.sha2("content", 256).alias("sha256"))
+    read.write.mode("overwrite").parquet(to)
+    held = spark.read.parquet(to)
+    return held.select("file", F.octet_length("content").cast("long").alias("bytes"), "sha256", (F.sha2("content", 256) == F.col("sha256")).alias("verified"))
+
+
+def rescan_silver(spark: SparkSession, paths: list[str], batch: str) -> DataFrame:
+    """A batch's valid rows from the first of the silver tables that has some; an error if none has."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            rows = spark.read.parquet(path).where(F.col("_batch_id").cast("string") == batch)  # the partition's filter: other batches are not read
+            if not rows.isEmpty():
+                return rows
+    raise ValueError(f"no silver rows of batch {batch}")
+
+
+def recovered(valid: DataFrame, recovery_batch: str, source_id: str) -> DataFrame:
+    """Rows mended in a recovery, with the recovery's batch and the quarantined record they come from."""
+    return valid.withColumns({"_recovery_batch_id": F.lit(recovery_batch), "_quarantine_source_id": F.col(source_id).cast("string")})
+
+
 def detect_format(head: str) -> str:
     """CSV, XML, JSON, FHIR or NDJSON by the head of a file."""
     text = head.strip()

@@ -169,7 +169,7 @@ def test_sources(spark, tmp_path):
     bundle = spark.createDataFrame([('{"resourceType":"Bundle","entry":[{"resource":{"id":"1"}},{"id":"2"}]}',)], "t string")
     assert [r[0] for r in files.fhir_resources(bundle, "t").collect()] == ['{"id":"1"}', '{"id":"2"}']
     xml = spark.createDataFrame([("<n:a xmlns:n='u'><b k='v'>x</b><c>1</c><c>2</c></n:a>",)], "t string")
-    assert sorted(map(tuple, files.xml_paths(xml, "t").collect())) == [("a.b", "x"), ("a.b@k", "v"), ("a.c[*]", "1"), ("a.c[*]", "2")]
+    assert sorted(map(tuple, files.xml_paths(xml, "t").collect())) == [("a.b", "x"), ("a.b@k", "v"), ("a.c[*].c", "1"), ("a.c[*].c", "2")]
     landed = spark.createDataFrame([("m_1.csv", 5, "x"), ("m_2.csv", 5, "x"), ("m_3.csv", 0, "y"), ("z.csv", 5, "w"), ("m_4.csv", 5, "old")], "name string, size long, fingerprint string")
     status = {r.name: r.status for r in files.register(landed, spark.createDataFrame([("old",)], "fingerprint string"), [("members", "m_*.csv")], ["name"]).collect()}
     assert status == {"m_1.csv": "ACCEPTED", "m_2.csv": "DUPLICATE", "m_3.csv": "EMPTY", "z.csv": "NO_FEED", "m_4.csv": "DUPLICATE"}
