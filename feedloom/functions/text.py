@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def trim_ws(c: Column) -> Column:
@@ -130,3 +134,28 @@ def date_pattern(fmt: str) -> str:
 
 def to_date(c: Column, fmt: str = "%Y-%m-%d") -> Column:
     return F.try_to_timestamp(c, F.lit(date_pattern(fmt))).cast("date")
+
+
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(c: Column) -> Column:
+    """The text in Unicode's compatibility form; ASCII texts, which are in it already, don't leave the JVM."""
+    ascii_only = c.rlike(r"^\p{ASCII}*$")
+    return F.when(ascii_only, c).otherwise(_nfkc(F.when(~ascii_only, c)))
+
+
+def canonical_source(key: bytes, system: Column, identifier: Column) -> tuple[Column, Column]:
+    """Keyed hash of SYSTEM::IDENTIFIER, and why there is none: an empty part, a colon in the system, or :: in the identifier.
+
+    Both parts are brought to compatibility form, trimmed and upper-cased; white space within the system is one blank, leading
+    zeros of the identifier stay.
+    """
+    own_system, own_id = collapse(nfkc(system)), F.upper(trim_ws(nfkc(identifier)))
+    error = (
+        F.when(blank_to_null(system).isNull(), "EMPTY_SYSTEM").when(blank_to_null(identifier).isNull(), "EMPTY_IDENTIFIER")
+        .when(own_system.contains(":"), "COLON_IN_SYSTEM").when(own_id.contains("::"), "DELIMITER_IN_IDENTIFIER")
+    )
+    return F.when(error.isNull(), hmac_sha256(key, F.concat(F.coalesce(own_system, F.lit("")), F.lit("::"), own_id))), error

@@ -7,7 +7,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import NUMBER, blank_to_null, to_date, to_decimal
@@ -178,6 +178,33 @@ def telemetry_until_reject(frame: DataFrame, rules: list[Rule], order: list[str]
     return with_rate(sums.select(F.inline(F.array(*rows))))
 
 
+def rule_test(frame: DataFrame, rule: Rule, order: list[str], rows: int = 10_000, shown: int = 10) -> tuple[DataFrame, DataFrame]:
+    """A rule tried on the first rows in order: (total, passed, failed, pass_rate), and (row_number, field, reason) of the first failures.
+
+    The limits are the feature, a preview; failures carry no values. No rows have a pass rate of 0.
+    """
+    first = frame.orderBy(*order).limit(rows)
+    tried = first.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("row_number"), violated(rule, "test").alias("_bad"))  # `rows` rows at most
+    counts = tried.agg(F.count("*").alias("total"), F.count_if(~F.col("_bad")).alias("passed"), F.count_if("_bad").alias("failed"))
+    rate = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.round(100.0 * F.col("passed") / F.col("total"), 2))
+    failures = tried.where("_bad").orderBy("row_number").limit(shown).select("row_number", F.lit(rule.column).alias("field"), F.lit(REASONS[rule.kind]).alias("reason"))
+    return counts.withColumn("pass_rate", rate), failures
+
+
+def sandbox(frame: DataFrame, rules: list[Rule], order: list[str], rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Evidence from the first rows in order: (total, passed, quarantined, pass_rate, reject_file, status), and telemetry() of these rows.
+
+    A REJECT_FILE violation quarantines its row and is reported, but does not stop the trial; no rows have a pass rate of 100.
+    """
+    first = frame.orderBy(*order).limit(rows)
+    of = lambda *kinds: reduce(lambda a, b: a | b, [F.col(f"_v{k}") for k, r in enumerate(rules) if r.severity in kinds], F.lit(False))
+    marked = flagged(first, rules).select(of("QUARANTINE", "REJECT_FILE").alias("_out"), of("REJECT_FILE").alias("_reject"))
+    sums = marked.agg(F.count("*").alias("total"), F.count_if(~F.col("_out")).alias("passed"), F.count_if("_out").alias("quarantined"), F.coalesce(F.bool_or("_reject"), F.lit(False)).alias("reject_file"))
+    rate = F.when(F.col("total") == 0, F.lit(100.0)).otherwise(F.round(100.0 * F.col("passed") / F.col("total"), 2))
+    status = F.when(F.col("total") == F.col("passed") + F.col("quarantined"), "BALANCED").otherwise("UNBALANCED")
+    return sums.withColumns({"pass_rate": rate, "status": status}), telemetry(first, rules)
+
+
 def ledger(quarantined: DataFrame) -> DataFrame:
     """(reason, n) of quarantined rows."""
     return quarantined.groupBy(F.col("_failure.reason").alias("reason")).agg(F.count("*").alias("n"))

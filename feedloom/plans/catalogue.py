@@ -822,7 +822,7 @@ def top_candidates(spark, sf_dir):
 
 @query("""
 WITH x AS (SELECT c_name, c_mktsegment, c_nationkey FROM customer), n AS (SELECT count(*) AS n, count(*) FILTER (c_nationkey % 2 = 0) AS e, count(DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END) AS de FROM x)
-SELECT 'id' AS path, n AS total, 0 AS nulls, 0.0::DOUBLE AS null_pct, n AS "distinct", 'INTEGER' AS inferred, false AS is_array, 1 AS depth, NULL::BIGINT AS min_length FROM n
+SELECT 'id' AS path, n AS total, 0 AS nulls, 0.0::DOUBLE AS null_pct, n AS "distinct", 'INTEGER' AS inferred, false AS is_array, 1::BIGINT AS depth, NULL::BIGINT AS min_length FROM n
 UNION ALL SELECT 'tags[*]', 3 * n, 0, 0.0, (SELECT count(DISTINCT v) FROM (SELECT c_name AS v FROM x UNION ALL SELECT c_mktsegment FROM x)), 'STRING', true, 1, 2 FROM n
 UNION ALL SELECT 'nested.n', n, n - e, round(100.0::DOUBLE * (n - e) / n, 2), de, 'INTEGER', false, 2, NULL FROM n
 UNION ALL SELECT 'nested', n, n, 100.0, 0, 'STRING', false, 1, NULL FROM n
@@ -835,7 +835,7 @@ def json_profile(spark, sf_dir):
 
 
 @query("""
-SELECT 'part@key' AS path, count(*) AS total, 0 AS nulls, count(DISTINCT p_partkey) AS "distinct", 'INTEGER' AS inferred, false AS is_array, 1 AS depth FROM part
+SELECT 'part@key' AS path, count(*) AS total, 0::BIGINT AS nulls, count(DISTINCT p_partkey) AS "distinct", 'INTEGER' AS inferred, false AS is_array, 1::BIGINT AS depth FROM part
 UNION ALL SELECT 'part.name', count(*), 0, count(DISTINCT p_name), 'STRING', false, 2 FROM part
 UNION ALL SELECT 'part.size[*].size', 2 * count(*), 0, count(DISTINCT p_size), 'INTEGER', true, 3 FROM part
 """)
@@ -845,7 +845,7 @@ def xml_profile(spark, sf_dir):
     return found.select("path", "total", "nulls", "distinct", "inferred", "is_array", "depth")
 
 
-@query("SELECT count(*) AS total_rows, 5 AS total_columns, 1 AS columns_with_nulls, 2 AS n_string, 1 AS n_integer, 1 AS n_decimal, 0 AS n_boolean, 1 AS n_date, 0 AS n_timestamp FROM orders")
+@query("SELECT count(*) AS total_rows, 5::BIGINT AS total_columns, 1::BIGINT AS columns_with_nulls, 2::BIGINT AS n_string, 1::BIGINT AS n_integer, 1::BIGINT AS n_decimal, 0::BIGINT AS n_boolean, 1::BIGINT AS n_date, 0::BIGINT AS n_timestamp FROM orders")
 def profile_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey + 1000 AS k", "nullif(o_orderstatus, 'P') AS s", "CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) AS p", "date_format(o_orderdate, 'yyyy-MM-dd') AS d", "o_orderpriority AS o")
     return profile.summary(profile.profile(rows, ["k"]))
@@ -864,3 +864,27 @@ def silver_rescan(spark, sf_dir):
     path = f"{shared_dir(spark)}/feedloom-silver-{uuid.uuid4().hex}"
     files.write_silver(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("_batch_id")), path)
     return files.rescan_silver(spark, [path + "-none", path], "P").select("o_orderkey", "o_custkey")
+
+
+@query(f"""
+WITH r AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10000), f AS (SELECT {_FLAGS} FROM r)
+SELECT count(*) AS total, count(*) FILTER (NOT (v1 OR v2 OR v3)) AS passed, count(*) FILTER (v1 OR v2 OR v3) AS quarantined, false AS reject_file,
+  round(100.0::DOUBLE * count(*) FILTER (NOT (v1 OR v2 OR v3)) / count(*), 2) AS pass_rate, 'BALANCED' AS status FROM f
+""")
+def sandbox_evidence(spark, sf_dir):
+    return rules.sandbox(table(spark, sf_dir, "orders"), RULES, ["o_orderkey"])[0]
+
+
+@query("""
+WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, o_totalprice FROM orders)
+SELECT row_number, 'o_totalprice' AS field, 'VALUE_OUT_OF_RANGE' AS reason FROM r WHERE row_number <= 10000 AND (o_totalprice < 5000 OR o_totalprice > 400000) ORDER BY 1 LIMIT 10
+""")
+def rule_test_failures(spark, sf_dir):
+    return rules.rule_test(table(spark, sf_dir, "orders"), RULES[1], ["o_orderkey"])[1]
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 5 > 1 THEN {_HMAC.replace('upper(c_name)', "'SALES EAST::00' || upper(c_name)")} END AS token, CASE c_custkey % 5 WHEN 0 THEN 'EMPTY_SYSTEM' WHEN 1 THEN 'DELIMITER_IN_IDENTIFIER' END AS error FROM customer")
+def source_tokens(spark, sf_dir):
+    system = F.when(F.col("c_custkey") % 5 > 0, " Sales \t east ").otherwise(" ")
+    token, error = text.canonical_source(_KEY, system, F.when(F.col("c_custkey") % 5 == 1, "a::b").otherwise(F.concat(F.lit(" 00"), "c_name")))
+    return table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"), error.alias("error"))

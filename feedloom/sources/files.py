@@ -100,15 +100,19 @@ def json_cells(frame: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out: list[tuple] = []
             for content in pdf["text"].dropna():
                 try:
                     records = _json_records(json.loads(content))
                 except ValueError:
                     continue
-                out: list[tuple] = [(None, None, 0, 0, None, max(1, len(records)))]
+                out.append((None, None, 0, 0, None, max(1, len(records))))
                 for record in records:
                     walk(record, "", out)
-                yield pd.DataFrame(out, columns=_CELL_NAMES).astype({"length": "Int64"})
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=_CELL_NAMES).astype({"length": "Int64"})
+                    out = []
+            yield pd.DataFrame(out, columns=_CELL_NAMES).astype({"length": "Int64"})
 
     return frame.select(F.col(text).alias("text")).mapInPandas(run, _CELLS)
 
@@ -159,7 +163,10 @@ def structure_error(header: Column, required: list[str], delimiter: str = ",") -
 
 
 def land_bronze(spark: SparkSession, path: str, to: str) -> DataFrame:
-    """(file, bytes, sha256, verified) of the files at path after their bytes were written to a table at `to`: verified is false where what was written reads back otherwise."""
+    """(file, bytes, sha256, verified) of the files at path after their bytes were written to a table at `to`: verified is false where what was written reads back otherwise.
+
+    Files of no bytes are left out: registration refuses them, and Spark's reader does not list them.
+    """
     read = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.sha2("content", 256).alias("sha256"))
     read.write.mode("overwrite").parquet(to)
     held = spark.read.parquet(to)
