@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, embedding_dedup, language, line_dedup, packing, quality, secret_scan, simhash_dedup, substring_dedup
+from feedloom.llm import chat, clustering, decontaminate, embedding_dedup, language, lexical_search, line_dedup, packing, quality, secret_scan, simhash_dedup, substring_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +81,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_best_fit_packing, op4_quality_classifier, op5_substring_dedup, op6_line_dedup, op7_language_id, op8_secret_scans, op9_embedding_near_dedup, op10_simhash_near_dedup)
+    for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_best_fit_packing, op4_quality_classifier, op5_substring_dedup, op6_line_dedup, op7_language_id, op8_secret_scans, op9_embedding_near_dedup, op10_simhash_near_dedup, op11_ranked_lexical_search, op12_centroid_clustering, op13_exact_topk_search)
 }
 
 _OP1 = """
@@ -152,4 +164,66 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_i
 FROM v JOIN least_of m ON v.vec_id = m.x LEFT JOIN counts c ON v.vec_id = c.x
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op2_benchmark_decontamination": _OP2, "op6_line_dedup": _OP6, "op9_embedding_near_dedup": _OP9}
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_OP11 = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS d, {_TERMS} AS w FROM documents),
+items AS (SELECT item_id, row_number() OVER () AS i, list_distinct({_TERMS}) AS w FROM benchmark),
+sizes AS (SELECT doc_id, d, CAST(len(w) AS BIGINT) AS n FROM docs),
+total AS (SELECT count(*) FILTER (n > 0) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+asked AS (SELECT item_id, i, unnest(w) AS term FROM items),
+counts AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY d, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term),
+lengths AS (SELECT doc_id, d, 50 + (50 * n * docs) // terms AS m FROM sizes, total WHERE n > 0),
+scores AS (
+  SELECT item_id, i, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (d) GROUP BY item_id, i, d, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
+#: The first centroids, ten rounds that each replace them, and the last assignment.
+_OP12_NEAREST = """
+  SELECT v, vec_id, e, cluster, distance FROM (
+    SELECT v, vec_id, e, cluster, distance, row_number() OVER (PARTITION BY v ORDER BY distance, cluster) AS place
+    FROM (SELECT v, vec_id, e, cluster, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(e, c)]) AS distance FROM vecs, c{n})
+  ) WHERE place = 1"""
+_OP12_ROUND = """a{n} AS MATERIALIZED ({nearest}),
+m{n} AS (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{n}) GROUP BY cluster, i) GROUP BY cluster
+),
+c{next} AS MATERIALIZED (SELECT cluster, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster)),
+"""
+_OP12 = (
+    """
+WITH vecs AS MATERIALIZED (
+  SELECT row_number() OVER () AS v, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, c) - 1 AS INTEGER) AS cluster, c FROM (SELECT sha256('3:' || vec_id) AS h, e AS c FROM vecs ORDER BY h, c LIMIT 8)
+),
+"""
+    + "".join(_OP12_ROUND.format(n=n, next=n + 1, nearest=_OP12_NEAREST.format(n=n)) for n in range(10))
+    + f"""last AS MATERIALIZED ({_OP12_NEAREST.format(n=10)}),
+sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM last GROUP BY cluster)
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM last) AS inertia,
+  sha256(array_to_string(c10.c, ',')) AS centroid_sha256
+FROM last JOIN sums USING (cluster) JOIN c10 USING (cluster)
+"""
+)
+
+_OP13 = """
+WITH vecs AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, q.r, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM vecs q JOIN vecs v ON q.r <> v.r AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op2_benchmark_decontamination": _OP2, "op6_line_dedup": _OP6, "op9_embedding_near_dedup": _OP9, "op11_ranked_lexical_search": _OP11, "op12_centroid_clustering": _OP12, "op13_exact_topk_search": _OP13}
