@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.lineage import cut
+
 _BOUNDS = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)]
 
 
@@ -71,6 +73,18 @@ def slot_windows(frame: DataFrame, lead_minutes: int = 120, grace_minutes: int =
     return frame.withColumns({"opens": F.col("slot") - minutes(lead_minutes), "deadline": F.col("slot") + minutes(grace_minutes), "closes": F.least(F.col("slot") + minutes(2 * grace_minutes), after)})
 
 
+def within(windows: DataFrame, arrivals: DataFrame, minutes: int = 360) -> DataFrame:
+    """windows joined with the arrivals (feed, arrival_id, detected_at) of their feed from opens to closes, both included.
+
+    Both sides are cut into stretches of `minutes`, and meet by feed and stretch: a window stands in each that it touches, an
+    arrival in one, so that each pair is made once and no task holds all arrivals of a feed. Windows of any length are whole.
+    """
+    stretch = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (minutes * 60_000_000))
+    left = windows.where("opens <= closes").withColumn("_stretch", F.explode(F.sequence(stretch("opens"), stretch("closes"))))
+    right = arrivals.select("feed", "arrival_id", "detected_at", stretch("detected_at").alias("_stretch"))
+    return left.join(right, ["feed", "_stretch"]).where("detected_at between opens and closes").drop("_stretch")
+
+
 def match_arrivals(windows: DataFrame, arrivals: DataFrame) -> DataFrame:
     """(feed, slot, arrival_id, detected_at): slots in order take the earliest arrival in their window that is left.
 
@@ -83,17 +97,18 @@ def match_arrivals(windows: DataFrame, arrivals: DataFrame) -> DataFrame:
     so_far, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     own, order = windows.select("feed", "slot", "opens", "closes").where("opens <= closes"), by_feed.orderBy("opens", "closes", "slot")
     own = own.withColumn("begins", F.coalesce(F.col("opens") > F.max("closes").over(order.rowsBetween(*earlier)), F.lit(True)))
-    own = own.withColumn("part", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(*so_far))).drop("begins")
-    inside = own.join(arrivals, "feed").where("detected_at between opens and closes")
-    twice = inside.groupBy("feed", "arrival_id").agg(F.min("part").alias("part"), F.max("part").alias("to")).where("part < to")
+    own = cut(own.withColumn("part", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(*so_far))).drop("begins"), "windows")
+    # an id that came at several times may stand in windows that don't overlap
+    again = arrivals.groupBy("feed", "arrival_id").agg(F.min("detected_at").alias("a"), F.max("detected_at").alias("b")).where("a < b").select("feed", "arrival_id")
+    twice = within(own, arrivals.join(again, ["feed", "arrival_id"], "left_semi")).groupBy("feed", "arrival_id").agg(F.min("part").alias("part"), F.max("part").alias("to")).where("part < to")
     order = by_feed.orderBy("part")
-    parts = own.select("feed", "part").distinct().join(twice.groupBy("feed", "part").agg(F.max("to").alias("to")), ["feed", "part"], "left")
+    parts = own.groupBy("feed", "part").agg(F.count("*").alias("n")).join(twice.groupBy("feed", "part").agg(F.max("to").alias("to")), ["feed", "part"], "left")
     parts = parts.withColumn("begins", F.coalesce(F.col("part") > F.max("to").over(order.rowsBetween(*earlier)), F.lit(True)))
-    parts = parts.select("feed", "part", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(*so_far)).alias("group"))
-    own = own.join(parts, ["feed", "part"]).withColumn("m", F.count("*").over(Window.partitionBy("feed", "group")))
+    parts = parts.select("feed", "part", "n", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(*so_far)).alias("group"))
+    parts = parts.withColumn("m", F.sum("n").over(Window.partitionBy("feed", "group"))).drop("n")
+    own = cut(own.join(parts, ["feed", "part"]), "groups")
     alone = match_disjoint(own.where("m = 1"), arrivals)
-    inside = own.where("m > 1").join(arrivals, "feed").where("detected_at between opens and closes")
-    inside = inside.groupBy("feed", "group", "m", "slot", "arrival_id").agg(F.min("detected_at").alias("detected_at"))
+    inside = within(own.where("m > 1"), arrivals).groupBy("feed", "group", "m", "slot", "arrival_id").agg(F.min("detected_at").alias("detected_at"))
     rank = F.row_number().over(Window.partitionBy("feed", "group", "slot").orderBy("detected_at", "arrival_id"))
     inside = inside.withColumn("rank", rank).where("rank <= m").select("feed", "group", "slot", "arrival_id", "detected_at")
 
@@ -115,8 +130,7 @@ def match_arrivals(windows: DataFrame, arrivals: DataFrame) -> DataFrame:
 
 def match_disjoint(windows: DataFrame, arrivals: DataFrame) -> DataFrame:
     """match_arrivals() where no two windows of a feed overlap: each takes its earliest arrival, by one aggregate."""
-    inside = windows.select("feed", "slot", "opens", "closes").join(arrivals, "feed").where("detected_at between opens and closes")
-    first = inside.groupBy("feed", "slot").agg(F.min(F.struct("detected_at", "arrival_id")).alias("m"))
+    first = within(windows.select("feed", "slot", "opens", "closes"), arrivals).groupBy("feed", "slot").agg(F.min(F.struct("detected_at", "arrival_id")).alias("m"))
     return first.select("feed", "slot", "m.arrival_id", "m.detected_at")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import text
 from feedloom.functions.lineage import shared_dir
-from feedloom.operators import audits, gates, identity, operations, ops, profile, rules, schedule, transforms, validation
+from feedloom.operators import audits, gates, identity, lifecycle, matching, operations, ops, profile, rules, schedule, transforms, validation
 from feedloom.operators.rules import Rule
 from feedloom.sources import files
 from feedloom.streaming import kpis
@@ -356,8 +356,104 @@ SELECT a.record_id, master_id, score, CASE WHEN score > 85 AND score - nx < 5 TH
 FROM a LEFT JOIN (SELECT * FROM o WHERE k = 1) USING (record_id)
 """)
 def identity_disposition(spark, sf_dir):
+    return matching.dispositions(*_people(spark, sf_dir))
+
+
+@query(_PEOPLE + """
+SELECT record_id, master_id, concat_ws(',', CASE WHEN a.ssn = b.ssn THEN 'ssn_hash' END, CASE WHEN a.dob = b.dob THEN 'dob_hash' END, CASE WHEN a.last = b.last THEN 'last_name_hash' END, CASE WHEN a.first = b.first THEN 'first_name_hash' END, CASE WHEN a.postal = b.postal THEN 'postal_code_hash' END) AS matched,
+  concat_ws(',', CASE WHEN a.ssn <> b.ssn THEN 'ssn_hash' END, CASE WHEN a.dob <> b.dob THEN 'dob_hash' END, CASE WHEN a.last <> b.last THEN 'last_name_hash' END, CASE WHEN a.first <> b.first THEN 'first_name_hash' END, CASE WHEN a.postal <> b.postal THEN 'postal_code_hash' END) AS conflicting
+FROM a JOIN b ON a.ssn = b.ssn
+""")
+def identity_evidence(spark, sf_dir):
     a, b = _people(spark, sf_dir)
-    return identity.dispositions(a, identity.candidates(a, b))
+    matched, conflicting = (F.array_join(x, ",") for x in identity.evidence())
+    return a.alias("a").join(b.alias("b"), F.col("a.ssn_hash") == F.col("b.ssn_hash")).select("record_id", "master_id", matched.alias("matched"), conflicting.alias("conflicting"))
+
+
+def _crowd(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A third of all records and persons under one name and date of birth, an eleventh under one SSN."""
+    c = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS k", "IF(c_custkey % 11 = 0, '000', IF(c_custkey % 5 = 0, null, c_custkey)) AS ssn", "IF(c_custkey % 3 = 0, 1, c_custkey % 97) AS dob", "IF(c_custkey % 3 = 0, 'x', c_name) AS last", "c_mktsegment AS first", "IF(c_custkey % 4 = 0, null, c_custkey % 2) AS gender", "c_nationkey AS postal")
+    of = {"ssn": "ssn", "dob": "dob", "last_name": "last", "first_name": "first", "gender": "gender", "postal_code": "postal"}
+    asked = c.withColumn("first", F.expr("IF(k % 7 = 0, null, first)")).withColumn("ssn", F.expr("IF(k % 2 = 0, null, ssn)"))
+    return identity.tokens(asked.withColumnRenamed("k", "record_id"), _KEY, of, ["record_id"]), identity.tokens(c.withColumnRenamed("k", "master_id"), _KEY, of, ["master_id"])
+
+
+_POINTS = "CAST(greatest(0, least(100, " + " + ".join(f"CASE WHEN a.{n} IS NULL OR b.{n} IS NULL THEN 0 WHEN a.{n} = b.{n} THEN {x} ELSE {y} END" for n, x, y in (("ssn", 40, -25), ("dob", 25, -15), ("last", 15, -10), ("first", 10, -5), ("gender", 5, -10), ("postal", 5, 0))) + ")) AS DECIMAL(5,2)) AS score"
+_RANKED = """SELECT *, row_number() OVER w AS k, lead(score) OVER w AS nx FROM p WINDOW w AS (PARTITION BY record_id ORDER BY score DESC, master_id)"""
+_DISPOSED = "CASE WHEN score > 85 AND score - nx < 5 THEN 'SCORE_TIE' WHEN score > 85 THEN 'HIGH_CONFIDENCE' WHEN score >= 65 THEN 'AMBIGUOUS_MATCH' ELSE 'NO_VIABLE_CANDIDATE' END AS disposition"
+
+
+@query(f"""
+WITH b AS (SELECT c_custkey AS master_id, CASE WHEN c_custkey % 11 = 0 THEN '000' WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS ssn, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE c_custkey % 97 END AS dob, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END AS last, c_mktsegment AS first, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 2 END AS gender, c_nationkey AS postal FROM customer),
+a AS (SELECT master_id AS record_id, CASE WHEN master_id % 2 <> 0 THEN ssn END AS ssn, dob, last, CASE WHEN master_id % 7 <> 0 THEN first END AS first, gender, postal FROM b),
+p AS (SELECT record_id, master_id, {_POINTS} FROM a JOIN b ON a.ssn = b.ssn OR (a.last = b.last AND a.dob = b.dob)), o AS ({_RANKED})
+SELECT record_id, master_id, score, {_DISPOSED} FROM a LEFT JOIN (SELECT * FROM o WHERE k = 1) USING (record_id)
+""")
+def identity_blocking_skew(spark, sf_dir):
+    return matching.dispositions(*_crowd(spark, sf_dir))
+
+
+def _batch(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as the records of a batch, in which a customer stands several times, the customers as persons, and a crosswalk that holds some of them."""
+    raw = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS record_id", "IF(o_orderkey % 13 = 0, 'none', CAST(o_orderkey % 1000 AS STRING)) AS _source_row_num", "IF(o_orderkey % 29 = 0, ' ', CAST(o_custkey AS STRING)) AS member_id", "IF(o_orderkey % 4 <> 0, o_custkey, null) AS ssn", "o_custkey % 97 AS dob",
+        "IF(o_orderkey % 5 = 0, 'x', concat(' n', o_custkey)) AS last_name", "IF(o_orderkey % 3 = 1, concat('f', o_custkey % 5), 'other') AS first_name", "o_custkey % 2 AS gender", "IF(o_orderkey % 2 = 0, null, o_custkey % 50) AS zip")
+    people = table(spark, sf_dir, "customer").selectExpr("c_custkey AS master_id", "IF(c_custkey % 17 = 0, c_custkey - 1, c_custkey) AS ssn", "c_custkey % 97 AS dob", "IF(c_custkey % 3 = 0, 'X', concat('N', c_custkey)) AS last_name", "concat('f', c_custkey % 5) AS first_name", "IF(c_custkey % 4 = 0, null, c_custkey % 2) AS gender", "c_custkey % 50 AS postal_code")
+    persons = identity.tokens(people, _KEY, {a: a for a in identity.POINTS}, ["master_id"])
+    source = text.canonical_source(_KEY, F.lit("orders"), F.col("c_custkey").cast("string"))[0]
+    held = table(spark, sf_dir, "customer").where("c_custkey % 7 < 2").select(F.lit("orders").alias("source_system"), source.alias("source_hash"), (F.col("c_custkey") + 1000000).alias("master_id"), (F.col("c_custkey") % 7 == 0).alias("is_active"))
+    return matching.record_tokens(raw, _KEY, F.lit("orders")), persons, held
+
+
+_BATCH = f"""
+WITH RECURSIVE a AS (
+  SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_orderkey % 1000 END AS row_num, CASE WHEN o_orderkey % 29 <> 0 THEN o_custkey END AS src, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS ssn, o_custkey % 97 AS dob,
+    CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE 'N' || o_custkey END AS last, CASE WHEN o_orderkey % 3 = 1 THEN 'F' || o_custkey % 5 ELSE 'OTHER' END AS first, o_custkey % 2 AS gender, CASE WHEN o_orderkey % 2 <> 0 THEN o_custkey % 50 END AS postal FROM orders
+), b AS (
+  SELECT c_custkey AS master_id, CASE WHEN c_custkey % 17 = 0 THEN c_custkey - 1 ELSE c_custkey END AS ssn, c_custkey % 97 AS dob, CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE 'N' || c_custkey END AS last, 'F' || c_custkey % 5 AS first, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 2 END AS gender, c_custkey % 50 AS postal FROM customer
+), p AS (
+  SELECT DISTINCT * FROM (SELECT record_id, master_id, {_POINTS} FROM a JOIN b ON a.ssn = b.ssn UNION ALL SELECT record_id, master_id, {_POINTS} FROM a JOIN b ON a.last = b.last AND a.dob = b.dob)
+), o AS ({_RANKED}),
+scored AS (SELECT record_id, row_num, src, master_id, score, {_DISPOSED} FROM a LEFT JOIN (SELECT * FROM o WHERE k = 1) USING (record_id)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY coalesce(src, -1 - record_id) ORDER BY row_num, record_id) AS n FROM scored),
+walk AS (
+  SELECT n, record_id, coalesce(src, -1 - record_id) AS src, master_id, score, disposition, NULL::BIGINT AS before, CASE WHEN src >= 0 AND src % 7 = 0 THEN src + 1000000 WHEN disposition = 'HIGH_CONFIDENCE' THEN master_id END AS linked FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT x.n, x.record_id, w.src, x.master_id, x.score, x.disposition, w.linked, coalesce(w.linked, CASE WHEN x.disposition = 'HIGH_CONFIDENCE' THEN x.master_id END) FROM walk w JOIN numbered x ON x.src = w.src AND x.n = w.n + 1
+), stage AS (
+  SELECT record_id, src, n, CASE WHEN src >= 0 AND src % 7 = 0 THEN linked ELSE coalesce(before, master_id) END AS master_id, CASE WHEN (src >= 0 AND src % 7 = 0) OR before IS NOT NULL THEN 100 ELSE score END AS score,
+    CASE WHEN (src >= 0 AND src % 7 = 0) OR before IS NOT NULL THEN 'HIGH_CONFIDENCE' ELSE disposition END AS disposition, CASE WHEN src >= 0 AND src % 7 = 0 THEN 'ACTIVE_CROSSWALK' WHEN before IS NOT NULL THEN 'LINKED_IN_BATCH' ELSE 'SCORED' END AS resolution FROM walk
+)
+"""
+
+
+@query(_BATCH + "SELECT record_id, master_id, CAST(score AS DECIMAL(5,2)) AS score, disposition, resolution FROM stage")
+def identity_stage(spark, sf_dir):
+    return matching.identity_stage(*_batch(spark, sf_dir)).select("record_id", "master_id", "score", "disposition", "resolution")
+
+
+@query(_BATCH + "SELECT master_id, CAST(score AS DECIMAL(5,2)) AS match_score, count(*) AS n, count(*) FILTER (src < 0) AS without_source FROM stage WHERE resolution = 'SCORED' AND disposition = 'HIGH_CONFIDENCE' GROUP BY 1, 2")
+def identity_stage_links(spark, sf_dir):
+    records, persons, held = _batch(spark, sf_dir)
+    made = matching.new_links(matching.identity_stage(records, persons, held), held, F.lit(1), F.lit("2024-01-01").cast("timestamp"))
+    return made.groupBy("master_id", "match_score").agg(F.count("*").alias("n"), F.count_if(F.col("source_hash").isNull()).alias("without_source"))
+
+
+@query(_BATCH + """
+SELECT record_id, disposition AS exception_type, CAST(coalesce(score, 0) AS DECIMAL(5,2)) AS highest_score, coalesce(best, '') AS best
+FROM stage LEFT JOIN (SELECT record_id, string_agg(master_id || ':' || score, ',' ORDER BY k) AS best FROM o WHERE k <= 10 GROUP BY 1) USING (record_id) WHERE disposition <> 'HIGH_CONFIDENCE'
+""")
+def identity_stage_exceptions(spark, sf_dir):
+    records, persons, held = _batch(spark, sf_dir)
+    left = matching.exceptions(matching.identity_stage(records, persons, held), matching.best(records, persons, 10))
+    best = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["person"], c["score"])), ",")
+    return left.select("record_id", "exception_type", "highest_score", best.alias("best"))
+
+
+@query(_BATCH + "SELECT count(*) AS rows_in, count(*) FILTER (disposition = 'HIGH_CONFIDENCE') AS linked, count(*) FILTER (disposition <> 'HIGH_CONFIDENCE') AS exceptions, 'SUCCESS' AS run_status FROM stage")
+def identity_stage_status(spark, sf_dir):
+    return matching.stage_status(matching.identity_stage(*_batch(spark, sf_dir)))
 
 
 _WALK = "w AS (SELECT user_id AS id, event_id AS master_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events WHERE event_type <> 'click')"
@@ -385,6 +481,60 @@ def crosswalk_merge(spark, sf_dir):
     return identity.merge_persons(walk, merges, F.lit("2025-01-01").cast(walk.schema["valid_from"].dataType))
 
 
+def _merge_batch(spark, sf_dir) -> lifecycle.Lifecycle:
+    """Of ten customers in a row the first six are merged, each into the next, in an order of their own; orders of some are split off in between."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    stamp = lambda text: F.expr(f"CAST({text} AS TIMESTAMP)")
+    walk = o.select(F.lit("orders").alias("source_system"), F.col("o_orderkey").cast("string").alias("source_hash"), F.col("o_custkey").alias("master_id"), F.col("o_orderdate").cast("timestamp").alias("valid_from"), stamp("IF(o_orderstatus = 'F', timestamp'2024-01-01', null)").alias("valid_to"), F.lit("EXACT").alias("match_type"))
+    merges = c.where("c_custkey % 10 between 1 and 5").select((F.col("c_custkey") * 10).alias("event_id"), stamp("timestamp'2025-01-01' + make_interval(0, 0, 0, CAST(c_custkey * 7919 % 5 AS INT))").alias("at"), F.lit("MERGE").alias("operation"), F.col("c_custkey").alias("source_id"), (F.col("c_custkey") + 1).alias("target_id"), F.lit(False).alias("is_new"), F.lit(None).cast("string").alias("source_system"), F.lit(None).cast("string").alias("source_hash"))
+    splits = o.where("o_orderkey % 10 = 3").select((F.col("o_orderkey") * 10 + 1).alias("event_id"), stamp("timestamp'2025-01-03 12:00:00'").alias("at"), F.lit("SPLIT").alias("operation"), F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") + 10000000).alias("target_id"), F.lit(True).alias("is_new"), F.lit("orders").alias("source_system"), F.col("o_orderkey").cast("string").alias("source_hash"))
+    tokens = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("master_id"), F.col("c_name").alias("ssn_hash"), F.lit(True).alias("is_current"), stamp("timestamp'2020-01-01'").alias("effective_from"), stamp("null").alias("effective_to"))
+    return lifecycle.apply_events(walk, c.select(F.col("c_custkey").alias("master_id"), F.lit("ACTIVE").alias("status")), tokens, merges.unionByName(splits))
+
+
+_MERGE_BATCH = """
+WITH RECURSIVE m AS (SELECT c_custkey AS s, TIMESTAMP '2025-01-01' + to_days(CAST(c_custkey * 7919 % 5 AS INTEGER)) AS ts FROM customer WHERE c_custkey % 10 BETWEEN 1 AND 5 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)),
+held AS (
+  SELECT s, ts, true AS ok FROM m WHERE s % 10 = 5 OR s + 1 NOT IN (SELECT s FROM m)
+  UNION ALL SELECT m.s, m.ts, NOT (h.ok AND (h.ts, h.s) < (m.ts, m.s)) FROM held h JOIN m ON m.s = h.s - 1
+), w AS (
+  SELECT o_orderkey AS k, o_custkey AS p, CAST(o_orderdate AS TIMESTAMP) AS valid_from, CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '2024-01-01' END AS valid_to FROM orders
+), hops AS (
+  SELECT k, p, valid_from, valid_to IS NULL AS open, NULL::TIMESTAMP AS ts, 0 AS n, NULL::TIMESTAMP AS until, valid_to AS was FROM w
+  UNION ALL
+  SELECT k, h.s + 1, x.valid_from, x.open, h.ts, n + 1, NULL, NULL FROM hops x JOIN held h ON h.s = x.p AND h.ok AND x.open WHERE NOT (k % 10 = 3 AND h.ts > TIMESTAMP '2025-01-03 12:00:00' AND n = 0)
+), splits AS (
+  SELECT k, p, p IN (SELECT s FROM held WHERE ok AND ts < TIMESTAMP '2025-01-03 12:00:00') AS gone, w.valid_to IS NULL AS open FROM w WHERE k % 10 = 3
+)
+"""
+
+
+@query(_MERGE_BATCH + """, stands AS (
+  SELECT k, p, ts, valid_from, was, CASE WHEN n = 0 THEN 'EXACT' ELSE 'MERGE_OVERRIDE' END AS match_type FROM hops
+  UNION ALL SELECT k, k + 10000000, TIMESTAMP '2025-01-03 12:00:00', NULL, NULL, 'SPLIT_OVERRIDE' FROM splits WHERE open AND NOT gone
+), ended AS (SELECT *, coalesce(was, lead(ts) OVER (PARTITION BY k ORDER BY ts NULLS FIRST, CASE WHEN match_type = 'EXACT' THEN 0 ELSE p END)) AS ends FROM stands)
+SELECT CAST(k AS VARCHAR) AS source_hash, p AS master_id, coalesce(ts, valid_from) AS valid_from, ends AS valid_to, match_type FROM ended WHERE ts IS NULL OR ends IS NULL OR ts < ends
+""")
+def crosswalk_merge_chains(spark, sf_dir):
+    return _merge_batch(spark, sf_dir).crosswalk.drop("source_system")
+
+
+@query(_MERGE_BATCH + """
+SELECT c_custkey * 10 AS event_id, CASE WHEN c_custkey + 1 NOT IN (SELECT c_custkey FROM customer) THEN 'NOT_FOUND' WHEN ok THEN 'EXECUTED' ELSE 'TARGET_NOT_ACTIVE' END AS outcome FROM customer LEFT JOIN held ON s = c_custkey WHERE c_custkey % 10 BETWEEN 1 AND 5
+UNION ALL SELECT k * 10 + 1, CASE WHEN gone THEN 'SOURCE_NOT_ACTIVE' WHEN NOT open THEN 'IDENTIFIER_NOT_FOUND' ELSE 'EXECUTED' END FROM splits
+""")
+def merge_split_outcomes(spark, sf_dir):
+    return _merge_batch(spark, sf_dir).outcomes
+
+
+@query(_MERGE_BATCH + """
+SELECT c_custkey AS master_id, c_name AS ssn_hash, NOT coalesce(ok, false) AS is_current, CASE WHEN ok THEN ts END AS effective_to FROM customer LEFT JOIN held ON s = c_custkey WHERE c_custkey % 2 = 0
+UNION ALL SELECT k + 10000000, c_name, true, NULL FROM splits JOIN customer ON c_custkey = p WHERE open AND NOT gone AND p % 2 = 0
+""")
+def merge_split_tokens(spark, sf_dir):
+    return _merge_batch(spark, sf_dir).tokens.drop("effective_from")
+
+
 @query(f"WITH {_WALK}, x AS (SELECT id, master_id, valid_from, valid_to + INTERVAL 1 MINUTE AS valid_to FROM w) SELECT id, master_id FROM (SELECT *, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from, valid_to) AS nx FROM x) WHERE (nx IS NOT NULL AND (valid_to IS NULL OR nx < valid_to)) OR valid_to <= valid_from")
 def crosswalk_overlap_audit(spark, sf_dir):
     late = _crosswalk(spark, sf_dir).withColumn("valid_to", F.expr("valid_to + INTERVAL 1 MINUTE"))
