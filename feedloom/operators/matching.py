@@ -68,7 +68,7 @@ def _patterns(frame: DataFrame, block: str, of_records: bool) -> DataFrame:
 
 
 def _scored(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    return a.alias("a").join(b.alias("b"), on).select("a._class", F.col("b._person").alias("_person"), score().alias("score"))
+    return a.alias("a").join(b.alias("b"), on).select("a._c", F.col("b._person").alias("_person"), score().alias("score"))
 
 
 def best(records: DataFrame, persons: DataFrame, k: int = 2, record: str = "record_id", person: str = "master_id", heavy: int = 64) -> DataFrame:
@@ -84,7 +84,7 @@ def best(records: DataFrame, persons: DataFrame, k: int = 2, record: str = "reco
     first = Window.partitionBy(*_HASHES).orderBy("_person")
     people = cut(people.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n"), "persons")
     rows = cut(records.select(record, *_HASHES).withColumn("_class", _class_key()), "records")
-    classes = cut(rows.groupBy("_class").agg(*[F.any_value(h).alias(h) for h in _HASHES]), "classes")
+    classes = cut(rows.groupBy("_class").agg(*[F.any_value(h).alias(h) for h in _HASHES]).withColumn("_c", F.monotonically_increasing_id()), "classes")
     parts = []
     for block in _INSIDE:
         a, b = (x.withColumn("_block", _block_key(block)).where("_block is not null") for x in (classes, people))
@@ -99,15 +99,15 @@ def best(records: DataFrame, persons: DataFrame, k: int = 2, record: str = "reco
         ways = F.when(F.col("_named") < _SHARED, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
         kept = kept.withColumn("_way", F.explode(ways))
         asked = _patterns(a.join(crowded, "_block", "left_semi"), block, True)
-        asked = asked.withColumn("_way", F.when(F.col("_named") < _SHARED, F.pmod(F.xxhash64("_class"), F.lit(WAYS))).otherwise(F.lit(0)).cast("int"))
+        asked = asked.withColumn("_way", F.when(F.col("_named") < _SHARED, F.pmod(F.xxhash64("_c"), F.lit(WAYS))).otherwise(F.lit(0)).cast("int"))
         parts.append(_scored(asked, kept, (F.col("a._key") == F.col("b._key")) & (F.col("a._way") == F.col("b._way"))))
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.union(part)
-    order = Window.partitionBy("_class").orderBy(F.desc("score"), F.asc("_person"))
-    top = scored.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= k).groupBy("_class", "_person").agg(F.max("score").alias("score"))  # a pair may be found by several patterns
+    order = Window.partitionBy("_c").orderBy(F.desc("score"), F.asc("_person"))
+    top = scored.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= k).groupBy("_c", "_person").agg(F.max("score").alias("score"))  # a pair may be found by several patterns
     top = top.withColumn("place", F.row_number().over(order))
-    return rows.select(record, "_class").join(top, "_class").select(record, "place", F.col("_person").alias(person), "score")
+    return rows.select(record, "_class").join(classes.select("_class", "_c"), "_class").join(top, "_c").select(record, "place", F.col("_person").alias(person), "score")
 
 
 def disposition(top: Column, after: Column) -> Column:

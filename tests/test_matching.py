@@ -121,3 +121,21 @@ def test_record_tokens_take_the_first_column_that_has_text(spark):
     one, two = matching.record_tokens(raw, b"k", F.lit("s")).orderBy("record_id").collect()
     assert (one.row_num, two.row_num, one.first_name_hash == two.first_name_hash, one.dob_hash is None, one.source_hash == two.source_hash) == (7, 0, True, False, False)
     assert one.ssn_hash is None and one.gender_hash is None and matching.record_tokens(raw.limit(0), b"k", F.lit("s")).count() == 0
+
+
+@pytest.mark.parametrize("share", [1, 1000])
+def test_as_of_is_that_of_all_pairs(spark, share):
+    rng = random.Random(share)
+    walk = [(rng.choice(["a", "b", "c", "d"]), k, rng.randrange(0, 500), 0) for k in range(60)]
+    walk = [(key, master, start, None if rng.random() < 0.2 else start + rng.randrange(0, 200)) for key, master, start, _ in walk] + [("e", 100 + k, 50 * k, 50 * k + 50) for k in range(6)] + [("e", 7, 10, 10), (None, 8, 1, None), ("a", 9, None, None)]
+    asked = [(k, rng.choice(["a", "b", "e", "e", "z"]), rng.randrange(-20, 900)) for k in range(400)] + [(1, "a", 70), (1, "a", 70), (500, None, 5), (501, "a", None)]
+    stamp = lambda c: F.timestamp_seconds(c).alias(c)
+    versions = spark.createDataFrame(walk, "id string, master_id long, valid_from long, valid_to long").select("id", "master_id", stamp("valid_from"), stamp("valid_to"))
+    lookups = spark.createDataFrame(asked, "event long, id string, at long").select("event", "id", stamp("at"))
+    want = []
+    for event, key, at in asked:
+        found = [(s, -m) for k, m, s, e in walk if k == key and key and at is not None and s is not None and s <= at and (e is None or at < e)]
+        want.append((event, -max(found)[1] if found else None))
+    got = identity.as_of(lookups, versions, ["id"], share=share, ranges=4).collect()
+    assert sorted(((r.event, r.master_id) for r in got), key=repr) == sorted(want, key=repr)
+    assert identity.as_of(lookups.limit(0), versions, ["id"]).count() == 0 and identity.as_of(lookups, versions.limit(0), ["id"]).where("master_id is null").count() == len(asked)
