@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.lineage import cut
 
-__all__ = ["cut", "dealt_join", "discard", "gram_hashes", "held_out", "hot_keys", "merge_labels", "mix", "span_hashes", "spans"]
+__all__ = ["cut", "dealt_join", "discard", "fresh", "gram_hashes", "held_out", "hot_keys", "merge_labels", "mix", "span_hashes", "spans"]
 
 
 def hot_keys(counted: DataFrame, key: str, n: str = "n", share: int = 1000) -> list:
@@ -37,6 +37,14 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of columns, whatever their case."""
+    taken, lead = {c.lower() for c in columns}, "_"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def held_out(key: str, mod: int, rest: int):
     """True where crc32 of the key's text, mod `mod`, is `rest`; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % mod == rest

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import cut, dealt_join, hot_keys
+from feedloom.llm.common import cut, dealt_join, fresh, hot_keys
 
 
 def chunk_lines(text: Column, divisor: int = 4) -> Column:
@@ -43,6 +43,11 @@ def repeated_chunks(docs: DataFrame, divisor: int = 4, broadcast_rows: int = 500
     return again.groupBy("doc_id", "th").agg(F.collect_set("place").alias("removed"))
 
 
+def check_count_col(docs: DataFrame, count_col: str | None) -> None:
+    if count_col and count_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{count_col!r} is a column of the documents already")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, count_col: str | None = None) -> DataFrame:
     """docs with the same columns; from the texts, chunks of several lines that stand somewhere before are removed.
 
@@ -50,15 +55,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the first occurrence stays in each. A null text stays null; a text of which all is removed is empty; an empty text
     or one line stays as it is. Rows without an id come first. count_col names a column for the number of chunks removed.
     """
+    check_count_col(docs, count_col)
+    of_id, of_text, removed, chunks = fresh(docs.columns, "gone_id", "gone_th", "gone", "chunks")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    gone = repeated_chunks(keyed, divisor).withColumnsRenamed({"doc_id": "_gone_id", "th": "_gone_th", "removed": "_gone"})
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_th"]), "left")
-    split = joined.withColumn("_chunks", F.when(F.col("_gone").isNotNull(), chunk_lines(F.col(text_col), divisor)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "_gone")
-    text = F.array_join(F.transform(kept, lambda k: F.get(F.col("_chunks"), k)), "\n")
-    out = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    gone = repeated_chunks(keyed, divisor).withColumnsRenamed({"doc_id": of_id, "th": of_text, "removed": removed})
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[of_id]) & (F.xxhash64(docs[text_col]) == gone[of_text]), "left")
+    split = joined.withColumn(chunks, F.when(F.col(removed).isNotNull(), chunk_lines(F.col(text_col), divisor)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), removed)
+    text = F.array_join(F.transform(kept, lambda k: F.get(F.col(chunks), k)), "\n")
+    out = [F.when(F.col(removed).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
-        out.append(F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(count_col))
+        out.append(F.coalesce(F.size(removed), F.lit(0)).cast("long").alias(count_col))
     return split.select(*out)
 
 
@@ -94,14 +101,16 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     all that line_dedup() removes in such lines goes. Single lines stay, as do nulls, rows of equal id and text, and the
     order of rows as there. count_col names a column for the number of lines removed.
     """
+    check_count_col(docs, count_col)
+    of_id, of_text, removed, lines, numbers = fresh(docs.columns, "gone_id", "gone_th", "gone", "lines", "out")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    gone = repeated_pairs(keyed).withColumnsRenamed({"doc_id": "_gone_id", "th": "_gone_th", "removed": "_gone"})
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_th"]), "left")
-    out_of = F.array_distinct(F.flatten(F.transform("_gone", lambda s: F.sequence(s["place"], s["to"]))))
-    split = joined.withColumns({"_lines": F.when(F.col("_gone").isNotNull(), F.split(F.col(text_col), "\n", -1)), "_out": out_of})
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_out")
-    text = F.array_join(F.transform(kept, lambda k: F.get(F.col("_lines"), k)), "\n")
-    out = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    gone = repeated_pairs(keyed).withColumnsRenamed({"doc_id": of_id, "th": of_text, "removed": removed})
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[of_id]) & (F.xxhash64(docs[text_col]) == gone[of_text]), "left")
+    out_of = F.array_distinct(F.flatten(F.transform(removed, lambda s: F.sequence(s["place"], s["to"]))))
+    split = joined.withColumns({lines: F.when(F.col(removed).isNotNull(), F.split(F.col(text_col), "\n", -1)), numbers: out_of})
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
+    text = F.array_join(F.transform(kept, lambda k: F.get(F.col(lines), k)), "\n")
+    out = [F.when(F.col(removed).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
-        out.append(F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias(count_col))
+        out.append(F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(count_col))
     return split.select(*out)

@@ -85,7 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample is that of the smallest hashes of the id, so it is the same in every run. Its documents' texts are counted
     whole on the executors; the driver gets their bucket counts, at most 65536 for a document. Rows without an id or
-    a label of 0 or 1, and ids without a document, teach nothing; an id labelled twice teaches each label.
+    a label of 0 or 1, and ids without a document, teach nothing; an id labelled twice teaches each label, and so does each text of a repeated id, as
+    long as there are no more than `sample` of them in all.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, mod, held))
     chosen = chosen.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
@@ -99,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [features(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "buckets": pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), "shares": pa.array([f[1] for f in found], pa.list_(pa.float32()))})
 
-    got = rows.mapInArrow(count, "doc_id long, label int, buckets array<int>, shares array<float>").toArrow()
+    got = rows.mapInArrow(count, "doc_id long, label int, buckets array<int>, shares array<float>")
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("buckets")).limit(sample).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     return train([(np.asarray(w.values), np.asarray(s.values), y) for w, s, y in zip(got["buckets"], got["shares"], got["label"].to_pylist(), strict=True)])
 

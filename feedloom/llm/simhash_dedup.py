@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import cut, merge_labels
+from feedloom.llm.common import cut, fresh, merge_labels
 from feedloom.llm.components import connected_components
 
 BITS = 64
@@ -37,15 +37,17 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for every row of docs: the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, hash_col: str | None = None) -> DataFrame:
+    """(doc_id, fp long) for every row of docs: the fingerprint as a signed 64-bit number. hash_col names a column for xxhash64 of the text."""
+    more = [F.xxhash64(text_col).alias(hash_col)] if hash_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column("text").cast(pa.binary())], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64)), *[batch.column(c) for c in own]], ["doc_id", "fp", *own])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = [hash_col] if hash_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in own))
 
 
 def within(left: np.ndarray, right: np.ndarray | None, radius: int, block: int = 256) -> Iterator[tuple[int, np.ndarray]]:
@@ -143,27 +145,29 @@ def links(prints: DataFrame, radius: int = 4, shared: int | None = None, tile: i
     return buckets.select("left", "right", "apart").mapInArrow(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, radius: int = 4, shared: int | None = None, tile: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: documents whose fingerprints differ in radius bits or fewer are linked.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, radius: int = 4, shared: int | None = None, tile: int = 4096, hash_col: str | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, and hash_col if it is named) for every row: documents whose fingerprints differ in radius bits or fewer are linked.
 
     component_id is the smallest id that links reach. A null, empty or blank text has fingerprint zero and is linked
     like any other. Rows with equal fingerprints are one class before anything is compared, so copies cost one row
     each. A row without an id has the component of its fingerprint, null if no row there has an id; rows that repeat
     an id are separate rows. No rows give no rows; other columns are not read.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, words, seed), "prints")
+    prints = cut(fingerprints(docs, id_col, text_col, words, seed, hash_col), "prints")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     parts = connected_components(links(classes.select("fp"), radius, shared, tile))
     named = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(heads, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *[hash_col] if hash_col else [])
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs with all their columns, of each linked group only the document with the smallest id.
 
-    Rows without an id are kept, as they can't be told from the one to keep; rows that repeat the kept id all stay.
+    Rows are told apart by id and text: of rows that share an id but not the text, those go that some smaller id is linked to.
+    Rows without an id are kept, as they can't be told from the one to keep; rows that repeat the kept id in its group all stay.
     """
-    gone = simhash_components(docs, id_col, **settings).where("doc_id != component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    of_id, of_text = fresh(docs.columns, "gone_id", "gone_th")
+    gone = simhash_components(docs, id_col, text_col, hash_col=of_text, **settings).where("doc_id != component_id").select(F.col("doc_id").alias(of_id), of_text).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == gone[of_id]) & (F.xxhash64(docs[text_col]) == gone[of_text]), "left_anti")

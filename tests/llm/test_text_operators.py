@@ -89,6 +89,24 @@ def test_simhash_components(spark):
     odd = simhash_dedup.simhash_components(awkward(spark)).collect()
     assert Counter(r.doc_id for r in odd)[4] == 2 and {r.component_id for r in odd if r.doc_id in (1, 2, 3)} == {1}
     assert simhash_dedup.simhash_dedup(awkward(spark)).columns == awkward(spark).columns
+    shared = [(3, "one text of some words"), (5, "one text of some words"), (5, "another that stands alone here"), (5, None), (9, "")]
+    left = simhash_dedup.simhash_dedup(frame(spark, [(*r, 1) for r in shared], "doc_id long, text string, _gone_id int")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == [(3, "one text of some words"), (5, ""), (5, "another that stands alone here")]
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    docs = frame(spark, [(1, "a\nb\nc", 1, 2, 3, 4), (2, "x\na\nb\nc", 5, 6, 7, 8)], "doc_id long, text string, _gone int, _chunks int, _lines int, _OUT int")
+    for dedup in (line_dedup.line_dedup, line_dedup.passage_dedup):
+        out = dedup(docs, count_col="n")
+        assert out.columns == [*docs.columns, "n"] and [tuple(r)[2:6] for r in out.orderBy("doc_id").collect()] == [(1, 2, 3, 4), (5, 6, 7, 8)]
+        with pytest.raises(ValueError):
+            dedup(docs, count_col="_GONE")
+
+
+def test_a_repeated_id_does_not_grow_the_sample(spark):
+    docs = frame(spark, [(1, f"text number {k}") for k in range(50)] + [(2, "other words"), (3, "more words")])
+    labels = frame(spark, [(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality.fit(docs, labels, sample=5, mod=1000, held=-1) is not None
 
 
 # windows of benchmark items
