@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import text
 from feedloom.functions.lineage import shared_dir
-from feedloom.operators import audits, gates, identity, lifecycle, matching, operations, ops, profile, rules, schedule, transforms, validation
+from feedloom.operators import audits, gates, identity, lifecycle, matching, operations, ops, profile, rules, schedule, transforms, validation, variants
 from feedloom.operators.rules import Rule
 from feedloom.sources import files
 from feedloom.streaming import kpis
@@ -967,6 +967,50 @@ def top_candidates(spark, sf_dir):
     return operations.top_candidates(scored).select("record_id", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["person"], c["score"])), ",").alias("best"))
 
 
+# paths over documents whose shape differs by row
+
+
+_SHAPES = """concat('{"k":', o_orderkey, CASE o_orderkey % 5
+  WHEN 0 THEN concat(',"entry":[{"resource":{"id":"r', o_custkey, '"}},{"resource":{"id":"s"}}],"telecom":[{"system":"email","value":"e"},{"system":"phone","value":"p', o_custkey, '"}]')
+  WHEN 1 THEN concat(',"Entry":[{"resource":{"id":', o_custkey, '}}],"telecom":[{"system":"phone","value":"p"},{"system":"phone","value":', o_custkey, '}]')
+  WHEN 2 THEN ',"entry":{"resource":5},"patient":{"Name":{"family":"S"},"age":null}'
+  WHEN 3 THEN concat(',"entry":[{"resource":{"id":[1,2]}},{"resource":{"id":', o_custkey, '}},{"resource":{}},7],"PATIENT":{"name":{"family":"T', o_custkey, '"}}')
+  ELSE ',"entry":[],"telecom":"none","patient":[]' END, '}')"""
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SHAPES).alias("text")).withColumn("v", F.try_parse_json("text"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '["r' || o_custkey || '","s"]' WHEN 3 THEN '[1,2,' || o_custkey || ']' END AS ids, CASE o_orderkey % 5 WHEN 0 THEN '"r' || o_custkey || '"' WHEN 3 THEN '[1,2]' END AS first_id,
+  CASE o_orderkey % 5 WHEN 0 THEN '"p' || o_custkey || '"' WHEN 1 THEN '["p",' || o_custkey || ']' END AS phones, CASE o_orderkey % 5 WHEN 0 THEN '"p' || o_custkey || '"' WHEN 1 THEN '"p"' END AS phone,
+  CASE o_orderkey % 5 WHEN 2 THEN '"S"' WHEN 3 THEN '"T' || o_custkey || '"' ELSE '"none"' END AS family
+FROM orders
+""")
+def variant_paths(spark, sf_dir):
+    v = F.col("v")
+    phones = variants.find(v, "telecom[?(@.system=='phone')].value")
+    found = {"ids": variants.find(v, "entry[*].resource.id"), "first_id": variants.find(v, "entry[0].resource.id"), "phones": phones, "phone": variants.first(phones), "family": variants.find(v, "patient.name.family", "none")}
+    return _documents(spark, sf_dir).select("o_orderkey", *[F.to_json(c).alias(n) for n, c in found.items()])
+
+
+@query("""
+SELECT o_orderkey, unnest(CASE o_orderkey % 5 WHEN 0 THEN [0, 1] WHEN 3 THEN [0, 1, 2, 3] ELSE [0] END) AS _explode_index, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['r' || o_custkey, 's'] WHEN 1 THEN [CAST(o_custkey AS VARCHAR)] WHEN 3 THEN ['[1,2]', CAST(o_custkey AS VARCHAR), NULL, NULL] ELSE [NULL] END) AS id FROM orders
+""")
+def variant_explode(spark, sf_dir):
+    rows = variants.explode_rows(_documents(spark, sf_dir), "v", "entry", "item")
+    return rows.select("o_orderkey", F.col("_explode_index").cast("int").alias("_explode_index"), F.try_variant_get(variants.find(F.col("item"), "resource.id"), "$", "string").alias("id"))
+
+
+@query("""
+SELECT name, count(*) AS n FROM (SELECT unnest(CASE o_orderkey % 5 WHEN 0 THEN ['k', 'entry', 'telecom'] WHEN 1 THEN ['k', 'Entry', 'telecom'] WHEN 2 THEN ['k', 'entry_resource', 'patient_Name_family', 'patient_age'] WHEN 3 THEN ['k', 'entry', 'PATIENT_name_family'] ELSE ['k', 'entry', 'telecom', 'patient'] END) AS name FROM orders) GROUP BY 1
+""")
+def variant_flatten(spark, sf_dir):
+    names = F.explode(F.map_keys(variants.flatten(F.col("v")))).alias("name")
+    return _documents(spark, sf_dir).select(names).groupBy("name").agg(F.count("*").alias("n"))
+
+
 # nested documents, files
 
 

@@ -6,13 +6,16 @@ import csv
 import io
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import glob_to_regex
+from feedloom.operators.variants import cells as json_cells
 
 MAX_BYTES = 100 * 1024 * 1024
 
@@ -56,94 +59,47 @@ def fhir_resources(bundles: DataFrame, text: str) -> DataFrame:
     return bundles.select(F.explode(entries).alias("entry")).select(F.coalesce(F.get_json_object("entry", "$.resource"), F.col("entry")).alias("resource"))
 
 
-_CELLS = "path string, value string, counted long, empty long, length long, records long"
-_CELL_NAMES = ["path", "value", "counted", "empty", "length", "records"]
-
-
-def _json_records(parsed: object) -> list:
-    """The records of a document: a bundle's resources, a list's objects (or its values), the first list of objects in an object, else the object."""
-    if isinstance(parsed, list):
-        return [x for x in parsed if isinstance(x, dict)] or [{"value": x} for x in parsed]
-    if not isinstance(parsed, dict):
-        return []
-    if parsed.get("resourceType") == "Bundle":
-        entries = parsed.get("entry")
-        return [e.get("resource") or e for e in (entries if isinstance(entries, list) else []) if isinstance(e, dict)] or [parsed]
-    return next((v for v in parsed.values() if isinstance(v, list) and v and isinstance(v[0], dict)), [parsed])
-
-
-def json_cells(frame: DataFrame, text: str) -> DataFrame:
-    """(path, value, counted, empty, length, records): the values at each path of JSON texts, one text a row.
-
-    An array counts once at path[*] with its length, and so does each plain item; an empty object is an empty value. A row
-    without a path says how many records a text has; a text that is null or no JSON has none.
-    """
-
-    def plain(value: object) -> bool:
-        return not isinstance(value, (dict, list))
-
-    def walk(value: object, path: str, out: list[tuple]) -> None:
-        if isinstance(value, dict):
-            if not value and path:
-                out.append((path, None, 1, 1, None, 0))
-            for key, inner in value.items():
-                walk(inner, f"{path}.{key}" if path else key, out)
-        elif isinstance(value, list):
-            own = f"{path}[*]"
-            out.append((own, None, 1, int(not value), len(value), 0))
-            out += [(own, str(x), 0, 0, None, 0) for x in value if plain(x)]
-            for inner in value:
-                walk(inner, own, out)
-        elif path:
-            shown = "" if value is None else str(value).strip()
-            out.append((path, shown or None, 1, int(not shown), None, 0))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for content in pdf["text"].dropna():
-                try:
-                    records = _json_records(json.loads(content))
-                except ValueError:
-                    continue
-                out.append((None, None, 0, 0, None, max(1, len(records))))
-                for record in records:
-                    walk(record, "", out)
-                if len(out) > 100_000:
-                    yield pd.DataFrame(out, columns=_CELL_NAMES).astype({"length": "Int64"})
-                    out = []
-            yield pd.DataFrame(out, columns=_CELL_NAMES).astype({"length": "Int64"})
-
-    return frame.select(F.col(text).alias("text")).mapInPandas(run, _CELLS)
-
-
 def xml_paths(frame: DataFrame, text: str) -> DataFrame:
     """(path, value): texts of the leaves and attributes (path@name) of XML texts, names without their namespace.
 
     A child whose name its siblings share stands under parent.name[*]; empty leaves are left out. A null or broken text gives nothing.
+    A document is read once into a row a node (parent, name, text); paths are put together when all siblings are known.
     """
-    import xml.etree.ElementTree as ET
 
-    def walk(node: ET.Element, above: str, out: list[tuple[str, str | None]]) -> None:
-        path = f"{above}.{name(node)}" if above else name(node)
-        out += [(f"{path}@{k}", v) for k, v in node.attrib.items()]
-        if not len(node) and node.text and node.text.strip():
-            out.append((path, node.text.strip()))
-        tags = [name(child) for child in node]
-        for child, tag in zip(node, tags, strict=True):
-            walk(child, f"{path}.{tag}[*]" if tags.count(tag) > 1 else path, out)
+    def nodes_of(content: str) -> tuple[list[list], Counter]:
+        nodes: list[list] = []  # parent, name, attributes, text, leaf
+        above, shared = [-1], Counter()
+
+        def start(name: str, attributes: dict[str, str]) -> None:
+            own = name.rpartition("}")[2]
+            if above[-1] >= 0:
+                nodes[above[-1]][4] = False
+            shared[above[-1], own] += 1
+            nodes.append([above[-1], own, {k.rpartition("}")[2]: v for k, v in attributes.items()}, [], True])
+            above.append(len(nodes) - 1)
 
-    def name(node: ET.Element) -> str:
-        return re.sub("{.*}", "", node.tag)
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.StartElementHandler, parser.EndElementHandler = start, lambda name: above.pop()
+        parser.CharacterDataHandler = lambda data: nodes[above[-1]][3].append(data)
+        parser.Parse(content, True)
+        return nodes, shared
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: list[tuple[str, str | None]] = []
+            out: list[tuple[str, str]] = []
             for content in pdf["text"].dropna():
                 try:
-                    walk(ET.fromstring(content), "", out)
-                except ET.ParseError:
+                    nodes, shared = nodes_of(content)
+                except expat.ExpatError:
                     continue
+                paths: list[str] = []
+                for parent, name, attributes, pieces, leaf in nodes:
+                    lead = "" if parent < 0 else paths[parent] + "."
+                    paths.append(f"{lead}{name}[*].{name}" if parent >= 0 and shared[parent, name] > 1 else f"{lead}{name}")
+                    out += [(f"{paths[-1]}@{k}", v) for k, v in attributes.items()]
+                    own = "".join(pieces).strip()
+                    if leaf and own:
+                        out.append((paths[-1], own))
             yield pd.DataFrame(out, columns=["path", "value"])
 
     return frame.select(F.col(text).alias("text")).mapInPandas(run, "path string, value string")
