@@ -28,6 +28,30 @@ def quarantined_recent(reconciliations: DataFrame, batches: DataFrame, as_of: st
     return reconciliations.join(recent, "batch_id").agg(F.coalesce(F.sum("rows_quarantined"), F.lit(0)).alias("rows_quarantined"))
 
 
+def drift_reports(reports: DataFrame, limit: int = 50, offset: int = 0, **wanted: object) -> DataFrame:
+    """A page of drift reports, latest first, ties by report_id, with total: how many there are in all. wanted: columns and the values asked for.
+
+    The total is an aggregate beside the page, which Spark takes as a top-k; a page beyond the end has no rows.
+    """
+    for column, value in wanted.items():
+        reports = reports.where(F.col(column) == value)
+    total = reports.agg(F.count("*").alias("total"))  # one row
+    page = reports.orderBy(F.desc("created_at"), "report_id").offset(offset).limit(limit)
+    return page.join(F.broadcast(total))
+
+
+def acknowledge_drift(reports: DataFrame, asked: DataFrame, at: str) -> DataFrame:
+    """reports after acknowledgements (report_id, actor, notes): status, acknowledged_by, acknowledged_at, notes, and refused for those that may not be.
+
+    Breaking drift can't be acknowledged; other reports can, also again, of several acknowledgements of a report that of the smallest actor counts.
+    """
+    one = asked.groupBy("report_id").agg(F.min(F.struct("actor", "notes")).alias("_a"))
+    out = reports.join(one, "report_id", "left")
+    breaking = F.col("severity") == "BREAKING"
+    taken = F.col("_a").isNotNull() & ~breaking
+    return out.select(*[F.when(taken, "ACKNOWLEDGED").otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in reports.columns], F.when(taken, F.col("_a.actor")).alias("acknowledged_by"), F.when(taken, F.lit(at).cast("timestamp")).alias("acknowledged_at"), F.when(taken, F.col("_a.notes")).alias("notes"), (F.col("_a").isNotNull() & breaking).alias("refused"))
+
+
 def drift_counts(reports: DataFrame) -> DataFrame:
     """(breaking, non_breaking, total) of reports whose status is DETECTED."""
     of = lambda severity: F.count_if(F.col("severity") == severity)

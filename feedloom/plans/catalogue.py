@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions import text
+from feedloom.functions import nested, text
 from feedloom.functions.lineage import shared_dir
-from feedloom.operators import audits, gates, identity, lifecycle, matching, operations, ops, profile, rules, schedule, transforms, validation, variants
+from feedloom.operators import audits, certification, gates, identity, lifecycle, matching, operations, ops, profile, rules, schedule, transforms, validation, variants
 from feedloom.operators.rules import Rule
-from feedloom.sources import files
+from feedloom.sources import attempts, files
 from feedloom.streaming import kpis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -967,6 +967,139 @@ def top_candidates(spark, sf_dir):
     return operations.top_candidates(scored).select("record_id", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["person"], c["score"])), ",").alias("best"))
 
 
+# certification, restarts, streams
+
+
+def _certification(spark, sf_dir) -> tuple[DataFrame, ...]:
+    o = table(spark, sf_dir, "orders")
+    batches = o.selectExpr("o_orderkey AS batch_id", "o_custkey % 50 AS feed_id", "CAST(o_orderdate AS TIMESTAMP) AS created_at", "IF(o_orderstatus = 'P', 'FAILED', 'SUCCESS') AS status")
+    drifts = table(spark, sf_dir, "customer").selectExpr("c_custkey % 50 AS feed_id", "IF(c_custkey % 50 % 7 = 0, 'BREAKING', 'NON_BREAKING') AS severity", "IF(c_mktsegment = 'BUILDING', 'DETECTED', 'ACKNOWLEDGED') AS status")
+    recon = o.where("o_orderkey % 19 > 0").selectExpr("o_orderkey AS batch_id", "o_orderkey AS recon_id", "'PASS' AS status", "IF(o_orderkey % 23 = 0, 1, 0) AS discrepancy")
+    results = _lines(spark, sf_dir, rule_version_id="concat('rv', l_linenumber)", failed_rows="IF(l_quantity > 45, 2, 0)", action="IF(l_tax > 0.03, 'QUARANTINED_ROWS', 'LOGGED_WARNING')")
+    quarantine, alerts = _lines(spark, sf_dir, status="IF(l_discount > 0.09, 'QUARANTINED', 'RESOLVED')"), _lines(spark, sf_dir, status="IF(l_linenumber = 7 AND l_returnflag = 'R', 'OPEN', 'RESOLVED')")
+    stages = _lines(spark, sf_dir, status="IF(l_linestatus = 'O' AND l_linenumber = 6, 'FAILED', 'SUCCESS')")
+    waivers = table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS waiver_id", "CAST(n_nationkey * 7 % 50 AS BIGINT) AS feed_id", "IF(n_nationkey % 8 = 7, 'REJECTED', 'APPROVED') AS status", "element_at(array('TIME_BOUNDED', 'BATCH_RANGE', 'TIME_BOUNDED', 'SINGLE_BATCH'), n_nationkey % 4 + 1) AS scope",
+        "CAST(n_nationkey AS BIGINT) AS batch_id", "IF(n_nationkey % 4 = 1 AND n_regionkey = 0, array(1L, 2L, 3L, CAST(n_nationkey AS BIGINT)), null) AS target_batch_ids", "1L AS range_start", "32L AS range_end", "timestamp'1994-01-01' AS valid_from", "timestamp'1997-01-01' AS expires_at",
+        "IF(n_nationkey % 3 = 0, 'rv1', null) AS control_id", "element_at(array('SCHEMA_DRIFT', 'QUARANTINE_ACCUMULATION', 'RECONCILIATION'), n_nationkey % 3 + 1) AS control_type", "IF(n_nationkey % 5 = 0, 3, null) AS max_batches", "IF(n_nationkey = 10, 1, 0) AS applied")
+    return batches, stages, drifts, recon, results, quarantine, alerts, waivers
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS id, o_custkey % 50 AS feed, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderstatus = 'P' AS f0, o_orderkey % 19 = 0 AS no_recon, o_orderkey % 23 = 0 AS unbalanced FROM orders),
+e AS (
+  SELECT id, 0 AS bit, NULL AS control FROM b WHERE f0
+  UNION SELECT l_orderkey, 1, NULL FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber = 6
+  UNION SELECT id, 2, 'SCHEMA_DRIFT' FROM b WHERE feed IN (SELECT c_custkey % 50 FROM customer WHERE c_custkey % 50 % 7 = 0 AND c_mktsegment = 'BUILDING')
+  UNION SELECT id, 3, CASE WHEN no_recon THEN 'RECONCILIATION' ELSE CAST(id AS VARCHAR) END FROM b WHERE no_recon OR unbalanced
+  UNION SELECT l_orderkey, 4, 'rv' || l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_tax > 0.03
+  UNION SELECT l_orderkey, 5, 'QUARANTINE_ACCUMULATION' FROM lineitem WHERE l_discount > 0.09
+  UNION SELECT l_orderkey, 6, NULL FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R'
+), w AS (
+  SELECT n_nationkey AS wid, n_nationkey * 7 % 50 AS feed, n_nationkey % 4 AS scope, n_nationkey, n_regionkey, CASE WHEN n_nationkey % 5 = 0 THEN 3 - CASE WHEN n_nationkey = 10 THEN 1 ELSE 0 END END AS quota,
+    unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['rv1', 'SCHEMA_DRIFT'] WHEN n_nationkey % 3 = 1 THEN ['QUARANTINE_ACCUMULATION'] ELSE ['RECONCILIATION'] END) AS control FROM nation WHERE n_nationkey % 8 <> 7
+), span AS (SELECT min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM b WHERE id IN (1, 32)),
+g AS (
+  SELECT id, ts, control, max(wid) AS wid FROM b JOIN w USING (feed), span
+  WHERE CASE WHEN scope IN (0, 2) THEN ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-01-01' WHEN scope = 3 THEN id = n_nationkey WHEN n_regionkey = 0 THEN id IN (1, 2, 3, n_nationkey) ELSE span.n = 2 AND ts BETWEEN lo AND hi END GROUP BY id, ts, control
+), h AS (SELECT e.id, e.bit, g.wid, g.ts, w.quota FROM e LEFT JOIN g USING (id, control) LEFT JOIN (SELECT DISTINCT wid, quota FROM w) w ON w.wid = g.wid),
+used AS (SELECT wid, id, row_number() OVER (PARTITION BY wid ORDER BY ts, id) AS n, quota FROM (SELECT DISTINCT wid, id, ts, quota FROM h WHERE quota IS NOT NULL)),
+x AS (SELECT h.id, bit, CASE WHEN u.wid IS NULL THEN h.wid END AS wid FROM h LEFT JOIN (SELECT * FROM used WHERE n > quota) u ON u.wid = h.wid AND u.id = h.id),
+m AS (SELECT id, bit_or(CASE WHEN wid IS NULL THEN 1 << bit ELSE 0 END) AS failed, bit_or(CASE WHEN wid IS NULL THEN 0 ELSE 1 << bit END) AS waived, array_to_string(list_sort(list_distinct(list(wid) FILTER (wid IS NOT NULL))), ',') AS waivers FROM x GROUP BY id)
+SELECT b.id AS batch_id, CAST(coalesce(failed, 0) AS INTEGER) AS failed, CAST(coalesce(waived, 0) AS INTEGER) AS waived, coalesce(waivers, '') AS waivers, coalesce(failed, 0) = 0 AS eligible,
+  array_to_string([c FOR c, i IN ['BATCH_STATUS', 'STAGES', 'SCHEMA', 'RECONCILIATION', 'DATA_QUALITY', 'QUARANTINE', 'ALERTS'] IF (coalesce(failed, 0) >> (i - 1)) & 1 = 1], ',') AS reasons
+FROM b LEFT JOIN m USING (id)
+""")
+def certification_waived(spark, sf_dir):
+    batches, *found, waivers = _certification(spark, sf_dir)
+    granted = certification.grants(batches, waivers, F.lit("1996-06-01").cast("timestamp"))
+    out = certification.certify(batches, certification.evidence(batches, *found), granted)
+    return out.withColumns({"reasons": F.array_join("reasons", ","), "waivers": F.array_join(F.col("waiver_ids").cast("array<string>"), ",")}).drop("waiver_ids")
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, o_orderpriority, {_FLAGS} FROM orders)
+SELECT o_orderkey, o_orderpriority AS batch, v1 OR v2 AS quarantined FROM f WHERE o_orderpriority NOT LIKE '5%'
+""")
+def restart_purge(spark, sf_dir):
+    """Batches by priority: each first run dies between silver and quarantine, one batch is rejected, and all are run again."""
+    root = f"{shared_dir(spark)}/feedloom-restart-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders")
+
+    def stages(batch: str, dies: bool):
+        def silver(_):
+            if batch.startswith("5"):
+                raise attempts.Rejected(batch)
+            return rules.split(orders.where(F.col("o_orderpriority") == batch), RULES)[0].select("o_orderkey")
+
+        def quarantine(_):
+            rows = rules.split(orders.where(F.col("o_orderpriority") == batch), RULES)[1].select("o_orderkey")
+            if dies:
+                attempts.write_attempt(rows, root, batch, "quarantine")  # half of a stage: written, not committed
+                raise RuntimeError("killed")
+            return rows
+
+        return [("silver", silver), ("quarantine", quarantine)]
+
+    for batch in [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]:  # as many as priorities
+        for dies in (True, False, False):
+            try:
+                attempts.run_batch(spark, root, batch, stages(batch, dies))
+            except RuntimeError:
+                continue
+    both = [attempts.committed(spark, root, stage).withColumn("quarantined", F.lit(stage == "quarantine")) for stage in ("silver", "quarantine")]
+    return both[0].unionByName(both[1]).select("o_orderkey", "batch", "quarantined")
+
+
+@query(f"WITH f AS (SELECT o_orderkey, {_FLAGS} FROM orders) SELECT o_orderkey, CASE WHEN v1 THEN 'o_totalprice' WHEN v2 THEN 'o_orderpriority' END AS field FROM f")
+def stream_rules(spark, sf_dir):
+    root = f"{shared_dir(spark)}/feedloom-stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "orders").schema
+    for _ in range(2):  # the second call finds nothing new
+        kpis.apply_rules(spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]"), RULES, root, "orders")
+    silver, bad = (attempts.committed(spark, root, stage) for stage in ("silver", "quarantine"))
+    return silver.select("o_orderkey", F.lit(None).cast("string").alias("field")).union(bad.select("o_orderkey", "_failure.field"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS report_id, o_orderdate AS created_at, o_custkey % 10 AS feed_id FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus <> 'P')
+SELECT report_id, (SELECT count(*) FROM r) AS total FROM r ORDER BY created_at DESC, report_id LIMIT 50 OFFSET 50
+""")
+def drift_report_page(spark, sf_dir):
+    reports = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS report_id", "o_orderdate AS created_at", "o_custkey % 10 AS feed_id", "IF(o_orderstatus = 'P', 'ACKNOWLEDGED', 'DETECTED') AS status")
+    return operations.drift_reports(reports, 50, 50, feed_id=3, status="DETECTED").select("report_id", "total")
+
+
+@query("""
+SELECT o_orderkey AS report_id, CASE WHEN o_orderstatus <> 'F' AND n > 0 THEN 'ACKNOWLEDGED' ELSE 'DETECTED' END AS status, CASE WHEN o_orderstatus <> 'F' THEN actor END AS acknowledged_by, o_orderstatus = 'F' AND n IS NOT NULL AS refused
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, min('a' || l_linenumber) AS actor FROM lineitem WHERE l_linenumber > 4 GROUP BY 1) ON l_orderkey = o_orderkey
+""")
+def drift_acknowledged(spark, sf_dir):
+    reports = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS report_id", "IF(o_orderstatus = 'F', 'BREAKING', 'NON_BREAKING') AS severity", "'DETECTED' AS status")
+    asked = table(spark, sf_dir, "lineitem").where("l_linenumber > 4").selectExpr("l_orderkey AS report_id", "concat('a', l_linenumber) AS actor", "l_returnflag AS notes")
+    return operations.acknowledge_drift(reports, asked, "2024-01-01").select("report_id", "status", "acknowledged_by", "refused")
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'items.inner.member_id_raw' WHEN 1 THEN 'items.LAST_name' WHEN 2 THEN NULL WHEN 3 THEN 'tags.home_address' ELSE NULL END AS path,
+  CASE c_custkey % 5 WHEN 4 THEN '[REDACTED_EMAIL]' ELSE c_mktsegment END AS shown, CASE c_custkey % 3 WHEN 0 THEN 'DATE_YYYYMMDD' WHEN 1 THEN 'EMAIL' END AS note FROM customer
+""")
+def nested_privacy(spark, sf_dir):
+    inner = "CASE c_custkey % 5 WHEN 0 THEN map('ok', map('x', 1)) WHEN 1 THEN map('LAST_name', map('x', 1)) ELSE map('ssn_hash', map('y', 1)) END"
+    inner = f"IF(c_custkey % 5 = 0, map('inner', map('member_id_raw', 1)), {inner})"
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"array(map('k', map('z', 0)), {inner}) AS items", "map(IF(c_custkey % 5 = 3, 'home_address', 'kind'), IF(c_custkey % 5 = 4, concat('u', c_custkey, '@x.org'), c_mktsegment)) AS tags",
+        "CASE c_custkey % 3 WHEN 0 THEN 'seen on 2024-01-05' WHEN 1 THEN 'write to a@other.example.com' ELSE 'write to a@own.test' END AS text")
+    payload = F.struct("items", "tags")
+    kind = rows.select(payload.alias("p")).schema["p"].dataType
+    clean = nested.scrub_nested(F.col("tags"), rows.schema["tags"].dataType)
+    return rows.select("c_custkey", nested.forbidden_path(payload, kind).alias("path"), F.get(F.map_values(clean), 0).alias("shown"), nested.note_problem(F.col("text"), "own.test").alias("note"))
+
+
+@query("SELECT 'row_' || l_orderkey || '_' || left(sha256('s|' || l_orderkey), 16) AS row_id, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def synthetic_row_ids(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(nested.synthetic_row_id(F.col("l_orderkey"), "s").alias("row_id")).groupBy("row_id").agg(F.count("*").alias("n"))
+
+
 # paths over documents whose shape differs by row
 
 
