@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.lineage import cut
@@ -66,6 +66,46 @@ def next_run(expression: str, tz: str, after: datetime) -> datetime | None:
     return found[0] if found else None
 
 
+def cron_values(field: Column, low: int, high: int) -> Column:
+    """The sorted numbers of a cron field as an array: *, a, a-b, lists, and steps of these; null where it is none or out of bounds."""
+
+    def numbers(part: Column) -> Column:
+        span, step = F.split_part(part, F.lit("/"), F.lit(1)), F.split_part(part, F.lit("/"), F.lit(2))
+        a, b = F.split_part(span, F.lit("-"), F.lit(1)), F.split_part(span, F.lit("-"), F.lit(2))
+        first = F.when(span == "*", low).otherwise(a.try_cast("int"))
+        last = F.when((span == "*") | ((step != "") & (b == "")), high).when(b == "", first).otherwise(b.try_cast("int"))
+        by = F.when(step == "", 1).otherwise(step.try_cast("int"))
+        return F.when((first >= low) & (first <= last) & (last <= high) & (by >= 1), F.sequence(first, last, by))
+
+    found = F.transform(F.split(field, ","), lambda part: F.when(part.rlike(r"^([*]|[0-9]{1,4}(-[0-9]{1,4})?)(/[0-9]{1,4})?$"), numbers(part)))
+    return F.when(~F.exists(found, lambda x: x.isNull()), F.array_sort(F.array_distinct(F.flatten(found))))
+
+
+def expected_slots(schedules: DataFrame, start: str, end: str, day_mode: str = "or", most: int = 501) -> DataFrame:
+    """(schedule_id, slot): the expected times from start to end (UTC, both included) of a table of schedules (schedule_id, expression, tz), at most `most` each, the earliest.
+
+    As slots() has them, each schedule with an expression and a zone of its own: fields become arrays, days come from a sequence, and hours and minutes are exploded only on days
+    that count. Local times that a clock change skips count as if it had come later, those it repeats as the first. `manual`, and what is no expression of five
+    fields, has no slots; a name that is no zone means UTC. Null ids count as ids; repeated rows repeat their slots.
+    """
+    known = sorted(n for n in available_timezones() if "/" in n and not n.startswith(("Etc/", "SystemV/", "posix", "right")))
+    zone = F.when(F.col("tz").isin(known), F.col("tz")).otherwise("UTC")
+    fields = F.split(F.trim("expression"), r"\s+")
+    own = schedules.where(F.size(fields) == 5).select("schedule_id", F.monotonically_increasing_id().alias("_row"), zone.alias("_zone"), *[cron_values(F.get(fields, n), *bounds).alias(f"_{n}") for n, bounds in enumerate(_BOUNDS)])
+    own = cut(own.where(" and ".join(f"_{n} is not null" for n in range(5))), "schedules")
+    span = F.sequence(F.date_sub(F.lit(start).cast("date"), 1), F.date_add(F.lit(end).cast("date"), 1))
+    days = own.withColumn("_day", F.explode(span)).where(F.array_contains("_3", F.month("_day")))
+    on_dom, on_dow = F.array_contains("_2", F.dayofmonth("_day")), F.array_contains("_4", F.dayofweek("_day") - 1)
+    either = (F.size("_2") < 31) & (F.size("_4") < 7) & F.lit(day_mode == "or")
+    days = days.where(F.when(either, on_dom | on_dow).otherwise(on_dom & on_dow))
+    times = days.withColumn("_h", F.explode("_1")).withColumn("_m", F.explode("_0"))
+    local = F.col("_day").cast("timestamp_ntz") + F.make_interval(hours=F.col("_h"), mins=F.col("_m"))
+    times = times.withColumn("slot", F.convert_timezone(F.col("_zone"), F.lit("UTC"), local))
+    times = times.where(F.col("slot").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    place = F.row_number().over(Window.partitionBy("_row").orderBy("slot"))
+    return times.withColumn("_n", place).where(F.col("_n") <= most).select("schedule_id", "slot")
+
+
 def slot_windows(frame: DataFrame, lead_minutes: int = 120, grace_minutes: int = 60) -> DataFrame:
     """frame (feed, slot) with opens, deadline and closes: a slot ends with twice its grace or with the next slot."""
     minutes = lambda n: F.expr(f"INTERVAL {n} MINUTES")

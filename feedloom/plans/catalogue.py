@@ -967,6 +967,40 @@ def top_candidates(spark, sf_dir):
     return operations.top_candidates(scored).select("record_id", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["person"], c["score"])), ",").alias("best"))
 
 
+# schedules as a plan, profiles that merge
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS schedule_id, c_custkey % 6 AS k, CASE c_custkey % 2 WHEN 1 THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END AS ahead FROM customer),
+t AS (SELECT unnest(generate_series(TIMESTAMP '2024-02-10 00:00:00', TIMESTAMP '2024-02-20 23:59:00', INTERVAL 1 MINUTE)) AS slot),
+l AS (SELECT DISTINCT slot, ahead, slot + ahead AS loc FROM t, (SELECT DISTINCT ahead FROM s)),
+hits AS (
+  SELECT k, ahead, slot FROM l, (SELECT unnest(generate_series(0, 3)) AS k)
+  WHERE CASE k WHEN 0 THEN hour(loc) = 8 AND minute(loc) = 0 WHEN 1 THEN minute(loc) % 15 = 0 AND hour(loc) IN (6, 7) AND dayofweek(loc) BETWEEN 1 AND 5
+    WHEN 2 THEN minute(loc) = 5 AND hour(loc) = 4 AND (day(loc) = 13 OR dayofweek(loc) = 5) ELSE minute(loc) IN (30, 40, 50) AND day(loc) IN (12, 18) AND hour(loc) IN (1, 23) END
+)
+SELECT schedule_id, slot FROM s JOIN hits USING (k, ahead)
+""")
+def cron_slots(spark, sf_dir):
+    kinds = F.array(*[F.lit(x) for x in ("0 8 * * *", "*/15 6-7 * * 1-5", "5 4 13 * 5", "30-59/10 23,1 12,18 2 *", "manual", "61 * * * *")])
+    schedules = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("schedule_id"), F.get(kinds, (F.col("c_custkey") % 6).cast("int")).alias("expression"), F.expr("IF(c_custkey % 2 = 1, 'Asia/Kolkata', 'no zone')").alias("tz"))
+    return schedule.expected_slots(schedules, "2024-02-10", "2024-02-20 23:59:00")
+
+
+@query("""
+WITH cells AS (
+  SELECT 'o_orderstatus' AS "column", nullif(o_orderstatus, 'P') AS value, o_orderkey AS k FROM orders UNION ALL SELECT 'o_orderkey', CAST(o_orderkey AS VARCHAR), o_orderkey FROM orders
+  UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), o_orderkey FROM orders UNION ALL SELECT 'moment', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), o_orderkey FROM orders
+), g AS (SELECT "column", count(*) AS total, count(*) - count(value) AS nulls, count(DISTINCT value) AS d, bool_or(value IN ('0', '1')) AS flag FROM cells GROUP BY 1),
+f AS (SELECT "column", string_agg(value, ',' ORDER BY n) AS firsts FROM (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY min(k % 3), min(k) FILTER (k % 3 = p), value) AS n FROM (SELECT *, min(k % 3) OVER (PARTITION BY "column", value) AS p FROM cells WHERE value IS NOT NULL) GROUP BY "column", value, p) WHERE n <= 5 GROUP BY 1)
+SELECT "column", total, nulls, least(d, 10000) AS "distinct", d <= 10000 AS is_exact, CASE "column" WHEN 'o_orderstatus' THEN CASE WHEN d = 1 THEN 'BOOLEAN' ELSE 'STRING' END WHEN 'moment' THEN 'TIMESTAMP' ELSE CASE WHEN flag THEN 'STRING' ELSE 'INTEGER' END END AS inferred, firsts FROM g JOIN f USING ("column")
+""")
+def profile_merged(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("moment"))
+    parts = [profile.profile_part(orders.where(F.col("o_orderkey") % 3 == n), ["o_orderkey"], f"batch{n}") for n in range(3)]
+    return profile.merge_parts(parts[0].union(parts[1]).union(parts[2])).withColumn("firsts", F.array_join("firsts", ",")).select("column", "total", "nulls", "distinct", "is_exact", "inferred", "firsts")
+
+
 # certification, restarts, streams
 
 
