@@ -101,7 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "buckets": pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), "shares": pa.array([f[1] for f in found], pa.list_(pa.float32()))})
 
     got = rows.mapInArrow(count, "doc_id long, label int, buckets array<int>, shares array<float>")
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("buckets")).limit(sample).toArrow()
+    if rows.count() > sample:  # only where ids repeat
+        got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("buckets")).limit(sample)
+    got = got.toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     return train([(np.asarray(w.values), np.asarray(s.values), y) for w, s, y in zip(got["buckets"], got["shares"], got["label"].to_pylist(), strict=True)])
 
