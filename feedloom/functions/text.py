@@ -87,12 +87,14 @@ def replace_all(c: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def redact(c: Column) -> Column:
     """File names and operational messages without numbers of persons, telephones and mail addresses; blank text is null."""
-    return F.nullif(replace_all(c, OPERATIONAL_PATTERNS), F.lit(""))
+    marked = F.when(c.rlike(r"(?U)[\d@]|MRN|mrn"), replace_all(c, OPERATIONAL_PATTERNS)).otherwise(c)  # each pattern needs one of these
+    return F.nullif(marked, F.lit(""))
 
 
 def scrub(c: Column) -> Column:
     """Any text without personal data: numbers, birth dates, names behind their labels, addresses, postal codes, mail, telephones; null is empty."""
-    return replace_all(F.coalesce(c, F.lit("")), PERSONAL_PATTERNS)
+    some = c.rlike(r"(?iU)[\d@]|mrn|medrec|patient|member")  # each pattern needs one of these
+    return F.when(some, replace_all(c, PERSONAL_PATTERNS)).otherwise(F.coalesce(c, F.lit("")))
 
 
 def scrub_all(c: Column) -> Column:

@@ -51,6 +51,8 @@ def problems(rule: Rule) -> list[str]:
     if rule.kind == "REGEX":
         try:
             re.compile(c["pattern"])
+            if SparkSession.getActiveSession() and not compiles(java_pattern(c["pattern"])):
+                out.append("the pattern is none that Spark takes, and would check nothing")
         except (KeyError, TypeError, re.error):
             out.append("the pattern does not compile")
     if rule.kind == "ENUM" and (not c.get("values") or len(set(c["values"])) != len(c["values"])):
@@ -62,7 +64,9 @@ def problems(rule: Rule) -> list[str]:
 
 def java_pattern(pattern: str) -> str:
     """A Python pattern in Java's notation, with Unicode classes."""
-    return "(?U)" + pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")
+    import re
+
+    return "(?U)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<").replace("\\Z", "\\z")
 
 
 def compiles(pattern: str) -> bool:
@@ -74,6 +78,12 @@ def compiles(pattern: str) -> bool:
     return True
 
 
+def _numbers(c: Column) -> list[Column]:
+    """The number in a text as finely as it can be held: with 18 digits after the point, as a whole number of up to 38, and about."""
+    number = F.when(c.rlike(NUMBER), c)
+    return [to_decimal(c), number.try_cast("decimal(38,0)"), number.try_cast("double")]
+
+
 def violated(rule: Rule, dialect: str = "production") -> Column:
     """True where the row violates the rule, never null."""
     c, test = rule.config, dialect == "test"
@@ -82,14 +92,13 @@ def violated(rule: Rule, dialect: str = "production") -> Column:
         return value.isNull()
     checks: list[Column] = []
     if rule.kind == "RANGE":
-        number, text = to_decimal(value), F.col(rule.column).cast("string")
-        wide = F.when(text.rlike(NUMBER), text.try_cast("double"))  # of more digits than a decimal holds
-        checks.append(wide.isNull())
+        numbers = _numbers(F.col(rule.column).cast("string"))
+        checks.append(numbers[-1].isNull())
         for bound, inclusive in (("min", c.get("inclusive_min", c.get("inclusive", True))), ("max", c.get("inclusive_max", c.get("inclusive", True)))):
             if c.get(bound) is not None:
-                exact, about = F.lit(str(c[bound])).try_cast("decimal(38,18)"), F.lit(float(c[bound]))
+                limits = [F.lit(str(c[bound])).try_cast("decimal(38,18)"), F.lit(str(c[bound])).try_cast("decimal(38,0)"), F.lit(float(c[bound]))]
                 outside = lambda x, limit: ((x < limit, x <= limit) if bound == "min" else (x > limit, x >= limit))[not inclusive]  # noqa: B023, E731
-                checks.append(F.coalesce(outside(number, exact), outside(wide, about)))
+                checks.append(F.coalesce(*[outside(x, limit) for x, limit in zip(numbers, limits, strict=True)]))
     elif rule.kind == "REGEX" and c.get("pattern") and compiles(java_pattern(c["pattern"])):
         pattern = java_pattern(c["pattern"])
         checks.append(~value.rlike(rf"^(?:{pattern})\z" if test else pattern))
@@ -118,9 +127,9 @@ def violated(rule: Rule, dialect: str = "production") -> Column:
             same = value == F.coalesce(other, F.lit("None"))
             checks.append(~same if operator == "EQ" else same)
         else:
-            a, b = to_decimal(value), to_decimal(other)
-            holds = {"GT": a > b, "LT": a < b, "GTE": a >= b, "LTE": a <= b}.get(operator)
-            if holds is not None:
+            compare = {"GT": lambda a, b: a > b, "LT": lambda a, b: a < b, "GTE": lambda a, b: a >= b, "LTE": lambda a, b: a <= b}.get(operator)
+            if compare:
+                holds = F.coalesce(*[compare(a, b) for a, b in zip(_numbers(value), _numbers(other), strict=True)])
                 checks.append(F.coalesce(~holds, F.lit(True)))
     bad = reduce(lambda x, y: x | y, [F.coalesce(check, F.lit(False)) for check in checks], F.lit(False))
     return F.when(value.isNull(), F.lit(test)).otherwise(F.coalesce(bad, F.lit(False)))

@@ -153,6 +153,19 @@ def schema_drift(spark, sf_dir):
     return out.select("name", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("missing_required", "missing_optional", "unexpected")], "severity")
 
 
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'o_clerk' WHEN 3 THEN 'o_clerk,o_orderdate' WHEN 4 THEN 'o_clerk,o_orderdate' ELSE '' END AS missing_required, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 2 THEN '' ELSE 'o_comment' END AS missing_optional,
+  CASE o_orderkey % 5 WHEN 2 THEN 'x' || o_custkey WHEN 3 THEN 'y' ELSE '' END AS unexpected, CASE WHEN o_orderkey % 5 IN (1, 3, 4) OR o_orderkey % 2 = 1 THEN 'BREAKING' WHEN o_orderkey % 5 = 2 THEN 'NON_BREAKING' ELSE 'NONE' END AS severity
+FROM orders
+""")
+def schema_drift_files(spark, sf_dir):
+    head = "CASE o_orderkey % 5 WHEN 0 THEN array(' O_ORDERDATE', 'o_clerk', 'o_Comment') WHEN 1 THEN array('o_orderdate') WHEN 2 THEN array('o_clerk', 'o_orderdate', 'O_COMMENT', concat('X', o_custkey)) WHEN 3 THEN array('y') ELSE array() END"
+    heads = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"CAST({head} AS array<string>) AS header", "IF(o_orderkey % 2 = 1, ';', ',') AS delimiter")
+    contract = [validation.Field("O_ORDERDATE", required=True), validation.Field("o_clerk", required=True), validation.Field("o_comment")]
+    out = validation.drift(heads, contract)
+    return out.select("o_orderkey", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("missing_required", "missing_optional", "unexpected")], "severity")
+
+
 # mappings and nested data
 
 

@@ -118,25 +118,31 @@ def structure_error(header: Column, required: list[str], delimiter: str = ",") -
     return F.coalesce(F.when(F.coalesce(header, F.lit("")) == "", F.lit("File is empty or contains no header row")), *lacks) if lacks else F.when(F.coalesce(header, F.lit("")) == "", F.lit("File is empty or contains no header row"))
 
 
-def land_bronze(spark: SparkSession, path: str, to: str) -> DataFrame:
+def land_bronze(spark: SparkSession, path: str, to: str, batch: str | None = None) -> DataFrame:
     """(file, bytes, sha256, verified) of the files at path after their bytes were written to a table at `to`: verified is false where what was written reads back otherwise.
 
-    Files of no bytes are left out: registration refuses them, and Spark's reader does not list them.
+    Files of no bytes are left out: registration refuses them, and Spark's reader does not list them. With a batch its files are a partition of the table, which
+    leaves other batches' as they are, and a file that reads back otherwise is an error.
     """
+    to = to if batch is None else f"{to}/_batch_id={batch}"
     read = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.sha2("content", 256).alias("sha256"))
     read.write.mode("overwrite").parquet(to)
     held = spark.read.parquet(to)
-    return held.select("file", F.octet_length("content").cast("long").alias("bytes"), "sha256", (F.sha2("content", 256) == F.col("sha256")).alias("verified"))
+    landed = held.select("file", F.octet_length("content").cast("long").alias("bytes"), "sha256", (F.sha2("content", 256) == F.col("sha256")).alias("verified"))
+    if batch is not None and landed.where("not verified").take(1):
+        raise ValueError(f"files of batch {batch} did not land as they were")
+    return landed
 
 
 def rescan_silver(spark: SparkSession, paths: list[str], batch: str) -> DataFrame:
-    """A batch's valid rows from the first of the silver tables that has some; an error if none has."""
+    """A batch's valid rows from the first of the silver tables that exists; an error if none does or it has none of the batch."""
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             rows = spark.read.parquet(path).where(F.col("_batch_id").cast("string") == batch)  # the partition's filter: other batches are not read
-            if not rows.isEmpty():
-                return rows
+            if rows.isEmpty():
+                break
+            return rows
     raise ValueError(f"no silver rows of batch {batch}")
 
 
