@@ -118,9 +118,40 @@ def _output(fmt: str) -> str:
     return date_pattern(fmt).replace("M", "MM").replace("d", "dd").replace("H", "HH").replace("m", "mm").replace("s", "ss")
 
 
+def _spread(frame: DataFrame, column: Column, path: str) -> Column:
+    """What a path with [*] finds, arrays among it spread into their elements: the frame's schema tells where there are any."""
+    found = steps(path)
+    if not any("all" in s for s in found) or any("key" in s for s in found) or "name" not in found[-1]:
+        return column
+    kind = frame.select(column.alias("x")).schema["x"].dataType
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)):
+        return column
+    whole = _present(F.flatten(column))
+    return F.when(F.size(whole) > 0, whole)
+
+
 def apply_mapping(frame: DataFrame, lines: list[tuple[str, str, list[str], dict[str, Any]]]) -> DataFrame:
-    """One select of (target, kind, sources, params) lines."""
-    return frame.select(*[compile_transform(kind, sources, params).alias(target) for target, kind, sources, params in lines])
+    """One select of (target, kind, sources, params) lines. A PATH_EXTRACT through [*] gives the elements of the arrays it ends in, as one array."""
+    out = []
+    for target, kind, sources, params in lines:
+        column = compile_transform(kind, sources, params)
+        if kind == "PATH_EXTRACT" and params.get("default") is None:
+            column = _spread(frame, column, params["path"])
+        out.append(column.alias(target))
+    return frame.select(*out)
+
+
+def mapping_failure(lines: list[tuple[str, str, list[str], dict[str, Any]]]) -> Column:
+    """The first VALUE_MAP line of a row with on_unmapped ERROR that has no value: field, value, reason, rule, as rules.first_failure() has them; null if none is."""
+    kind = "struct<field:string,value:string,reason:string,rule:string>"
+    found = [F.when(without_value(s, p), F.struct(F.lit(s[0]).alias("field"), F.col(s[0]).cast("string").alias("value"), F.lit("INVALID_ENUM_VALUE").alias("reason"), F.lit(t).alias("rule"))) for t, k, s, p in lines if k == "VALUE_MAP"]
+    return F.coalesce(*found, F.lit(None).cast(kind))
+
+
+def split_mapping(frame: DataFrame, lines: list[tuple[str, str, list[str], dict[str, Any]]]) -> tuple[DataFrame, DataFrame]:
+    """(mapped rows, rows that can't be mapped with _failure): each row is in one of them."""
+    failure = mapping_failure(lines)
+    return apply_mapping(frame.where(failure.isNull()), lines), frame.withColumn("_failure", failure).where("_failure is not null")
 
 
 def explode_rows(frame: DataFrame, array: str, target: str, outer: bool = True) -> DataFrame:

@@ -1147,6 +1147,18 @@ def synthetic_row_ids(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(nested.synthetic_row_id(F.col("l_orderkey"), "s").alias("row_id")).groupBy("row_id").agg(F.count("*").alias("n"))
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'open' END END AS state, CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE [o_custkey, 1, o_orderkey] END END AS found, o_orderstatus = 'P' AS failed FROM orders
+""")
+def mapping_split(spark, sf_dir):
+    nested_rows = "named_struct('a', IF(o_orderkey % 3 = 0, array(), array(named_struct('b', array(o_custkey, 1L)), named_struct('b', array(o_orderkey)), named_struct('b', CAST(null AS array<bigint>))))) AS d"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderstatus", nested_rows)
+    lines = [("o_orderkey", "DIRECT", ["o_orderkey"], {}), ("state", "VALUE_MAP", ["o_orderstatus"], {"dictionary": {"F": "done", "O": "open"}, "on_unmapped": "ERROR"}), ("found", "PATH_EXTRACT", ["d"], {"path": "a[*].b"})]
+    mapped, failed = transforms.split_mapping(rows, lines)
+    none = failed.select("o_orderkey", F.lit(None).cast("string").alias("state"), F.lit(None).cast("array<bigint>").alias("found"), (F.col("_failure.rule") == "state").alias("failed"))
+    return mapped.withColumn("failed", F.lit(False)).unionByName(none)
+
+
 # paths over documents whose shape differs by row
 
 

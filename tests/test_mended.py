@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
-from feedloom.operators import rules
+from feedloom.operators import rules, transforms
 from feedloom.operators.rules import Rule
 from feedloom.sources import files
 
@@ -53,3 +53,13 @@ def test_landing_by_batch_and_the_first_silver_table(spark, tmp_path):
     assert files.rescan_silver(spark, [str(tmp_path / "none"), str(tmp_path / "second"), str(tmp_path / "first")], "b2").count() == 1
     with pytest.raises(ValueError):
         files.rescan_silver(spark, [str(tmp_path / "first"), str(tmp_path / "second")], "b2")
+
+
+def test_arrays_behind_a_wildcard_are_spread_and_unmapped_values_fail(spark):
+    rows = [(1, "F", [([1, 2], "x"), ([3], "y"), (None, "z")]), (2, "P", [([], None)]), (3, None, None)]
+    frame = spark.createDataFrame(rows, "k long, s string, a array<struct<b:array<long>,c:string>>")
+    lines = [("k", "DIRECT", ["k"], {}), ("s", "VALUE_MAP", ["s"], {"dictionary": {"F": "f"}, "on_unmapped": "ERROR"}), ("b", "PATH_EXTRACT", ["a"], {"path": "[*].b"}), ("c", "PATH_EXTRACT", ["a"], {"path": "[*].c"})]
+    mapped, failed = transforms.split_mapping(frame, lines)
+    assert sorted(map(tuple, mapped.collect()), key=repr) == [(1, "f", [1, 2, 3], ["x", "y", "z"]), (3, None, None, None)]
+    assert [(r.k, r._failure.field, r._failure.value, r._failure.rule) for r in failed.collect()] == [(2, "s", "P", "s")]
+    assert transforms.apply_mapping(frame.where("k = 2"), lines).first().b is None and transforms.split_mapping(frame.limit(0), lines)[1].count() == 0
