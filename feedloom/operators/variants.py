@@ -21,6 +21,12 @@ def items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def parse(text: Column) -> Column:
+    """The one JSON document in a text; null where there is none, or more behind it, which Spark's parser leaves unread."""
+    alone = items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    return F.when(F.size(alone) == 1, F.get(alone, 0))
+
+
 def _something(value: Column) -> Column:
     return F.when(~F.is_variant_null(value), value)
 
@@ -181,7 +187,7 @@ def cells(frame: DataFrame, text: str) -> DataFrame:
         return F.when(held.isNotNull(), F.when(F.size(held) == 0, nothing).otherwise(F.transform(F.map_entries(held), of_field))).otherwise(listed)
 
     kind = "array<struct<path:string,value:string,counted:bigint,empty:bigint,length:bigint,child:variant>>"
-    parsed = frame.select(F.col(text).alias("text"), F.try_parse_json(text).alias("doc")).where("doc is not null")
+    parsed = frame.select(F.col(text).alias("text"), parse(F.col(text)).alias("doc")).where("doc is not null")
     found = cut(parsed.select(records(F.col("text"), F.col("doc")).alias("r")), "records")
     counts = found.select(no_text.alias("path"), no_text.alias("value"), F.lit(0).cast("long").alias("counted"), F.lit(0).cast("long").alias("empty"), none.alias("length"), F.greatest(F.coalesce(F.size("r"), F.lit(0)), F.lit(1)).cast("long").alias("records"))
     nodes = found.select(F.lit("").alias("path"), F.explode("r").alias("child")).where(~plain(F.col("child")))

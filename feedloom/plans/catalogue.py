@@ -12,7 +12,7 @@ from feedloom.functions import nested, text
 from feedloom.functions.lineage import shared_dir
 from feedloom.operators import audits, certification, gates, identity, lifecycle, matching, operations, ops, profile, rules, schedule, transforms, validation, variants
 from feedloom.operators.rules import Rule
-from feedloom.sources import attempts, files
+from feedloom.sources import attempts, auto, files
 from feedloom.streaming import kpis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1014,6 +1014,19 @@ def profile_merged(spark, sf_dir):
     return profile.merge_parts(parts[0].union(parts[1]).union(parts[2])).withColumn("firsts", F.array_join("firsts", ",")).select("column", "total", "nulls", "distinct", "is_exact", "inferred", "firsts")
 
 
+@query("""
+WITH c AS (SELECT c_custkey % 4 AS f, c_custkey + 1000 AS id, c_mktsegment AS seg FROM customer),
+n AS (SELECT f, count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT seg) AS segs FROM c GROUP BY f)
+SELECT CASE f WHEN 0 THEN 'CSV' WHEN 1 THEN 'JSON' WHEN 2 THEN 'NDJSON' ELSE 'XML' END AS format, CASE f WHEN 3 THEN 'c.id' ELSE 'id' END AS path, CASE WHEN f IN (0, 2) THEN 2 * n ELSE n END AS total, 0 AS nulls, least(ids, 10000) AS "distinct", 'INTEGER' AS inferred FROM n
+UNION ALL SELECT CASE f WHEN 0 THEN 'CSV' WHEN 1 THEN 'JSON' ELSE 'NDJSON' END, 'seg', CASE f WHEN 1 THEN n ELSE 2 * n END, CASE f WHEN 1 THEN 0 ELSE n END, segs, 'STRING' FROM n WHERE f < 3
+""")
+def profile_mixed(spark, sf_dir):
+    text = """CASE c_custkey % 4 WHEN 0 THEN concat('id, seg\n', c_custkey + 1000, ',"', c_mktsegment, '"\n', c_custkey + 1000, ',\n') WHEN 1 THEN concat('{"id":', c_custkey + 1000, ',"seg":"', c_mktsegment, '"}')
+      WHEN 2 THEN concat('{"id":', c_custkey + 1000, '}\n{"id":', c_custkey + 1000, ',"seg":"', c_mktsegment, '"}') ELSE concat('<c><id>', c_custkey + 1000, '</id></c>') END AS text"""
+    found = auto.profile_auto(table(spark, sf_dir, "customer").selectExpr(text), "text")
+    return found.select("format", "path", "total", "nulls", "distinct", "inferred")
+
+
 # certification, restarts, streams
 
 
