@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 from typing import Any
 
@@ -32,40 +34,82 @@ class Rule:
     config: dict[str, Any] = field(default_factory=dict)
 
 
-def problems(rule: Rule) -> list[str]:
-    """What is wrong with a rule's configuration; nothing if it may be used."""
-    import re
+# The date formats that a rule's configuration may name.
+DATE_FORMATS = ("YYYY-MM-DD", "DD/MM/YYYY", "MM/DD/YYYY", "YYYY/MM/DD", "DD-MM-YYYY", "MM-DD-YYYY")
+_KINDS = {"INTEGER": "number", "DECIMAL": "number", "DATE": "date", "TIMESTAMP": "date"}
+_BOUNDS = {"RANGE": ("min", "max", float), "LENGTH": ("min_length", "max_length", int), "DATE_RANGE": ("min_date", "max_date", None)}
 
+
+def _bound_problems(rule: Rule) -> list[str]:
+    low_name, high_name, kind = _BOUNDS[rule.kind]
+    form = str(rule.config.get("format", "%Y-%m-%d"))
+    out, read = [], {}
+    for name in (low_name, high_name):
+        given = rule.config.get(name)
+        if given is None:
+            continue
+        try:
+            read[name] = kind(given) if kind else datetime.strptime(str(given), form.upper().replace("YYYY", "%Y").replace("MM", "%m").replace("DD", "%d") if "%" not in form else form)
+        except (TypeError, ValueError):
+            out.append(f"{name} is no {'date of the format' if kind is None else 'number'}: {given}")
+            continue
+        if rule.kind == "LENGTH" and read[name] < 0:
+            out.append(f"{name} is below 0")
+    if rule.config.get(low_name) is None and rule.config.get(high_name) is None and rule.config.get("exact_length") is None:
+        out.append("no bound")
+    if len(read) == 2 and read[low_name] > read[high_name]:
+        out.append("the bounds are crossed")
+    return out
+
+
+def problems(rule: Rule, types: dict[str, str] | None = None) -> list[str]:
+    """What is wrong with a rule's configuration; nothing if it may be used. With types, the schema's data type of each field, its fields are checked as well."""
     c, out = rule.config, []
     if rule.kind not in REASONS:
         return [f"unknown type {rule.kind}"]
     if rule.severity not in SEVERITIES:
         out.append(f"unknown severity {rule.severity}")
-    bounds = {"RANGE": ("min", "max"), "LENGTH": ("min_length", "max_length"), "DATE_RANGE": ("min_date", "max_date")}.get(rule.kind)
-    if bounds:
-        low, high = (c.get(b) for b in bounds)
-        if low is None and high is None and c.get("exact_length") is None:
-            out.append("no bound")
-        elif low is not None and high is not None and low > high:
-            out.append("the bounds are crossed")
+    if rule.kind in _BOUNDS:
+        out += _bound_problems(rule)
+    if rule.kind == "DATE_RANGE" and "%" not in str(c.get("format", "%")) and str(c["format"]).upper() not in DATE_FORMATS:
+        out.append(f"unknown date format {c['format']}")
     if rule.kind == "REGEX":
         try:
+            if not c["pattern"].strip():
+                out.append("the pattern is empty")
             re.compile(c["pattern"])
             if SparkSession.getActiveSession() and not compiles(java_pattern(c["pattern"])):
                 out.append("the pattern is none that Spark takes, and would check nothing")
-        except (KeyError, TypeError, re.error):
+        except (AttributeError, KeyError, TypeError, re.error):
             out.append("the pattern does not compile")
-    if rule.kind == "ENUM" and (not c.get("values") or len(set(c["values"])) != len(c["values"])):
-        out.append("values must be given once each")
-    if rule.kind == "CROSS_FIELD" and (not (c.get("secondary_field") or c.get("compare_field")) or _OPERATORS.get(c.get("operator"), c.get("operator")) not in ("EQ", "NE", "GT", "LT", "GTE", "LTE")):
-        out.append("a second field and an operator are needed")
+    if rule.kind == "ENUM":
+        values = c.get("values") or []
+        if not values or len(set(map(str, values))) != len(values):
+            out.append("values must be given once each")
+        if not all(isinstance(v, str) for v in values):
+            out.append("values must be texts")
+    other, operator = c.get("secondary_field") or c.get("compare_field"), _OPERATORS.get(c.get("operator"), c.get("operator"))
+    if rule.kind == "CROSS_FIELD":
+        if not other or operator not in ("EQ", "NE", "GT", "LT", "GTE", "LTE"):
+            out.append("a second field and an operator are needed")
+        if other == rule.column:
+            out.append("a field cannot be compared with itself")
+    return out if types is None else out + _field_problems(rule, types, other, operator)
+
+
+def _field_problems(rule: Rule, types: dict[str, str], other: str | None, operator: str | None) -> list[str]:
+    out = [f"no such field: {name}" for name in (rule.column, *([other] if rule.kind == "CROSS_FIELD" and other else [])) if name not in types]
+    own = _KINDS.get(types.get(rule.column, ""))
+    wanted = {"RANGE": "number", "DATE_RANGE": "date"}.get(rule.kind)
+    if wanted and rule.column in types and own != wanted:
+        out.append(f"a {rule.kind} rule needs a {wanted}, not {types[rule.column]}")
+    if rule.kind == "CROSS_FIELD" and not out and operator not in ("EQ", "NE") and (own is None or own != _KINDS.get(types.get(other, ""))):
+        out.append("fields put in order must both be numbers or both dates")
     return out
 
 
 def java_pattern(pattern: str) -> str:
     """A Python pattern in Java's notation, with Unicode classes."""
-    import re
-
     return "(?U)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<").replace("\\Z", "\\z")
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import nested, text
 from feedloom.functions.lineage import shared_dir
-from feedloom.operators import audits, certification, gates, identity, lifecycle, matching, operations, ops, profile, rules, schedule, transforms, validation, variants
+from feedloom.operators import audits, certification, gates, identity, lifecycle, matching, monitor, operations, ops, profile, recovery, rules, schedule, transforms, validation, variants
 from feedloom.operators.rules import Rule
-from feedloom.sources import attempts, auto, files
+from feedloom.sources import attempts, auto, files, registration
 from feedloom.streaming import kpis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1287,3 +1287,124 @@ def source_tokens(spark, sf_dir):
     system = F.when(F.col("c_custkey") % 5 > 0, " Sales \t east ").otherwise(" ")
     token, error = text.canonical_source(_KEY, system, F.when(F.col("c_custkey") % 5 == 1, "a::b").otherwise(F.concat(F.lit(" 00"), "c_name")))
     return table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"), error.alias("error"))
+
+
+# registration of a landing: documents stand for files
+
+
+def _landing(spark, sf_dir) -> DataFrame:
+    """Documents as files: headers, bad bytes and no bytes at all follow from the text alone, so copies of a text are copies of a file."""
+    files_ = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS t").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 11 = 0 THEN concat('other_', doc_id, '.txt') WHEN length(t) % 2 = 0 THEN concat('claims_', doc_id, '.csv') ELSE concat('Members_', doc_id, '.psv') END AS name",
+        """CASE length(t) % 13 WHEN 0 THEN X'' WHEN 1 THEN concat(X'FF', CAST(t AS BINARY)) WHEN 2 THEN CAST(concat('member_id,"x,dob"\n', t) AS BINARY)
+        ELSE CAST(concat(IF(length(t) % 2 = 0, '\ufeff MEMBER_id ,"dob"\n', 'Name|DOB|member_id\r\n'), t) AS BINARY) END AS content""")
+    return files_
+
+
+_FEEDS = [registration.Feed("retired", "*", active=False), registration.Feed("claims", "claims_*.csv", ("Member_ID", "dob"), ",", "in/claims"), registration.Feed("members", "Members_*.psv", ("Member_ID", "dob"), "|")]
+_LANDED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, t, length(t) % 13 AS kind, CASE WHEN doc_id % 11 = 0 THEN 'other_' || doc_id || '.txt' WHEN length(t) % 2 = 0 THEN 'claims_' || doc_id || '.csv' ELSE 'Members_' || doc_id || '.psv' END AS name,
+  CASE WHEN doc_id % 11 > 0 THEN CASE WHEN length(t) % 2 = 0 THEN 'claims' ELSE 'members' END END AS feed FROM d),
+k AS (SELECT *, CASE WHEN kind = 0 THEN '' ELSE '.' || t END AS key,
+  CASE WHEN kind = 0 THEN 0 WHEN kind = 1 THEN 1 + strlen(t) WHEN kind = 2 THEN 18 + strlen(t) WHEN length(t) % 2 = 0 THEN 21 + strlen(t) ELSE 20 + strlen(t) END AS size FROM f),
+old AS (SELECT key, min('y' || doc_id) AS name FROM k WHERE doc_id % 17 = 3 GROUP BY 1),
+new AS (SELECT key, min(doc_id) AS first_id, arg_min(name, doc_id) AS name FROM k WHERE feed IS NOT NULL GROUP BY 1),
+j AS (SELECT k.*, CASE WHEN feed IS NULL THEN NULL WHEN old.name IS NOT NULL THEN old.name WHEN k.doc_id > first_id THEN new.name END AS registered_as FROM k LEFT JOIN old USING (key) LEFT JOIN new USING (key)),
+r AS (SELECT *, CASE WHEN feed IS NULL THEN 'No configured feed pattern matched filename ''' || name || '''' WHEN registered_as IS NOT NULL THEN NULL WHEN size = 0 THEN 'File is empty (0 bytes)'
+  WHEN size > 20000 THEN 'File size ' || size || ' bytes exceeds max allowed 20000 bytes' WHEN kind = 1 THEN 'File encoding is invalid (expected UTF-8)'
+  WHEN kind = 2 THEN 'Missing required column in header: ''' || CASE feed WHEN 'claims' THEN 'dob' ELSE 'Member_ID' END || '''' END AS reason FROM j),
+s AS (SELECT *, CASE WHEN feed IS NULL THEN 'REJECTED' WHEN registered_as IS NOT NULL THEN 'DUPLICATE' WHEN reason IS NULL THEN 'ACCEPTED' ELSE 'REJECTED' END AS status FROM r)
+"""
+
+
+def _registered(spark, sf_dir) -> DataFrame:
+    landing = _landing(spark, sf_dir)
+    known = landing.where("doc_id % 17 = 3").select(F.sha2("content", 256).alias("fingerprint"), F.concat(F.lit("y"), "doc_id").alias("name"))
+    return registration.register_landing(landing, known, _FEEDS, ["doc_id"], 20000)
+
+
+@query(_LANDED + "SELECT doc_id, name, feed, size, status, reason, registered_as, CASE WHEN status = 'ACCEPTED' THEN CASE feed WHEN 'claims' THEN 'in/claims/' ELSE '' END || name END AS path FROM s")
+def registration_ladder(spark, sf_dir):
+    return _registered(spark, sf_dir).drop("fingerprint")
+
+
+@query(_LANDED + "SELECT feed, name, o AS stage_order, ['LANDING', 'BRONZE', 'SILVER_RAW'][o] AS stage, 'PENDING' AS status FROM s, (SELECT unnest([1, 2, 3]) AS o) WHERE status = 'ACCEPTED'")
+def registration_batches(spark, sf_dir):
+    return registration.opened(_registered(spark, sf_dir)).drop("batch_id")
+
+
+@query(_LANDED + "SELECT count(*) AS files, count(*) FILTER (feed IS NULL) AS unknown, count(*) FILTER (feed IS NOT NULL) AS duplicates FROM s")
+def registration_again(spark, sf_dir):
+    """The same landing a second time, known by its own entries: whatever a feed takes is a duplicate."""
+    landing = _landing(spark, sf_dir)
+    old = landing.where("doc_id % 17 = 3").select(F.sha2("content", 256).alias("fingerprint"), F.lit("y").alias("name"))
+    known = registration.entries(_registered(spark, sf_dir)).union(old)
+    again = registration.register_landing(landing, known, _FEEDS, ["doc_id"], 20000)
+    return again.agg(F.count("*").alias("files"), F.count_if(F.col("feed").isNull()).alias("unknown"), F.count_if(F.col("status") == "DUPLICATE").alias("duplicates"))
+
+
+# the monitor of batches, and recovery from raw texts
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS batch_id, o_custkey AS feed_id, o_orderdate::TIMESTAMP AS created_at, o_custkey % 100 - 10 AS mins,
+    CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'RUNNING' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'FAILED_RECONCILIATION' ELSE 'PENDING' END END AS status
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 17520 HOUR),
+l AS (SELECT l_orderkey AS batch_id, l_linenumber AS stage_order, l_suppkey AS stage, CASE l_returnflag WHEN 'R' THEN 'RUNNING' WHEN 'A' THEN 'SUCCESS' ELSE 'PENDING' END AS status, l_shipdate::TIMESTAMP AS s, l_quantity::BIGINT - 5 AS mins, l_discount FROM lineitem),
+w AS (SELECT batch_id, string_agg(stage_order || ':' || stage || ':' || status || ':' || ms, ',' ORDER BY stage_order, stage, status, ms) AS way FROM (SELECT *, CASE status WHEN 'SUCCESS' THEN greatest(0, mins * 60000) WHEN 'RUNNING' THEN greatest(0, epoch_ms(TIMESTAMP '1998-01-01') - epoch_ms(s)) ELSE 0 END AS ms FROM l) GROUP BY 1),
+d AS (SELECT batch_id, count(*) FILTER (stage_order = 1 AND status = 'PENDING') > 0 AS aborted, count(*) FILTER (stage_order = 2 AND status = 'RUNNING') > 0 AS bad, count(*) FILTER (stage_order = 3) > 0 AS logged FROM l WHERE stage_order < 6 AND stage % 3 > 0 GROUP BY 1),
+g AS (SELECT batch_id, arg_max(CASE WHEN stage % 2 = 0 THEN 'BREAKING' ELSE 'NON_BREAKING' END, [epoch_ms(s), stage % 2]) AS severity FROM l WHERE l_discount > 0.08 GROUP BY 1)
+SELECT b.batch_id, b.status, CASE WHEN b.status IN ('SUCCESS', 'FAILED_RECONCILIATION') THEN greatest(0, b.mins * 60000) WHEN b.status = 'RUNNING' THEN greatest(0, epoch_ms(TIMESTAMP '1998-01-01') - epoch_ms(created_at)) ELSE 0 END AS total_ms, coalesce(way, '') AS way,
+  CASE WHEN d.batch_id IS NULL THEN 'NO_RULES' WHEN aborted THEN 'BATCH_ABORTED' WHEN bad THEN 'QUARANTINED_ROWS' WHEN logged THEN 'LOGGED_WARNING' ELSE 'PASSED' END AS dq_action, coalesce(bad, false) AS quarantined,
+  severity AS drift_severity, CASE WHEN b.batch_id % 3 = 0 THEN 'PENDING' WHEN b.batch_id % 3 = 1 THEN 'PASS' ELSE 'FAIL' END AS recon_status
+FROM b LEFT JOIN w USING (batch_id) LEFT JOIN d USING (batch_id) LEFT JOIN g USING (batch_id)
+WHERE coalesce(aborted, false) OR coalesce(bad, false) OR severity IS NOT NULL
+""")
+def monitor_board(spark, sf_dir):
+    batches = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS batch_id", "o_custkey AS feed_id", "CAST(o_orderdate AS TIMESTAMP) AS created_at", "CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'RUNNING' ELSE IF(o_orderkey % 2 = 0, 'FAILED_RECONCILIATION', 'PENDING') END AS status",
+        "CAST(o_orderdate AS TIMESTAMP) AS started_at", "timestampadd(MINUTE, CAST(o_custkey % 100 - 10 AS INT), CAST(o_orderdate AS TIMESTAMP)) AS completed_at")
+    stages = _lines(spark, sf_dir, stage_order="l_linenumber", stage="l_suppkey", status="CASE l_returnflag WHEN 'R' THEN 'RUNNING' WHEN 'A' THEN 'SUCCESS' ELSE 'PENDING' END", started_at="CAST(l_shipdate AS TIMESTAMP)", completed_at="timestampadd(MINUTE, CAST(l_quantity AS INT) - 5, CAST(l_shipdate AS TIMESTAMP))", discount="l_discount")
+    results = stages.where("stage_order < 6 AND stage % 3 > 0").selectExpr("batch_id", "CASE WHEN stage_order = 1 AND status = 'PENDING' THEN 'BATCH_ABORTED' WHEN stage_order = 2 AND status = 'RUNNING' THEN 'QUARANTINED_ROWS' WHEN stage_order = 3 THEN IF(stage % 2 = 0, 'LOGGED_INFO', 'LOGGED_WARNING') ELSE 'PASSED' END AS action")
+    drifts = stages.where("discount > 0.08").selectExpr("batch_id", "started_at AS created_at", "IF(stage % 2 = 0, 'BREAKING', 'NON_BREAKING') AS severity")
+    balance = batches.where("batch_id % 3 > 0").selectExpr("batch_id", "IF(batch_id % 3 = 1, 'PASS', 'FAIL') AS status")
+    board = monitor.monitor(batches, stages, results, drifts, balance, "1998-01-01", 17520, violations=True)
+    way = F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["stage_order"], s["stage"], s["status"], s["duration_ms"])), ",")
+    return board.select("batch_id", "status", "total_ms", F.coalesce(way, F.lit("")).alias("way"), "dq_action", "quarantined", "drift_severity", "recon_status")
+
+
+_RAW = """
+WITH q AS (SELECT o_orderkey, o_custkey, o_orderstatus, floor(o_totalprice) AS price, o_orderkey % 7 AS shape, o_orderkey % 5 AS day FROM orders WHERE o_totalprice < 5000 OR o_totalprice > 300000 OR NOT regexp_matches(o_orderpriority, '^[1-4]-')),
+j AS (SELECT *, CASE WHEN shape = 0 THEN 'id' WHEN shape = 1 OR day = 1 THEN 'day' WHEN day = 2 THEN 'day' WHEN o_orderstatus = 'P' THEN 'state' WHEN shape = 2 THEN 'price' WHEN price < 5000 OR price > 400000 THEN 'price' END AS field,
+  CASE WHEN shape = 0 THEN 'MISSING_REQUIRED_FIELD' WHEN shape = 1 OR day = 1 THEN 'MISSING_REQUIRED_FIELD' WHEN day = 2 THEN 'INVALID_DATE_FORMAT' WHEN o_orderstatus = 'P' THEN 'INVALID_ENUM_VALUE' WHEN shape = 2 THEN 'MISSING_REQUIRED_FIELD' WHEN price < 5000 OR price > 400000 THEN 'VALUE_OUT_OF_RANGE' END AS reason FROM q)
+"""
+
+
+def _recovery(spark, sf_dir) -> recovery.Recovery:
+    orders = table(spark, sf_dir, "orders").where("o_totalprice < 5000 OR o_totalprice > 300000 OR NOT o_orderpriority RLIKE '^[1-4]-'")
+    raw = """concat_ws('|', IF(o_orderkey % 7 = 0, ' ', concat(o_orderkey, ' ')), IF(o_orderkey % 7 = 1, NULL, CASE o_orderkey % 5 WHEN 1 THEN '' WHEN 2 THEN '1995-13-40' ELSE ' 1995-03-04' END),
+        IF(o_orderkey % 7 = 1, NULL, o_orderstatus), IF(o_orderkey % 7 IN (1, 2), NULL, CAST(floor(o_totalprice) AS STRING)))"""
+    records = orders.selectExpr("o_orderkey AS record_id", "o_custkey AS batch_id", "'f' AS feed_id", "o_orderkey * 2 AS source_row_number", f"{raw} AS source_record_raw", "'QUARANTINED' AS status")
+    fields = [validation.Field("id", "STRING", True), validation.Field("day", "DATE", True), validation.Field("state", "ENUM", False, ("O", "F")), validation.Field("price")]
+    own = [Rule("priced", "NOT_NULL", "price", "INFO"), Rule("price_in_range", "RANGE", "price", "WARNING", {"min": 5000, "max": 400000})]
+    return recovery.reprocess(records, fields, own, "rec-1", "2024-01-01", "|", "mended")
+
+
+@query(_RAW + "SELECT o_orderkey AS record_id, CASE WHEN field IS NULL THEN 'REPROCESSED' ELSE 'QUARANTINED' END AS status, CASE WHEN field IS NULL THEN 'rec-1' END AS resolution_batch_id, CASE WHEN field IS NULL THEN 'mended' ELSE 'Recovery attempt rec-1: record remains invalid' END AS resolution_notes, field, reason FROM j")
+def recovery_records(spark, sf_dir):
+    return _recovery(spark, sf_dir).records.select("record_id", "status", "resolution_batch_id", "resolution_notes", "field", "reason")
+
+
+@query(_RAW + "SELECT 'rec-1' AS _recovery_batch_id, o_orderkey::VARCHAR AS _quarantine_source_id, o_custkey::VARCHAR AS _batch_id, o_orderkey * 2 AS _source_row_num, o_orderkey::VARCHAR AS id, '1995-03-04' AS day, o_orderstatus AS state, price::BIGINT::VARCHAR AS price FROM j WHERE field IS NULL")
+def recovery_silver(spark, sf_dir):
+    return _recovery(spark, sf_dir).silver.drop("_feed_id", "_ingested_at")
+
+
+@query(_RAW + "SELECT count(*) AS rows_in, count(*) FILTER (field IS NULL) AS silver, count(*) FILTER (field IS NOT NULL) AS quarantined, 0::BIGINT AS discrepancy, 'PASS' AS status FROM j")
+def recovery_totals(spark, sf_dir):
+    return _recovery(spark, sf_dir).totals
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), '3') OR contains(lower(p_brand), '3') OR contains(lower(p_type), '3') OR contains(lower(p_size::VARCHAR), '3')")
+def glossary_any_column(spark, sf_dir):
+    return ops.search(table(spark, sf_dir, "part"), "3", ["p_name", "p_brand", "p_type", "p_size"]).select("p_partkey")

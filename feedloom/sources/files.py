@@ -111,11 +111,18 @@ def xml_cells(frame: DataFrame, text: str) -> DataFrame:
     return xml_paths(frame, text).select("path", shown.alias("value"), F.lit(1).cast("long").alias("counted"), shown.isNull().cast("long").alias("empty"), F.lit(None).cast("long").alias("length"), F.lit(0).cast("long").alias("records"))
 
 
+def header_cells(header: Column, delimiter: str = ",") -> Column:
+    """The cells of a header line, trimmed and in lower case: delimiters within quotes part nothing, doubled quotes are one."""
+    part = re.escape(delimiter) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    unquoted = lambda x: F.replace(F.regexp_replace(F.trim(x), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(F.split(F.regexp_replace(header, "^\\uFEFF", ""), part, -1), lambda x: F.lower(F.trim(unquoted(x))))
+
+
 def structure_error(header: Column, required: list[str], delimiter: str = ",") -> Column:
     """What is wrong with a file's first line: no header, or the first required column that it lacks, in any case; null if nothing is."""
-    names = F.transform(F.split(F.regexp_replace(header, "^\\uFEFF", ""), re.escape(delimiter)), lambda x: F.lower(F.trim(F.regexp_replace(x, '^"|"$', ""))))
+    names = header_cells(header, delimiter)
     lacks = [F.when(~F.array_contains(names, name.strip().lower()), F.lit(f"Missing required column in header: '{name}'")) for name in required]
-    return F.coalesce(F.when(F.coalesce(header, F.lit("")) == "", F.lit("File is empty or contains no header row")), *lacks) if lacks else F.when(F.coalesce(header, F.lit("")) == "", F.lit("File is empty or contains no header row"))
+    return F.coalesce(F.when(F.coalesce(header, F.lit("")) == "", F.lit("File is empty or contains no header row")), *lacks)
 
 
 def land_bronze(spark: SparkSession, path: str, to: str, batch: str | None = None) -> DataFrame:
