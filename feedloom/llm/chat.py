@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import cut
+from feedloom.llm.common import cut, discard
 
 # The template: <|role|>\ntext<|end|>\n for each turn. Neither "<" nor "&" stands in an escaped text, nor "|" or ">" in an escaped role.
 _TEXT = (("&", "&amp;"), ("<", "&lt;"))
@@ -68,7 +68,8 @@ def best_paths(messages: DataFrame, top_k: int = 1, salts: int = 64) -> DataFram
     messages: tree, node (unique in its tree), parent (null or absent: a root), score (null counts as 0). Self-joins
     double the stretch that each node's pointer spans, carrying sum and length, until all reach their root: as many
     joins as the longest path has bits, each of the nodes that are not at their root yet. Ties go to the smallest leaf. The chosen leaves then walk back over the same
-    pointers, longest first, so only chosen paths are written out. Joins are on (tree, node), so a tree with a third of
+    pointers, longest first, so only chosen paths are written out, each round its own new nodes; a round's pointers are
+    deleted when no later round reads them. Joins are on (tree, node), so a tree with a third of
     all rows is dealt out like any other; leaves are ranked within salted parts first. Nodes below a cycle of parents
     have no root and are on no path.
     """
@@ -91,12 +92,14 @@ def best_paths(messages: DataFrame, top_k: int = 1, salts: int = 64) -> DataFram
     order = [F.desc("path_score"), F.asc("node")]
     for parts in (["tree", F.pmod(F.xxhash64("node"), F.lit(salts))], ["tree"]):
         leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).where(F.col("rank") <= top_k)
-    walked = leaves.select("tree", F.col("node").alias("leaf"), "rank", "path_score", "node", F.col("length").alias("depth"))
-    for k in range(len(steps) - 2, -1, -1):
-        up = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        higher = walked.join(up, walked.tree.eqNullSafe(up.t) & (walked.node == up.n))
-        walked = walked.union(higher.select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
-        walked = cut(walked, "walked")
+    leaves = cut(leaves.select("tree", F.col("node").alias("leaf"), "rank", "path_score", "node", F.col("length").alias("depth")), "leaves")
+    walked = leaves
+    for k in range(len(steps) - 1, -1, -1):
+        if k < len(steps) - 1:
+            up = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+            higher = walked.join(up, walked.tree.eqNullSafe(up.t) & (walked.node == up.n))
+            walked = walked.union(cut(higher.select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")), "walked"))
+        discard(steps[k])
     return walked
 
 

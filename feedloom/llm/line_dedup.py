@@ -1,4 +1,8 @@
-"""Line dedup: content-defined chunks of lines, globally repeated ones removed; DataFrame functions only."""
+"""Line dedup: globally repeated chunks of lines removed; DataFrame functions only.
+
+line_dedup() cuts content-defined chunks at one line in `divisor`. passage_dedup(), which operator 6's query and the pipeline use, takes every line
+for a boundary and lets chunks share it, as a passage of three lines seldom holds a whole chunk of the first kind.
+"""
 
 from __future__ import annotations
 

@@ -247,7 +247,8 @@ def pack(parts: DataFrame, capacity: int = 2048, bucket_rows: int = 100_000) ->
     base = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    told = [f.name for f in parts.schema.fields if not {"map<", "variant"} & set(re.findall("map<|variant", f.dataType.simpleString()))]  # what can be hashed
+    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", F.xxhash64(*told))  # rows that share both are told apart, so a task run again ranks them as before
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_bucket"])
     columns = parts.columns
     ranked = ranked.select(*columns, (F.col("_rank") + F.col("_base")).alias("_rank"))

@@ -59,7 +59,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
+    return line_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,13 +140,16 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 _OP6 = """
 WITH lines AS (
-  SELECT doc_id, i, line, CAST(CAST('0x' || substr(md5(line), 1, 8) AS UBIGINT) AS BIGINT) AS h
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
-), cuts AS (SELECT *, CASE WHEN (h + lag(h, 1, 0) OVER (PARTITION BY doc_id ORDER BY i)) % 4 = 0 THEN 1 ELSE 0 END AS cut FROM lines),
-placed AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM cuts),
-chunks AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM placed GROUP BY doc_id, place),
-marked AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks),
-built AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed FROM marked GROUP BY doc_id)
+  SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
+), pairs AS (
+  SELECT doc_id, i, lead(i) OVER own AS upto, line || chr(10) || lead(line) OVER own AS chunk FROM lines
+  WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') WINDOW own AS (PARTITION BY doc_id ORDER BY i)
+), marked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) > 1 AS again FROM pairs WHERE upto IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, upto + 1)) AS i FROM marked WHERE again),
+built AS (
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text, count(g.i) AS n_removed
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE b.text END AS text, coalesce(b.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN built b USING (doc_id)
 """

@@ -370,6 +370,41 @@ def test_short_passages_of_lines_are_removed(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def slow_passage_dedup(docs):
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        lines = text.split("\n")
+        full = [k for k, line in enumerate(lines) if re.search(r"[^ \t\n\x0b\f\r]", line)]
+        gone = set()
+        for a, b in zip(full, full[1:]):
+            pair = lines[a] + "\n" + lines[b]
+            if pair in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(pair)
+        out[doc] = ("\n".join(line for k, line in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+def test_passage_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pool = [f"line {k}" for k in range(30)] + ["", "x", "$1 \\n", " ", "xx", "\t", "\u00a0"]
+    docs = [(d, "\n".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 40)))) for d in range(60)]
+    docs += [(100 + d, docs[d][1]) for d in range(10)] + [(200, "\n\n\n"), (201, "a\n"), (202, "\na"), (203, ""), (204, "b\nb\nb\nb"), (205, "c\n\nc\nc")]
+    got = {r.doc_id: (r.text, r.n) for r in line_dedup.passage_dedup(frame(spark, docs), count_col="n").collect()}
+    assert got == slow_passage_dedup(docs)
+    twice = line_dedup.passage_dedup(frame(spark, [(7, "p\nq"), (7, "p\nq"), (8, "p\nq")])).collect()
+    assert sorted(r.text for r in twice) == ["", "p\nq", "p\nq"]
+    assert line_dedup.passage_dedup(frame(spark, [])).count() == 0
+
+
+def test_chunks_of_a_hot_group_are_dealt_out(spark):
+    """A third of all documents share one passage under ids of their own, and one id and text stands many times."""
+    docs = [(k, f"own {k}\nshared one\nshared two\nmore {k}" if k % 3 == 0 else f"own {k}\nmore {k}") for k in range(900)] + [(5000, "own 0\nshared one")] * 50
+    got = [(r.doc_id, r.text) for r in line_dedup.passage_dedup(frame(spark, docs)).collect()]
+    want = {k: v[0] for k, v in slow_passage_dedup(sorted(set(docs))).items()}
+    assert sorted(got) == sorted((k, want[k]) for k, _ in docs)
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.line_dedup(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
