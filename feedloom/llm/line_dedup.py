@@ -84,16 +84,22 @@ def line_pairs(text: Column) -> Column:
 def repeated_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, th, removed): from and to lines of a document's pairs of lines that stand, byte for byte, somewhere before.
 
-    docs: doc_id, th (the text's hash), text. As in repeated_chunks(), hashes are compared first, then the repeated ones' bytes.
+    docs: doc_id, th (the text's hash), text. Which pairs repeat is found from hashes and places alone; then the repeated ones' bytes are cut from
+    their documents again, and compared with those of the first by (doc_id, place).
     """
-    pairs = docs.where("text is not null").select("doc_id", "th", F.explode(line_pairs(F.col("text"))).alias("p")).select("doc_id", "th", "p.*")
-    pairs = pairs.withColumns({"h": F.xxhash64("chunk"), "at": F.struct("doc_id", "place", "th")})
-    first = pairs.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n")
+    own = docs.where("text is not null")
+    pairs = own.select("doc_id", "th", F.explode(line_pairs(F.col("text"))).alias("p")).select("doc_id", "th", "p.place", "p.to", F.xxhash64("p.chunk").alias("h"))
+    at = F.struct("doc_id", "place", "th")
+    first = pairs.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n")
     first = cut(first, "first_pairs")
     hot = hot_keys(first, "h")
-    shared = cut(dealt_join(pairs, first.drop("n"), "h", hot, ["doc_id", "place"]), "shared_pairs")
-    heads = shared.where("at = first").select("h", F.col("chunk").alias("bytes")).distinct()
-    again = dealt_join(shared.where("at != first"), heads, "h", hot, ["doc_id", "place"]).where("chunk = bytes")
+    shared = dealt_join(pairs, first.drop("n"), "h", hot, ["doc_id", "place"]).select("doc_id", "th", F.struct("place", "to", "h", (at == F.col("first")).alias("head")).alias("w"))
+    wanted = cut(shared.groupBy(F.col("doc_id").alias("in_id"), F.col("th").alias("in_th")).agg(F.collect_set("w").alias("wanted")), "wanted_pairs")  # at most a document's lines
+    lines = own.join(wanted, own["doc_id"].eqNullSafe(wanted["in_id"]) & (own["th"] == wanted["in_th"])).select("doc_id", "th", "wanted", F.split("text", "\n", -1).alias("lines"))
+    cells = F.transform("wanted", lambda w: F.struct(w["place"].alias("place"), w["to"].alias("to"), w["h"].alias("h"), w["head"].alias("head"), F.concat(F.get("lines", w["place"]), F.lit("\n"), F.get("lines", w["to"])).alias("chunk")))
+    said = lines.select("doc_id", "th", F.explode(cells).alias("c")).select("doc_id", "th", "c.*")
+    heads = said.where("head").select("h", F.col("chunk").alias("bytes")).distinct()
+    again = dealt_join(said.where("not head").drop("head"), heads, "h", hot, ["doc_id", "place"]).where("chunk = bytes")
     return again.groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "to")).alias("removed"))
 
 
