@@ -170,14 +170,14 @@ def waiver_map(waivers: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("batch_id", "control").agg(F.max_by("waiver_id", F.struct(order, "waiver_id")).alias("waiver_id"))
 
 
-def ods_eligibility(batches: DataFrame, stages: DataFrame, models: DataFrame, identity_runs: DataFrame, reconciliations: DataFrame, results: DataFrame) -> DataFrame:
+def ods_eligibility(batches: DataFrame, stages: DataFrame, models: DataFrame, identity_runs: DataFrame, reconciliations: DataFrame, results: DataFrame, run_order: list[str] | None = None) -> DataFrame:
     """(batch_id, identity_status, reasons, eligible): all six prerequisites, each with its reason.
 
     A batch without reconciliation passes that one; without a model or an identity run it fails. Of several identity runs the
-    one that ended last counts.
+    one that ended last counts; of those that ended at once the first by run_order, columns of identity_runs, and then by status.
     """
     bad_stage = stages.where("status not in ('SUCCESS', 'SKIPPED')").select("batch_id").distinct().withColumn("_stage", F.lit(True))
-    runs = latest(identity_runs, ["batch_id"], [F.desc("completed_at")]).select("batch_id", F.col("status").alias("_run"))
+    runs = latest(identity_runs, ["batch_id"], [F.desc("completed_at"), *(run_order or []), "status"]).select("batch_id", F.col("status").alias("_run"))
     unbalanced = reconciliations.where("not balanced or status = 'FAIL'").select("batch_id").distinct().withColumn("_recon", F.lit(True))
     aborted = results.where("action = 'BATCH_ABORTED'").select("batch_id").distinct().withColumn("_dq", F.lit(True))
     out = batches.join(models.select("model_version_id", F.col("status").alias("_model")), "model_version_id", "left")

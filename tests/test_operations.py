@@ -71,6 +71,16 @@ def test_eligibility_without_rows(spark):
     assert {r.batch_id: (r.identity_status, r.reasons) for r in got.collect()} == {1: ("NOT_RUN", ["MODEL_NOT_PUBLISHED", "IDENTITY_STATUS"]), 2: ("NOT_RUN", ["BATCH_STATUS", "MODEL_NOT_PUBLISHED", "IDENTITY_STATUS"])}
 
 
+def test_of_runs_that_end_at_once_the_first_by_their_order_counts(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    batches = spark.createDataFrame([(k, "SUCCESS", 1) for k in range(6)], "batch_id long, status string, model_version_id long")
+    made = [(k, 2, "FAILED" if (k + n) % 3 == 0 else "SUCCESS", n) for k in range(6) for n in range(3)] + [(0, 1, "OTHER", -1)]
+    for order, want in ((["n"], {k: "FAILED" if k % 3 == 0 else "SUCCESS" for k in range(6)}), (None, dict.fromkeys(range(6), "FAILED"))):
+        for runs in (made, made[::-1]):
+            got = operations.ods_eligibility(batches, none("batch_id long, status string"), none("model_version_id long, status string"), spark.createDataFrame(runs, "batch_id long, completed_at int, status string, n int"), none("batch_id long, balanced boolean, status string"), none("batch_id long, action string"), order)
+            assert {r.batch_id: r.identity_status for r in got.collect()} == want
+
+
 def test_source_tokens(spark):
     pairs = [("ｓｙｓ  a", "００7 "), ("s:x", "1"), (None, "1"), ("s", " "), ("s", "a::b"), ("s", "0012")]
     token, error = text.canonical_source(b"k", F.col("s"), F.col("i"))
