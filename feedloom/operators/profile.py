@@ -97,18 +97,19 @@ def summary(profiled: DataFrame) -> DataFrame:
     return profiled.agg(F.coalesce(F.max("total"), F.lit(0)).alias("total_rows"), F.count("*").alias("total_columns"), F.count_if(F.col("nulls") > 0).alias("columns_with_nulls"), *of)
 
 
-def profile_paths(cells: DataFrame, padded: bool = True, distinct_cap: int = 10_000) -> DataFrame:
+def profile_paths(cells: DataFrame, padded: bool = True, distinct_cap: int | None = 10_000) -> DataFrame:
     """(path, total, nulls, null_pct, distinct, inferred, is_array, depth, min_length, max_length) for each path of nested documents.
 
     cells come from files.json_cells or xml_cells: path, value, counted, empty, length, records. Padded paths that
-    fewer values than records have count the rest as nulls. Cells without a path only carry the number of records.
+    fewer values than records have count the rest as nulls. Cells without a path only carry the number of records. Distinct
+    counts stop at the cap, if there is one.
     """
     held = cut(cells, "cells")  # read twice: for the number of records and for the paths
     records = held.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0] if padded else 0
     counted = classified(held.where("path is not null")).groupBy("path", "value", "form", "kind")
     counted = counted.agg(F.count("*").alias("n"), F.sum("counted").alias("counted"), F.sum("empty").alias("empty"), F.min("length").alias("lo"), F.max("length").alias("hi"))
     of = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in TYPES]
-    summed = counted.groupBy("path").agg(F.sum("counted").alias("vals"), F.sum("empty").alias("empty"), F.least(F.count("value"), F.lit(distinct_cap)).alias("distinct"), *of, F.min("lo").alias("min_length"), F.max("hi").alias("max_length"))
+    summed = counted.groupBy("path").agg(F.sum("counted").alias("vals"), F.sum("empty").alias("empty"), F.least(F.count("value"), F.lit(distinct_cap).cast("long")).alias("distinct"), *of, F.min("lo").alias("min_length"), F.max("hi").alias("max_length"))
     missing = F.greatest(F.lit(0), F.lit(records) - F.col("vals"))
     summed = summed.withColumns({"total": F.col("vals") + missing, "nulls": F.col("empty") + missing, "filled": sum((F.col(k) for k in TYPES), F.lit(0))})
     depth = F.regexp_count("path", F.lit(r"\.")).cast("long") + 1

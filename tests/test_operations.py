@@ -115,3 +115,8 @@ def test_lists(spark):
     title, about = operations.alert_text(F.lit("NEW"), F.lit(None).cast("string"), F.lit("p"), F.lit("f" * 300))
     got = spark.range(1).select(title.alias("t"), about.alias("a")).first()
     assert len(got.t) == 255 and got.a.endswith("during ingestion pipeline: p.")
+
+
+def test_distinct_values_without_a_cap(spark):
+    cells = spark.range(12_000).selectExpr("'a' AS path", "CAST(id AS STRING) AS value", "1L AS counted", "0L AS empty", "CAST(null AS BIGINT) AS length", "1L AS records")
+    assert profile.profile_paths(cells, distinct_cap=None).first().distinct == 12_000 and profile.profile_paths(cells).first().distinct == 10_000
