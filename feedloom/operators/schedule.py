@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.lineage import cut
+from feedloom.functions.lineage import cut, spread
 
 _BOUNDS = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)]
 
@@ -84,15 +84,17 @@ def cron_values(field: Column, low: int, high: int) -> Column:
 def expected_slots(schedules: DataFrame, start: str, end: str, day_mode: str = "or", most: int = 501) -> DataFrame:
     """(schedule_id, slot): the expected times from start to end (UTC, both included) of a table of schedules (schedule_id, expression, tz), at most `most` each, the earliest.
 
-    As slots() has them, each schedule with an expression and a zone of its own: fields become arrays, days come from a sequence, and hours and minutes are exploded only on days
-    that count. Local times that a clock change skips count as if it had come later, those it repeats as the first. `manual`, and what is no expression of five
-    fields, has no slots; a name that is no zone means UTC. Null ids count as ids; repeated rows repeat their slots.
+    As slots() has them, each schedule with an expression and a zone of its own. Slots are found once for each expression and zone that occurs: fields become arrays, days come from a
+    sequence, and hours and minutes are exploded only on days that count; then each schedule takes its own. Local times that a clock change skips count as if it had come later, those
+    it repeats as the first. `manual`, and what is no expression of five fields, has no slots; a name that is no zone means UTC. Null ids count as ids; repeated rows repeat their slots.
     """
     known = sorted(n for n in available_timezones() if "/" in n and not n.startswith(("Etc/", "SystemV/", "posix", "right")))
     zone = F.when(F.col("tz").isin(known), F.col("tz")).otherwise("UTC")
+    asked = schedules.select("schedule_id", "expression", zone.alias("_zone"))
     fields = F.split(F.trim("expression"), r"\s+")
-    own = schedules.where(F.size(fields) == 5).select("schedule_id", F.monotonically_increasing_id().alias("_row"), zone.alias("_zone"), *[cron_values(F.get(fields, n), *bounds).alias(f"_{n}") for n, bounds in enumerate(_BOUNDS)])
-    own = cut(own.where(" and ".join(f"_{n} is not null" for n in range(5))), "schedules")
+    own = cut(asked.select("expression", "_zone").distinct(), "asked")  # else Spark moves the filters on fields to where the schedules are read
+    own = own.where(F.size(fields) == 5).select("expression", "_zone", *[cron_values(F.get(fields, n), *bounds).alias(f"_{n}") for n, bounds in enumerate(_BOUNDS)])
+    own = cut(own.where(" and ".join(f"_{n} is not null" for n in range(5))), "expressions")
     span = F.sequence(F.date_sub(F.lit(start).cast("date"), 1), F.date_add(F.lit(end).cast("date"), 1))
     days = own.withColumn("_day", F.explode(span)).where(F.array_contains("_3", F.month("_day")))
     on_dom, on_dow = F.array_contains("_2", F.dayofmonth("_day")), F.array_contains("_4", F.dayofweek("_day") - 1)
@@ -102,8 +104,9 @@ def expected_slots(schedules: DataFrame, start: str, end: str, day_mode: str = "
     local = F.col("_day").cast("timestamp_ntz") + F.make_interval(hours=F.col("_h"), mins=F.col("_m"))
     times = times.withColumn("slot", F.convert_timezone(F.col("_zone"), F.lit("UTC"), local))
     times = times.where(F.col("slot").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
-    place = F.row_number().over(Window.partitionBy("_row").orderBy("slot"))
-    return times.withColumn("_n", place).where(F.col("_n") <= most).select("schedule_id", "slot")
+    place = F.row_number().over(Window.partitionBy("expression", "_zone").orderBy("slot"))
+    times = times.withColumn("_n", place).where(F.col("_n") <= most).groupBy("expression", "_zone").agg(F.collect_list("slot").alias("slots"))
+    return spread(asked).join(cut(times, "slots"), ["expression", "_zone"]).select("schedule_id", F.explode("slots").alias("slot"))
 
 
 def slot_windows(frame: DataFrame, lead_minutes: int = 120, grace_minutes: int = 60) -> DataFrame:

@@ -47,3 +47,21 @@ def test_forms_of_timestamps(spark):
     kinds = [r.kind for r in profile.classified(frame.select(F.col("t").alias("value"))).collect()]
     assert kinds == ["TIMESTAMP", "TIMESTAMP", "TIMESTAMP", "STRING", "STRING", "STRING", "DATE"]
     assert {r.form: r.n for r in profile.date_histogram(frame, ["t"]).collect()} == {"YYYY-MM-DD HH:MM:SS": 1, "ISO-8601": 2, "YYYY-MM-DD": 1}
+
+
+def test_slots_are_made_once_an_expression(spark):
+    rows = [(k, "*/30 * * * *" if k % 2 else "0 4 * * *", "Europe/Paris" if k % 3 else None) for k in range(12)] + [(None, "0 4 * * *", "UTC"), (5, "*/30 * * * *", "Europe/Paris"), (1, None, "UTC")]
+    got = schedule.expected_slots(spark.createDataFrame(rows, "schedule_id long, expression string, tz string"), "2024-03-30", "2024-04-02", most=100)
+    start, end = datetime(2024, 3, 30), datetime(2024, 4, 2)
+    want = [(k, at) for k, e, tz in rows if e for at in schedule.slots(e, tz or "UTC", start, end, most=100)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "convert_timezone" not in plan  # schedules only take slots that stand in a table
+
+
+def test_few_row_groups_are_dealt_over_the_cores(spark, tmp_path):
+    from feedloom.functions.lineage import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    dealt = spread(spark.read.parquet(str(tmp_path / "one"))).selectExpr("spark_partition_id() AS p")
+    assert dealt.distinct().count() >= 4 and dealt.count() == 1000
