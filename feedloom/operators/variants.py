@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.lineage import cut
+from feedloom.functions.lineage import cut, spread
 from feedloom.operators.transforms import steps
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What `of` makes of a value that it names several times, the value being found once."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def fields(value: Column) -> Column:
     """An object's values by key; null for what is no object."""
     return F.try_variant_get(value, "$", "map<string,variant>")
@@ -24,31 +31,36 @@ def items(value: Column) -> Column:
 def parse(text: Column) -> Column:
     """The one JSON document in a text; null where there is none, or more behind it, which Spark's parser leaves unread."""
     alone = items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    return F.when(F.size(alone) == 1, F.get(alone, 0))
+    return once(alone, lambda a: F.when(F.size(a) == 1, F.get(a, 0)))
 
 
 def _something(value: Column) -> Column:
-    return F.when(~F.is_variant_null(value), value)
+    return once(value, lambda v: F.when(~F.is_variant_null(v), v))
 
 
 def shown(value: Column) -> Column:
     """A plain value as text: True and False, None for null, floats with a point; numbers that need an exponent as Spark writes them."""
-    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
-    whole = kind.rlike(r"^(DECIMAL\(\d+,0\)|DOUBLE|FLOAT)") & text.rlike(r"^-?\d{1,18}$")
-    return F.when(value.isNull() | F.is_variant_null(value), "None").when(kind == "BOOLEAN", F.initcap(text)).when(whole, F.concat(text, F.lit(".0"))).otherwise(text)
+
+    def of(v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        numeric, boolean = F.schema_of_variant(v).rlike(r"^(DECIMAL\(\d+,0\)|DOUBLE|FLOAT)"), F.schema_of_variant(v) == "BOOLEAN"
+        told = once(text, lambda t: F.when(t.rlike(r"^-?\d{1,18}$"), F.when(numeric, F.concat(t, F.lit(".0"))).otherwise(t)).when(t.isin("true", "false"), F.when(boolean, F.initcap(t)).otherwise(t)).otherwise(t))
+        return F.when(v.isNull() | F.is_variant_null(v), "None").otherwise(told)
+
+    return once(value, of)
 
 
 def _key(value: Column, name: str, any_case: bool) -> Column:
-    held = fields(value)
-    own = F.try_element_at(held, F.lit(name))
+    plain = re.fullmatch(r"[^\"?\\]+", name)  # what Spark's own paths can name
+    own = (lambda v: F.try_variant_get(v, f'$["{name}"]', "variant")) if plain else (lambda v: F.try_element_at(fields(v), F.lit(name)))
     if not any_case:
-        return own
-    alike = F.filter(F.map_entries(held), lambda e: F.lower(e["key"]) == name.lower())
-    return F.when(F.map_contains_key(held, name), own).otherwise(F.try_element_at(alike, F.lit(-1))["value"])
+        return own(value)
+    alike = lambda v: F.try_element_at(F.filter(F.map_entries(fields(v)), lambda e: F.lower(e["key"]) == name.lower()), F.lit(-1))["value"]
+    return once(value, lambda v: F.coalesce(own(v), alike(v)))
 
 
 def _one_or_all(found: Column) -> Column:
-    return F.when(F.size(found) > 1, F.to_variant_object(found)).when(F.size(found) == 1, F.get(found, 0))
+    return once(found, lambda a: F.when(F.size(a) > 1, F.to_variant_object(a)).when(F.size(a) == 1, F.get(a, 0)))
 
 
 def _find(value: Column, todo: list[dict[str, str]]) -> Column:
@@ -57,19 +69,19 @@ def _find(value: Column, todo: list[dict[str, str]]) -> Column:
         if "name" in step:
             value = _something(_key(value, step["name"], any_case=not rest or "name" in rest[0]))
         elif "index" in step:
-            value = _something(F.get(items(value), int(step["index"])))
+            value = _something(F.try_variant_get(value, f"$[{int(step['index'])}]", "variant"))
         else:
             inside = items(value)
             if "key" in step:
                 key, wanted, same = step["key"], step["value"], step["op"] == "=="
                 inside = F.filter(inside, lambda x: fields(x).isNotNull() & ((shown(_find(x, steps(key))) == wanted) == F.lit(same)))
             if not rest:
-                return _one_or_all(inside) if "key" in step else F.when(inside.isNotNull(), F.to_variant_object(inside))
+                return _one_or_all(inside) if "key" in step else once(inside, lambda a: F.when(a.isNotNull(), F.to_variant_object(a)))
             found = F.filter(F.transform(inside, lambda x: _find(x, rest)), lambda x: x.isNotNull())
             if "key" in step:
                 return _one_or_all(found)
-            spread = F.flatten(F.transform(found, lambda x: F.coalesce(items(x), F.array(x))))
-            return F.when(F.size(spread) > 0, F.to_variant_object(spread))
+            flat = F.flatten(F.transform(found, lambda x: F.coalesce(items(x), F.array(x))))
+            return once(flat, lambda a: F.when(F.size(a) > 0, F.to_variant_object(a)))
     return value
 
 
@@ -88,7 +100,7 @@ def find(value: Column, path: str, default: Any = None) -> Column:
 
 def first(value: Column) -> Column:
     """The first element of an array, null if it has none; what is no array is itself."""
-    return F.when(items(value).isNull(), value).otherwise(F.get(items(value), 0))
+    return once(value, lambda v: F.when(items(v).isNull(), v).otherwise(F.try_variant_get(v, "$[0]", "variant")))
 
 
 def _pairs(value: Column, prefix: Column | None, separator: str, depth: int) -> Column:
@@ -141,18 +153,22 @@ def records(text: Column, value: Column) -> Column:
 
     "First" is in the order of the text. A plain document has none.
     """
-    held, inside = fields(value), items(value)
-    whole = F.array(value)
-    empty = lambda x: x.isNull() | F.is_variant_null(x) | (F.size(fields(x)) == 0) | (F.size(items(x)) == 0) | F.try_variant_get(x, "$", "string").isin("", "false", "0")
-    entries = F.filter(items(F.try_element_at(held, F.lit("entry"))), lambda e: fields(e).isNotNull())
-    resources = F.transform(entries, lambda e: F.when(F.coalesce(empty(F.try_element_at(fields(e), F.lit("resource"))), F.lit(False)), e).otherwise(F.try_element_at(fields(e), F.lit("resource"))))
-    objects = F.filter(inside, lambda x: fields(x).isNotNull())
-    wrapped = F.transform(inside, lambda x: F.to_variant_object(F.create_map(F.lit("value"), x)))
-    lists = F.filter(F.transform(F.json_object_keys(text), lambda k: items(F.try_element_at(held, k))), lambda a: fields(F.get(a, 0)).isNotNull())
-    bundle = F.try_variant_get(F.try_element_at(held, F.lit("resourceType")), "$", "string") == "Bundle"
-    of_object = F.when(bundle, F.when(F.size(resources) > 0, resources).otherwise(whole)).when(F.size(lists) > 0, F.get(lists, 0)).otherwise(whole)
-    of_list = F.when(F.size(objects) > 0, objects).otherwise(wrapped)
-    return F.when(held.isNotNull(), of_object).when(inside.isNotNull(), of_list)
+    none = lambda x: x.isNull() | F.is_variant_null(x) | (F.size(fields(x)) == 0) | (F.size(items(x)) == 0) | F.try_variant_get(x, "$", "string").isin("", "false", "0")
+
+    def of_object(v: Column) -> Column:
+        inner = lambda name: lambda x: F.try_element_at(fields(x), F.lit(name))
+        entries = F.filter(items(inner("entry")(v)), lambda e: fields(e).isNotNull())
+        resources = F.transform(entries, lambda e: once(inner("resource")(e), lambda r: F.when(F.coalesce(none(r), F.lit(False)), e).otherwise(r)))
+        lists = once(fields(v), lambda held: F.filter(F.transform(F.json_object_keys(text), lambda k: items(F.try_element_at(held, k))), lambda a: fields(F.get(a, 0)).isNotNull()))
+        bundle = F.try_variant_get(inner("resourceType")(v), "$", "string") == "Bundle"
+        of_bundle = once(resources, lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(v)))
+        return F.when(bundle, of_bundle).otherwise(once(lists, lambda a: F.when(F.size(a) > 0, F.get(a, 0)).otherwise(F.array(v))))
+
+    def of_list(inside: Column) -> Column:
+        wrapped = F.transform(inside, lambda x: F.to_variant_object(F.create_map(F.lit("value"), x)))
+        return once(F.filter(inside, lambda x: fields(x).isNotNull()), lambda a: F.when(F.size(a) > 0, a).otherwise(wrapped))
+
+    return once(value, lambda v: F.when(fields(v).isNotNull(), of_object(v)).otherwise(once(items(v), lambda a: F.when(a.isNotNull(), of_list(a)))))
 
 
 def cells(frame: DataFrame, text: str) -> DataFrame:
@@ -177,17 +193,17 @@ def cells(frame: DataFrame, text: str) -> DataFrame:
             at = F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"]))
             return F.when(plain(e["value"]), leaf_of(at, e["value"])).otherwise(cell(at, no_text, 0, F.lit(0), none, e["value"]))
 
-        held, inside = fields(value), items(value)
         nothing = F.when(path == "", F.array().cast(kind)).otherwise(F.array(cell(path, no_text, 1, F.lit(1), none, no_child)))
         def of_item(x: Column) -> Column:
             as_leaf, as_shown = leaf_of(own, x), cell(own, shown(x), 0, F.lit(0), none, no_child)
             return F.when(plain(x), F.array(as_shown, as_leaf)).otherwise(F.array(cell(own, no_text, 0, F.lit(0), none, x)))
 
-        listed = F.concat(F.array(cell(own, no_text, 1, (F.size(inside) == 0), F.size(inside), no_child)), F.flatten(F.transform(inside, of_item)))
-        return F.when(held.isNotNull(), F.when(F.size(held) == 0, nothing).otherwise(F.transform(F.map_entries(held), of_field))).otherwise(listed)
+        listed = lambda inside: F.concat(F.array(cell(own, no_text, 1, (F.size(inside) == 0), F.size(inside), no_child)), F.flatten(F.transform(inside, of_item)))
+        of_held = lambda held: F.when(F.size(held) == 0, nothing).when(F.size(held) > 0, F.transform(held, of_field))
+        return F.coalesce(once(F.map_entries(fields(value)), of_held), once(items(value), listed))
 
     kind = "array<struct<path:string,value:string,counted:bigint,empty:bigint,length:bigint,child:variant>>"
-    parsed = frame.select(F.col(text).alias("text"), parse(F.col(text)).alias("doc")).where("doc is not null")
+    parsed = spread(frame.select(F.col(text).alias("text"))).select("text", parse(F.col("text")).alias("doc")).where("doc is not null")
     found = cut(parsed.select(records(F.col("text"), F.col("doc")).alias("r")), "records")
     counts = found.select(no_text.alias("path"), no_text.alias("value"), F.lit(0).cast("long").alias("counted"), F.lit(0).cast("long").alias("empty"), none.alias("length"), F.greatest(F.coalesce(F.size("r"), F.lit(0)), F.lit(1)).cast("long").alias("records"))
     nodes = found.select(F.lit("").alias("path"), F.explode("r").alias("child")).where(~plain(F.col("child")))

@@ -77,3 +77,9 @@ def test_array_map_unnest_and_explode(spark, docs):
 def test_no_python_worker(docs):
     plan = files.json_cells(docs, "t")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_a_path_names_its_value_once(docs):
+    plan = docs.select(variants.find(F.col("v"), "a.b.c[0].d").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") + plan.count("variant_get") < 40  # each step used to repeat all before it six times
+    assert values(docs.where("n < 7"), variants.find(F.col("v"), "$['telecom'][1].system")) == [None, "phone", None, None, None, None, None]
