@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.lineage import cut, spread
 from feedloom.functions.text import blank_to_null, trim_ws
 from feedloom.operators.profile import profile_paths
 from feedloom.operators.variants import cells, fields, parse
@@ -48,7 +49,7 @@ def profile_auto(frame: DataFrame, text: str, distinct_cap: int = 10_000) -> Dat
 
     Each line of an NDJSON text is a record. Texts that are broken give nothing, like no texts.
     """
-    told = frame.select(F.col(text).alias("text")).withColumn("format", format_of(F.col("text")))
+    told = cut(spread(frame.select(F.col(text).alias("text"))).withColumn("format", format_of(F.col("text"))), "told")  # read once a format
     lines = F.concat(F.lit("["), F.array_join(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), ","), F.lit("]"))
     of = {
         "CSV": lambda f: csv_cells(f, "text"), "XML": lambda f: xml_cells(f, "text"), "JSON": lambda f: cells(f, "text"), "FHIR": lambda f: cells(f, "text"),

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.lineage import spread
 from feedloom.functions.text import glob_to_regex
 from feedloom.operators.variants import cells as json_cells
 
@@ -102,7 +103,7 @@ def xml_paths(frame: DataFrame, text: str) -> DataFrame:
                         out.append((paths[-1], own))
             yield pd.DataFrame(out, columns=["path", "value"])
 
-    return frame.select(F.col(text).alias("text")).mapInPandas(run, "path string, value string")
+    return spread(frame.select(F.col(text).alias("text"))).mapInPandas(run, "path string, value string")
 
 
 def xml_cells(frame: DataFrame, text: str) -> DataFrame:
