@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.lineage import cut
+from feedloom.functions.lineage import cut, spread
 from feedloom.functions.text import blank_to_null, canonical_source
 from feedloom.operators.identity import POINTS, score, tokens
 
@@ -36,9 +36,19 @@ def record_tokens(frame: DataFrame, key: bytes, system: Column, record: str = "r
     return tokens(raw, key, {a: a for a in POINTS}, [record, "row_num", "source_system", "source_hash"])
 
 
-def _class_key() -> Column:
-    """A digest of the six tokens, the same for rows that agree in all of them, nulls included."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(h, F.lit("")) for h in _HASHES]), 256)
+def _digest(value: Column) -> Column:
+    """16 bytes that stand for a text in joins: tokens of 64 characters each make most of what is shuffled."""
+    return F.unhex(F.md5(value))
+
+
+def _short(frame: DataFrame, *keep: str) -> DataFrame:
+    """keep and the tokens' digests, null for null."""
+    return frame.select(*keep, *[_digest(F.col(h)).alias(h) for h in _HASHES])
+
+
+def _key_of(*parts: Column) -> Column:
+    """A digest of parts that are digests, empty or null, the same only for rows that agree in all of them."""
+    return _digest(F.concat(*[F.coalesce(F.concat(F.lit("="), F.hex(h)), F.lit("|")) for h in parts]))
 
 
 def _block_key(block: str) -> Column:
@@ -46,68 +56,87 @@ def _block_key(block: str) -> Column:
 
 
 def _patterns(frame: DataFrame, block: str, of_records: bool) -> DataFrame:
-    """frame with a row for each pattern of its block: (_key, _named), where each attribute inside the block is named, null or open.
+    """frame with a row for each pattern of its block: (_key, _named, _points), where each attribute inside the block is named, null or open.
 
     A person has the pattern of its own values with any of them open. A record asks for persons that have its value, none, or any;
-    a record without a value asks for any, as it makes no difference.
+    a record without a value asks for any, as it makes no difference. _points are what a record has in common with whoever stands in the
+    pattern and differs from it in all that is open.
     """
-    out = frame.withColumns({"_key": F.col("_block"), "_named": F.lit(0)})
+    shared = sum(same for a, (same, _) in POINTS.items() if a in {"ssn": ["ssn"], "name": ["last_name", "dob"]}[block])
+    out = frame.withColumns({"_key": F.col("_block"), "_named": F.lit(0), "_points": F.lit(shared)})
     for a in _INSIDE[block]:
-        h, key = F.col(f"{a}_hash"), F.col("_key")
-        any_of = F.struct(F.concat(key, F.lit("|*")).alias("key"), F.col("_named").alias("named"))
-        null_of = F.struct(F.concat(key, F.lit("|0")).alias("key"), (F.col("_named") + 1).alias("named"))
-        same = F.struct(F.concat(key, F.lit("|="), h).alias("key"), (F.col("_named") + 1).alias("named"))
+        h, key, named, points = (F.col(c) for c in (f"{a}_hash", "_key", "_named", "_points"))
+        of = lambda key, named, points: F.struct(key.alias("key"), named.alias("named"), points.alias("points"))
+        any_of = of(F.concat(key, F.lit("|*")), named, points + (F.when(h.isNull(), 0).otherwise(POINTS[a][1]) if of_records else 0))
+        null_of = of(F.concat(key, F.lit("|0")), named + 1, points + 0)
+        same = of(F.concat(key, F.lit("|="), F.hex(h)), named + 1, points + POINTS[a][0])
         if of_records:
             asked = F.array(any_of, null_of) if block == "name" and a == "ssn" else F.array(any_of, null_of, same)
             choices = F.when(h.isNull(), F.array(any_of)).otherwise(asked)
         else:
             own = F.when(h.isNull(), null_of) if block == "name" and a == "ssn" else F.when(h.isNull(), null_of).otherwise(same)
             choices = F.array_compact(F.array(any_of, own))
-        out = out.withColumn("_p", F.explode(choices)).withColumns({"_key": F.col("_p.key"), "_named": F.col("_p.named")}).drop("_p")
-    return out.withColumn("_key", F.sha2("_key", 256))
+        out = out.withColumn("_p", F.explode(choices)).withColumns({"_key": F.col("_p.key"), "_named": F.col("_p.named"), "_points": F.col("_p.points")}).drop("_p")
+    return out.withColumn("_key", _digest(F.col("_key")))
+
+
+def _clipped(points: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(100), points)).cast("decimal(5,2)")
+
+
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    """(_ask, _person, score) of each ask's k best; a pair may be found by several patterns."""
+    order = Window.partitionBy("_ask").orderBy(F.desc("score"), F.asc("_person"))
+    once = scored.groupBy("_ask", "_person").agg(F.max("score").alias("score"))
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def _scored(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    return a.alias("a").join(b.alias("b"), on).select("a._c", F.col("b._person").alias("_person"), score().alias("score"))
+def _in_block(asks: DataFrame, people: DataFrame, block: str, k: int, heavy: int) -> DataFrame:
+    """(_ask, _person, score): the k best persons of each ask's block; asks and people have _block and digests."""
+    light = lambda b: asks.alias("a").join(b.alias("b"), F.col("a._block") == F.col("b._block")).select("a._ask", F.col("b._person").alias("_person"), score().alias("score"))
+    crowded = people.groupBy("_block").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy).select("_block")
+    if not crowded.take(1):
+        return _top(light(people), k)
+    crowded = cut(crowded, "crowded")
+    full = people.join(crowded, "_block", "left_semi")
+    smallest = Window.partitionBy("_key").orderBy("_person")
+    kept = _patterns(full, block, False).select("_key", "_named", "_person").withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= k)
+    ways = F.when(F.col("_named") < _SHARED, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    kept = kept.select("_key", "_person", F.explode(ways).alias("_way"))
+    way = F.when(F.col("_named") < _SHARED, F.pmod(F.xxhash64("_ask"), F.lit(WAYS))).otherwise(F.lit(0)).cast("int")
+    asked = _patterns(spread(asks.join(crowded, "_block", "left_semi")), block, True).select("_ask", "_key", way.alias("_way"), _clipped(F.col("_points")).alias("score"))
+    by_pattern = asked.join(kept, ["_key", "_way"]).select("_ask", "_person", "score")
+    return _top(light(people.join(crowded, "_block", "left_anti")).union(by_pattern), k)
 
 
 def best(records: DataFrame, persons: DataFrame, k: int = 2, record: str = "record_id", person: str = "master_id", heavy: int = 64) -> DataFrame:
     """(record, place, person, score): each record's k best candidates, ties to the smaller person; records without any have no rows.
 
     Candidates share the SSN, or last name and date of birth, as in identity.candidates(). Records and persons of equal tokens are one class,
-    of which the k smallest persons count. In a block of more than `heavy` persons, pairs are not made: its persons are
+    of which the k smallest persons count. In a block of names records that differ in the SSN only ask as one, as if no person shared it: who does is found in the block of
+    that SSN, scores more there, and keeps nobody else from the k best. In a block of more than `heavy` persons, pairs are not made: its persons are
     kept by pattern, the k smallest of each, and a record asks for the patterns of the scores it can reach. A differing attribute counts least,
-    so whoever stands in a pattern that leaves it open scores no less: the k persons kept there rank before any that is not. Work is
-    linear in records and persons, 54 patterns a record in a block of names and 243 in one of an SSN at most. Null ids count as ids.
+    so whoever stands in a pattern that leaves it open scores no less than the pattern says: the k persons kept there rank before any that is not, and whoever is kept has its
+    score from the pattern of all that it shares. Work is linear in records and persons, 54 patterns an ask in a block of names and 243 in one of an SSN at most. Null ids count as ids.
     """
-    people = persons.select(F.col(person).alias("_person"), *_HASHES)
+    people = _short(persons.withColumn("_person", F.col(person)), "_person")
     first = Window.partitionBy(*_HASHES).orderBy("_person")
     people = cut(people.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n"), "persons")
-    rows = cut(records.select(record, *_HASHES).withColumn("_class", _class_key()), "records")
-    classes = cut(rows.groupBy("_class").agg(*[F.any_value(h).alias(h) for h in _HASHES]).withColumn("_c", F.monotonically_increasing_id()), "classes")
-    parts = []
-    for block in _INSIDE:
-        a, b = (x.withColumn("_block", _block_key(block)).where("_block is not null") for x in (classes, people))
-        crowded = b.groupBy("_block").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy).select("_block")
-        if not crowded.take(1):
-            parts.append(_scored(a, b, F.col("a._block") == F.col("b._block")))
-            continue
-        light, full = b.join(crowded, "_block", "left_anti"), b.join(crowded, "_block", "left_semi")
-        parts.append(_scored(a, light, F.col("a._block") == F.col("b._block")))
-        smallest = Window.partitionBy("_key").orderBy("_person")
-        kept = _patterns(full, block, False).withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= k)
-        ways = F.when(F.col("_named") < _SHARED, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
-        kept = kept.withColumn("_way", F.explode(ways))
-        asked = _patterns(a.join(crowded, "_block", "left_semi"), block, True)
-        asked = asked.withColumn("_way", F.when(F.col("_named") < _SHARED, F.pmod(F.xxhash64("_c"), F.lit(WAYS))).otherwise(F.lit(0)).cast("int"))
-        parts.append(_scored(asked, kept, (F.col("a._key") == F.col("b._key")) & (F.col("a._way") == F.col("b._way"))))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.union(part)
-    order = Window.partitionBy("_c").orderBy(F.desc("score"), F.asc("_person"))
-    top = scored.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= k).groupBy("_c", "_person").agg(F.max("score").alias("score"))  # a pair may be found by several patterns
-    top = top.withColumn("place", F.row_number().over(order))
-    return rows.select(record, "_class").join(classes.select("_class", "_c"), "_class").join(top, "_c").select(record, "place", F.col("_person").alias(person), "score")
+    rows = cut(_short(records, record).withColumn("_c", _key_of(*[F.col(h) for h in _HASHES])), "records")
+    classes = rows.groupBy("_c").agg(*[F.any_value(h).alias(h) for h in _HASHES])
+    # an SSN that is like no person's, where there is one
+    other = F.when(F.col("ssn_hash").isNotNull(), F.lit(b""))
+    inside = [other, *[F.col(f"{a}_hash") for a in ("last_name", "dob", "first_name", "gender", "postal_code")]]
+    named = F.when(_block_key("name").isNotNull(), _key_of(*inside))
+    classes = cut(classes.withColumn("_name_ask", named), "classes")
+    blocks = {block: people.withColumn("_block", _block_key(block)).where("_block is not null") for block in _INSIDE}
+    by_ssn = classes.withColumn("_block", _block_key("ssn")).where("_block is not null").withColumnRenamed("_c", "_ask").drop("_name_ask")
+    by_name = classes.where("_name_ask is not null").withColumn("ssn_hash", other).groupBy(F.col("_name_ask").alias("_ask")).agg(*[F.any_value(h).alias(h) for h in _HASHES]).withColumn("_block", _block_key("name"))
+    of_ssn = _in_block(by_ssn, blocks["ssn"], "ssn", k, heavy).select(F.col("_ask").alias("_c"), "_person", "score")
+    of_name = _in_block(cut(by_name, "asks"), blocks["name"], "name", k, heavy).select(F.col("_ask").alias("_name_ask"), "_person", "score")
+    of_name = classes.select("_c", "_name_ask").join(of_name, "_name_ask").select("_c", "_person", "score")
+    top = _top(of_ssn.union(of_name).withColumnRenamed("_c", "_ask"), k)
+    return rows.select(record, F.col("_c").alias("_ask")).join(top, "_ask").select(record, "place", F.col("_person").alias(person), "score")
 
 
 def disposition(top: Column, after: Column) -> Column:
@@ -133,9 +162,9 @@ def identity_stage(records: DataFrame, persons: DataFrame, crosswalk: DataFrame,
     """
     source = ["source_system", "source_hash"]
     active = crosswalk.where("is_active").groupBy(*source).agg(F.min(person).alias("_held"))
-    rows = cut(records.join(active, source, "left"), "batch")
+    rows = cut(_short(records, record, "row_num", *source).join(active, source, "left"), "batch")
     open_rows = rows.where("_held is null")
-    found = cut(open_rows.select(record, "row_num", *source).join(dispositions(open_rows, persons, record, person, heavy), record), "scored")
+    found = cut(open_rows.select(record, "row_num", *source).join(dispositions(open_rows, _short(persons, person), record, person, heavy), record), "scored")
     place = F.struct(F.col("row_num"), F.col(record))
     first = found.where("disposition = 'HIGH_CONFIDENCE' and source_hash is not null and source_system is not null")
     first = first.groupBy(*source).agg(F.min(place).alias("_first"), F.min_by(person, place).alias("_linked"))

@@ -139,3 +139,15 @@ def test_as_of_is_that_of_all_pairs(spark, share):
     got = identity.as_of(lookups, versions, ["id"], share=share, ranges=4).collect()
     assert sorted(((r.event, r.master_id) for r in got), key=repr) == sorted(want, key=repr)
     assert identity.as_of(lookups.limit(0), versions, ["id"]).count() == 0 and identity.as_of(lookups, versions.limit(0), ["id"]).where("master_id is null").count() == len(asked)
+
+
+def test_records_that_differ_in_the_ssn_only_ask_a_block_of_names_as_one(spark, monkeypatch):
+    """Digests of 16 bytes and a score go with a pattern, and 300 records of one name ask for those of 4."""
+    rows = [(k, f"s{k}", "d", "n", f"f{k % 2}", None, f"p{k // 2 % 2}") for k in range(300)]
+    asked, own = [], matching._patterns
+    monkeypatch.setattr(matching, "_patterns", lambda frame, block, of_records: asked.append(own(frame, block, of_records)) or asked[-1])
+    records, persons = spark.createDataFrame(rows, SCHEMA.format("record_id")), spark.createDataFrame(rows, SCHEMA.format("master_id"))
+    got = matching.best(records, persons, 2, heavy=10)
+    want = [(a[0], n, p, -s) for a in rows for n, (s, p) in enumerate(ranked(a, rows)[:2], 1)]
+    assert sorted((r[0], r[1], r[2], int(r[3])) for r in got.collect()) == sorted(want)
+    assert asked[1].count() <= 54 * 4 and "binary" in dict(asked[1].dtypes)["_key"]
