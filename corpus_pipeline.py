@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the runs of lines (operator 6, in pairs of lines) that stand somewhere before; n_chars follows the text."""
-    out = passage_dedup(docs)
+    """All documents, without the content-defined chunks of lines (operator 6), and then the runs of lines, that stand somewhere before; n_chars follows the text."""
+    out = passage_dedup(docs, divisor=4)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 

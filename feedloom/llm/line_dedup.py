@@ -103,24 +103,38 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "to")).alias("removed"))
 
 
-def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def chunk_numbers(text: Column, removed: Column, divisor: int) -> Column:
+    """The numbers of the lines that stand in the chunks at the places removed."""
+    of_line = F.flatten(F.transform(chunk_lines(text, divisor), lambda c, i: F.transform(F.split(c, "\n", -1), lambda x: F.array_contains(removed, i))))
+    return F.filter(F.transform(of_line, lambda gone, n: F.when(gone, n)), lambda n: n.isNotNull())
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, divisor: int | None = None) -> DataFrame:
     """docs with the same columns; from the texts, every run of two lines or more that stands somewhere before is removed.
 
     A line goes if it and the next or last line with more than blanks stand so somewhere before (by id, then by place),
     with the blank lines between; so no repeated passage of two such lines or more stays, whatever stands around it, and
     all that line_dedup() removes in such lines goes. Single lines stay, as do nulls, rows of equal id and text, and the
-    order of rows as there. count_col names a column for the number of lines removed.
+    order of rows as there. count_col names a column for the number of lines removed. With a divisor the content-defined chunks
+    that line_dedup() removes go as well, both told from the whole texts: the pairs are then the exact check after the chunks.
     """
     check_count_col(docs, count_col)
-    of_id, of_text, removed, lines, numbers = fresh(docs.columns, "gone_id", "gone_th", "gone", "lines", "out")
+    of_id, of_text, removed, lines, numbers, in_id, in_text, chunked = fresh(docs.columns, "gone_id", "gone_th", "gone", "lines", "out", "chunk_id", "chunk_th", "chunked")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     gone = repeated_pairs(keyed).withColumnsRenamed({"doc_id": of_id, "th": of_text, "removed": removed})
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone[of_id]) & (F.xxhash64(docs[text_col]) == gone[of_text]), "left")
-    out_of = F.array_distinct(F.flatten(F.transform(removed, lambda s: F.sequence(s["place"], s["to"]))))
-    split = joined.withColumns({lines: F.when(F.col(removed).isNotNull(), F.split(F.col(text_col), "\n", -1)), numbers: out_of})
+    out_of, any_gone = F.array_distinct(F.flatten(F.transform(removed, lambda s: F.sequence(s["place"], s["to"])))), F.col(removed).isNotNull()
+    if divisor:
+        by_chunk = repeated_chunks(keyed, divisor).withColumnsRenamed({"doc_id": in_id, "th": in_text, "removed": chunked})
+        joined = joined.join(by_chunk, docs[id_col].eqNullSafe(by_chunk[in_id]) & (F.xxhash64(docs[text_col]) == by_chunk[in_text]), "left")
+        of_chunks = F.when(F.col(chunked).isNotNull(), chunk_numbers(F.col(text_col), F.col(chunked), divisor))
+        none = F.array().cast("array<int>")
+        any_gone = any_gone | F.col(chunked).isNotNull()
+        out_of = F.when(any_gone, F.array_union(F.coalesce(out_of, none), F.coalesce(of_chunks, none)))
+    split = joined.withColumns({lines: F.when(any_gone, F.split(F.col(text_col), "\n", -1)), numbers: out_of})
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
     text = F.array_join(F.transform(kept, lambda k: F.get(F.col(lines), k)), "\n")
-    out = [F.when(F.col(removed).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    out = [F.when(F.col(lines).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
         out.append(F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(count_col))
     return split.select(*out)

@@ -674,3 +674,26 @@ def test_best_paths_of_trees(spark):
     made = {r.tree: r for r in chat.format_conversations(frame_).where("rank = 1").collect()}
     assert chat.read_back(made[4].formatted) == [("", "")] and made[2].n_turns == 60
     assert chat.format_conversations(frame(spark, [], frame_.schema)).count() == 0
+
+
+def test_the_line_stage_removes_chunks_and_what_they_miss(spark):
+    import corpus_pipeline
+
+    shared = [f"shared line {n}" for n in range(12)]
+    ending = next(x for x in (f"end {n}" for n in range(1000)) if int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % 4 == 0)
+    blank = int(hashlib.md5(b"").hexdigest()[:8], 16)
+    # a chunk of one line and blank ones is no pair of lines
+    tail = next(x for x in (f"last {n}" for n in range(1000)) if (int(hashlib.md5(x.encode()).hexdigest()[:8], 16) + blank) % 4 == 0)
+    texts = [(k, "\n".join([f"own {k}", *shared[k % 3 :], f"tail {k}"])) for k in range(6)] + [(7, None), (8, "one"), (9, f"{ending}\n{tail}\n"), (10, f"{ending}\n{tail}\n"), (10, f"{ending}\n{tail}\n")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = lambda frame: sorted((r.doc_id, -1 if r.text is None else len(r.text)) for r in frame.collect())
+    got, chunks, pairs = sizes(corpus_pipeline.line_stage(spark, docs, "")), sizes(line_dedup.line_dedup(docs)), sizes(line_dedup.passage_dedup(docs))
+    assert len(got) == len(texts) and all(a[1] <= min(b[1], c[1]) for a, b, c in zip(got, chunks, pairs, strict=True))
+    called = []
+    own = line_dedup.repeated_chunks
+    line_dedup.repeated_chunks = lambda *args: called.append(1) or own(*args)
+    try:
+        corpus_pipeline.line_stage(spark, docs, "")
+    finally:
+        line_dedup.repeated_chunks = own
+    assert called  # the named method has its place in the stage
