@@ -482,6 +482,24 @@ def test_edited_passages_of_common_clauses_are_found(spark):
     assert len(got & planted) >= 0.9 * len(planted) and got <= planted
 
 
+def test_edited_passages_of_common_pairs_of_clauses_are_found(spark):
+    """Each two clauses at most a clause apart stand together in nine earlier documents, so all pairs of seeds are common, and the documents that share the whole passage are not the first of any."""
+    rng = np.random.default_rng(19)
+    docs, planted = {}, set()
+    for group in range(12):
+        clauses, base = [passage(rng, 15) for _ in range(5)], 100 * group
+        pairs = [(i, j) for i in range(5) for j in (i + 1, i + 2) if j < 5]
+        for n, (i, j) in enumerate(pairs):
+            for d in range(9):
+                between = [] if j == i + 1 else passage(rng, 15)
+                docs[base + 9 * n + d] = passage(rng, 20) + clauses[i] + between + clauses[j] + passage(rng, 20)
+        for d, at in ((80, 4), (90, 10)):
+            docs[base + d] = passage(rng, 40) + [f"edit{d}" if i == at else w for c in clauses for i, w in enumerate(c)] + passage(rng, 40)
+        planted.add((base + 90, base + 80))
+    got = {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(frame(spark, [(d, " ".join(docs[d])) for d in sorted(docs)])).collect()}
+    assert len(got & planted) >= 11 and got <= planted, (len(got & planted), sorted(got - planted))
+
+
 def test_every_exact_repeat_is_in_some_row(spark):
     rng = np.random.default_rng(16)
     parts = [passage(rng, n) for n in rng.integers(12, 45, 9)]
