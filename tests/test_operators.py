@@ -94,6 +94,14 @@ def test_identity_scores(spark):
     assert got == {1: "SCORE_TIE", 2: "AMBIGUOUS_MATCH", 3: "AMBIGUOUS_MATCH", 4: "NO_VIABLE_CANDIDATE", 5: "HIGH_CONFIDENCE", 6: "NO_VIABLE_CANDIDATE"}
 
 
+def test_candidates_hash_tokens_once(spark):
+    rows = [(1, "a", "d", "n"), (2, None, "d", "n"), (3, "a", "e", "m")]
+    sides = [identity.tokens(spark.createDataFrame(rows, f"{i} long, ssn string, dob string, last string"), b"k", {"ssn": "ssn", "dob": "dob", "last_name": "last"}, [i]) for i in ("record_id", "master_id")]
+    found = identity.candidates(*sides)
+    assert "sha2" not in found._jdf.queryExecution().toString()
+    assert sorted((r.record_id, r.master_id) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 3)]
+
+
 def test_crosswalk_split_and_audit(spark):
     rows = [("s", "1", datetime(2026, 1, 1), None, "EXACT"), ("s", "2", datetime(2026, 1, 1), datetime(2026, 2, 1), "EXACT")]
     walk = spark.createDataFrame([(a, b, 10, c, d, e) for a, b, c, d, e in rows], "system string, id string, master_id long, valid_from timestamp, valid_to timestamp, match_type string")
