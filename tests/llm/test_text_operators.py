@@ -589,6 +589,36 @@ def test_many_near_copies_are_found(spark, share, ways):
     assert len(got & wanted) >= 0.9 * len(wanted)
 
 
+def test_a_short_line_of_many_documents_makes_no_links(spark, tmp_path):
+    """Links of a line shorter than a passage follow its documents, not their square; passages around it are found as before."""
+    rng = np.random.default_rng(23)
+    line, docs = passage(rng, 40), {}
+    for d in range(240):
+        docs[d] = passage(rng, 60) + line + passage(rng, 60)
+    beside = passage(rng, 30)
+    for n, d in enumerate((180, 200, 220)):
+        docs[d][30:60] = [f"edit{d}" if i == 7 + n else w for i, w in enumerate(beside)]
+    texts = frame(spark, [(d, " ".join(w)) for d, w in docs.items()]).selectExpr("doc_id AS doc", "text")
+    sketch = common.cut(substring_dedup.sketches(texts, id_col="doc"), "sketches")
+    seeds = sketch.selectExpr("doc", "explode(arrays_zip(seeds, places)) AS s").selectExpr("s.seeds AS h", "doc", "s.places AS place")
+    shared = substring_dedup.shared_rows(seeds, "h", "shared")
+    _, some, pairs = substring_dedup.candidate_links(shared, 8, 4)
+    none = frame(spark, [], "doc_id long, start_word long, end_word long")
+    made = substring_dedup.open_links(some, pairs, none, texts, sketch.select("doc", "digest"), 4, 8, 50, 0.8).select("a", "b").distinct().collect()
+    assert {(200, 180), (220, 180)} <= {(r.b, r.a) for r in made} and len(made) < 1000, len(made)
+    got = substring_dedup.repeated_passages(texts, id_col="doc").collect()
+    assert {r.doc_id for r in got} == {200, 220}
+
+
+def test_growth_of_many_rows_is_grow():
+    rng = np.random.default_rng(24)
+    words = rng.integers(0, 2, (40, 60)).astype(np.int32)
+    i, j = np.nonzero(np.arange(40)[:, None] < np.arange(40)[None, :])
+    for cost in (1, 2, 9):
+        reach, matched = substring_dedup.reached(words, i, j, 10, cost)
+        assert [substring_dedup.grow(list(words[x]), list(words[y]), 0, 0, 1, 10, cost) for x, y in zip(i, j, strict=True)] == list(zip(reach, matched, strict=True))
+
+
 def test_an_id_with_two_texts_is_one_document(spark):
     rng = np.random.default_rng(3)
     x, y = (" ".join(passage(rng, 80)) for _ in range(2))
