@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -78,16 +79,27 @@ FAILURE_PATTERNS = [
 ]
 
 
-def replace_all(c: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Each pattern's matches replaced by its mark; classes and cases are those of Unicode."""
+def ascii_classes(pattern: str) -> str:
+    r"""The pattern with \b and \s as RE2 and DuckDB have them: letters, digits and blanks of ASCII only, whatever the Java release.
+
+    For patterns of OPERATIONAL_PATTERNS' kind: \b stands at their ends only, beside letters and digits, and \s within brackets only.
+    """
+    pattern = re.sub(r"^\\b", "(?<![0-9A-Za-z_])", re.sub(r"\\b$", "(?![0-9A-Za-z_])", pattern))
+    if r"\b" in pattern:
+        raise ValueError(f"\\b inside a pattern: {pattern!r}")
+    return pattern.replace(r"\s", r"\t\n\f\r ")
+
+
+def replace_all(c: Column, patterns: list[tuple[str, str]], ascii_only: bool = False) -> Column:
+    """Each pattern's matches replaced by its mark; classes and cases are those of Unicode, or of ASCII (see ascii_classes())."""
     for pattern, mark in patterns:
-        c = F.regexp_replace(c, "(?U)" + pattern, mark)
+        c = F.regexp_replace(c, ascii_classes(pattern) if ascii_only else "(?U)" + pattern, mark)
     return c
 
 
-def redact(c: Column) -> Column:
-    """File names and operational messages without numbers of persons, telephones and mail addresses; blank text is null."""
-    marked = F.when(c.rlike(r"(?U)[\d@]|MRN|mrn"), replace_all(c, OPERATIONAL_PATTERNS)).otherwise(c)  # each pattern needs one of these
+def redact(c: Column, ascii_only: bool = False) -> Column:
+    """File names and operational messages without numbers of persons, telephones and mail addresses; blank text is null. ascii_only: words end at any letter beyond ASCII, as in DuckDB's patterns."""
+    marked = F.when(c.rlike(r"(?U)[\d@]|MRN|mrn"), replace_all(c, OPERATIONAL_PATTERNS, ascii_only)).otherwise(c)  # each pattern needs one of these
     return F.nullif(marked, F.lit(""))
 
 

@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
 from feedloom.operators import rules, transforms
 from feedloom.operators.rules import Rule
+from feedloom.plans import catalogue
 from feedloom.sources import files
 
 BIG = "1234567890123456789012345"
@@ -63,3 +65,15 @@ def test_arrays_behind_a_wildcard_are_spread_and_unmapped_values_fail(spark):
     assert sorted(map(tuple, mapped.collect()), key=repr) == [(1, "f", [1, 2, 3], ["x", "y", "z"]), (3, None, None, None)]
     assert [(r.k, r._failure.field, r._failure.value, r._failure.rule) for r in failed.collect()] == [(2, "s", "P", "s")]
     assert transforms.apply_mapping(frame.where("k = 2"), lines).first().b is None and transforms.split_mapping(frame.limit(0), lines)[1].count() == 0
+
+
+def test_documents_are_redacted_as_their_sql_does_beside_letters_beyond_ascii(spark, tmp_path):
+    rng = random.Random(2)
+    pieces = ["\u00e9mrnthanon", "mrn abcd\u00e9f", "MRN:abcdefg\u00f1", "mrn\u00a0abcde", "mrn\x0babcde", "\u00e9555-123-4567", "5551234567\u00df", "\u0663123456789", "123456789", "\u00e9123456789\u00e9", "_123456789", "\u0663\u0664\u0665-67-8901", "a@b.org", "\u00e9@b.org", "078-05-1120", "\n", "\u0085", "plain", "mrn"]
+    texts = ["".join(rng.choice(["", " ", "_", "\u00e9"]) + p for p in rng.choices(pieces, k=rng.randrange(1, 6))) for _ in range(2000)] + ["", " ", None, *pieces]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = dict(con.execute(catalogue.ORACLE_SQL["redact_phi"]).fetchall())
+    got = {r.doc_id: r.redacted for r in catalogue.QUERIES["redact_phi"](spark, str(tmp_path)).collect()}
+    assert [texts[k] for k in want if got[k] != want[k]] == [] and len(got) == len(texts)
