@@ -46,6 +46,11 @@ def _short(frame: DataFrame, *keep: str) -> DataFrame:
     return frame.select(*keep, *[_digest(F.col(h)).alias(h) for h in _HASHES])
 
 
+def _grown(frame: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, both sides of which are shuffled: by the small files that it is read from Spark would send it through the driver, exploded rows and all."""
+    return frame.hint("merge")
+
+
 def _key_of(*parts: Column) -> Column:
     """A digest of parts that are digests, empty or null, the same only for rows that agree in all of them."""
     return _digest(F.concat(*[F.coalesce(F.concat(F.lit("="), F.hex(h)), F.lit("|")) for h in parts]))
@@ -93,7 +98,7 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 def _in_block(asks: DataFrame, people: DataFrame, block: str, k: int, heavy: int) -> DataFrame:
     """(_ask, _person, score): the k best persons of each ask's block; asks and people have _block and digests."""
-    light = lambda b: asks.alias("a").join(b.alias("b"), F.col("a._block") == F.col("b._block")).select("a._ask", F.col("b._person").alias("_person"), score().alias("score"))
+    light = lambda b: asks.alias("a").join(_grown(b).alias("b"), F.col("a._block") == F.col("b._block")).select("a._ask", F.col("b._person").alias("_person"), score().alias("score"))
     crowded = people.groupBy("_block").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy).select("_block")
     if not crowded.take(1):
         return _top(light(people), k)
@@ -105,7 +110,7 @@ def _in_block(asks: DataFrame, people: DataFrame, block: str, k: int, heavy: int
     kept = kept.select("_key", "_person", F.explode(ways).alias("_way"))
     way = F.when(F.col("_named") < _SHARED, F.pmod(F.xxhash64("_ask"), F.lit(WAYS))).otherwise(F.lit(0)).cast("int")
     asked = _patterns(spread(asks.join(crowded, "_block", "left_semi")), block, True).select("_ask", "_key", way.alias("_way"), _clipped(F.col("_points")).alias("score"))
-    by_pattern = asked.join(kept, ["_key", "_way"]).select("_ask", "_person", "score")
+    by_pattern = asked.join(_grown(kept), ["_key", "_way"]).select("_ask", "_person", "score")
     return _top(light(people.join(crowded, "_block", "left_anti")).union(by_pattern), k)
 
 
@@ -134,9 +139,9 @@ def best(records: DataFrame, persons: DataFrame, k: int = 2, record: str = "reco
     by_name = classes.where("_name_ask is not null").withColumn("ssn_hash", other).groupBy(F.col("_name_ask").alias("_ask")).agg(*[F.any_value(h).alias(h) for h in _HASHES]).withColumn("_block", _block_key("name"))
     of_ssn = _in_block(by_ssn, blocks["ssn"], "ssn", k, heavy).select(F.col("_ask").alias("_c"), "_person", "score")
     of_name = _in_block(cut(by_name, "asks"), blocks["name"], "name", k, heavy).select(F.col("_ask").alias("_name_ask"), "_person", "score")
-    of_name = classes.select("_c", "_name_ask").join(of_name, "_name_ask").select("_c", "_person", "score")
+    of_name = classes.select("_c", "_name_ask").join(_grown(of_name), "_name_ask").select("_c", "_person", "score")
     top = _top(of_ssn.union(of_name).withColumnRenamed("_c", "_ask"), k)
-    return rows.select(record, F.col("_c").alias("_ask")).join(top, "_ask").select(record, "place", F.col("_person").alias(person), "score")
+    return rows.select(record, F.col("_c").alias("_ask")).join(_grown(top), "_ask").select(record, "place", F.col("_person").alias(person), "score")
 
 
 def disposition(top: Column, after: Column) -> Column:
@@ -148,7 +153,7 @@ def dispositions(records: DataFrame, persons: DataFrame, record: str = "record_i
     """(record, person, score, disposition) by the best two candidates; a record without one is NO_VIABLE_CANDIDATE without person and score."""
     two = best(records, persons, 2, record, person, heavy)
     pair = two.groupBy(record).agg(F.max_by(person, -F.col("place")).alias(person), F.max("score").alias("score"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("_next"))
-    out = records.select(record).join(pair, record, "left")
+    out = records.select(record).join(_grown(pair), record, "left")
     return out.select(record, person, "score", disposition(F.col("score"), F.col("_next")).alias("disposition"))
 
 
@@ -162,13 +167,13 @@ def identity_stage(records: DataFrame, persons: DataFrame, crosswalk: DataFrame,
     """
     source = ["source_system", "source_hash"]
     active = crosswalk.where("is_active").groupBy(*source).agg(F.min(person).alias("_held"))
-    rows = cut(_short(records, record, "row_num", *source).join(active, source, "left"), "batch")
+    rows = cut(_short(records, record, "row_num", *source).join(_grown(active), source, "left"), "batch")
     open_rows = rows.where("_held is null")
-    found = cut(open_rows.select(record, "row_num", *source).join(dispositions(open_rows, _short(persons, person), record, person, heavy), record), "scored")
+    found = cut(open_rows.select(record, "row_num", *source).join(_grown(dispositions(open_rows, _short(persons, person), record, person, heavy)), record), "scored")
     place = F.struct(F.col("row_num"), F.col(record))
     first = found.where("disposition = 'HIGH_CONFIDENCE' and source_hash is not null and source_system is not null")
     first = first.groupBy(*source).agg(F.min(place).alias("_first"), F.min_by(person, place).alias("_linked"))
-    found = found.join(first, source, "left")
+    found = found.join(_grown(first), source, "left")
     late = F.coalesce(place > F.col("_first"), F.lit(False))
     hundred = F.lit(100).cast("decimal(5,2)")
     of_batch = found.select(
@@ -186,7 +191,7 @@ def new_links(stage: DataFrame, crosswalk: DataFrame, batch_id: Column, at: Colu
     """
     made = stage.where("resolution = 'SCORED' and disposition = 'HIGH_CONFIDENCE'")
     known = made.where("source_hash is not null").groupBy("source_system", "source_hash").agg(F.min_by(F.struct(person, "score"), F.struct("row_num", record)).alias("_m"))
-    known = known.join(crosswalk.where("is_active").select("source_system", "source_hash"), ["source_system", "source_hash"], "left_anti")
+    known = known.join(_grown(crosswalk.where("is_active").select("source_system", "source_hash")), ["source_system", "source_hash"], "left_anti")
     known = known.select("source_system", "source_hash", f"_m.{person}", "_m.score")
     own = made.where("source_hash is null").select("source_system", "source_hash", person, "score")
     return known.union(own).select("source_system", "source_hash", person, F.col("score").alias("match_score"), F.lit("DETERMINISTIC_HIGH_CONFIDENCE").alias("match_type"), F.lit(True).alias("is_active"), at.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), batch_id.alias("source_batch_id"))
@@ -200,7 +205,7 @@ def exceptions(stage: DataFrame, candidates: DataFrame, record: str = "record_id
     left = stage.where("disposition <> 'HIGH_CONFIDENCE'")
     inside = F.array_sort(F.collect_list(F.struct("place", F.col(person).alias("person"), F.col("score").alias("points"))))
     listed = candidates.groupBy(record).agg(F.transform(inside, lambda c: F.struct(c["person"].alias("person"), c["points"].alias("score"))).alias("candidates"))
-    out = left.join(listed, record, "left")
+    out = left.join(_grown(listed), record, "left")
     none = F.array().cast(listed.schema["candidates"].dataType)
     return out.select(record, "source_system", "source_hash", F.sha2("source_hash", 256).alias("fingerprint"), F.col("disposition").alias("exception_type"), F.coalesce("score", F.lit(0)).cast("decimal(5,2)").alias("highest_score"), F.coalesce("candidates", none).alias("candidates"), F.lit("PENDING").alias("status"))
 

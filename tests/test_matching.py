@@ -151,3 +151,12 @@ def test_records_that_differ_in_the_ssn_only_ask_a_block_of_names_as_one(spark,
     want = [(a[0], n, p, -s) for a in rows for n, (s, p) in enumerate(ranked(a, rows)[:2], 1)]
     assert sorted((r[0], r[1], r[2], int(r[3])) for r in got.collect()) == sorted(want)
     assert asked[1].count() <= 54 * 4 and "binary" in dict(asked[1].dtypes)["_key"]
+
+
+def test_no_side_of_a_join_that_grows_goes_through_the_driver(spark):
+    """Joins by broadcast hold the crowded blocks at most: small files may stand for many rows, and asks are exploded."""
+    rng = random.Random(3)
+    persons, records = (spark.createDataFrame(people(rng, 60, start), SCHEMA.format(name)) for start, name in ((1000, "master_id"), (0, "record_id")))
+    plan = matching.dispositions(records, persons, heavy=3)._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert "SortMergeJoin" in plan and all("LeftSemi" in line or "LeftAnti" in line for line in sent)
