@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.lineage import cut, spread
 from feedloom.functions.text import blank_to_null, canonical_source
-from feedloom.operators.identity import POINTS, score, tokens
+from feedloom.operators.identity import POINTS, digest, score, tokens
 
 _HASHES = [f"{a}_hash" for a in POINTS]
 #: Attributes that tell the pairs of a block apart. Pairs of a block of names that share the SSN are found in the block of that SSN.
@@ -36,14 +36,9 @@ def record_tokens(frame: DataFrame, key: bytes, system: Column, record: str = "r
     return tokens(raw, key, {a: a for a in POINTS}, [record, "row_num", "source_system", "source_hash"])
 
 
-def _digest(value: Column) -> Column:
-    """16 bytes that stand for a text in joins: tokens of 64 characters each make most of what is shuffled."""
-    return F.unhex(F.md5(value))
-
-
 def _short(frame: DataFrame, *keep: str) -> DataFrame:
     """keep and the tokens' digests, null for null."""
-    return frame.select(*keep, *[_digest(F.col(h)).alias(h) for h in _HASHES])
+    return frame.select(*keep, *[digest(F.col(h)).alias(h) for h in _HASHES])
 
 
 def _grown(frame: DataFrame) -> DataFrame:
@@ -53,7 +48,7 @@ def _grown(frame: DataFrame) -> DataFrame:
 
 def _key_of(*parts: Column) -> Column:
     """A digest of parts that are digests, empty or null, the same only for rows that agree in all of them."""
-    return _digest(F.concat(*[F.coalesce(F.concat(F.lit("="), F.hex(h)), F.lit("|")) for h in parts]))
+    return digest(F.concat(*[F.coalesce(F.concat(F.lit("="), F.hex(h)), F.lit("|")) for h in parts]))
 
 
 def _block_key(block: str) -> Column:
@@ -82,7 +77,7 @@ def _patterns(frame: DataFrame, block: str, of_records: bool) -> DataFrame:
             own = F.when(h.isNull(), null_of) if block == "name" and a == "ssn" else F.when(h.isNull(), null_of).otherwise(same)
             choices = F.array_compact(F.array(any_of, own))
         out = out.withColumn("_p", F.explode(choices)).withColumns({"_key": F.col("_p.key"), "_named": F.col("_p.named"), "_points": F.col("_p.points")}).drop("_p")
-    return out.withColumn("_key", _digest(F.col("_key")))
+    return out.withColumn("_key", digest(F.col("_key")))
 
 
 def _clipped(points: Column) -> Column:

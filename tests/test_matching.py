@@ -160,3 +160,15 @@ def test_no_side_of_a_join_that_grows_goes_through_the_driver(spark):
     plan = matching.dispositions(records, persons, heavy=3)._jdf.queryExecution().executedPlan().toString()
     sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     assert "SortMergeJoin" in plan and all("LeftSemi" in line or "LeftAnti" in line for line in sent)
+
+
+def test_pairs_are_joined_by_digests_of_their_tokens_and_not_through_the_driver(spark):
+    rng = random.Random(5)
+    persons, records = people(rng, 80, 1000), people(rng, 80, 0)
+    persons, records = ([(k, *(v and v.ljust(64, "0") for v in row)) for k, *row in side] for side in (persons, records))
+    found = identity.candidates(spark.createDataFrame(records, SCHEMA.format("record_id")), spark.createDataFrame(persons, SCHEMA.format("master_id")))
+    want = sorted((a[0], person, -s) for a in records for s, person in ranked(a, persons))
+    assert sorted((r[0], r[1], int(r[2])) for r in found.collect()) == want and len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "ssn_hash#" in plan and "Broadcast" not in plan
+    assert all("ssn_hash:binary" in line for line in plan.splitlines() if "ReadSchema" in line)
