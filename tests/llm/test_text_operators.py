@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -610,6 +611,43 @@ def test_a_short_line_of_many_documents_makes_no_links(spark, tmp_path):
     assert {r.doc_id for r in got} == {200, 220}
 
 
+def test_a_passage_of_common_seeds_whose_partners_all_differ_is_found(spark):
+    """Every seed of the passage is common, and one of a smaller hash beside it in one document only is its partner there: no pair of seeds is shared."""
+    rng = np.random.default_rng(31)
+    small = []
+    while len(small) < 3:  # four words whose seed is smaller than nearly all
+        words = [f"q{rng.integers(1 << 40)}" for _ in range(4)]
+        if substring_dedup.rolled(substring_dedup.word_hashes(" ".join(words).encode()), 4)[0] < np.uint64(1 << 55):
+            small.append(words)
+    docs, wanted = [], []
+    for _ in range(4):
+        blocks = [passage(rng, 14) for _ in range(4)]
+        docs += [passage(rng, 120) + part + passage(rng, 120) for part in [*blocks, *small] for _ in range(10)]
+        a, b, c, d = blocks
+        wanted.append((len(docs) + 1, len(docs)))
+        docs.append(passage(rng, 120) + [*a, "s1", *b, *small[0], *c, *small[1], *d, *small[2]] + passage(rng, 120))
+        docs.append(passage(rng, 120) + [*a, "t1", *b, "t2", *c, "t3", *d] + passage(rng, 120))
+    got = {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(frame(spark, [(n, " ".join(w)) for n, w in enumerate(docs)])).collect()}
+    assert got == set(wanted)
+
+
+def test_pairs_of_anchors_are_chained_as_chains_does():
+    rng = np.random.default_rng(32)
+    points = rng.integers(0, 60, (4000, 2, 2))
+    points[:1000, 1] = points[:1000, 0] + rng.integers(-50, 50, (1000, 1))
+    rows = [{"pa": int(a), "pb": int(b), "rare": bool(n % 3)} for n, (a, b) in enumerate(points.reshape(-1, 2))]
+    flat = pa.array(rows, pa.struct([("pa", pa.int32()), ("pb", pa.int32()), ("rare", pa.bool_())]))
+    made, (at, rare) = substring_dedup.chained_pairs(flat, np.arange(0, 8000, 2), 4, 0.05)
+    got = {int(n): ([int(x) for x in chain], bool(r)) for n, chain, r in zip(at, made, rare, strict=True)}
+    want = {}
+    for n, pair in enumerate(points.tolist()):
+        found = substring_dedup.chains(list({tuple(p) for p in pair}), 4, 0.05)
+        for chain in [*found, *substring_dedup.parted_diagonals(found)]:
+            if len(chain) > 1:
+                want[n] = ([x for p in chain for x in p], all((2 * n + m) % 3 for m in (0, 1)))
+    assert got == want and 0 < len(want) < 4000
+
+
 def test_growth_of_many_rows_is_grow():
     rng = np.random.default_rng(24)
     words = rng.integers(0, 2, (40, 60)).astype(np.int32)
